@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import packing
+from candlewick.llm import packing, secrets, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,36 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+#: The rules of the url query: (verdict, host, path).
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(_table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op8_url_filters": op8_url_filters,
     "op7_packing": op7_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_url_filters": r"""
+        WITH u AS (
+          SELECT page_id,
+                 coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                 coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+          FROM pages),
+        rules(verdict, r_host, r_path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        numbered AS (SELECT row_number() OVER () AS n, * FROM u)
+        SELECT page_id, host, path,
+               arg_max(r_host || r_path, length(r_host || r_path)) AS rule,
+               coalesce(arg_max(verdict, length(r_host || r_path)), 'allow') AS verdict
+        FROM numbered LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+        GROUP BY n, page_id, host, path""",
+}
