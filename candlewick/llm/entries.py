@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import packing, quality_rules, secrets, url_rules
+from candlewick.llm import decontamination, packing, quality_rules, secrets, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,14 +36,35 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.learn_from(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op8_url_filters": op8_url_filters,
+    "op4_decontamination": op4_decontamination,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 
+#: Words of a text for decontamination: A-Z lower-cased, runs of digits, letters and all that isn't ASCII.
+_SQL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 ORACLES: dict[str, str] = {
+    "op4_decontamination": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, """ + _SQL_WORDS + r""" AS ws FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, """ + _SQL_WORDS + r""" AS ws FROM benchmark WHERE item_id IS NOT NULL),
+        bn AS (SELECT item, ws, least(len(ws), 13) AS n FROM b WHERE len(ws) > 0),
+        win AS (SELECT DISTINCT item, n, array_to_string(ws[i : i + n - 1], ' ') AS w FROM (SELECT item, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM bn)),
+        lens AS (SELECT DISTINCT n FROM win),
+        dw AS (SELECT rid, n, i, array_to_string(ws[i : i + n - 1], ' ') AS w FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, lens WHERE len(ws) >= n)),
+        hit AS (SELECT rid, i, n, item FROM dw JOIN win USING (w, n)),
+        items AS (SELECT rid, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS items_sha256 FROM hit GROUP BY rid),
+        pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT rid, i, n FROM hit)) GROUP BY rid)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM d LEFT JOIN items USING (rid) LEFT JOIN pos USING (rid)""",
     "op8_url_filters": r"""
         WITH u AS (
           SELECT page_id,
