@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import decontamination, packing, quality_rules, secrets, url_rules
+from candlewick.llm import decontamination, packing, quality_rules, secrets, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,9 +40,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op8_url_filters": op8_url_filters,
+    "op2_toxicity": op2_toxicity,
     "op4_decontamination": op4_decontamination,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
