@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import decontamination, packing, quality_rules, secrets, toxicity, url_rules
+from candlewick.llm import decontamination, ngram_join, packing, quality_rules, secrets, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,10 +44,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op8_url_filters": op8_url_filters,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_join": op3_ngram_join,
     "op4_decontamination": op4_decontamination,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
@@ -57,6 +62,19 @@ QUERIES: dict[str, Query] = {
 _SQL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 ORACLES: dict[str, str] = {
+    "op3_ngram_join": r"""
+        WITH RECURSIVE d AS (
+          SELECT row_number() OVER () AS rid, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+          FROM documents),
+        s AS (SELECT DISTINCT rid, array_to_string(ws[i : i + m - 1], ' ') AS shingle
+              FROM (SELECT rid, ws, least(len(ws), 5) AS m, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS i FROM d WHERE len(ws) > 0)),
+        n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+        both AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+        link AS (SELECT a, b FROM both JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        reach(rid, other) AS (SELECT rid, rid FROM d UNION SELECT reach.rid, link.b FROM reach JOIN link ON link.a = reach.other),
+        comp AS (SELECT reach.rid, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.rid = reach.other GROUP BY reach.rid)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN comp USING (rid) LEFT JOIN n USING (rid)""",
     "op4_decontamination": r"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, """ + _SQL_WORDS + r""" AS ws FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item, """ + _SQL_WORDS + r""" AS ws FROM benchmark WHERE item_id IS NOT NULL),
