@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import decontamination, ngram_join, packing, quality_rules, secrets, toxicity, url_rules
+from candlewick.llm import decontamination, ngram_join, packing, quality_rules, secrets, toxicity, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,12 +48,17 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op8_url_filters": op8_url_filters,
     "op2_toxicity": op2_toxicity,
     "op3_ngram_join": op3_ngram_join,
     "op4_decontamination": op4_decontamination,
+    "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
 }
@@ -70,8 +75,8 @@ ORACLES: dict[str, str] = {
         s AS (SELECT DISTINCT rid, array_to_string(ws[i : i + m - 1], ' ') AS shingle
               FROM (SELECT rid, ws, least(len(ws), 5) AS m, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS i FROM d WHERE len(ws) > 0)),
         n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
-        both AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.rid <> b.rid GROUP BY a.rid, b.rid),
-        link AS (SELECT a, b FROM both JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        overlap AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+        link AS (SELECT a, b FROM overlap JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
         reach(rid, other) AS (SELECT rid, rid FROM d UNION SELECT reach.rid, link.b FROM reach JOIN link ON link.a = reach.other),
         comp AS (SELECT reach.rid, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.rid = reach.other GROUP BY reach.rid)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN comp USING (rid) LEFT JOIN n USING (rid)""",
@@ -88,6 +93,13 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM d LEFT JOIN items USING (rid) LEFT JOIN pos USING (rid)""",
+    "op6_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first FROM p)
+        SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+               CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN first END AS refers_to
+        FROM f""",
     "op8_url_filters": r"""
         WITH u AS (
           SELECT page_id,
