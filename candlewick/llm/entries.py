@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import decontamination, ngram_join, packing, quality_rules, secrets, toxicity, url_rules, warc
+from candlewick.llm import decontamination, lm_score, ngram_join, packing, quality_rules, secrets, toxicity, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op8_url_filters": op8_url_filters,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_lm_score": op10_lm_score,
 }
 
 #: Words of a text for decontamination: A-Z lower-cased, runs of digits, letters and all that isn't ASCII.
