@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from candlewick.llm import decontamination, lm_score, ngram_join, packing, quality_rules, secrets, toxicity, url_rules, warc
+from candlewick.llm import chat_format, decontamination, lm_score, ngram_join, packing, quality_rules, secrets, toxicity, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,12 +57,21 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.report(_table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    df = chat_format.preferences(turns, chat_format.neighbours(turns))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")]
+    spans = [chat_format.listed(f"{c}_learned").alias(f"{c}_learned") for c in ("chosen", "rejected")]
+    return df.select("pair_id", "n_prompt", "n_chosen", "n_rejected", *digests, *spans)
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op8_url_filters": op8_url_filters,
     "op2_toxicity": op2_toxicity,
     "op3_ngram_join": op3_ngram_join,
     "op4_decontamination": op4_decontamination,
+    "op5_chat_format": op5_chat_format,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
@@ -98,6 +108,22 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM d LEFT JOIN items USING (rid) LEFT JOIN pos USING (rid)""",
+    "op5_chat_format": r"""
+        WITH t AS (SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        lone AS (SELECT pair_id, min(turn) AS cut FROM (SELECT pair_id, turn, role, text FROM t GROUP BY ALL HAVING count(*) = 1) GROUP BY pair_id),
+        part AS (SELECT t.*, CASE WHEN cut IS NULL OR turn < cut THEN 'p' WHEN side = 0 THEN 'c' ELSE 'r' END AS kind FROM t LEFT JOIN lone USING (pair_id)),
+        turns AS (SELECT DISTINCT pair_id, kind, turn, role, text FROM part),
+        shown AS (SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s FROM turns),
+        placed AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY pair_id, kind ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM shown),
+        whole AS (SELECT pair_id, kind, count(*) AS n, string_agg(s, '' ORDER BY turn, role, text) AS s,
+                         coalesce(string_agg(CASE WHEN role = 'assistant' THEN CAST(CAST(pos + 14 AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(pos + length(s) - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn, role, text), '') AS spans
+                  FROM placed GROUP BY pair_id, kind)
+        SELECT i.pair_id, coalesce(p.n, 0) AS n_prompt, coalesce(c.n, 0) AS n_chosen, coalesce(r.n, 0) AS n_rejected,
+               sha256(coalesce(p.s, '')) AS prompt_sha256, sha256(coalesce(c.s, '')) AS chosen_sha256, sha256(coalesce(r.s, '')) AS rejected_sha256,
+               coalesce(c.spans, '') AS chosen_learned, coalesce(r.spans, '') AS rejected_learned
+        FROM (SELECT DISTINCT pair_id FROM t) i
+        LEFT JOIN whole p ON p.pair_id = i.pair_id AND p.kind = 'p' LEFT JOIN whole c ON c.pair_id = i.pair_id AND c.kind = 'c' LEFT JOIN whole r ON r.pair_id = i.pair_id AND r.kind = 'r'""",
     "op6_warc": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
         f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first FROM p)
