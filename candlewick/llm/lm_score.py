@@ -22,15 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.words import WordHashes, slices, texts
+from candlewick.llm.words import Hasher, Lookup, mix, slices, texts
 from candlewick.session import written
 
-END = np.uint64(xxhash.xxh3_64_intdigest(b""))
+END = mix(np.zeros(1, np.uint64))[0]  # of no bytes
 VOCABULARY, HEAD, DIM = 1023, 1 << 17, 16
 CHUNK_TOKENS = 4_000_000
 NOISE, BATCH, STEP = 64, 4096, 0.05
@@ -42,10 +41,10 @@ def held_out(doc_id: Column) -> Column:
 
 def _tokens(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices with their tokens one after the other, and each text's number of tokens."""
-    hashes, end = WordHashes(), np.array([END])
+    hasher = Hasher()
     for b in slices(batches, rows):
-        each = [hashes.of(t) for t in texts(b)]
-        yield b, np.concatenate([x for h in each for x in (h, end)]), np.array([len(h) + 1 for h in each])
+        h, n = hasher(texts(b))
+        yield b, np.insert(h, np.cumsum(n), END), n + 1
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -72,23 +71,6 @@ def counts(docs: DataFrame) -> DataFrame:
     return written(made.groupBy("h").agg(F.sum("c").alias("c")), "lm-counts")
 
 
-class Lookup:
-    """Places of hashes in a sorted array of distinct hashes, -1 where absent; the top bits give where to look."""
-
-    def __init__(self, keys: np.ndarray, bits: int = 18):
-        self.keys, self.shift = keys, np.uint64(64 - bits)
-        self.start = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
-        self.most = int(np.diff(self.start).max(initial=0))
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int32)
-        at = self.start[(h >> self.shift).astype(np.int64)]
-        for j in range(self.most):
-            k = np.minimum(at + j, len(self.keys) - 1)
-            np.copyto(out, k, where=self.keys[k] == h)
-        return out
-
-
 @dataclass
 class Model:
     """head: sorted hashes of the most frequent tokens, their counts, and their class in the neural model (0: all others)."""

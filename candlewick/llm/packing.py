@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from candlewick.llm.words import slices, texts
+from candlewick.llm.words import Hasher, Lookup, slices, texts
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -34,32 +34,112 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _TOKENIZERS: dict[str, ChunkTokens] = {}
 
 
-class ChunkTokens(dict):
-    """White-space chunk (UTF-8) -> its ids as little-endian 32-bit bytes.
+class ChunkTokens:
+    """Ids of texts, through those of their white-space chunks.
 
-    The vocabulary's pre-tokeniser never joins characters across white space and its normaliser works within a chunk, so a text's ids
-    are those of its chunks, one after the other. `bound` limits memory only.
+    The vocabulary lower-cases, its pre-tokeniser never joins characters across white space, and its normaliser works within a chunk, so
+    a text's ids are those of its chunks (A-Z lower-cased), one after the other. Special tokens are spelt in lower case: texts with "<|"
+    are encoded as a whole. Chunks are hashed together and looked up in two sorted tables, an old one and that of what was learned since;
+    ids lie in one pool. Chunks of letters alone are one pre-token each, so many are encoded as one string and told apart by the tokens
+    that end a word. `bound` limits memory only; two of the chunks it holds share a hash with a chance below 1e-7.
     """
 
-    def __init__(self, path: str, bound: int = 500_000):
+    def __init__(self, path: str, bound: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.bound = Tokenizer.from_file(path), bound
+        self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
+        self.hasher = Hasher()
+        # A mark after letters is a pre-token of its own.
+        self.marks = {m: int(x[0]) for m in ".,!?;:" if len(x := self._alone([m])[0]) == 1}
+        self._forget()
+
+    def _forget(self) -> None:
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.tables, self.pool, self.used = [none, none], np.zeros(1 << 20, np.uint32), 0
+        self.find = [Lookup(none[0]), Lookup(none[0])]
+
+    def _alone(self, chunks: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _words(self, words: list[str], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and each one's number of ids; an id in `marks` follows its word (-1: none)."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):  # a letter that becomes several characters
+            each = self._alone(words)
+            ids, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
+        n, marked = np.diff(stops, prepend=0), marks >= 0
+        return np.insert(ids, stops[marked], marks[marked].astype(np.uint32)), n + marked
+
+    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+        """Adds chunks by their hashes, which are sorted and new."""
+        marks = np.array([self.marks.get(c[-1], -1) for c in chunks])
+        stems = [c[:-1] if m >= 0 else c for c, m in zip(chunks, marks.tolist(), strict=True)]
+        plain = np.array([c.isalpha() for c in stems], bool)
+        size, parts = np.zeros(len(keys), np.int32), []
+        at = np.flatnonzero(plain)
+        for i in range(0, len(at), 2048):
+            part = at[i : i + 2048]
+            ids, size[part] = self._words([stems[k] for k in part.tolist()], marks[part])
+            parts.append(ids)
+        rest = np.flatnonzero(~plain)
+        each = self._alone([chunks[k] for k in rest.tolist()])
+        size[rest] = [len(x) for x in each]
+        parts += each
+        order = np.concatenate([at, rest])
+        start = np.empty(len(keys), np.int64)
+        start[order] = self.used + np.cumsum(size[order]) - size[order]
+        new = np.concatenate(parts)
+        while self.used + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(new)] = new
+        self.used += len(new)
+        self._merge(1, (keys, start, size))
+        if len(self.tables[1][0]) > 20_000 + len(self.tables[0][0]) // 8:
+            self._merge(0, self.tables[1])
+            self.tables[1] = tuple(x[:0] for x in self.tables[1])
+            self.find[1] = Lookup(self.tables[1][0])
+
+    def _merge(self, i: int, more: tuple[np.ndarray, ...]) -> None:
+        every = [np.concatenate(x) for x in zip(self.tables[i], more, strict=True)]
+        order = np.argsort(every[0], kind="stable")
+        self.tables[i] = tuple(x[order] for x in every)
+        self.find[i] = Lookup(self.tables[i][0])
+
+    def _spans(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and number of ids of each hash, and which are unknown."""
+        start, size, lost = np.zeros(len(h), np.int64), np.zeros(len(h), np.int32), np.arange(len(h))
+        for find, (_, starts, sizes) in zip(self.find, self.tables, strict=True):
+            got = find(h[lost])
+            hit = got >= 0
+            start[lost[hit]], size[lost[hit]] = starts[got[hit]], sizes[got[hit]]
+            lost = lost[~hit]
+        return start, size, lost
 
     def of(self, raws: list[bytes | None]) -> list[bytes]:
-        split = [r.split() if r else [] for r in raws]
-        new = list(set().union(*split).difference(self))
-        if len(self) + len(new) > self.bound:
-            self.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        odd = {i: r for i, r in enumerate(raws) if r and b"<|" in r}
+        if odd:
+            whole = self._alone([r.decode("utf-8", "replace") for r in odd.values()])
+            rest = iter(self.of([None if i in odd else r for i, r in enumerate(raws)]))
+            special = {i: x.astype("<u4").tobytes() for i, x in zip(odd, whole, strict=True)}
+            return [special.get(i, x) for i, x in enumerate(rest)]
+        h, n, buf, starts, stops = self.hasher.located(raws)
+        start, size, lost = self._spans(h)
+        if len(lost):
+            keys, first = np.unique(h[lost], return_index=True)
+            if len(self.tables[0][0]) + len(self.tables[1][0]) + len(keys) > self.bound:
+                self._forget()
+                keys, first = np.unique(h, return_index=True)
+                lost = np.arange(len(h))
+            at = lost[first]
+            self._learn(keys, [buf[i:j].lower().decode("utf-8", "replace") for i, j in zip(starts[at].tolist(), stops[at].tolist(), strict=True)])
+            start[lost], size[lost], _ = self._spans(h[lost])
+        ends = np.cumsum(size)
+        ids = self.pool[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4").tobytes()
+        last = np.concatenate([[0], ends])[np.cumsum(n)] * 4
+        return [ids[i:j] for i, j in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
 
 
 def chunk_tokens(path: str | None) -> ChunkTokens:
