@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of steps whose results are written: it acts on what the JVM has collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows of df, cut from their lineage: written as Parquet to the shared folder and read again.
 
@@ -66,4 +73,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table of a frame that written() returned; neither it nor what is derived from it can be read afterwards."""
+    _remove(df.sparkSession, df.scratch)
