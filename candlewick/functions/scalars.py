@@ -65,7 +65,7 @@ def slope_mean(y: str) -> str:
 
 
 def curvature_mean(y: str) -> str:
-    return f"IF(size({y}) < 3, 0D, aggregate(sequence(1, greatest(size({y}) - 2, 1)), 0D, (a, i) -> a + abs({y}[i + 1] - 2 * {y}[i] + {y}[i - 1])) / greatest(size({y}) - 2, 1))"
+    return f"IF(size({y}) < 3, 0D, aggregate(sequence(1, greatest(size({y}) - 2, 1)), 0D, (acc, ix) -> acc + abs({y}[ix + 1] - 2 * {y}[ix] + {y}[ix - 1])) / greatest(size({y}) - 2, 1))"
 
 
 def dtw(a: str, b: str) -> str:

@@ -89,7 +89,7 @@ def _neck(side: str, a: str, b: str) -> str:
 
 def _curve(start: str, stop: str) -> str:
     """(slope, curvature) of the closes of that range over the first one."""
-    seg = f"slice(c, {start} + 1, {stop} - {start} + 1)"
+    seg = f"slice(c, ({start}) + 1, ({stop}) - ({start}) + 1)"
     y = f"transform({seg}, z -> z / IF(c[{start}] = 0, 1D, c[{start}]))"
     return f"transform(array({y}), y -> struct({slope_mean('y')} AS slope_mean, {curvature_mean('y')} AS curvature_mean))[0]"
 
