@@ -164,3 +164,35 @@ ORACLES |= {
         CASE WHEN CAST(volume AS BIGINT) % 2 = 0 THEN volume / 2 ELSE 2 * floor((volume + 1) / 4) END AS half, 'BTC/USDT' AS from_json FROM {H4} WHERE symbol = 'click'""",
     "ohlcv_decode": f"SELECT timestamp, {_R(6, 'open', 'high', 'low', 'close', 'volume')} FROM {H4}",
 }
+
+_P = "(i * (len({v}) - 1) / 31.0)"
+_RESAMPLE = f"CASE WHEN len({{v}}) = 32 THEN {{v}} ELSE [{{v}}[CAST(floor({_P}) AS INTEGER) + 1] + ({_P} - floor({_P})) * ({{v}}[least(CAST(floor({_P}) AS INTEGER) + 2, len({{v}}))] - {{v}}[CAST(floor({_P}) AS INTEGER) + 1]) for i in range(0, 32)] END"
+_DTW = """list_reduce(list_prepend(list_prepend(0.0::DOUBLE, list_resize([]::DOUBLE[], 32, 'inf'::DOUBLE)), list_transform(w, lambda x: [x])),
+    lambda prev, e: list_reduce(list_prepend(['inf'::DOUBLE], list_transform(range(1, 33), lambda j: [CAST(j AS DOUBLE)])),
+    lambda r, j: list_append(r, abs(e[1] - {u}[CAST(j[1] AS INTEGER)]) + least(prev[CAST(j[1] AS INTEGER)], prev[CAST(j[1] AS INTEGER) + 1], r[len(r)]))))[33]"""
+_VALLEY = "[pow(i / 31.0 - 0.5, 2) / (0.25 + 1e-12) for i in range(0, 32)]"
+_CURVE = f"""(WITH s AS (SELECT symbol, timestamp, list(close) OVER ({_W} ROWS BETWEEN 24 PRECEDING AND 24 FOLLOWING) AS seg FROM {H4}),
+    n AS (SELECT symbol, timestamp, [x / seg[1] for x in seg] AS a, [x / seg[greatest(len(seg) - 47, 1)] for x in seg[greatest(len(seg) - 47, 1) : len(seg)]] AS b FROM s),
+    r AS (SELECT symbol, timestamp, {_RESAMPLE.format(v="a")} AS w, {_RESAMPLE.format(v="b")} AS g, {_VALLEY} AS u, [1 / (x + 1e-12) for x in {_VALLEY}] AS v FROM n)
+    SELECT symbol, timestamp, list_sum([abs(g[i + 2] - 2 * g[i + 1] + g[i]) for i in range(1, 31)]) / 30 AS curvature_mean, (g[32] - g[1]) / 31 AS slope_mean,
+        {_DTW.format(u="u")} AS shape_dtw_to_u, {_DTW.format(u="v")} AS shape_dtw_to_invu FROM r)"""
+ORACLES["curve_geometry"] = f"SELECT symbol, timestamp, {_R(5, 'curvature_mean', 'slope_mean', 'shape_dtw_to_u', 'shape_dtw_to_invu')} FROM {_CURVE}"
+_CONTEXT = ORACLES["event_context"].partition("SELECT symbol, timestamp, round")[0] + "SELECT symbol, timestamp, atr_pct, vol_z, CASE WHEN atr_pct < 0.01 THEN 0.0 WHEN atr_pct < 0.03 THEN 0.5 ELSE 1.0 END AS level FROM p"
+ORACLES["pattern_embedding"] = f"""WITH hash AS ({ORACLES["pattern_hash"]}),
+    j AS (SELECT b.symbol, b.timestamp, b.pattern_type, b.confidence, n_hot, curvature_mean, slope_mean, shape_dtw_to_u, shape_dtw_to_invu, atr_pct, level, vol_z
+        FROM {_best(H4)} b JOIN {_CURVE} c USING (symbol, timestamp) JOIN ({_CONTEXT}) x USING (symbol, timestamp) JOIN hash USING (pattern_type)),
+    k AS (SELECT *, sqrt(n_hot + curvature_mean ** 2 + slope_mean ** 2 + confidence ** 2 + shape_dtw_to_u ** 2 + shape_dtw_to_invu ** 2 + atr_pct ** 2 + level ** 2 + vol_z ** 2) AS z FROM j)
+    SELECT symbol, timestamp, pattern_type, 64 AS dims, round(n_hot / z, 6) AS hash_part, round((curvature_mean + slope_mean + confidence + shape_dtw_to_u + shape_dtw_to_invu) / z, 6) AS geometry_part,
+        round((atr_pct + level) / z, 6) AS volatility_part, round(vol_z / z, 6) AS feature_part FROM k"""
+
+ORACLES["environment_episode"] = f"""WITH RECURSIVE b AS MATERIALIZED (SELECT symbol, CAST(idx AS INTEGER) AS idx, high, low, close, atr, CASE idx % 7 WHEN 0 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS action FROM {_atr(H1)} WHERE idx BETWEEN 40 AND 159),
+    f(symbol, idx, cash, qty, sl, tp, equity, before) AS (SELECT DISTINCT symbol, 39, 10000.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 10000.0::DOUBLE, 10000.0::DOUBLE FROM b
+    UNION ALL SELECT b.symbol, b.idx, t.cash, t.qty, t.sl, t.tp, t.cash + t.qty * b.close, f.equity FROM f JOIN b ON b.symbol = f.symbol AND b.idx = f.idx + 1,
+        LATERAL (SELECT CASE WHEN f.qty > 0 THEN CASE WHEN b.low <= f.sl THEN f.sl WHEN b.high >= f.tp THEN f.tp END END AS hit) h,
+        LATERAL (SELECT CASE WHEN hit IS NULL THEN f.cash ELSE f.cash + f.qty * hit * 0.9995 * 0.999 END AS c1, CASE WHEN hit IS NULL THEN f.qty ELSE 0 END AS q1, b.close * 1.0005 AS entry) k,
+        LATERAL (SELECT least(c1 * 0.01 / (1.5 * b.atr), c1 / entry) AS size) z,
+        LATERAL (SELECT q1 = 0 AND b.action = 1 AND b.atr > 0 AND size > 0 AND size * entry * 1.001 <= c1 AS enters, q1 > 0 AND hit IS NULL AND b.action = 2 AS leaves) d,
+        LATERAL (SELECT CASE WHEN enters THEN c1 - size * entry * 1.001 WHEN leaves THEN c1 + q1 * b.close * 0.9995 * 0.999 ELSE c1 END AS cash, CASE WHEN enters THEN size WHEN leaves THEN 0 ELSE q1 END AS qty,
+            CASE WHEN enters THEN entry - 1.5 * b.atr ELSE f.sl END AS sl, CASE WHEN enters THEN entry + 2.0 * b.atr ELSE f.tp END AS tp) t
+    WHERE f.equity > 9000)
+    SELECT symbol, idx, round(equity, 4) AS equity, round(cash, 4) AS cash, qty > 0 AS held, round((equity - before) / 10000.0, 4) AS reward FROM f WHERE idx >= 40"""
