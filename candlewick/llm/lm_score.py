@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.words import Hasher, Lookup, mix, slices, texts
+from candlewick.llm.words import Hasher, Lookup, lean_arrow, mix, slices, texts
 from candlewick.session import written
 
 END = mix(np.zeros(1, np.uint64))[0]  # of no bytes
@@ -252,6 +252,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
 def report(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """One row per document: fold, tokens, known tokens, the base's and the model's log10 probability of the text."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    lean_arrow(docs.sparkSession)
     learn = docs.where(~held_out(F.col("doc_id")))
     table = counts(learn)
     model = train(learn, start_model(table), rounds)

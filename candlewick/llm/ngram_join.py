@@ -10,8 +10,11 @@ order used puts shingles of many documents last, so that passages many documents
 3. write the sets' digests and the shared part of their prefixes. Equal sets are one node from here on;
 4. star: every node is a candidate of one hub per shingle, the node with the fewest rare shingles. Candidates whose sizes allow it are
    verified by the product of their incidence rows, in blocks; the links give preliminary components;
-5. rest: where a shingle's nodes still lie in different components, their pairs accumulate overlap counts over the prefix, pairs that
-   can't reach the bound (count so far and what is left of the smaller set) are discarded, and the others are verified.
+5. rest: where the nodes of a shingle still lie in different components, their pairs accumulate overlap counts over the prefix; those
+   that can't reach the bound (count so far and what is left of the smaller set) are discarded, and the others are verified. Where many
+   nodes share a shingle, all nodes that such shingles connect are multiplied in blocks, and only links leave a block.
+
+Candidates of both kinds first pass a bound by bins: the sum over a few hundred bins of shingles of the smaller of both counts.
 
 A pair is left out only if it can't link or its ends are connected already, so the components are those of all links.
 Sets and nodes are known by 64-bit digests: two different ones of n meet with a chance of n^2 / 2^65.
@@ -23,7 +26,7 @@ columns are not read (keep_one() keeps them).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.components import components
-from candlewick.llm.words import WordHashes, shingle_set, slices, texts
-from candlewick.session import written
+from candlewick.llm.words import Hasher, lean_arrow, shingle_sets, slices, texts
+from candlewick.session import discard, release, written
 
 WORDS = 5
 #: The shared-shingle map has 2^26 bits, the list of hot shingles at most so many entries: what is broadcast doesn't grow with the input.
 MAP_WORDS = 1 << 20
 HOT_ENTRIES = 1_000_000
+BINS = 256
 LEAST_SET = 3  # smaller sets link with equal ones alone
 
 
@@ -71,9 +75,9 @@ def signature(shingles: np.ndarray) -> int:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    hashes = WordHashes()
-    for b in slices(batches):
-        yield b, [shingle_set(hashes.of(t), WORDS) for t in texts(b)]
+    hasher = Hasher()
+    for b in slices(batches, 128):
+        yield b, shingle_sets(*hasher(texts(b)), WORDS)
 
 
 def _prefix_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -114,13 +118,13 @@ def _written_sets(docs: DataFrame, hot: np.ndarray, shared: np.ndarray) -> DataF
     """doc_id, sig, n of every row; rare, and the shared prefix shingles with their places, of the first row with that set in a task."""
     held = docs.sparkSession.sparkContext.broadcast((hot, shared))
     longs = pa.list_(pa.int64())
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("rare", pa.int64()), ("pre", longs), ("at", longs)])
+    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("rare", pa.int64()), ("pre", longs), ("at", longs), ("bins", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, bits, seen = Order(held.value[0]), held.value[1], set()
         for b, sets in _sets(batches):
             sig = np.array([signature(x) for x in sets], np.uint64)
-            pre, at, rare = [], [], []
+            pre, at, rare, bins = [], [], [], []
             for s, x in zip(sig.tolist(), sets, strict=True):
                 found = None
                 if len(x) >= LEAST_SET and s not in seen:
@@ -130,13 +134,15 @@ def _written_sets(docs: DataFrame, hot: np.ndarray, shared: np.ndarray) -> DataF
                     keep = np.flatnonzero((bits[((p >> np.uint64(6)) & np.uint64(MAP_WORDS - 1)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1))
                     found = p[keep].view(np.int64) if len(keep) else None
                 pre.append(found)
+                bins.append(None if found is None else np.bincount((x & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32).tobytes())
                 at.append(None if found is None else keep)
                 rare.append(0 if found is None else few)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(sig.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(rare, pa.int64()), pa.array(pre, longs), pa.array(at, longs)], schema=schema
+                [b.column("doc_id").cast(pa.int64()), pa.array(sig.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(rare, pa.int64()), pa.array(pre, longs), pa.array(at, longs), pa.array(bins, pa.binary())],
+                schema=schema,
             )
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig long, n long, rare long, pre array<long>, at array<long>"), "join-sets")
+    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig long, n long, rare long, pre array<long>, at array<long>, bins binary"), "join-sets")
 
 
 def _needed_sets(docs: DataFrame, table: DataFrame, nodes: DataFrame, few: int = 1_000_000) -> DataFrame:
@@ -155,7 +161,9 @@ def _needed_sets(docs: DataFrame, table: DataFrame, nodes: DataFrame, few: int =
             yield pa.RecordBatch.from_arrays([pa.array(np.array([*sets], np.uint64).view(np.int64)), pa.array([x.view(np.int64) for x in sets.values()], pa.list_(pa.int64()))], schema=schema)
 
     made = texts_.select("text").mapInArrow(run, "sig long, shingles array<long>")
-    return written(made.join(small(reps.select("sig")), "sig", "left_semi").dropDuplicates(["sig"]), "join-shingles")
+    made = written(made.join(small(reps.select("sig")), "sig", "left_semi"), "join-shingles")
+    again = made.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # where a doc_id is that of several rows
+    return written(made.dropDuplicates(["sig"]), "join-shingles") if again.limit(1).count() else made
 
 
 def _overlaps(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -171,6 +179,7 @@ def _overlaps(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 def _links(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the candidate pairs (a, b) that link."""
+    candidates = F.broadcast(candidates) if candidates.limit(500_001).count() <= 500_000 else candidates
     df = candidates.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -187,43 +196,151 @@ def _links(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     return written(df.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "join-links")
 
 
+def _possible(candidates: DataFrame, table: DataFrame) -> DataFrame:
+    """The candidate pairs that may link by how many shingles of either set fall into each of a few hundred bins."""
+    small = F.broadcast if candidates.limit(500_001).count() <= 500_000 else (lambda df: df)
+    nodes = candidates.select(F.col("a").alias("sig")).union(candidates.select("b")).distinct()
+    bins = table.where("bins IS NOT NULL").select("sig", "bins").join(small(nodes), "sig", "left_semi").dropDuplicates(["sig"])
+    df = small(candidates).join(bins.select(F.col("sig").alias("a"), F.col("bins").alias("x")), "a").join(bins.select(F.col("sig").alias("b"), F.col("bins").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1024):
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.int32).reshape(-1, BINS) for c in ("x", "y"))
+            yield b.select(["a", "b"]).filter(pa.array(7 * np.minimum(x, y).sum(1) >= 3 * (x.sum(1) + y.sum(1))))
+
+    return written(df.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "join-possible")
+
+
 _SIZES = "4 * least(n, n2) >= 3 * greatest(n, n2)"
 
 
+#: c of the overlap is counted, and at most what follows the last counted shingle is left of either set.
+_REACH = "7 * (c + least(n - 1 - i, n2 - 1 - j)) >= 3 * (n + n2)"
+
+
 def _star(postings: DataFrame) -> DataFrame:
-    """Each node with the hub of each of its shingles."""
-    hubs = postings.groupBy("s").agg(F.min(F.struct("rare", "sig", "n")).alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    hubs = written(hubs.select("s", F.col("hub.sig").alias("b"), F.col("hub.n").alias("n2")), "join-hubs")
-    return written(postings.join(hubs, "s").where(F.col("sig") != F.col("b")).where(_SIZES).select(F.col("sig").alias("a"), "b").distinct(), "join-star")
-
-
-def _rest(postings: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs with a common prefix shingle that aren't connected yet and may still reach the bound."""
-    mine = postings.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    mine = written(mine, "join-rooted")
-    mixed = mine.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
-    mine = written(mine.join(written(mixed, "join-mixed"), "s", "left_semi").distinct(), "join-open")
+    """Each node with the hubs of its shingles, if the hub's shingles alone let the pair reach the bound."""
+    hubs = postings.groupBy("s").agg(F.min(F.struct("rare", "sig", "n", "at")).alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    hubs = written(hubs.select("s", F.col("hub.sig").alias("b"), F.col("hub.n").alias("n2"), F.col("hub.at").alias("at2")), "join-hubs")
+    pairs = postings.join(hubs, "s").where(F.col("sig") != F.col("b")).where(_SIZES)
+    counted = pairs.groupBy(F.col("sig").alias("a"), "b", "n", "n2").agg(F.count(F.lit(1)).alias("c"), F.max("at").alias("i"), F.max("at2").alias("j"))
+    return written(counted.where(_REACH).select("a", "b"), "join-star")
+
+
+def _open(rooted: DataFrame) -> DataFrame:
+    """The postings of shingles whose nodes lie in different components, with the number of these nodes."""
+    mixed = rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("df")).where("low < high").select("s", "df")
+    return written(rooted.drop("df").join(written(mixed, "join-mixed"), "s"), "join-open")
+
+
+def _pairs(mine: DataFrame) -> DataFrame:
+    """Pairs of nodes with a common shingle and different roots, once per shingle."""
     other = mine.select("s", F.col("sig").alias("b"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
-    pairs = mine.join(other, "s").where((F.col("root") != F.col("root2")) & (F.col("sig") > F.col("b"))).where(_SIZES)
-    counted = pairs.groupBy(F.col("sig").alias("a"), "b", "n", "n2").agg(F.count_distinct("s").alias("c"), F.max("at").alias("i"), F.max("at2").alias("j"))
-    reach = counted.where("7 * (c + least(n - 1 - i, n2 - 1 - j)) >= 3 * (n + n2)").select("a", "b")
+    both = mine.join(other, "s").where((F.col("root") != F.col("root2")) & (F.col("sig") > F.col("b"))).where(_SIZES)
+    return both.select(F.col("sig").alias("a"), "b", "n", "n2", "at", "at2")
+
+
+def _product(x: list[np.ndarray], y: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Overlap counts of two blocks of sets, accumulated over column blocks of their incidence matrices; columns of one set are left out."""
+    flat = np.concatenate([*x, *y])
+    row = np.repeat(np.arange(len(x) + len(y)), [len(v) for v in (*x, *y)])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    keep = count[column] > 1
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    stops = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
+    for k, (i, j) in enumerate(zip(stops, stops[1:], strict=False)):
+        part = np.zeros((len(x) + len(y), width), np.float32)
+        part[row[i:j], column[i:j] - k * width] = 1
+        out += part[: len(x)] @ part[len(x) :].T
+    return out
+
+
+def _block_links(group: pa.Table) -> pa.Table:
+    """Of the nodes of one or two blocks, links that connect what all their links connect."""
+    sig, root, block = (group.column(c).to_numpy() for c in ("sig", "root", "block"))
+    held = group.column("shingles").combine_chunks()
+    sets = np.split(held.flatten().to_numpy(), np.cumsum(held.value_lengths().to_numpy())[:-1])
+    first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    n = np.array([len(v) for v in sets])
+    both = _product([sets[i] for i in first], [sets[i] for i in second])
+    a, b = np.nonzero((7 * both >= 3 * (n[first][:, None] + n[second][None, :])) & (root[first][:, None] != root[second][None, :]))
+    a, b = first[a], second[b]
+    label = np.arange(len(sig))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = np.minimum(low, low[low])
+        if (low == label).all():
+            break
+        label = low
+    moved = np.flatnonzero(label != np.arange(len(sig)))
+    return pa.table({"a": pa.array(sig[moved], pa.int64()), "b": pa.array(sig[label[moved]], pa.int64())})
+
+
+def _blocks(many: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """Links among nodes of shingles that many share, by products of blocks of at most about `size` sets.
+
+    Nodes that such shingles connect are a family; each two blocks of a family meet in one task. Only links leave it, at most one a node.
+    """
+    least = many.groupBy("s").agg(F.min("sig").alias("m"))
+    families = components(many.join(written(least, "join-least"), "s").select(F.col("sig").alias("a"), F.col("m").alias("b")).distinct())
+    nodes = many.select("sig", "root").distinct().join(families.select(F.col("node").alias("sig"), F.col("root").alias("family")), "sig")
+    nodes = written(nodes, "join-family")
+    blocks = written(nodes.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")), "join-blocks")
+    placed = nodes.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    placed = placed.join(sets, "sig").select("sig", "root", "family", "block", "shingles", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    keyed = placed.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return written(keyed.groupBy("family", "i", "j").applyInArrow(_block_links, "a long, b long"), "join-block-links")
+
+
+def _rest(postings: DataFrame, done: DataFrame, wanted: Callable[[DataFrame], DataFrame], linked: Callable[[DataFrame], DataFrame], large: int = 48, block: int = 512) -> DataFrame:
+    """Links between nodes with a common prefix shingle that aren't connected yet.
+
+    postings have a root; wanted(nodes) gives the nodes' sets, linked(pairs) those that link. Where at most `large` nodes share a shingle,
+    their pairs are counted and bounded; the others' would be many, and never leave their tasks.
+    """
+    mine = _open(postings)
+    many = mine.where(F.col("df") > large)
+    counted = _pairs(mine.where(F.col("df") <= large)).groupBy("a", "b", "n", "n2").agg(F.count(F.lit(1)).alias("c"), F.max("at").alias("i"), F.max("at2").alias("j"))
     known = done.union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return written(reach.join(known, ["a", "b"], "left_anti"), "join-rest")
+    links = linked(written(counted.where(_REACH).select("a", "b").join(known, ["a", "b"], "left_anti"), "join-rest"))
+    if many.limit(1).count():
+        sets = wanted(many.select("sig").distinct())
+        links = links.union(_blocks(many, sets, block))
+    return links
 
 
 def classes(docs: DataFrame, hot: int = 24) -> DataFrame:
     """doc_id, n_shingles, component_id and sig (the set's digest) of every row of docs (doc_id, text)."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    lean_arrow(docs.sparkSession)
     late = _hot(docs, hot)
-    table = _written_sets(docs, late, _shared(docs, late))
+    release(docs.sparkSession)
+    shared = _shared(docs, late)
+    release(docs.sparkSession)
+    table = _written_sets(docs, late, shared)
     postings = table.where("pre IS NOT NULL").select("sig", "n", "rare", F.inline(F.arrays_zip("pre", "at"))).withColumnRenamed("pre", "s")
+    # Equal sets come once per task that has them.
+    postings = written(postings.groupBy("s", "sig").agg(F.max("n").alias("n"), F.max("rare").alias("rare"), F.max("at").alias("at")), "join-postings")
+    def linked(candidates: DataFrame) -> DataFrame:
+        left = _possible(candidates, table)
+        sets = _needed_sets(docs, table, left.select(F.col("a").alias("sig")).union(left.select("b")).distinct())
+        found = _links(left, sets)
+        discard(sets)
+        return found
+
     star = _star(postings)
-    sets = _needed_sets(docs, table, star.select(F.col("a").alias("sig")).union(star.select("b")).distinct())
-    links = _links(star, sets)
-    rest = _rest(postings, components(links), star)
-    if rest.limit(1).count():
-        more = _needed_sets(docs, table, rest.select(F.col("a").alias("sig")).union(rest.select("b")).distinct())
-        links = links.union(_links(rest, more))
+    links = linked(star)
+    release(docs.sparkSession)
+    roots = components(links)
+    rooted = postings.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    links = links.union(_rest(written(rooted, "join-rooted"), star, lambda nodes: _needed_sets(docs, table, nodes), linked))
+    release(docs.sparkSession)
     roots = components(links)
     own = table.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
     own = own.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))

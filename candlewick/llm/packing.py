@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from candlewick.llm.words import Hasher, Lookup, slices, texts
+from candlewick.llm.words import Hasher, Lookup, lean_arrow, slices, texts
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -266,6 +266,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window_tokens: int = 1_0
     tokenizer: path of a vocabulary file that the executors can open; by default word_bpe_49k.json of the installed vocabularies.
     with_ids: adds `ids`, the piece's ids as little-endian 32-bit integers.
     """
+    lean_arrow(docs.sparkSession)
     ddl = SCHEMA + (", ids binary" if with_ids else "")
     schema = pa.schema([pa.field(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in ddl.split(", ")])
     run = lambda batches: _rows(batches, tokenizer, window_tokens, schema, with_ids)

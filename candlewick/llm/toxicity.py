@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.words import slices, texts
+from candlewick.llm.words import lean_arrow, slices, texts
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 19, 8, 8, (1, 2, 3)
 PREFIXES = (3, 4, 5, 6)
@@ -51,7 +51,7 @@ class Model:
 class Words(dict):
     """White-space chunk -> number; the buckets of each number are in `table`. `bound` limits memory only."""
 
-    def __init__(self, bound: int = 600_000):
+    def __init__(self, bound: int = 250_000):
         super().__init__()
         self.bound = bound
         self.table = np.zeros((1024, 1 + len(PREFIXES)), np.int32)
@@ -260,6 +260,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_chars:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang and score of every row, each over its whole text."""
+    lean_arrow(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("score", pa.float64())])
 
@@ -288,6 +289,7 @@ def threshold(model: Model, lang: str = "lang") -> Column:
 def keep_clean(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """docs without those that reach their language's threshold; all columns stay. Rows are scored in place, nothing is joined."""
     model = learn(docs, labels, **bounds)
+    lean_arrow(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     default = model.thresholds.get("", THRESHOLD)
 

@@ -6,10 +6,14 @@ slice of texts are found and hashed together, by array operations over its bytes
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=np.uint64)
 #: Of each byte: 0 for white space, else one more than the lower-cased byte.
@@ -119,8 +123,27 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     return batch.column(column).cast(pa.large_binary()).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of few rows, so that what is derived from one slice stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows and about so many bytes of text (a row at least), so that what is derived from one
+    slice stays small. In the end, memory that the worker holds but doesn't use goes back, as the next task may be another operator's."""
+    pa.set_memory_pool(pa.system_memory_pool())
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        if "text" in b.schema.names:
+            upto = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False))
+        else:
+            upto = np.zeros(b.num_rows, np.int64)
+        start = 0
+        while start < b.num_rows:
+            before = upto[start - 1] if start else 0
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(upto, before + most, "right"))))
+            yield b.slice(start, stop - start)
+            start = stop
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean_arrow(spark: SparkSession, rows: int = 2000) -> None:
+    """Sends at most so many rows at once to Python workers: rows hold whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
