@@ -33,8 +33,12 @@ def time_split(rows: DataFrame, ts: str = "timestamp", share: float = 0.8, embar
     """Adds split: val from the row at `share` on, train up to a day before its time, null between."""
     n = F.count(F.lit(1))
     counted = rows.agg(n.alias("n")).select(F.least(F.greatest(F.floor(F.col("n") * share), F.lit(1)), F.col("n") - 1).alias("k"))
-    placed = rows.select(F.col(ts).alias("t")).groupBy("t").agg(n.alias("c")).withColumn("upto", F.sum("c").over(W.orderBy("t").rowsBetween(W.unboundedPreceding, 0)))
-    start = placed.crossJoin(F.broadcast(counted)).where("upto > k").agg(F.min("t").alias("val_start"))  # a single row
+    before = lambda key: F.coalesce(F.sum("c").over(W.orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # The day of the row first, from one count per day, then the time within that day: no window ever sees more than that.
+    days = rows.groupBy(F.floor(F.col(ts) / DAY).alias("d")).agg(n.alias("c")).withColumn("b", before("d"))
+    day = days.crossJoin(F.broadcast(counted)).where("b <= k AND k < b + c").select("d", (F.col("k") - F.col("b")).alias("k"))
+    times = rows.select(F.col(ts).alias("t"), F.floor(F.col(ts) / DAY).alias("d")).join(F.broadcast(day), "d").groupBy("t", "k").agg(n.alias("c")).withColumn("b", before("t"))
+    start = times.where("b <= k AND k < b + c").agg(F.min("t").alias("val_start"))  # a single row
     df = rows.crossJoin(F.broadcast(start))
     return df.withColumn("split", F.when(F.col(ts) >= F.col("val_start"), "val").when(F.col(ts) <= F.col("val_start") - embargo, "train")).drop("val_start")
 
@@ -42,7 +46,11 @@ def time_split(rows: DataFrame, ts: str = "timestamp", share: float = 0.8, embar
 def classification_scores(rows: DataFrame, label: str = "y", p: str = "p") -> DataFrame:
     """n, accuracy at 0.5 and the area under the ROC curve (null with one class), by average ranks of equal predictions."""
     by_p = rows.groupBy(p).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos"), F.count_if((F.col(p) >= 0.5).cast("int") == F.col(label)).alias("right"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(p).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # Ranks start from counts of ten thousand bins; only predictions of one bin are ordered together.
+    by_p = by_p.withColumn("bin", F.floor(F.col(p) * 10_000))
+    bins = by_p.groupBy("bin").agg(F.sum("n").alias("c")).withColumn("b", F.coalesce(F.sum("c").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = F.col("b") + F.coalesce(F.sum("n").over(W.partitionBy("bin").orderBy(p).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    by_p = by_p.join(bins.select("bin", "b"), "bin")
     r = by_p.withColumn("rank", before + (F.col("n") + 1) / 2).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum("right").alias("right"), F.sum(F.col("rank") * F.col("pos")).alias("ranks"))
     neg = F.col("n") - F.col("pos")
     return r.select("n", (F.col("right") / F.col("n")).alias("accuracy"), F.when((F.col("pos") > 0) & (neg > 0), (F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg)).alias("auc"))
