@@ -390,3 +390,33 @@ def ohlcv_decode(spark: SparkSession, d: str) -> DataFrame:
     """Candles as JSON arrays of strings, decoded."""
     raw = _h4(spark, d).select(F.to_json(F.array(*[F.col(c).cast("string") for c in ("timestamp", "open", "high", "low", "close", "volume")])).alias("payload"))
     return _rounded(candles.validated(candles.decoded(raw, "payload", "local", "ALL", "4h"), strict=True).select("timestamp", "open", "high", "low", "close", "volume"))
+
+
+def _chart_series(spark: SparkSession, d: str) -> DataFrame:
+    return chart.with_pivots(chart.segments(candles.daily(spark, d)))
+
+
+@query
+def chart_swings(spark: SparkSession, d: str) -> DataFrame:
+    """H3-H8, J6-J8 on daily series."""
+    return _rounded(chart.swings(_chart_series(spark, d)).select("symbol", "timestamp", "pattern_type", "direction", "confidence", "neckline"))
+
+
+@query
+def chart_last_pivots(spark: SparkSession, d: str) -> DataFrame:
+    """H9-H14, H18."""
+    return chart.by_last_pivots(_chart_series(spark, d)).select("symbol", "timestamp", "pattern_type", "direction", "confidence")
+
+
+@query
+def chart_last_candles(spark: SparkSession, d: str) -> DataFrame:
+    """H15-H17, H20-H24, A7, on daily and hourly series."""
+    both = candles.daily(spark, d).unionByName(candles.from_events(spark, d, "1h"))
+    return chart.by_last_candles(chart.segments(both)).select("symbol", "timestamp", "pattern_type", "direction", "confidence")
+
+
+@query
+def chart_retests(spark: SparkSession, d: str) -> DataFrame:
+    """H19, with prices drawn together so that ranges are narrow, and a rise so that they are broken."""
+    calm = candles.from_events(spark, d, "1h").select("exchange", "symbol", "timeframe", "timestamp", *[(F.col(c) / 2000 + 100 + F.col("timestamp") % 2592000000 / 720000000).alias(c) for c in ("open", "high", "low", "close")], "volume")
+    return chart.retests(chart.segments(calm)).select("symbol", "timestamp", "pattern_type", "direction", "confidence")
