@@ -20,17 +20,24 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     node has very many links. The number of steps grows with the logarithm of the longest chain. Null ends are ignored.
     """
     edges = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc-edges")
-    before = None
-    for _ in range(rounds):
+    before, n = None, edges.count()
+
+    def table(df: DataFrame, label: str) -> DataFrame:
+        """Written by no more tasks than the rows call for."""
+        tasks = 4 + n // 100_000
+        return written(df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df, label)
+
+    for _ in range(rounds if n else 0):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(_least(both), "cc-least")
+        least = table(_least(both), "cc-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "cc-large")
-        least = written(_least(large), "cc-least")
+        large = table(large, "cc-large")
+        least = table(_least(large), "cc-least")
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "cc-edges")
+        edges = table(small, "cc-edges")
         state = tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first())
+        n = state[0]
         if state == before:
             break
         before = state

@@ -42,7 +42,7 @@ def held_out(doc_id: Column) -> Column:
 def _tokens(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices with their tokens one after the other, and each text's number of tokens."""
     hasher = Hasher()
-    for b in slices(batches, rows):
+    for b in slices(batches, rows, 1 << 20):
         h, n = hasher(texts(b))
         yield b, np.insert(h, np.cumsum(n), END), n + 1
 

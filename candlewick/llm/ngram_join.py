@@ -76,7 +76,7 @@ def signature(shingles: np.ndarray) -> int:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     hasher = Hasher()
-    for b in slices(batches, 128):
+    for b in slices(batches, 128, 1 << 19):
         yield b, shingle_sets(*hasher(texts(b)), WORDS)
 
 

@@ -44,7 +44,7 @@ class ChunkTokens:
     that end a word. `bound` limits memory only; two of the chunks it holds share a hash with a chance below 1e-7.
     """
 
-    def __init__(self, path: str, bound: int = 2_000_000):
+    def __init__(self, path: str, bound: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -248,7 +248,7 @@ def _rows(batches: Iterable[pa.RecordBatch], path: str | None, window_tokens: in
         if columns[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    for b in slices(batches):
+    for b in slices(batches, 128, 1 << 19):
         for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokens.of(texts(b)), strict=True):
             packer.add((doc_id, ids + end), len(ids) // 4 + 1)
             held += len(ids) // 4 + 1

@@ -51,7 +51,7 @@ class Model:
 class Words(dict):
     """White-space chunk -> number; the buckets of each number are in `table`. `bound` limits memory only."""
 
-    def __init__(self, bound: int = 250_000):
+    def __init__(self, bound: int = 200_000):
         super().__init__()
         self.bound = bound
         self.table = np.zeros((1024, 1 + len(PREFIXES)), np.int32)
@@ -99,8 +99,12 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.words = model, Words()
         self.known = np.zeros((0, DIM), np.float32)
-        self.dense = np.zeros((BUCKETS, DIM), np.float32)
-        self.dense[model.rows] = model.emb
+        self.rows, self.emb = np.append(model.rows, BUCKETS), np.concatenate([model.emb, np.zeros((1, DIM), np.float32)])
+
+    def embedded(self, buckets: np.ndarray) -> np.ndarray:
+        """Sums of the buckets' rows, which are zero where the model has none."""
+        at = np.searchsorted(self.rows, buckets)
+        return self.emb[np.where(self.rows[at] == buckets, at, len(self.rows) - 1)].sum(1)
 
     def logits(self, raws: list[bytes | None]) -> np.ndarray:
         m = self.model
@@ -111,7 +115,7 @@ class Scorer:
         if n < len(self.known):
             self.known = self.known[:0]
         if n > len(self.known):
-            new = self.dense[self.words.table[len(self.known) : n]].sum(1)
+            new = self.embedded(self.words.table[len(self.known) : n])
             self.known = np.concatenate([self.known, new])
         flat, starts, ok = _laid_out(docs)
         x = self.known[flat] if n else np.zeros((len(flat), DIM), np.float32)
@@ -266,7 +270,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for b in slices(batches, 96):
+        for b in slices(batches, 96, 1 << 19):
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("lang").cast(pa.string()), pa.array(scorer.scores(texts(b)))], schema=schema)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, lang string, score double")
@@ -295,7 +299,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for b in slices(batches, 96):
+        for b in slices(batches, 96, 1 << 19):
             limits = np.array([held.value.thresholds.get(la or "", default) for la in b.column("lang").to_pylist()])
             yield b.filter(pa.array(scorer.scores(texts(b)) < limits))
 

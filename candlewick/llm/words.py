@@ -142,7 +142,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most: int = 1 <<
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def lean_arrow(spark: SparkSession, rows: int = 2000) -> None:
+def lean_arrow(spark: SparkSession, rows: int = 500) -> None:
     """Sends at most so many rows at once to Python workers: rows hold whole texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
