@@ -3,9 +3,11 @@
 Words are lower-cased A-Z; every text ends with one end token. Counts are taken over all training texts. The neural model predicts the
 `VOCABULARY` most frequent tokens and one class for all others from the two tokens before (the end token before a text's first):
 r = q[w1] C1 + q[w2] C2 and the score of w is r . v[w] + b[w]. It is trained in numpy on all tokens of all training texts: each task goes
-through its texts once by minibatches, against noise drawn from the unigram distribution, and the tasks' parameters are averaged by their
-tokens, in two levels. The normaliser of every pair of context tokens is computed once, by matrix products over the whole vocabulary, so
-token probabilities are normalised. Within the class of all others, a token has its share of the smoothed counts.
+through its texts once by minibatches, against noise drawn from the unigram distribution, and the tasks' parameters (and AdaGrad's sums)
+are averaged by their tokens, in two levels; this is done `ROUNDS` times, each from the last one's mean. Small partitions are put together
+to tasks of `TASK_TOKENS`, and batches are smaller where a task has few tokens, so steps don't get fewer as partitions multiply. The
+normaliser of every pair of context tokens is computed once, by matrix products over the whole vocabulary, so token probabilities are
+normalised. Within the class of all others, a token has its share of the smoothed counts.
 
 What is broadcast has a fixed size: the counts of the `HEAD` most frequent tokens, the parameters and the normalisers. Counts of all
 other tokens meet their texts in an equi-join, in which no key is frequent.
@@ -33,6 +35,9 @@ END = mix(np.zeros(1, np.uint64))[0]  # of no bytes
 VOCABULARY, HEAD, DIM = 1023, 1 << 17, 16
 CHUNK_TOKENS = 4_000_000
 NOISE, BATCH, STEP = 64, 4096, 0.05
+ROUNDS, TASK_TOKENS, TASK_STEPS, LEAST_BATCH = 4, 1 << 20, 256, 128
+#: Where AdaGrad's sums of squares start: below the square of a batch's mean gradient, so that the step size is the gradient's own.
+SUMS = 1e-6
 
 
 def held_out(doc_id: Column) -> Column:
@@ -127,9 +132,9 @@ def _contexts(classes: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndar
 class Trainer:
     """Noise-contrastive estimation with AdaGrad steps."""
 
-    def __init__(self, params: list[np.ndarray], shares: np.ndarray, seed: int):
+    def __init__(self, params: list[np.ndarray], sums: list[np.ndarray], shares: np.ndarray, seed: int):
         self.p, self.log_noise = [x.copy() for x in params], np.log(NOISE * shares)
-        self.s = [np.full(x.shape, 0.1, np.float32) for x in params]
+        self.s = [x.copy() for x in sums]
         self.cut, self.rng = np.cumsum(shares), np.random.default_rng(seed)
 
     def _add(self, i: int, rows: np.ndarray, change: np.ndarray) -> np.ndarray:
@@ -153,32 +158,35 @@ class Trainer:
             p -= STEP * g / np.sqrt(s)
 
 
-def train(docs: DataFrame, model: Model, rounds: int = 1) -> Model:
+def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     """The model with parameters learned from all tokens of the texts, and its normalisers."""
     if not model.total:
         return model
     spark = docs.sparkSession
-    shapes = [p.shape for p in model.params]
+    shapes = [p.shape for p in model.params] * 2
+    sums = [np.full(p.shape, SUMS, np.float32) for p in model.params]
     schema = pa.schema([("slot", pa.int64()), ("n", pa.int64()), ("params", pa.binary())])
-    tasks = max(1, docs.select("text").rdd.getNumPartitions())
+    texts_ = docs.select("text")
+    tasks = max(1, min(texts_.rdd.getNumPartitions(), model.total // TASK_TOKENS))
+    texts_, size = texts_.coalesce(tasks), int(np.clip(model.total // tasks // TASK_STEPS, min(LEAST_BATCH, BATCH), BATCH))
     slots = int(np.ceil(np.sqrt(tasks)))
     for turn in range(rounds):
-        held = spark.sparkContext.broadcast(model)
+        held = spark.sparkContext.broadcast((model, sums))
 
         def run(batches: Iterator[pa.RecordBatch], held: object = held, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            m, number = held.value, TaskContext.get().partitionId()
-            find, trainer, n = Lookup(m.head), Trainer(m.params, m.shares, 1_000 * turn + number), 0
+            (m, before), number = held.value, TaskContext.get().partitionId()
+            find, trainer, n = Lookup(m.head), Trainer(m.params, before, m.shares, 1_000_000 * turn + number), 0
             end = int(m.classes[find(np.array([END]))[0]])
             for _, tokens, sizes in _tokens(batches):
                 at = find(tokens)
                 w = np.where(at < 0, 0, m.classes[at])
                 w1, w2 = _contexts(w, sizes, end)
                 order = trainer.rng.permutation(len(w))
-                for i in range(0, len(w), BATCH):
-                    k = order[i : i + BATCH]
+                for i in range(0, len(w), size):
+                    k = order[i : i + size]
                     trainer.step(w1[k], w2[k], w[k])
                 n += len(w)
-            blob = np.concatenate([p.ravel() for p in trainer.p]).tobytes()
+            blob = np.concatenate([p.ravel() for p in trainer.p + trainer.s]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([number % slots]), pa.array([n]), pa.array([blob], pa.binary())], schema=schema)
 
         def mean(group: pa.Table) -> pa.Table:
@@ -186,11 +194,12 @@ def train(docs: DataFrame, model: Model, rounds: int = 1) -> Model:
             total = sum(np.frombuffer(p, np.float32) * np.float64(k) for p, k in zip(group.column("params").to_pylist(), n, strict=True)) / max(1, n.sum())
             return pa.table([group.column("slot").slice(0, 1), pa.array([int(n.sum())]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], schema=schema)
 
-        done = docs.select("text").mapInArrow(run, "slot long, n long, params binary").where("n > 0").groupBy("slot").applyInArrow(mean, "slot long, n long, params binary").collect()
+        done = texts_.mapInArrow(run, "slot long, n long, params binary").where("n > 0").groupBy("slot").applyInArrow(mean, "slot long, n long, params binary").collect()
         n = np.array([r.n for r in done])
         flat = sum(np.frombuffer(bytes(r.params), np.float32) * np.float64(k) for r, k in zip(done, n, strict=True)) / n.sum()
         stops = np.cumsum([int(np.prod(s)) for s in shapes])
-        params = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(flat, stops[:-1]), shapes, strict=True)]
+        learned = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(flat, stops[:-1]), shapes, strict=True)]
+        params, sums = learned[: len(sums)], learned[len(sums) :]
         model = Model(model.total, model.distinct, model.head, model.head_counts, model.classes, model.shares, params)
     model.log_z = normalisers(model.params)
     return model
@@ -249,7 +258,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     return written(docs.select("doc_id", "text").mapInArrow(run, ddl), "lm-scored")
 
 
-def report(docs: DataFrame, rounds: int = 1) -> DataFrame:
+def report(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: fold, tokens, known tokens, the base's and the model's log10 probability of the text."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     lean_arrow(docs.sparkSession)

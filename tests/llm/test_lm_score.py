@@ -74,3 +74,10 @@ def test_lookup():
     keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))
     find = lm_score.Lookup(keys)
     assert np.array_equal(find(keys), np.arange(len(keys))) and (find(keys + np.uint64(1)) == -1).all()
+
+
+def test_production_parameters_beat_the_base_in_many_small_partitions(spark):
+    df = spark.createDataFrame(_rows(), "doc_id long, text string")
+    for n in (2, 64):
+        tested = lm_score.report(df.repartition(n)).where("held_out").collect()
+        assert sum(r.score - r.base_score for r in tested) > 0.05 * sum(r.n_tokens for r in tested)
