@@ -4,7 +4,8 @@ A word's embedding is the sum of hashed rows: of the word itself and of its firs
 share what their beginnings taught. Filters one, two and three words wide run over the whole text; the maximum over all positions of
 each filter feeds a logistic output. The first embedding number starts as the rows' shrunken log-odds of a toxic document, the rest is
 learned by stochastic gradients, which reach the text through the positions that hold the maxima. Scores are calibrated monotonously to the labelled
-rate, and for each language the threshold with the best F1 on the calibration rows is kept (thresholds judge scores, they don't enter them).
+rate, and for each language the threshold with the best F1 on all labelled rows outside the held-out fold is kept, whatever their number
+and length: their scores are counted by language, label and step of the grid (thresholds judge scores, they don't enter them).
 
 Bound: at most `sample` labelled documents per class, the first by a hash of doc_id, and of these the ones up to `sample_chars`
 characters, are learned from. Every document is scored, over its whole text.
@@ -32,6 +33,8 @@ PREFIXES = (3, 4, 5, 6)
 EDGE = " \t\n.,;:!?\"'()[]{}|*#$%&<>-_/"
 PADS = max(WIDTHS) - 1
 THRESHOLD = 0.3
+GRID = np.linspace(0.1, 0.5, 41)
+BROADCAST_ROWS = 2_000_000
 
 
 @dataclass
@@ -143,7 +146,7 @@ def _log_odds(buckets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(raws: list[bytes], toxic: np.ndarray, langs: list[str], rate: float, steps: int = 32_000, batch: int = 64, step: float = 0.05, seed: int = 0) -> Model:
+def train(raws: list[bytes], toxic: np.ndarray, rate: float, steps: int = 32_000, batch: int = 64, step: float = 0.05, seed: int = 0) -> Model:
     """Half of the rows give the log-odds, the other half the gradients (about `steps` documents are gone through) and the calibration."""
     if not toxic.any() or toxic.all():
         return Model(rate)
@@ -210,8 +213,6 @@ def train(raws: list[bytes], toxic: np.ndarray, langs: list[str], rate: float, s
     scorer = Scorer(model)
     logits = np.concatenate([scorer.logits([raws[i] for i in rest[j : j + 256]]) for j in range(0, len(rest), 256)]).astype(float)
     model.knots = _monotone(logits, toxic[rest], rate)
-    scores = calibrated(logits, model.knots)
-    model.thresholds = {"": THRESHOLD} | {la: t for la in set(langs) if (t := _threshold(scores, toxic[rest], np.array([langs[i] == la for i in rest]))) is not None}
     return model
 
 
@@ -234,14 +235,32 @@ def calibrated(logits: np.ndarray, knots: tuple[np.ndarray, np.ndarray]) -> np.n
     return 0.99 * np.interp(logits, *knots) + 0.01 / (1 + np.exp(-np.clip(logits, -40, 40)))
 
 
-def _threshold(scores: np.ndarray, toxic: np.ndarray, mine: np.ndarray, least: int = 20) -> float | None:
-    """The threshold from 0.1 to 0.5 with the best F1 on the language's rows (the middle one of equals); None with too few toxic ones."""
-    if (toxic & mine).sum() < least:
+def _threshold(toxic: np.ndarray, clean: np.ndarray, least: int = 20) -> float | None:
+    """The threshold of the grid with the best F1 (the middle one of equals), from counts of rows that reach so many of its steps; None with too few toxic ones."""
+    if toxic.sum() < least:
         return None
-    grid = np.linspace(0.1, 0.5, 41)
-    f1 = np.array([2 * (toxic & mine & (scores >= t)).sum() / max(1, (toxic & mine).sum() + (mine & (scores >= t)).sum()) for t in grid])
+    caught, alarms = (np.cumsum(n[::-1])[::-1][1:] for n in (toxic, clean))
+    f1 = 2 * caught / np.maximum(1, toxic.sum() + caught + alarms)
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
-    return float(grid[best[len(best) // 2]])
+    return float(GRID[best[len(best) // 2]])
+
+
+def _thresholds(docs: DataFrame, model: Model) -> dict[str, float]:
+    """By language, from the scores of all rows of docs (text, lang, toxic)."""
+    lean_arrow(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("lang", pa.string()), ("toxic", pa.bool_()), ("step", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for b in slices(batches, 96, 1 << 19):
+            steps = np.searchsorted(GRID, scorer.scores(texts(b)), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("lang").cast(pa.string()), b.column("toxic"), pa.array(steps)], schema=schema)
+
+    counts: dict[str, np.ndarray] = {}
+    for r in docs.mapInArrow(run, "lang string, toxic boolean, step int").groupBy("lang", "toxic", "step").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r.lang, np.zeros((2, len(GRID) + 1), np.int64))[int(r.toxic), r.step] = r.n
+    return {"": THRESHOLD} | {la: t for la, n in counts.items() if (t := _threshold(n[1], n[0])) is not None}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -257,9 +276,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_chars:
         return Model(rate)
     h = F.xxhash64("doc_id")
     wanted = mine.where("toxic = 1").orderBy(h, "doc_id").limit(sample).union(mine.where("toxic <> 1").orderBy(h, "doc_id").limit(sample))
-    text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"), F.coalesce("lang", F.lit("")).alias("lang")).where(F.octet_length("raw") <= sample_chars)
-    rows = sorted((r.doc_id, bytes(r.raw), r.toxic == 1, r.lang) for r in text.join(F.broadcast(wanted), "doc_id").collect())
-    return train([r[1] for r in rows], np.array([r[2] for r in rows], bool), [r[3] for r in rows], rate) if rows else Model(rate)
+    text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")).where(F.octet_length("raw") <= sample_chars)
+    rows = sorted((r.doc_id, bytes(r.raw), r.toxic == 1) for r in text.join(F.broadcast(wanted), "doc_id").collect())
+    model = train([r[1] for r in rows], np.array([r[2] for r in rows], bool), rate) if rows else Model(rate)
+    if model.out is not None:
+        judged = mine.select("doc_id", (F.col("toxic") == 1).alias("toxic"))
+        judged = F.broadcast(judged) if sum(known.values()) <= BROADCAST_ROWS else judged
+        every = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce("lang", F.lit("")).alias("lang")).join(judged, "doc_id")
+        model.thresholds = _thresholds(every.select("text", "lang", "toxic"), model)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

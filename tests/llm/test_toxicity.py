@@ -54,3 +54,20 @@ def test_defined_cases(spark, tables):
     assert len(x.report(odd, labels.selectExpr("doc_id", "cast(null as int) toxic")).collect()) == 3
     assert x.report(docs.limit(0), labels).count() == 0
     assert x.keep_clean(odd, labels.limit(0)).count() == 3
+
+
+def test_thresholds_rest_on_all_labelled_rows(spark, tables):
+    docs, labels = tables
+    noisy = labels.selectExpr("doc_id", "int(if(doc_id % 11 = 3, 1, toxic)) toxic")
+    m = x.learn(docs, noisy, sample=120)
+    label = {r.doc_id: r.toxic for r in noisy.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    rows = [r for r in docs.collect() if r.doc_id in label]
+    scores = x.Scorer(m).scores([r.text.encode() for r in rows])
+    want, grid = {"": 0.3}, np.linspace(0.1, 0.5, 41)
+    for la in ("en", "fr"):
+        mine = np.array([r.lang == la for r in rows])
+        y = np.array([label[r.doc_id] == 1 for r in rows])[mine]
+        f1 = np.array([2 * (y & (scores[mine] >= t)).sum() / (y.sum() + (scores[mine] >= t).sum()) for t in grid])
+        best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+        want[la] = float(grid[best[len(best) // 2]])
+    assert m.thresholds == want
