@@ -1,16 +1,23 @@
 """Language-model scores: a smoothed unigram base, and a log-bilinear neural model trained by noise-contrastive estimation.
 
-Words are lower-cased A-Z; every text ends with one end token. Counts are taken over all training texts. The neural model predicts the
-`VOCABULARY` most frequent tokens and one class for all others from the two tokens before (the end token before a text's first):
-r = q[w1] C1 + q[w2] C2 and the score of w is r . v[w] + b[w]. It is trained in numpy on all tokens of all training texts: each task goes
-through its texts once by minibatches, against noise drawn from the unigram distribution, and the tasks' parameters (and AdaGrad's sums)
-are averaged by their tokens, in two levels; this is done `ROUNDS` times, each from the last one's mean. Small partitions are put together
-to tasks of `TASK_TOKENS`, and batches are smaller where a task has few tokens, so steps don't get fewer as partitions multiply. The
-normaliser of every pair of context tokens is computed once, by matrix products over the whole vocabulary, so token probabilities are
-normalised. Within the class of all others, a token has its share of the smoothed counts.
-
-What is broadcast has a fixed size: the counts of the `HEAD` most frequent tokens, the parameters and the normalisers. Counts of all
-other tokens meet their texts in an equi-join, in which no key is frequent.
+Words are lower-cased A-Z; every text ends with one end token. Counts are taken over all training texts. The neural model predicts each
+token from the two before (the end token before a text's first): r = q(w1) C1 + q(w2) C2. Every token of any corpus has a context vector q
+and an output vector of its own. The `VOCABULARY` most frequent ones have rows of their own in both tables; every other one has the sum of
+two rows, chosen by its hash, of a table that grows with the number of distinct tokens up to `ROWS`. Its output is in two levels:
+
+* which frequent token, or any other one: softmax of r . v[w] + b[w] over all of them;
+* which of the others: the mixture, over `STATES` states k of weights softmax(r A + a), of share(w) exp(o(w)[k]) / Z[k], where share is the
+  token's part of the smoothed counts, and Z[k] the sum over all distinct training tokens and the unseen one (whose o is 0).
+
+Both levels are normalised exactly: the first by matrix products over its whole vocabulary, Z by one pass over the table of counts.
+
+It is trained in numpy on all tokens of all training texts, against noise from the unigram distribution (for the second level, other
+tokens of the texts). The texts are dealt by a hash of id and text to shards of about `SHARD_TOKENS` and sorted by it there, so what is
+learned doesn't depend on how the input is partitioned. Each shard is gone through once by minibatches; the shards' parameters and AdaGrad's
+sums are averaged by their tokens, in levels of at most `FAN`; this is done `ROUNDS` times, each from the last one's mean.
+
+What is broadcast has a fixed bound: the counts of the `HEAD` most frequent tokens, and the parameters. Counts of all other tokens meet
+their texts in an equi-join, in which no key is frequent.
 
 Tokens are known by 64-bit hashes of their bytes. Defined cases: null and empty texts consist of the end token; a null doc_id is in the
 training fold; without training texts the counts are empty and every token is unseen; repeated rows are repeated (and count as often); an
@@ -20,7 +27,7 @@ empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +39,19 @@ from candlewick.llm.words import Hasher, Lookup, lean_arrow, mix, slices, texts
 from candlewick.session import written
 
 END = mix(np.zeros(1, np.uint64))[0]  # of no bytes
-VOCABULARY, HEAD, DIM = 1023, 1 << 17, 16
+VOCABULARY, HEAD, DIM = 255, 1 << 17, 16
+#: Hashed rows for all other tokens at most, and states of their mixture.
+ROWS, STATES = 1 << 16, 16
 CHUNK_TOKENS = 4_000_000
-NOISE, BATCH, STEP = 64, 4096, 0.05
-ROUNDS, TASK_TOKENS, TASK_STEPS, LEAST_BATCH = 4, 1 << 20, 256, 128
+NOISE, OTHERS, BATCH, STEP = 64, 128, 4096, 0.05
+ROUNDS, SHARD_TOKENS, SHARD_STEPS, LEAST_BATCH = 2, 1 << 20, 256, 128
+#: More shards than that would move more parameters than text; beyond, shards grow.
+SHARDS, FAN = 1 << 15, 8
 #: Where AdaGrad's sums of squares start: below the square of a batch's mean gradient, so that the step size is the gradient's own.
 SUMS = 1e-6
+#: The same, and the step, for tables whose rows few tokens of a batch touch. Gradients are those of single tokens there (not their mean),
+#: so a row's first few tokens move it by about STEP / sqrt(SUMS) each, and one token can't be learned by heart.
+ROW_SUMS, ROW_STEP = {0: 10.0, 7: 10.0}, {0: 0.5, 7: 1.0}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -78,7 +92,10 @@ def counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """head: sorted hashes of the most frequent tokens, their counts, and their class in the neural model (0: all others)."""
+    """head: sorted hashes of the most frequent tokens, their counts, and their class in the first level (0: all others).
+
+    params: q, C1, C2, v, b, A, a, o, z; z is log Z once the model is trained.
+    """
 
     total: int
     distinct: int
@@ -87,7 +104,7 @@ class Model:
     classes: np.ndarray
     shares: np.ndarray
     params: list[np.ndarray]
-    log_z: np.ndarray | None = None
+    trained: bool = False
 
     @property
     def base_norm(self) -> float:
@@ -95,11 +112,15 @@ class Model:
 
     @property
     def rest_norm(self) -> float:
-        """log10 of the smoothed counts of all tokens that the neural model has no class for, the unseen one included."""
+        """log10 of the smoothed counts of all tokens that have no class of their own, the unseen one included."""
         mine = self.head_counts[self.classes > 0]
         return float(np.log10(self.total + self.distinct + 1 - (mine.sum() + len(mine))))
 
 
+#: Which parameters are tables of which a batch touches few rows.
+SPARSE = (0, 7)
+
+
 def start_model(table: DataFrame, seed: int = 0) -> Model:
     total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     got = table.orderBy(F.desc("c"), "h").limit(HEAD).toArrow()
@@ -110,151 +131,263 @@ def start_model(table: DataFrame, seed: int = 0) -> Model:
     smooth[0] = total + distinct + 1 - smooth.sum()
     order = np.argsort(h)
     rng = np.random.default_rng(seed)
-    size = len(smooth)
-    q, v = (rng.normal(0, 0.05, (size, DIM)).astype(np.float32) for _ in range(2))
+    size, rows = len(smooth), min(ROWS, 1 << max(4, distinct.bit_length() - 1))
+    draw = lambda spread, *shape: rng.normal(0, spread, shape).astype(np.float32)
     c1, c2 = (np.eye(DIM, dtype=np.float32) * f for f in (0.6, 0.4))
     shares = smooth / smooth.sum()
-    return Model(total, distinct, h[order], c[order], classes[order], shares, [q, c1, c2, v, np.log(shares).astype(np.float32)])
+    params = [draw(0.05, size + rows, DIM), c1, c2, draw(0.05, size, DIM), np.log(shares).astype(np.float32), draw(0.3, DIM, STATES), draw(0, STATES), draw(0.1, rows, STATES), draw(0, STATES)]
+    return Model(total, distinct, h[order], c[order], classes[order], shares, params)
+
+
+def _places(h: np.ndarray, classes: np.ndarray, size: int, rows: int) -> np.ndarray:
+    """The two context rows of each token: its class and row 0, or two of the hashed ones."""
+    mine = np.uint64(rows - 1)
+    near, far = (h & mine).astype(np.int64), ((h >> np.uint64(24)) & mine).astype(np.int64)
+    return np.stack([np.where(classes > 0, classes, near + size), np.where(classes > 0, 0, far + size)])
 
 
-def _contexts(classes: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The class before, and the one before that, within the text; the end token's class outside."""
-    w1, w2 = np.empty_like(classes), np.empty_like(classes)
-    w1[0], w1[1:] = end, classes[:-1]
-    w2[:2], w2[2:] = end, classes[:-2]
+def _before(x: np.ndarray, sizes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every token, what x (a column a token) holds for the one before, and for the one before that; `end` outside the text."""
+    w1, w2 = np.empty_like(x), np.empty_like(x)
+    w1[:, :1], w1[:, 1:] = end, x[:, :-1]
+    w2[:, :2], w2[:, 2:] = end, x[:, :-2]
     firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    w1[firsts] = end
-    w2[firsts] = end
-    w2[(firsts + 1)[sizes > 1]] = end
+    w1[:, firsts] = end
+    w2[:, firsts] = end
+    w2[:, (firsts + 1)[sizes > 1]] = end
     return w1, w2
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(1, keepdims=True))
+    e /= e.sum(1, keepdims=True)
+    return e
+
+
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad steps."""
+    """Noise-contrastive estimation with AdaGrad steps (a sum for each row of the sparse tables)."""
 
     def __init__(self, params: list[np.ndarray], sums: list[np.ndarray], shares: np.ndarray, seed: int):
-        self.p, self.log_noise = [x.copy() for x in params], np.log(NOISE * shares)
+        self.p, self.log_noise = [x.copy() for x in params], np.log(NOISE * shares).astype(np.float32)
         self.s = [x.copy() for x in sums]
         self.cut, self.rng = np.cumsum(shares), np.random.default_rng(seed)
 
-    def _add(self, i: int, rows: np.ndarray, change: np.ndarray) -> np.ndarray:
+    def _dense(self, i: int, rows: np.ndarray, change: np.ndarray) -> np.ndarray:
         flat = (rows[:, None] * change.shape[1] + np.arange(change.shape[1])).ravel()
         return np.bincount(flat, change.ravel(), self.p[i].size).reshape(self.p[i].shape).astype(np.float32)
 
-    def step(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> None:
-        q, c1, c2, v, b = self.p
+    def _sparse(self, i: int, rows: np.ndarray, change: np.ndarray) -> None:
+        order = np.argsort(rows)
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        total, rows = np.add.reduceat(change[order], first, axis=0), rows[first]
+        s = self.s[i]
+        s[rows] += np.einsum("nd,nd->n", total, total) / total.shape[1]
+        self.p[i][rows] -= ROW_STEP[i] * total / np.sqrt(s[rows])[:, None]
+
+    def step(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
+        """w1, w2: context rows; w: class; out: the two output rows of the tokens without a class."""
+        q, c1, c2, v, b, a, a0, o, z = self.p
         noise = np.minimum(np.searchsorted(self.cut, self.rng.random(NOISE)), len(self.cut) - 1)
-        x1, x2 = q[w1], q[w2]
-        r = x1 @ c1 + x2 @ c2
-        seen = 1 / (1 + np.exp(-(np.einsum("nd,nd->n", r, v[w]) + b[w] - self.log_noise[w]))) - 1
-        drawn = 1 / (1 + np.exp(-(r @ v[noise].T + b[noise] - self.log_noise[noise])))
-        seen, drawn = (seen / len(w)).astype(np.float32), (drawn / len(w)).astype(np.float32)
+        x1, x2 = q[w1[0]] + q[w1[1]], q[w2[0]] + q[w2[1]]
+        r, n = x1 @ c1 + x2 @ c2, np.float32(len(w))
+        seen = 1 / (1 + np.exp(self.log_noise[w] - np.einsum("nd,nd->n", r, v[w]) - b[w])) - 1
+        drawn = 1 / (1 + np.exp(self.log_noise[noise] - b[noise] - r @ v[noise].T))
+        seen /= n
+        drawn /= n
         back = seen[:, None] * v[w] + drawn @ v[noise]
-        grad_v = self._add(3, w, seen[:, None] * r) + self._add(3, noise, drawn.T @ r)
-        grad_b = (np.bincount(w, seen, len(b)) + np.bincount(noise, drawn.sum(0), len(b))).astype(np.float32)
-        grad_q = self._add(0, w1, back @ c1.T) + self._add(0, w2, back @ c2.T)
-        for p, s, g in zip(self.p, self.s, (grad_q, x1.T @ back, x2.T @ back, grad_v, grad_b), strict=True):
-            s += g * g
-            p -= STEP * g / np.sqrt(s)
-
-
-def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """The model with parameters learned from all tokens of the texts, and its normalisers."""
+        grads = {
+            3: self._dense(3, w, seen[:, None] * r) + self._dense(3, noise, drawn.T @ r),
+            4: (np.bincount(w, seen, len(b)) + np.bincount(noise, drawn.sum(0), len(b))).astype(np.float32),
+        }
+        rest = np.flatnonzero(w == 0)
+        if len(rest):
+            # In groups, whose tokens are noise for each other: p / p_noise of a token is its mixture sum S, as its share cancels.
+            groups = -(-len(rest) // OTHERS)
+            rest = np.resize(rest, (groups, -(-len(rest) // groups)))  # a few come twice
+            k, flat = max(rest.shape[1] - 1, 1), rest.ravel()
+            rr, mine = r[flat], out[:, flat]
+            weight, e = _softmax(rr @ a + a0), np.exp(o[mine[0]] + o[mine[1]] - z)
+            own = np.einsum("nk,nk->n", weight, e)
+            back_own = (own / (own + k) - 1) / own
+            gw, ge = weight.reshape(*rest.shape, -1), e.reshape(*rest.shape, -1)
+            back_other = 1 / (gw @ ge.transpose(0, 2, 1) + k)
+            back_other[:, np.arange(k + 1)[: rest.shape[1]], np.arange(k + 1)[: rest.shape[1]]] = 0
+            d_weight = back_own[:, None] * e + (back_other @ ge).reshape(e.shape)
+            d_e = e * (weight * back_own[:, None] + (back_other.transpose(0, 2, 1) @ gw).reshape(e.shape))
+            d_logit = weight * (d_weight - np.einsum("nk,nk->n", weight, d_weight)[:, None]) / n
+            grads |= {5: rr.T @ d_logit, 6: d_logit.sum(0), 8: -d_e.sum(0) / n}
+            back[flat] += d_logit @ a.T  # of one that comes twice, once
+            self._sparse(7, np.concatenate([*mine]), np.concatenate([d_e, d_e]))
+        grads |= {1: x1.T @ back, 2: x2.T @ back}
+        near, far = n * back @ c1.T, n * back @ c2.T
+        self._sparse(0, np.concatenate([*w1, *w2]), np.concatenate([near, near, far, far]))
+        for i, g in grads.items():
+            self.s[i] += g * g
+            self.p[i] -= STEP * g / np.sqrt(self.s[i])
+
+
+def _learn(m: Model, sums: list[np.ndarray], slices_: Iterator[tuple[np.ndarray, np.ndarray]], batch: int, seed: int) -> tuple[Trainer, int]:
+    """One pass over slices (tokens, sizes of texts)."""
+    find, trainer, n = Lookup(m.head), Trainer(m.params, sums, m.shares, seed), 0
+    size, rows = len(m.shares), len(m.params[7])
+    of = lambda h: np.where((at := find(h)) < 0, 0, m.classes[at])
+    end = _places(np.array([END]), of(np.array([END])), size, rows)
+    for tokens, sizes in slices_:
+        w = of(tokens)
+        x = _places(tokens, w, size, rows)
+        w1, w2 = _before(x, sizes, end)
+        x -= size
+        order = trainer.rng.permutation(len(w))
+        for i in range(0, len(w), batch):
+            k = order[i : i + batch]
+            trainer.step(w1[:, k], w2[:, k], w[k], x[:, k])
+        n += len(w)
+    return trainer, n
+
+
+def _unpacked(blob: bytes, like: list[np.ndarray]) -> np.ndarray:
+    """Parameters (half precision) and sums, one after the other."""
+    n = sum(p.size for p in like)
+    return np.concatenate([np.frombuffer(blob, np.float16, n).astype(np.float32), np.frombuffer(blob, np.float32, offset=2 * n)])
+
+
+def train(docs: DataFrame, model: Model, table: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model with parameters learned from all tokens of the texts (docs: doc_id, text), and its normalisers (table: counts)."""
     if not model.total:
         return model
     spark = docs.sparkSession
-    shapes = [p.shape for p in model.params] * 2
-    sums = [np.full(p.shape, SUMS, np.float32) for p in model.params]
+    like, n_params = model.params, sum(p.size for p in model.params)
+    sums = [np.full(len(p), ROW_SUMS[i], np.float32) if i in SPARSE else np.full(p.shape, SUMS, np.float32) for i, p in enumerate(like)]
     schema = pa.schema([("slot", pa.int64()), ("n", pa.int64()), ("params", pa.binary())])
-    texts_ = docs.select("text")
-    tasks = max(1, min(texts_.rdd.getNumPartitions(), model.total // TASK_TOKENS))
-    texts_, size = texts_.coalesce(tasks), int(np.clip(model.total // tasks // TASK_STEPS, min(LEAST_BATCH, BATCH), BATCH))
-    slots = int(np.ceil(np.sqrt(tasks)))
+    ddl = "slot long, n long, params binary"
+    shards = int(np.clip(model.total // SHARD_TOKENS, 1, SHARDS))
+    batch = int(np.clip(model.total // shards // SHARD_STEPS, min(LEAST_BATCH, BATCH), BATCH))
+    # Equal (id, text) rows are interchangeable, so their order doesn't matter.
+    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("k")).repartition(shards, "k").sortWithinPartitions("k").select("text")
+    packed = lambda flat: flat[:n_params].astype(np.float16).tobytes() + flat[n_params:].astype(np.float32).tobytes()
+
+    def mean(group: pa.Table) -> pa.Table:
+        n, total = np.array(group.column("n").to_pylist()), 0
+        for k, blob in zip(n, group.column("params"), strict=True):
+            total = total + _unpacked(blob.as_py(), like) * np.float64(k)
+        return pa.table([group.column("slot").slice(0, 1), pa.array([int(n.sum())]), pa.array([packed(total / max(1, n.sum()))], pa.binary())], schema=schema)
+
     for turn in range(rounds):
         held = spark.sparkContext.broadcast((model, sums))
 
         def run(batches: Iterator[pa.RecordBatch], held: object = held, turn: int = turn) -> Iterator[pa.RecordBatch]:
             (m, before), number = held.value, TaskContext.get().partitionId()
-            find, trainer, n = Lookup(m.head), Trainer(m.params, before, m.shares, 1_000_000 * turn + number), 0
-            end = int(m.classes[find(np.array([END]))[0]])
-            for _, tokens, sizes in _tokens(batches):
-                at = find(tokens)
-                w = np.where(at < 0, 0, m.classes[at])
-                w1, w2 = _contexts(w, sizes, end)
-                order = trainer.rng.permutation(len(w))
-                for i in range(0, len(w), size):
-                    k = order[i : i + size]
-                    trainer.step(w1[k], w2[k], w[k])
-                n += len(w)
-            blob = np.concatenate([p.ravel() for p in trainer.p + trainer.s]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([number % slots]), pa.array([n]), pa.array([blob], pa.binary())], schema=schema)
-
-        def mean(group: pa.Table) -> pa.Table:
-            n = np.array(group.column("n").to_pylist())
-            total = sum(np.frombuffer(p, np.float32) * np.float64(k) for p, k in zip(group.column("params").to_pylist(), n, strict=True)) / max(1, n.sum())
-            return pa.table([group.column("slot").slice(0, 1), pa.array([int(n.sum())]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], schema=schema)
-
-        done = texts_.mapInArrow(run, "slot long, n long, params binary").where("n > 0").groupBy("slot").applyInArrow(mean, "slot long, n long, params binary").collect()
-        n = np.array([r.n for r in done])
-        flat = sum(np.frombuffer(bytes(r.params), np.float32) * np.float64(k) for r, k in zip(done, n, strict=True)) / n.sum()
-        stops = np.cumsum([int(np.prod(s)) for s in shapes])
-        learned = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(flat, stops[:-1]), shapes, strict=True)]
-        params, sums = learned[: len(sums)], learned[len(sums) :]
-        model = Model(model.total, model.distinct, model.head, model.head_counts, model.classes, model.shares, params)
-    model.log_z = normalisers(model.params)
-    return model
-
-
-def normalisers(params: list[np.ndarray]) -> np.ndarray:
-    """log sum exp of the scores of all classes, for every pair of context classes."""
-    q, c1, c2, v, b = params
-    near, far = q @ c1, q @ c2
-    out = np.empty((len(q), len(q)), np.float32)
-    for i in range(len(q)):
-        s = (near[i] + far) @ v.T + b
-        top = s.max(1)
-        out[i] = top + np.log(np.exp(s - top[:, None]).sum(1))
-    return out
+            trainer, n = _learn(m, before, ((t, k) for _, t, k in _tokens(batches)), batch, 1_000_000 * turn + number)
+            blob = packed(np.concatenate([p.ravel() for p in trainer.p + trainer.s]))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n]), pa.array([blob], pa.binary())], schema=schema)
+
+        parts, left = dealt.mapInArrow(run, ddl).where("n > 0"), shards
+        while left > FAN:
+            left = -(-left // FAN)
+            parts = parts.withColumn("slot", F.col("slot") % left).groupBy("slot").applyInArrow(mean, ddl)
+        done = parts.toArrow()
+        flat = _unpacked(mean(done).column("params")[0].as_py(), like)
+        cut = np.split(flat, np.cumsum([x.size for x in like + sums])[:-1])
+        learned = [x.reshape(y.shape) for x, y in zip(cut, like + sums, strict=True)]
+        sums = learned[len(like) :]
+        model = replace(model, params=learned[: len(like)])
+        held.unpersist()
+    model.params[8] = normalisers(table, model)
+    return replace(model, trained=True)
+
+
+def normalisers(table: DataFrame, model: Model) -> np.ndarray:
+    """log Z of every state: the sum over all tokens of the counts' table that have no class, and the unseen one."""
+    held = table.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, total = held.value, np.zeros(STATES)
+        o, size, find = m.params[7], len(m.shares), Lookup(m.head)
+        for b in slices(batches, 1 << 16):
+            h, c = b.column("h").to_numpy().view(np.uint64), b.column("c").to_numpy()
+            at = find(h)
+            w = np.where(at < 0, 0, m.classes[at])
+            x = _places(h, w, size, len(o))[:, w == 0] - size
+            total += (c[w == 0] + 1) @ np.exp((o[x[0]] + o[x[1]]).astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array(range(STATES)), pa.array(total)], ["k", "z"])
+
+    got = {r.k: r.z for r in table.select("h", "c").mapInArrow(run, "k long, z double").groupBy("k").agg(F.sum("z").alias("z")).collect()}
+    return (np.log([got.get(k, 0.0) + 1 for k in range(STATES)]) - model.rest_norm * np.log(10)).astype(np.float32)
+
+
+class Scorer:
+    """log10 probabilities of tokens: whether they are among the head's, the head's counts, the first level, and the mixture."""
+
+    def __init__(self, model: Model):
+        self.m, self.find = model, Lookup(model.head)
+        self.logs = np.append(np.log10(model.head_counts + 1.0), 0)
+        self.classes = np.append(model.classes, 0)
+        self.size, self.rows = len(model.shares), len(model.params[7])
+        end = np.array([END])
+        self.end = _places(end, self.classes[self.find(end)], self.size, self.rows)
+
+    def __call__(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """inside, class, log10 (c + 1), first level, mixture factor as a seen token, and as an unseen one."""
+        q, c1, c2, v, b, a, a0, o, z = self.m.params
+        at = self.find(tokens)
+        w = self.classes[at]
+        x = _places(tokens, w, self.size, self.rows)
+        w1, w2 = _before(x, sizes, self.end)
+        first, seen, unseen = (np.zeros(len(tokens)) for _ in range(3))
+        reach = np.sqrt((v * v).sum(1).max())
+        for i in range(0, len(tokens) if self.m.trained else 0, 1024):
+            k = slice(i, i + 1024)
+            r = (q[w1[0, k]] + q[w1[1, k]]) @ c1 + (q[w2[0, k]] + q[w2[1, k]]) @ c2
+            s = r @ v.T
+            s += b
+            mine = s[np.arange(len(r)), w[k]]
+            top = np.float32(0)
+            if np.sqrt((r * r).sum(1).max()) * reach + np.abs(b).max() > 60:  # else no sum leaves the range of floats
+                top = s.max(1)
+                s -= top[:, None]
+            np.exp(s, out=s)
+            first[k] = mine - top - np.log(s.sum(1))
+            rest = np.flatnonzero(w[k] == 0)
+            weight = _softmax(r[rest] @ a + a0)
+            y = x[:, i + rest] - self.size
+            seen[i + rest] = np.log(np.einsum("nk,nk->n", weight, np.exp(o[y[0]] + o[y[1]] - z)))
+            unseen[i + rest] = np.log(weight @ np.exp(-z))
+        tens = np.log(10)
+        return at >= 0, w, self.logs[at], first / tens, seen / tens, unseen / tens
 
 
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: what the head's counts and the neural model give, and the tokens outside the head with their numbers."""
+    """Per row: what the head's counts and the neural model give, and the tokens outside the head with their numbers.
+
+    Tokens outside the head are scored as unseen; `more` is what each one adds if it turns out to be seen.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("neural", pa.float64()), ("others", pa.int64()), ("inner", pa.float64()), ("h", longs), ("tf", longs)])
+    longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("neural", pa.float64()), ("others", pa.int64()), ("inner", pa.float64()), ("h", longs), ("tf", longs), ("more", doubles)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, row = held.value, TaskContext.get().partitionId() << 40
-        find, logs = Lookup(m.head), np.log10(m.head_counts + 1.0)
-        found = find(np.array([END]))[0] if len(m.head) else -1
-        end = int(m.classes[found]) if found >= 0 else 0
-        q, c1, c2, v, b = m.params
-        near, far = q @ c1, q @ c2
+        scorer, row = Scorer(held.value), TaskContext.get().partitionId() << 40
         for batch, tokens, sizes in _tokens(batches):
-            at = find(tokens) if len(m.head) else np.full(len(tokens), -1)
+            inside, w, base, first, seen, unseen = scorer(tokens, sizes)
             stops = np.cumsum(sizes)
-            starts = stops - sizes
-            inside = at >= 0
-            w = np.where(inside, m.classes[at], 0) if len(m.head) else np.zeros(len(tokens), np.int32)
-            base = np.where(inside, logs[at], 0.0) if len(m.head) else np.zeros(len(tokens))
-            w1, w2 = _contexts(w, sizes, end)
-            s = np.einsum("nd,nd->n", near[w1] + far[w2], v[w]) + b[w]
-            neural = (s - m.log_z[w1, w2]).astype(float) / np.log(10) if m.log_z is not None else np.zeros(len(tokens))
-            total = lambda x: np.add.reduceat(x, starts)
+            total = lambda x, starts=stops - sizes: np.add.reduceat(x, starts)
             outside = np.flatnonzero(~inside)
             bounds = np.searchsorted(outside, stops)
-            hs, tfs = [], []
+            hs, tfs, mores = [], [], []
             for i, j in zip([0, *bounds], bounds, strict=False):
-                h, tf = np.unique(tokens[outside[i:j]], return_counts=True)
+                h, place, tf = np.unique(tokens[outside[i:j]], return_inverse=True, return_counts=True)
                 hs.append(h.view(np.int64))
                 tfs.append(tf)
+                mores.append(np.bincount(place, (seen - unseen)[outside[i:j]], len(h)))
+            neural = first + np.where(inside, seen, unseen)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row + np.arange(len(sizes))), batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(total(inside.astype(np.int64))), pa.array(total(base)), pa.array(total(neural)),
-                 pa.array(total((w == 0).astype(np.int64))), pa.array(total(np.where(w == 0, base, 0.0))), pa.array(hs, longs), pa.array(tfs, longs)], schema=schema,
+                 pa.array(total((w == 0).astype(np.int64))), pa.array(total(np.where(w == 0, base, 0.0))), pa.array(hs, longs), pa.array(tfs, longs), pa.array(mores, doubles)], schema=schema,
             )
             row += len(sizes)
 
-    ddl = "row long, doc_id long, n long, known long, base double, neural double, others long, inner double, h array<long>, tf array<long>"
+    ddl = "row long, doc_id long, n long, known long, base double, neural double, others long, inner double, h array<long>, tf array<long>, more array<double>"
     return written(docs.select("doc_id", "text").mapInArrow(run, ddl), "lm-scored")
 
 
@@ -264,14 +397,14 @@ def report(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     lean_arrow(docs.sparkSession)
     learn = docs.where(~held_out(F.col("doc_id")))
     table = counts(learn)
-    model = train(learn, start_model(table), rounds)
+    model = train(learn, start_model(table), table, rounds)
     rows = _scored(docs, model)
-    tail = rows.select("row", F.inline(F.arrays_zip("h", "tf"))).join(table, "h")
-    tail = tail.groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("tail"), F.sum("tf").alias("tail_known"))
-    df = rows.drop("h", "tf").join(written(tail, "lm-tail"), "row", "left").withColumn("tail", F.coalesce("tail", F.lit(0.0)))
+    tail = rows.select("row", F.inline(F.arrays_zip("h", "tf", "more"))).join(table, "h")
+    tail = tail.groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("tail"), F.sum("tf").alias("tail_known"), F.sum("more").alias("more"))
+    df = rows.drop("h", "tf", "more").join(written(tail, "lm-tail"), "row", "left").withColumn("tail", F.coalesce("tail", F.lit(0.0)))
     base = F.col("base") + F.col("tail") - F.col("n") * F.lit(model.base_norm)
-    neural = F.col("neural") + F.col("inner") + F.col("tail") - F.col("others") * F.lit(model.rest_norm)
+    neural = F.col("neural") + F.coalesce("more", F.lit(0.0)) + F.col("inner") + F.col("tail") - F.col("others") * F.lit(model.rest_norm)
     return df.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), (neural if model.log_z is not None else base).alias("score"),
+        F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), (neural if model.trained else base).alias("score"),
     )

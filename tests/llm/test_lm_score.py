@@ -22,6 +22,7 @@ def small(monkeypatch):
     monkeypatch.setattr(lm_score, "VOCABULARY", 20)
     monkeypatch.setattr(lm_score, "HEAD", 40)
     monkeypatch.setattr(lm_score, "BATCH", 128)
+    monkeypatch.setattr(lm_score, "ROWS", 256)
 
 
 def _rows():
@@ -51,15 +52,27 @@ def test_base_equals_brute_force_and_model_beats_it(spark, small):
 def test_probabilities_are_normalised(spark, small):
     df = spark.createDataFrame(_rows(), "doc_id long, text string")
     table = lm_score.counts(df)
-    m = lm_score.train(df, lm_score.start_model(table))
-    q, c1, c2, v, b = m.params
-    for w1, w2 in ((0, 0), (1, 5), (20, 3)):
-        p = np.exp((q[w1] @ c1 + q[w2] @ c2) @ v.T + b - m.log_z[w1, w2])
-        assert abs(p.sum() - 1) < 1e-4
-    h = {r.h: r.c for r in table.collect()}
-    named = set(m.head[m.classes > 0].view(np.int64).tolist())
-    inside = sum(10 ** (math.log10(k + 1) - m.rest_norm) for x, k in h.items() if x not in named) + 10**-m.rest_norm
-    assert abs(inside - 1) < 1e-9
+    m = lm_score.train(df, lm_score.start_model(table), table)
+    h, c = (np.array(x) for x in zip(*[(r.h, r.c) for r in table.collect()], strict=True))
+    tokens = np.append(h.view(np.uint64), np.uint64(12345))  # and one that never occurs
+    log_c = np.append(np.log10(c + 1), 0)
+    scorer = lm_score.Scorer(m)
+    some = lm_score.Hasher()([b"alpha beta gamma rare1 rare17 never"])[0]
+    for context in (some[:0], some[:1], some[[0, 1]], some[[1, 3]], some[[3, 4]], some[[5, 2]]):
+        texts = np.array([[*context, t] for t in tokens], np.uint64)
+        got = [x.reshape(texts.shape)[:, -1] for x in scorer(texts.ravel(), np.full(len(tokens), texts.shape[1]))]
+        inside, w, base, first, seen, unseen = got
+        mix = np.append(seen[:-1], unseen[-1])
+        p = 10 ** (first + np.where(w == 0, mix + log_c - m.rest_norm, 0))
+        assert abs(p.sum() - 1) < 1e-4 and (w == 0).sum() > 100 and inside[:-1].any()
+    assert np.std(p[w == 0] / 10 ** log_c[w == 0]) > 0  # the mixture tells them apart
+
+
+def test_learning_does_not_depend_on_partitions(spark, small, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 1500)  # some twenty shards, in levels
+    df = spark.createDataFrame(_rows()[5:], "doc_id long, text string").repartition(3)
+    got = [{r.doc_id: r.score for r in lm_score.report(x).collect()} for x in (df, df.repartition(11))]
+    assert got[0].keys() == got[1].keys() and max(abs(got[0][k] - got[1][k]) for k in got[0]) < 1e-3
 
 
 def test_empty_and_untrained(spark):
