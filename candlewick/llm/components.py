@@ -17,7 +17,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """(node, root) for every node that has a link; root is the least node of its component.
 
     Each step is a grouped minimum, combined before it is shuffled, and an equi-join of two written tables, which can be split where a
-    node has very many links. The number of steps grows with the logarithm of the longest chain. Null ends are ignored.
+    node has very many links. The number of steps grows with the logarithm of the longest chain; if they don't settle within `rounds`, an
+    error is raised, as components would be torn. Null ends are ignored; a table without links gives no rows.
     """
     edges = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc-edges")
     before, n = None, edges.count()
@@ -27,7 +28,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         tasks = 4 + n // 100_000
         return written(df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df, label)
 
-    for _ in range(rounds if n else 0):
+    for turn in range(rounds + 1 if n else 0):
+        if turn == rounds:
+            raise RuntimeError(f"components didn't settle in {rounds} rounds")
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = table(_least(both), "cc-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -43,6 +43,7 @@ WORDS = 5
 MAP_WORDS = 1 << 20
 HOT_ENTRIES = 1_000_000
 BINS = 256
+LONG = 400
 LEAST_SET = 3  # smaller sets link with equal ones alone
 
 
@@ -80,6 +81,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
         yield b, shingle_sets(*hasher(texts(b)), WORDS)
 
 
+#: How many digests a task remembers, to give equal sets once; then it starts anew (equal sets that come twice do no harm).
+SEEN = 200_000
+
+
 def _prefix_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """The prefix shingles of every document, as rows; of documents with equal sets in a task, those of one."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
@@ -91,6 +96,8 @@ def _prefix_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             out = [np.zeros(0, np.uint64)]
             for x in sets:
                 if len(x) >= LEAST_SET and (sig := signature(x)) not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(sig)
                     out.append(order(x)[0][: prefix_size(len(x))])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], schema=schema)
@@ -128,6 +135,8 @@ def _written_sets(docs: DataFrame, hot: np.ndarray, shared: np.ndarray) -> DataF
             for s, x in zip(sig.tolist(), sets, strict=True):
                 found = None
                 if len(x) >= LEAST_SET and s not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(s)
                     ordered, few = order(x)
                     p = ordered[: prefix_size(len(x))]
@@ -145,10 +154,9 @@ def _written_sets(docs: DataFrame, hot: np.ndarray, shared: np.ndarray) -> DataF
     return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig long, n long, rare long, pre array<long>, at array<long>, bins binary"), "join-sets")
 
 
-def _needed_sets(docs: DataFrame, table: DataFrame, nodes: DataFrame, few: int = 1_000_000) -> DataFrame:
-    """(sig, shingles) of the nodes: one document of each is read again."""
-    reps = table.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    reps = written(reps, "join-reps")
+def _needed_sets(docs: DataFrame, firsts: DataFrame, nodes: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """(sig, shingles) of the nodes: one document of each (firsts: sig, doc_id) is read again."""
+    reps = written(firsts.select("sig", "doc_id").join(nodes, "sig", "left_semi"), "join-reps")
     small = F.broadcast if reps.limit(few + 1).count() <= few else (lambda df: df)
     texts_ = docs.join(small(reps.select("doc_id").distinct()), "doc_id", "left_semi")
     if reps.where("doc_id IS NULL").limit(1).count():
@@ -283,15 +291,17 @@ def _block_links(group: pa.Table) -> pa.Table:
 
 
 def _blocks(many: DataFrame, sets: DataFrame, size: int) -> DataFrame:
-    """Links among nodes of shingles that many share, by products of blocks of at most about `size` sets.
+    """Links among nodes of shingles that many share, by products of blocks of about `size` sets, or LONG shingles for each of them, at most.
 
     Nodes that such shingles connect are a family; each two blocks of a family meet in one task. Only links leave it, at most one a node.
     """
     least = many.groupBy("s").agg(F.min("sig").alias("m"))
     families = components(many.join(written(least, "join-least"), "s").select(F.col("sig").alias("a"), F.col("m").alias("b")).distinct())
-    nodes = many.select("sig", "root").distinct().join(families.select(F.col("node").alias("sig"), F.col("root").alias("family")), "sig")
+    nodes = many.select("sig", "root", "n").distinct().join(families.select(F.col("node").alias("sig"), F.col("root").alias("family")), "sig")
     nodes = written(nodes, "join-family")
-    blocks = written(nodes.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")), "join-blocks")
+    # By number of sets and by their shingles, so that a block of long sets stays as small.
+    whole = F.greatest(F.count(F.lit(1)) / size, F.sum("n") / (size * LONG))
+    blocks = written(nodes.groupBy("family").agg(F.ceil(whole).cast("int").alias("blocks")), "join-blocks")
     placed = nodes.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     placed = placed.join(sets, "sig").select("sig", "root", "family", "block", "shingles", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     keyed = placed.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -327,9 +337,12 @@ def classes(docs: DataFrame, hot: int = 24) -> DataFrame:
     postings = table.where("pre IS NOT NULL").select("sig", "n", "rare", F.inline(F.arrays_zip("pre", "at"))).withColumnRenamed("pre", "s")
     # Equal sets come once per task that has them.
     postings = written(postings.groupBy("s", "sig").agg(F.max("n").alias("n"), F.max("rare").alias("rare"), F.max("at").alias("at")), "join-postings")
+    # The documents of one set are combined before they are shuffled: they may be very many.
+    firsts = written(table.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "join-firsts")
+
     def linked(candidates: DataFrame) -> DataFrame:
         left = _possible(candidates, table)
-        sets = _needed_sets(docs, table, left.select(F.col("a").alias("sig")).union(left.select("b")).distinct())
+        sets = _needed_sets(docs, firsts, left.select(F.col("a").alias("sig")).union(left.select("b")).distinct())
         found = _links(left, sets)
         discard(sets)
         return found
@@ -339,14 +352,14 @@ def classes(docs: DataFrame, hot: int = 24) -> DataFrame:
     release(docs.sparkSession)
     roots = components(links)
     rooted = postings.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    links = links.union(_rest(written(rooted, "join-rooted"), star, lambda nodes: _needed_sets(docs, table, nodes), linked))
+    links = links.union(_rest(written(rooted, "join-rooted"), star, lambda nodes: _needed_sets(docs, firsts, nodes), linked))
     release(docs.sparkSession)
     roots = components(links)
-    own = table.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    own = own.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    own = firsts.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     own = written(own, "join-own")
-    whole = written(own.groupBy("root").agg(F.min("least").alias("component_id")), "join-components")
+    whole = written(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "join-components")
     by_set = written(own.join(whole, "root").select("sig", "component_id"), "join-classes")
+    # A plain join of written tables: where very many documents share a set, AQE splits its partition.
     full = table.where("n > 0").select("doc_id", "n", "sig").join(by_set, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "sig")
     return full.union(table.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "sig"))
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from candlewick.llm import components, ngram_join
 
 
@@ -74,3 +76,27 @@ def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1001), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in components.components(links).collect()}
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_families_at_production_values(spark):
+    """More than 48 nodes share a shingle, so they are multiplied in blocks; some are long enough for blocks by shingles."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randint(0, 3000)}"
+    rows, n = [], 0
+    for size, members, edits in ((200, 130, 40), (90, 120, 20), (1500, 60, 300)):
+        base = [word() for _ in range(size)]
+        for _ in range(members):
+            x = list(base)
+            for i in rng.sample(range(10, size), rng.randint(0, edits)):  # the first words stay, so all share a few shingles
+                x[i] = word()
+            rows.append((n, " ".join(x)))
+            n += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in ngram_join.classes(df).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == sorted(brute(rows)) and 3 < len({c for *_, c in got}) < n
+
+
+def test_unsettled_components_are_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(links, rounds=2)
