@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings every session of this library wants; the caller's own win.
 DEFAULTS = {
@@ -34,12 +35,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is what spark.checkpoint.dir names. Only where that is unset (local tests) a folder of this machine is made and set.
+    It is what spark.checkpoint.dir names. Only in local sessions (tests), where that is unset, a folder of this machine is made and set;
+    a cluster's executors wouldn't see it.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = named.get() if named.isDefined() else None
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="candlewick-")
         spark.sparkContext.setCheckpointDir(named)
@@ -60,9 +64,17 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of steps whose results are written: it acts on what the JVM has collected."""
+    """Lets go of memory between the steps of a long job.
+
+    Spark's cleaner removes the shuffle files of steps whose results are written once the driver's JVM has collected what refers to them.
+    Executors collect too, as their heaps, and native buffers that only a collection frees, else stay as large as the largest step made
+    them while the next step's Python workers need the room. It costs a collection, and a job of empty tasks.
+    """
     gc.collect()
     spark._jvm.System.gc()
+    if not spark.sparkContext.master.startswith("local["):
+        n = spark.sparkContext.defaultParallelism
+        spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
