@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from candlewick.llm.words import Hasher, Lookup, lean_arrow, slices, texts
+from candlewick.llm.words import Hasher, Lookup, give_back, lean_arrow, slices, texts
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -60,8 +60,12 @@ class ChunkTokens:
         self.tables, self.pool, self.used = [none, none], np.zeros(1 << 20, np.uint32), 0
         self.find = [Lookup(none[0]), Lookup(none[0])]
 
-    def _alone(self, chunks: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _alone(self, chunks: list[str], part: int = 1024) -> list[np.ndarray]:
+        """Ids of each chunk. The library's own results take far more than the ids, so few are held at once."""
+        out: list[np.ndarray] = []
+        for i in range(0, len(chunks), part):
+            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(chunks[i : i + part], add_special_tokens=False)]
+        return out
 
     def _words(self, words: list[str], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and each one's number of ids; an id in `marks` follows its word (-1: none)."""
@@ -247,6 +251,7 @@ def _rows(batches: Iterable[pa.RecordBatch], path: str | None, window_tokens: in
         groups += 1 + max((g for _, g, _ in done), default=-1)
         if columns[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        give_back()
 
     for b in slices(batches, 128, 1 << 19):
         for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokens.of(texts(b)), strict=True):

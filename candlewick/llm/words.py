@@ -77,10 +77,13 @@ class Lookup:
     """Places of hashes in a sorted array of distinct hashes, -1 where absent; the top bits give where to look."""
 
     def __init__(self, keys: np.ndarray):
-        bits = min(22, max(8, len(keys).bit_length() + 1))
+        bits = min(21, max(8, len(keys).bit_length()))
         self.keys, self.shift = keys, np.uint64(64 - bits)
-        self.start = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
-        self.start = np.append(self.start, np.int32(len(keys)))
+        self.start = np.zeros((1 << bits) + 1, np.int32)
+        for i in range(0, 1 << bits, 1 << 16):  # in parts, as the places come as 64-bit numbers
+            part = np.arange(i, min(1 << bits, i + (1 << 16)), dtype=np.uint64) << self.shift
+            self.start[i : i + len(part)] = np.searchsorted(keys, part)
+        self.start[-1] = len(keys)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int32)
@@ -138,6 +141,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most: int = 1 <<
             stop = max(start + 1, min(start + rows, int(np.searchsorted(upto, before + most, "right"))))
             yield b.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what this process holds but doesn't use, where the C library can."""
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
