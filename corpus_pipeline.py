@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from candlewick.llm import decontamination, ngram_join, packing, secrets, toxicity
-from candlewick.session import scratch_path
+from candlewick.session import release, scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in training sequences."""
+    """The documents' pieces in training sequences. Before its workers fill their caches, the stages before it give back their memory."""
+    release(spark)
     return packing.pack(docs)
 
 
