@@ -2,8 +2,9 @@
 
 A window is 13 consecutive words of a benchmark item, or a shorter item's words as a whole. Whole texts are scanned in two steps. First,
 every 8th position of a document gives the hash of 6 words (any 13-word window holds such a position in full); the hashes are looked up
-in the broadcast set of all 6-word hashes of the items. Few documents survive that. All windows of theirs are then looked up, and a hit
-counts only if the words themselves are equal. Both steps know a text by its digest, so copies are verified once.
+in the broadcast set of all 6-word hashes of the items. Few documents survive that. All windows of theirs are then looked up by hash, and
+where one is found its words are formed, and it counts only if they are equal. Both steps know a text by its digest, so copies are verified
+once.
 
 Defined cases: a null text or item has no words; items without words or with a null id are ignored, item ids count once however often
 they occur; repeated rows give repeated results; without items nothing is hit; an empty table gives no rows; other columns are not read
@@ -22,7 +23,8 @@ from candlewick.session import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
-BROADCAST_ROWS = 1_000_000
+#: What is broadcast has at most so many rows and bytes; else the planner joins it as any other table.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 1 << 26
 
 
 def words(text: Column) -> Column:
@@ -33,9 +35,26 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it has at most that many rows; else joined as the planner likes."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if it has at most that many rows and bytes; else joined as the planner likes."""
+    of = {"string": F.octet_length, "binary": F.octet_length}
+    each = [of[t](c) if t in of else F.octet_length(F.to_json(F.struct(c))) if t.startswith(("array", "map", "struct")) else F.lit(8) for c, t in df.dtypes]
+    each = [F.coalesce(x.cast("long"), F.lit(0)) + 16 for x in each]
+    got = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(each[1:], each[0])), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if got["n"] <= rows and got["size"] <= size else df
+
+
+def _names(df: DataFrame) -> list[str]:
+    """The columns' names, quoted."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A name that none of the columns has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def _grams(words_col: str, k: int, stride: int) -> Column:
@@ -46,7 +65,7 @@ def _grams(words_col: str, k: int, stride: int) -> Column:
 
 @dataclass(frozen=True)
 class Windows:
-    """The benchmark's windows (w: the words joined, h: their hash, items), their lengths, and the anchors of the first step."""
+    """The benchmark's windows (w: the words joined, h: the hash of the words, items), their lengths, and the anchors of the first step."""
 
     table: DataFrame
     anchors: DataFrame
@@ -61,8 +80,8 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") ->
     items = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("ws")).where(F.size("ws") > 0)
     items = written(items.withColumn("n", F.least(F.size("ws"), F.lit(WINDOW))), "benchmark-items")
     lengths = tuple(sorted(r.n for r in items.select("n").distinct().collect()))
-    each = items.select("item", "n", F.expr("explode(transform(sequence(1, size(ws) - n + 1), i -> array_join(slice(ws, i, n), ' ')))").alias("w"))
-    table = each.groupBy("w", "n").agg(F.collect_set("item").alias("items")).withColumn("h", F.xxhash64("w"))
+    each = items.select("item", "n", F.expr("inline(transform(sequence(1, size(ws) - n + 1), i -> struct(array_join(slice(ws, i, n), ' ') AS w, xxhash64(slice(ws, i, n)) AS h)))"))
+    table = each.groupBy("w", "h", "n").agg(F.collect_set("item").alias("items"))
     out = Windows(table, table, lengths)
     anchors = None
     for n, (k, _) in zip(lengths, out.shapes(), strict=True):
@@ -86,14 +105,15 @@ def _second_step(docs: DataFrame, near: DataFrame, win: Windows) -> DataFrame:
     """Per digest: the union of hit intervals as (start, stop) word numbers, and the items hit, sorted as strings."""
     wanted = near.where("near").select("digest").distinct()
     texts = docs.select(text_digest(F.col("text")).alias("digest"), "text").join(_small(wanted), "digest", "left_semi")
-    df = texts.groupBy("digest").agg(F.max("text").alias("text")).select("digest", words(F.col("text")).alias("ws"))
+    texts = written(texts.groupBy("digest").agg(F.max("text").alias("text")), "decontamination-texts").select("digest", words(F.col("text")).alias("ws"))
     every = [
-        F.expr(f"IF(size(ws) < {n}, array(), transform(sequence(1, greatest(size(ws) - {n - 1}, 1)), i -> struct(i AS at, {n} AS n, array_join(slice(ws, i, {n}), ' ') AS w)))") for n in win.lengths
+        F.expr(f"IF(size(ws) < {n}, array(), transform(sequence(1, greatest(size(ws) - {n - 1}, 1)), i -> struct(i AS at, {n} AS n, xxhash64(slice(ws, i, {n})) AS h)))") for n in win.lengths
     ]
-    df = df.select("digest", F.inline(F.concat(*every)))
-    df = df.withColumn("h", F.xxhash64("w"))
+    spots = texts.select("digest", F.inline(F.concat(*every))).join(_small(win.table.select("h").distinct()), "h", "left_semi")
+    spots = written(spots.groupBy("digest").agg(F.collect_list(F.struct("at", "n", "h")).alias("spots")), "decontamination-spots")
+    found = texts.join(_small(spots), "digest").select("digest", F.inline(F.expr("transform(spots, x -> struct(x.at, x.n, x.h, array_join(slice(ws, x.at, x.n), ' ') AS w))")))
     table = _small(win.table.select("h", F.col("w").alias("w2"), F.col("n").alias("n2"), "items"))
-    hit = df.join(table, "h").where((F.col("w") == F.col("w2")) & (F.col("n") == F.col("n2")))
+    hit = found.join(table, "h").where((F.col("w") == F.col("w2")) & (F.col("n") == F.col("n2")))
     got = hit.groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("stop")))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     merged = F.expr("""aggregate(spans, CAST(array() AS array<struct<start:int,stop:int>>), (a, s) ->
         IF(size(a) > 0 AND a[greatest(size(a) - 1, 0)].stop >= s.at,
@@ -128,16 +148,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     win = windows(benchmark)
     if not win.lengths:
         return docs
-    plain = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    quoted = "`" + text.replace("`", "``") + "`"
+    plain = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(quoted).alias("text"))
     near = written(_first_step(plain, win), "decontamination-near")
     found = written(_second_step(plain, near, win), "decontamination-hits")
+    digest, hits, ws, gaps = (_free(docs, c) for c in ("__digest", "__hits", "__ws", "__gaps"))
     if mode == "documents":
-        gone = found.join(near.select("digest", "n_words"), "digest").where(contaminated()).select(F.col("digest").alias("__digest"))
-        return docs.withColumn("__digest", text_digest(F.col(text))).join(_small(gone), "__digest", "left_anti").select(*docs.columns)
+        gone = found.join(near.select("digest", "n_words"), "digest").where(contaminated()).select(F.col("digest").alias(digest))
+        return docs.withColumn(digest, text_digest(F.col(quoted))).join(_small(gone), digest, "left_anti").select(*_names(docs))
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
-    cut = found.select(F.col("digest").alias("__digest"), F.col("hits").alias("__hits"))
-    df = docs.withColumn("__digest", text_digest(F.col(text))).join(_small(cut), "__digest", "left")
-    hit = F.col("__hits").isNotNull()
-    df = df.select("*", F.when(hit, F.regexp_extract_all(F.col(text), F.lit(word), F.lit(0))).alias("__ws"), F.when(hit, F.split(F.col(text), word, -1)).alias("__gaps"))
-    kept = F.expr("concat(__gaps[0], array_join(transform(__ws, (w, i) -> IF(exists(__hits, s -> i + 1 >= s.start AND i + 1 < s.stop), '', concat(w, __gaps[i + 1]))), ''))")
-    return df.withColumn(text, F.when(hit, kept).otherwise(F.col(text))).select(*docs.columns)
+    cut = found.select(F.col("digest").alias(digest), F.col("hits").alias(hits))
+    df = docs.withColumn(digest, text_digest(F.col(quoted))).join(_small(cut), digest, "left")
+    hit = F.col(hits).isNotNull()
+    df = df.select("*", F.when(hit, F.regexp_extract_all(F.col(quoted), F.lit(word), F.lit(0))).alias(ws), F.when(hit, F.split(F.col(quoted), word, -1)).alias(gaps))
+    kept = F.expr(f"concat({gaps}[0], array_join(transform({ws}, (w, i) -> IF(exists({hits}, s -> i + 1 >= s.start AND i + 1 < s.stop), '', concat(w, {gaps}[i + 1]))), ''))")
+    return df.withColumn(text, F.when(hit, kept).otherwise(F.col(quoted))).select(*_names(docs))

@@ -53,10 +53,26 @@ def test_report_equals_brute_force(spark, case):
     assert {(r.n_hit, r.n_items) for r in d.report(df, b.limit(0)).collect()} == {(0, 0)}
 
 
+def test_tables_too_large_to_broadcast(spark, case, monkeypatch):
+    items, docs = case
+    monkeypatch.setattr(d._small, "__defaults__", (1_000_000, 10))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = d.report(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((i, *brute(t, items)) for i, t in enumerate(docs))
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randint(0, 50)}" for _ in range(60_000)]
+    items = [(1, " ".join(long[31_000:31_020])), (2, " ".join(long[5:40])), (3, "w1")]
+    df = spark.createDataFrame([(1, " ".join(long))], "doc_id long, text string")
+    assert tuple(d.report(df, spark.createDataFrame(items, "item_id long, text string")).first()) == (1, *brute(" ".join(long), items))
+
+
 def test_removal(spark, case):
     items, docs = case
     b = spark.createDataFrame(items, "item_id long, text string")
-    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").selectExpr("*", "1 as digest")
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").selectExpr("*", "1 as digest", "2 as __digest", "3 as __HITS", "4 as `__ws`", "5 as `a.b`")
     left = d.decontaminate(df, b)
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {i for i, t in enumerate(docs) if not brute(t, items)[4]}
     for r in d.decontaminate(df, b, "spans").collect():
