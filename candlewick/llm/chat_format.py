@@ -4,6 +4,8 @@ A pair's chosen and rejected conversations share their first turns: all turns be
 differ. That prefix is rendered once, as prompt; what follows is rendered for either side as completion, with the character spans that
 are to be learned (what assistants say, and the end mark); everything else is masked.
 
+Roles and texts are escaped ("<|" becomes "<\\|", and "<\\" becomes "<\\\\"), so no turn can hold a mark that begins or ends another one.
+
 A conversation is one record here, like a document's text: its turns are brought together, and no more than those of its pair.
 
 Defined cases: a null turn number comes first, a null role or text is empty; a turn row that is repeated counts once, different rows with
@@ -20,6 +22,11 @@ from pyspark.sql import functions as F
 LEARNED = "assistant"
 
 
+def escaped(text: Column) -> Column:
+    """The text without any "<|"; the text itself can be had back."""
+    return F.replace(F.replace(text, F.lit("<\\"), F.lit("<\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
 def _rendered(turns: str, learned: str) -> tuple[Column, Column]:
     """The turns as text, and the learned spans (start, stop) in it, in code points, end exclusive."""
     each = f"transform({turns}, x -> concat('<|', x.role, '|>\\n', x.text, '<|end|>\\n'))"
@@ -36,7 +43,7 @@ def preferences(turns: DataFrame, pairs: DataFrame, learned: str = LEARNED) -> D
     turns: conv_id, turn, role, text; pairs: pair_id, chosen_id, rejected_id, each pair_id once.
     """
     sides = pairs.select("pair_id", "chosen_id", "rejected_id", F.inline(F.expr("array(struct(chosen_id AS conv_id, true AS c), struct(rejected_id AS conv_id, false AS c))"))).where("conv_id IS NOT NULL")
-    rows = turns.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = turns.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), *[escaped(F.coalesce(c, F.lit(""))).alias(c) for c in ("role", "text")])
     both = rows.join(sides, "conv_id").groupBy("pair_id", "chosen_id", "rejected_id", "turn", "role", "text").agg(F.bool_or("c").alias("c"), F.bool_or(~F.col("c")).alias("r"))
     df = both.groupBy("pair_id", "chosen_id", "rejected_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "c", "r"))).alias("ts"))
     df = df.withColumn("cut", F.expr("array_min(transform(filter(ts, x -> NOT (x.c AND x.r)), x -> x.turn))"))
@@ -54,7 +61,7 @@ def preferences(turns: DataFrame, pairs: DataFrame, learned: str = LEARNED) -> D
 
 def neighbours(turns: DataFrame) -> DataFrame:
     """Pairs of conversations 2 k (chosen) and 2 k + 1 (rejected) of which there are turns."""
-    ids = turns.where(F.col("conv_id").isNotNull()).select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")).distinct()
+    ids = turns.where(F.col("conv_id").isNotNull()).select(F.expr("shiftright(CAST(conv_id AS bigint), 1)").alias("pair_id")).distinct()
     return ids.select("pair_id", (2 * F.col("pair_id")).alias("chosen_id"), (2 * F.col("pair_id") + 1).alias("rejected_id"))
 
 

@@ -17,10 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens, a row per piece; null and empty texts have the end token alone."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole document: counts, digest of the base spans, and all spans; a null text is empty."""
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
@@ -29,35 +31,43 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the url of every page; a null url, or one without ://, has an empty host and path."""
     return url_rules.judge(_table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every whole document and the verdict of the list learned from labels; a null text has no words."""
     docs = _table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.learn_from(docs, _table(spark, sf_dir, "labels")))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words and items of every whole document against the benchmark; a null text has no words."""
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every whole document, learned from labels outside the held-out fold; empty texts have a score too."""
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every whole document by links of similar shingle sets; texts without words stand alone."""
     return ngram_join.classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back, a row per record; a null html is empty."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log10 probability of every whole document, learned from the training fold; a null text is the end token."""
     return lm_score.report(_table(spark, sf_dir, "documents"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2 k and 2 k + 1 as chosen and rejected: digests of prompt and completions, and the learned spans."""
     turns = _table(spark, sf_dir, "conversations")
     df = chat_format.preferences(turns, chat_format.neighbours(turns))
     digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")]
@@ -109,7 +119,8 @@ ORACLES: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM d LEFT JOIN items USING (rid) LEFT JOIN pos USING (rid)""",
     "op5_chat_format": r"""
-        WITH t AS (SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        WITH t AS (SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(turn, -1) AS turn, replace(replace(coalesce(role, ''), '<\', '<\\'), '<|', '<\|') AS role,
+                          replace(replace(coalesce(text, ''), '<\', '<\\'), '<|', '<\|') AS text
                    FROM conversations WHERE conv_id IS NOT NULL),
         lone AS (SELECT pair_id, min(turn) AS cut FROM (SELECT pair_id, turn, role, text FROM t GROUP BY ALL HAVING count(*) = 1) GROUP BY pair_id),
         part AS (SELECT t.*, CASE WHEN cut IS NULL OR turn < cut THEN 'p' WHEN side = 0 THEN 'c' ELSE 'r' END AS kind FROM t LEFT JOIN lone USING (pair_id)),

@@ -1,8 +1,10 @@
 """Quality rules: base counts of a text, and a decision list learned by sequential covering.
 
 Features are DataFrame expressions, one pass over each text. The list is learned from labelled rows: each rule is a conjunction of
-thresholds, grown by FOIL's information gain on two thirds of them, pruned on the other third, and kept only if it is precise there;
-what a rule covers is removed before the next is grown. The rules are emitted as one ordered conditional expression.
+thresholds, grown by FOIL's information gain on two thirds of them, pruned on the other third, and kept only if it covers enough rows and is
+precise on the pruning third as on all rows; what a rule covers is
+removed before the next is grown. The rules are emitted as one ordered conditional expression. Windows of words are known by 64-bit hashes:
+two different ones among n of a text meet with a chance of n^2 / 2^65.
 
 Defined cases: a null text has no words (it fails the base rule); labels that are null or of unknown documents are ignored, of several
 labels for one document the highest counts; without labels of both kinds the list is empty; repeated rows give repeated results; an
@@ -116,8 +118,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, precis
         if not rule.conditions:
             break
         cover = rule.holds(x) & left
-        good, worst = int((cover & ~bad).sum()), int((cover & bad).sum())
-        if worst < support or worst < precision * (worst + good):
+        if (cover & bad).sum() < support or any((cover & bad & part).sum() < precision * (cover & part).sum() for part in (third, left)):
             break
         rules.append(rule)
         left &= ~cover

@@ -44,7 +44,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         .groupBy("r_host", "r_path")
         .agg(F.max("verdict").alias("r_verdict"))
         .withColumn("rule", F.concat("r_host", "r_path"))
-        .withColumn("r_digest", F.sha2("rule", 256))
+        .withColumn("r_digest", F.sha2(F.concat("r_host", F.lit("\n"), "r_path"), 256))  # a path needn't begin with a slash
         .withColumn("prefix", F.substring("r_digest", 1, PREFIX_HEX))
     )
     shapes = keyed.select(F.size(F.split("r_host", r"\.")).alias("labels"), F.length("r_path").alias("chars")).distinct().collect()
@@ -52,7 +52,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     # Repeated rows are counted, not carried; a host or url of many pages is spread by page.
     urls = urls.groupBy("page_id", "host", "path").agg(F.count(F.lit(1)).alias("n"))
     made = [
-        F.when((F.size(F.split("host", r"\.")) >= s.labels) & (F.length("path") >= s.chars), F.concat(F.substring_index("host", ".", -s.labels), F.substring("path", 1, s.chars)))
+        F.when((F.size(F.split("host", r"\.")) >= s.labels) & (F.length("path") >= s.chars), F.concat(F.substring_index("host", ".", -s.labels), F.lit("\n"), F.substring("path", 1, s.chars)))
         for s in shapes
     ]
     expressions = F.array_compact(F.array(*made)) if made else F.array().cast("array<string>")
