@@ -3,12 +3,12 @@
 A word's embedding is the sum of hashed rows: of the word itself and of its first 3 to 6 letters, so that words unseen in training still
 share what their beginnings taught. Filters one, two and three words wide run over the whole text; the maximum over all positions of
 each filter feeds a logistic output. The first embedding number starts as the rows' shrunken log-odds of a toxic document, the rest is
-learned by stochastic gradients, which reach the text through the positions that hold the maxima. Scores are calibrated monotonously to the labelled
-rate, and for each language the threshold with the best F1 on all labelled rows outside the held-out fold is kept, whatever their number
+learned by stochastic gradients, which reach the text through the positions that hold the maxima. The log-odds, the gradients and the
+calibration each have a part of the labelled rows of their own. Scores are calibrated monotonously to the labelled rate, and for each language the threshold with the best F1 on all labelled rows outside the held-out fold is kept, whatever their number
 and length: their scores are counted by language, label and step of the grid (thresholds judge scores, they don't enter them).
 
-Bound: at most `sample` labelled documents per class, the first by a hash of doc_id, and of these the ones up to `sample_chars`
-characters, are learned from. Every document is scored, over its whole text.
+Bound: at most `sample` labelled documents per class, the first by a hash of doc_id, and of these the ones of at most `sample_bytes` bytes
+of UTF-8, are learned from. Every document is scored, over its whole text.
 
 Defined cases: null and empty texts have no words and get the score of such a text; a null doc_id is in no fold (held_out false); labels
 that are null are ignored, of several for one document the highest counts; without labels of both kinds every score is the labelled rate
@@ -33,6 +33,7 @@ PREFIXES = (3, 4, 5, 6)
 EDGE = " \t\n.,;:!?\"'()[]{}|*#$%&<>-_/"
 PADS = max(WIDTHS) - 1
 THRESHOLD = 0.3
+LEAST_CALIBRATION = 40
 GRID = np.linspace(0.1, 0.5, 41)
 BROADCAST_ROWS = 2_000_000
 
@@ -147,17 +148,24 @@ def _log_odds(buckets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 
 def train(raws: list[bytes], toxic: np.ndarray, rate: float, steps: int = 32_000, batch: int = 64, step: float = 0.05, seed: int = 0) -> Model:
-    """Half of the rows give the log-odds, the other half the gradients (about `steps` documents are gone through) and the calibration."""
+    """Of each class 40 % of the rows give the log-odds, 40 % the gradients (about `steps` documents are gone through), 20 % the calibration.
+
+    Where a part would have too few rows of a class, the gradients and the calibration share theirs, or use all rows.
+    """
     if not toxic.any() or toxic.all():
         return Model(rate)
     rng = np.random.default_rng(seed)
     words = Words(1 << 60)
     docs = words.of(raws)
-    first = np.zeros(len(docs), bool)
+    part = np.empty(len(docs), np.int8)  # 0: log-odds, 1: gradients, 2: calibration
     for y in (False, True):
         at = rng.permutation(np.flatnonzero(toxic == y))
-        first[at[: max(1, len(at) // 2)]] = True
-    rest = np.flatnonzero(~first) if toxic[~first].any() and not toxic[~first].all() else np.arange(len(docs))
+        part[at] = np.searchsorted([0.4, 0.8], (np.arange(len(at)) + 0.5) / len(at))
+    few = lambda p, least: min((toxic & (part == p)).sum(), (~toxic & (part == p)).sum()) < least
+    if few(2, LEAST_CALIBRATION):
+        part[part == 2] = 1
+    first, rest = part == 0, np.flatnonzero(part == 1) if not few(1, 1) else np.arange(len(docs))
+    judged = np.flatnonzero(part == 2) if (part == 2).any() else rest
     emb = np.zeros((BUCKETS, DIM), np.float32)
     emb[:, 0] = _log_odds([np.unique(words.table[docs[i]]) if len(docs[i]) else np.zeros(0, np.int32) for i in np.flatnonzero(first)], toxic[first])
     filters = [rng.normal(0, 0.1, (k, DIM, FILTERS)).astype(np.float32) for k in WIDTHS]
@@ -173,8 +181,8 @@ def train(raws: list[bytes], toxic: np.ndarray, rate: float, steps: int = 32_000
     for _ in range(int(np.clip(steps / len(rest), 6, 24))):
         order = rng.permutation(rest)
         for at in range(0, len(order), batch):
-            part = order[at : at + batch]
-            flat, starts, ok = _laid_out([docs[i] for i in part])
+            k = order[at : at + batch]
+            flat, starts, ok = _laid_out([docs[i] for i in k])
             rows = words.table[np.maximum(flat, 0)]
             x = emb[rows].sum(1)
             x[flat < 0] = 0
@@ -184,16 +192,16 @@ def train(raws: list[bytes], toxic: np.ndarray, rate: float, steps: int = 32_000
             top = np.stack([s + h[s:e].argmax(0) for s, e in zip(starts, stops, strict=True)])
             pooled = np.take_along_axis(h, top, 0) + bias
             act = np.maximum(pooled, 0)
-            gone = 1 / (1 + np.exp(-(act @ out + offset))) - toxic[part]
-            g = (gone / len(part)).astype(np.float32)
+            gone = 1 / (1 + np.exp(-(act @ out + offset))) - toxic[k]
+            g = (gone / len(k)).astype(np.float32)
             back = g[:, None] * out * (pooled > 0)
             padded = np.concatenate([flat, np.full(PADS, -1, flat.dtype)])
             xp = np.concatenate([x, np.zeros((PADS, DIM), np.float32)])
             touched, changes = [], []
-            for i, k in enumerate(WIDTHS):
+            for i, width in enumerate(WIDTHS):
                 t, b = top[:, i * FILTERS : (i + 1) * FILTERS], back[:, i * FILTERS : (i + 1) * FILTERS]
                 grad = np.zeros_like(filters[i])
-                for j in range(k):
+                for j in range(width):
                     grad[j] = np.einsum("nfd,nf->df", xp[t + j], b)
                     used = (padded[t + j] >= 0) & (b != 0)
                     touched.append(words.table[padded[t + j][used]])
@@ -211,8 +219,8 @@ def train(raws: list[bytes], toxic: np.ndarray, rate: float, steps: int = 32_000
     rows = np.flatnonzero(np.any(emb != 0, 1))
     model = Model(rate, rows, emb[rows], filters, bias, out)
     scorer = Scorer(model)
-    logits = np.concatenate([scorer.logits([raws[i] for i in rest[j : j + 256]]) for j in range(0, len(rest), 256)]).astype(float)
-    model.knots = _monotone(logits, toxic[rest], rate)
+    logits = np.concatenate([scorer.logits([raws[i] for i in judged[j : j + 256]]) for j in range(0, len(judged), 256)]).astype(float)
+    model.knots = _monotone(logits, toxic[judged], rate)
     return model
 
 
@@ -267,7 +275,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_chars: int = 20_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 20_000) -> Model:
     """A model from the labelled rows (labels: doc_id, toxic) outside the held-out fold."""
     mine = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = {r.toxic: r.n for r in mine.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -276,7 +284,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_chars:
         return Model(rate)
     h = F.xxhash64("doc_id")
     wanted = mine.where("toxic = 1").orderBy(h, "doc_id").limit(sample).union(mine.where("toxic <> 1").orderBy(h, "doc_id").limit(sample))
-    text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")).where(F.octet_length("raw") <= sample_chars)
+    text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")).where(F.octet_length("raw") <= sample_bytes)
     rows = sorted((r.doc_id, bytes(r.raw), r.toxic == 1) for r in text.join(F.broadcast(wanted), "doc_id").collect())
     model = train([r[1] for r in rows], np.array([r[2] for r in rows], bool), rate) if rows else Model(rate)
     if model.out is not None:

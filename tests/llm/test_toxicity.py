@@ -1,7 +1,9 @@
+import math
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from candlewick.llm import toxicity as x
 
@@ -71,3 +73,45 @@ def test_thresholds_rest_on_all_labelled_rows(spark, tables):
         best = np.flatnonzero(f1 >= f1.max() - 1e-12)
         want[la] = float(grid[best[len(best) // 2]])
     assert m.thresholds == want
+
+
+def _slow_score(m, text):
+    """One text's score, word by word and window by window."""
+    rows = {int(r): e.astype(float) for r, e in zip(m.rows, m.emb, strict=True)}
+    vectors = []
+    for chunk in (text or "").encode().split():
+        word = chunk.decode("utf-8", "replace").lower().strip(x.EDGE)
+        keys = [word] + [word[:k] + "~" for k in x.PREFIXES if len(word) >= k]
+        v = np.zeros(x.DIM)
+        for k in keys:
+            if k:
+                v += rows.get(xxhash.xxh3_64_intdigest(k.encode()) % (x.BUCKETS - 1) + 1, np.zeros(x.DIM))
+        vectors.append(v)
+    total, number = 0.0, 0
+    for width, w in zip(x.WIDTHS, m.filters, strict=True):
+        for f in range(x.FILTERS):
+            best = -math.inf
+            for at in range(max(len(vectors), 1)):
+                best = max(best, sum(float(vectors[at + j] @ w[j][:, f]) for j in range(width) if at + j < len(vectors)))
+            total += max(best + float(m.bias[number]), 0) * float(m.out[number])
+            number += 1
+    at, y = m.knots
+    if total <= at[0]:
+        level = y[0]
+    elif total >= at[-1]:
+        level = y[-1]
+    else:
+        i = max(k for k in range(len(at)) if at[k] <= total)
+        level = y[i] + (y[i + 1] - y[i]) * (total - at[i]) / (at[i + 1] - at[i])
+    return 0.99 * level + 0.01 / (1 + math.exp(-total))
+
+
+def test_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{int(rng.zipf(1.4)) % 400}"
+    texts = [" ".join([word() for _ in range(int(rng.integers(0, 40)))] + (["Vile", "filth!"] if i % 4 == 0 else [])) for i in range(400)]
+    m = x.train([t.encode() for t in texts], np.array([i % 4 == 0 for i in range(400)]), 0.25, steps=2000)
+    odd = ["", " \n", "x", "Vile", "é VILE, filth", "(vile) " * 300, "a\x1cb c d", *texts[:60]]
+    got = x.Scorer(m).scores([t.encode() for t in odd])
+    assert max(abs(g - _slow_score(m, t)) for g, t in zip(got, odd, strict=True)) < 1e-4
+    assert np.ptp(got) > 0.5
