@@ -7,12 +7,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNIT_MS = {"m": 60_000, "h": 3_600_000, "d": 86_400_000}
+UNIT_MS = {"m": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000}
 
 
 def tf_to_ms(timeframe: str) -> int:
     """Milliseconds of a timeframe such as 5m, 4h or 1d."""
-    m = re.fullmatch(r"\s*(\d+)([mhdMHD])\s*", timeframe)
+    m = re.fullmatch(r"\s*(\d+)([mhdwMHDW])\s*", timeframe)
     if not m:
         raise ValueError(f"unknown timeframe: {timeframe!r}")
     return int(m[1]) * UNIT_MS[m[2].lower()]
@@ -21,7 +21,7 @@ def tf_to_ms(timeframe: str) -> int:
 def tf_to_ms_column(timeframe: Column) -> Column:
     unit = F.lower(F.regexp_extract(timeframe, r"([A-Za-z])\s*$", 1))
     n = F.regexp_extract(timeframe, r"(\d+)", 1).cast("long")
-    return n * F.when(unit == "m", UNIT_MS["m"]).when(unit == "h", UNIT_MS["h"]).when(unit == "d", UNIT_MS["d"])
+    return n * F.when(unit == "m", UNIT_MS["m"]).when(unit == "h", UNIT_MS["h"]).when(unit == "d", UNIT_MS["d"]).when(unit == "w", UNIT_MS["w"])
 
 
 def horizon_steps(horizon: str, execution: str) -> int:

@@ -14,7 +14,8 @@ Both levels are normalised exactly: the first by matrix products over its whole
 It is trained in numpy on all tokens of all training texts, against noise from the unigram distribution (for the second level, other
 tokens of the texts). The texts are dealt by a hash of id and text to shards of about `SHARD_TOKENS` and sorted by it there, so what is
 learned doesn't depend on how the input is partitioned. Each shard is gone through once by minibatches; the shards' parameters and AdaGrad's
-sums are averaged by their tokens, in levels of at most `FAN`; this is done `ROUNDS` times, each from the last one's mean.
+sums are averaged by their tokens, in levels of at most `FAN`; this is done `ROUNDS` times, each from the last one's mean. A shard has about
+`SHARD_STEPS` steps whatever the corpus's size, as batches are smaller where it has fewer tokens.
 
 What is broadcast has a fixed bound: the counts of the `HEAD` most frequent tokens, and the parameters. Counts of all other tokens meet
 their texts in an equi-join, in which no key is frequent.
@@ -39,12 +40,12 @@ from candlewick.llm.words import Hasher, Lookup, lean_arrow, mix, slices, texts
 from candlewick.session import written
 
 END = mix(np.zeros(1, np.uint64))[0]  # of no bytes
-VOCABULARY, HEAD, DIM = 255, 1 << 17, 16
+VOCABULARY, HEAD, DIM = 127, 1 << 17, 16
 #: Hashed rows for all other tokens at most, and states of their mixture.
-ROWS, STATES = 1 << 16, 16
+ROWS, STATES = 1 << 16, 8
 CHUNK_TOKENS = 4_000_000
-NOISE, OTHERS, BATCH, STEP = 64, 128, 4096, 0.05
-ROUNDS, SHARD_TOKENS, SHARD_STEPS, LEAST_BATCH = 2, 1 << 20, 256, 128
+NOISE, OTHERS, BATCH, STEP = 32, 128, 4096, 0.05
+ROUNDS, SHARD_TOKENS, SHARD_STEPS, LEAST_BATCH = 1, 1 << 22, 1024, 256
 #: More shards than that would move more parameters than text; beyond, shards grow.
 SHARDS, FAN = 1 << 15, 8
 #: Where AdaGrad's sums of squares start: below the square of a batch's mean gradient, so that the step size is the gradient's own.
@@ -135,15 +136,16 @@ def start_model(table: DataFrame, seed: int = 0) -> Model:
     draw = lambda spread, *shape: rng.normal(0, spread, shape).astype(np.float32)
     c1, c2 = (np.eye(DIM, dtype=np.float32) * f for f in (0.6, 0.4))
     shares = smooth / smooth.sum()
-    params = [draw(0.05, size + rows, DIM), c1, c2, draw(0.05, size, DIM), np.log(shares).astype(np.float32), draw(0.3, DIM, STATES), draw(0, STATES), draw(0.1, rows, STATES), draw(0, STATES)]
+    params = [np.concatenate([draw(0.05, size + rows, DIM), draw(0, 1, DIM)]), c1, c2, draw(0.05, size, DIM), np.log(shares).astype(np.float32), draw(0.3, DIM, STATES), draw(0, STATES), draw(0.1, rows, STATES), draw(0, STATES)]
     return Model(total, distinct, h[order], c[order], classes[order], shares, params)
 
 
 def _places(h: np.ndarray, classes: np.ndarray, size: int, rows: int) -> np.ndarray:
-    """The two context rows of each token: its class and row 0, or two of the hashed ones."""
+    """The two context rows of each token: its class and a row of zeros at the end, or two of the hashed ones."""
     mine = np.uint64(rows - 1)
-    near, far = (h & mine).astype(np.int64), ((h >> np.uint64(24)) & mine).astype(np.int64)
-    return np.stack([np.where(classes > 0, classes, near + size), np.where(classes > 0, 0, far + size)])
+    near, far = ((h >> np.uint64(k) & mine).astype(np.int32) + np.int32(size) for k in (0, 24))
+    mine = classes > 0
+    return np.stack([np.where(mine, classes, near), np.where(mine, np.int32(size + rows), far)])
 
 
 def _before(x: np.ndarray, sizes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,12 +180,15 @@ class Trainer:
 
     def _sparse(self, i: int, rows: np.ndarray, change: np.ndarray) -> None:
         order = np.argsort(rows)
-        rows = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        total, rows = np.add.reduceat(change[order], first, axis=0), rows[first]
+        new = np.empty(len(rows), bool)
+        new[:1], new[1:] = True, rows[order[1:]] != rows[order[:-1]]
+        place = np.empty(len(rows), np.int64)
+        place[order] = np.cumsum(new) - 1
+        rows, d = rows[order[new]], change.shape[1]
+        total = np.bincount((place[:, None] * d + np.arange(d)).ravel(), change.ravel(), len(rows) * d).reshape(-1, d).astype(np.float32)
         s = self.s[i]
-        s[rows] += np.einsum("nd,nd->n", total, total) / total.shape[1]
-        self.p[i][rows] -= ROW_STEP[i] * total / np.sqrt(s[rows])[:, None]
+        s[rows] += np.einsum("nd,nd->n", total, total) / np.float32(d)
+        self.p[i][rows] -= total * (np.float32(ROW_STEP[i]) / np.sqrt(s[rows]))[:, None]
 
     def step(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
         """w1, w2: context rows; w: class; out: the two output rows of the tokens without a class."""
@@ -220,8 +225,12 @@ class Trainer:
             back[flat] += d_logit @ a.T  # of one that comes twice, once
             self._sparse(7, np.concatenate([*mine]), np.concatenate([d_e, d_e]))
         grads |= {1: x1.T @ back, 2: x2.T @ back}
-        near, far = n * back @ c1.T, n * back @ c2.T
-        self._sparse(0, np.concatenate([*w1, *w2]), np.concatenate([near, near, far, far]))
+        rows, changes = [], []
+        for x, c in ((w1, c1), (w2, c2)):
+            change, hashed = n * back @ c.T, x[1] < len(q) - 1
+            rows += [x[0], x[1][hashed]]
+            changes += [change, change[hashed]]
+        self._sparse(0, np.concatenate(rows), np.concatenate(changes))
         for i, g in grads.items():
             self.s[i] += g * g
             self.p[i] -= STEP * g / np.sqrt(self.s[i])
@@ -239,9 +248,10 @@ def _learn(m: Model, sums: list[np.ndarray], slices_: Iterator[tuple[np.ndarray,
         w1, w2 = _before(x, sizes, end)
         x -= size
         order = trainer.rng.permutation(len(w))
+        mixed, w = np.concatenate([w1, w2, x]).T[order], w[order]
         for i in range(0, len(w), batch):
-            k = order[i : i + batch]
-            trainer.step(w1[:, k], w2[:, k], w[k], x[:, k])
+            k = np.ascontiguousarray(mixed[i : i + batch].T)
+            trainer.step(k[:2], k[2:4], w[i : i + batch], k[4:])
         n += len(w)
     return trainer, n
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +28,8 @@ class LabelingConfig:
 def next_at_or_after(events: DataFrame, series: DataFrame, key: list[str], payload: list[str]) -> DataFrame:
     """As-of join: each event with the payload of the first series row at or after it (null past the end).
 
-    Union and a window by key, so events and series are shuffled once, and neither side is broadcast or ranged over.
+    Union and a window by key, so events and series are shuffled once, and neither side is broadcast or ranged over. The window runs from the
+    newest row back and only ever adds a row to its frame, so a series takes linear time.
     """
     e = events.withColumn("__e", F.lit(1))
     for c in payload:
@@ -35,8 +38,8 @@ def next_at_or_after(events: DataFrame, series: DataFrame, key: list[str], paylo
     for c in events.columns:
         if c not in s.columns:
             s = s.withColumn(c, F.lit(None).cast(events.schema[c].dataType))
-    w = W.partitionBy(*key).orderBy("timestamp", F.desc("__e")).rowsBetween(0, W.unboundedFollowing)
-    found = F.first(F.when(F.col("__e") == 0, F.struct(*payload)), ignorenulls=True).over(w)
+    w = W.partitionBy(*key).orderBy(F.desc("timestamp"), "__e").rowsBetween(W.unboundedPreceding, 0)
+    found = F.last(F.when(F.col("__e") == 0, F.struct(*payload)), ignorenulls=True).over(w)
     df = e.unionByName(s.select(*e.columns)).withColumn("__f", found)
     return df.where("__e = 1").select(*events.columns, *[F.col(f"__f.{c}").alias(c) for c in payload])
 
@@ -52,29 +55,76 @@ def forward_returns(series: DataFrame, cfg: LabelingConfig = LabelingConfig()) -
     return df.select("symbol", "timestamp", *[F.when(whole, F.col(f"fwd_{h}")).alias(f"fwd_{h}") for h in cfg.horizons])
 
 
-def ranks(events: DataFrame, cfg: LabelingConfig = LabelingConfig()) -> DataFrame:
-    """Adds q_<horizon>. events: pattern_type, timeframe, timestamp and fwd_<horizon>, none of them null.
+#: Groups of at most so many events are ranked by a kernel each, larger ones by digits in this base, spread over tasks.
+SMALL_GROUP, RADIX = 250_000, 8
+_GROUP = ["pattern_type", "timeframe"]
 
-    The events of a pattern are brought into one sorted array per horizon frame; see ranks_by_join for groups too large for that.
+
+def ranks(events: DataFrame, cfg: LabelingConfig = LabelingConfig(), small: int = SMALL_GROUP) -> DataFrame:
+    """Adds q_<horizon>. events: pattern_type, timeframe, timestamp and fwd_<horizon>, none of them null. Both ways are exact and n log n."""
+    sized = events.withColumn("__size", F.count(F.lit(1)).over(W.partitionBy(*_GROUP)))
+    few, many = (sized.where(c).drop("__size") for c in (F.col("__size") <= small, F.col("__size") > small))
+    names = [f"fwd_{h}" for h in cfg.horizons]
+    lags = [k * HOUR for k in cfg.horizons.values()]
+
+    def run(group: pa.Table) -> pa.Table:
+        ts = group.column("timestamp").to_numpy()
+        for name, lag in zip(names, lags, strict=True):
+            group = group.append_column("q" + name.removeprefix("fwd"), pa.array(ranked_before(ts, group.column(name).to_numpy(), lag)))
+        return group
+
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields] + [f"q_{h} double" for h in cfg.horizons])
+    return few.groupBy(*_GROUP).applyInArrow(run, ddl).unionByName(ranks_by_digits(many, cfg))
+
+
+def ranked_before(ts: np.ndarray, values: np.ndarray, lag: int) -> np.ndarray:
+    """Of each event the share of those at least `lag` before it whose value isn't larger; 0.5 without any.
+
+    In the order of time, the events before a cutoff are a run from the first; it is cut into blocks of falling powers of two, and each
+    block, which is sorted by value, is searched.
+    """
+    order = np.argsort(ts, kind="stable")
+    before = np.searchsorted(ts[order], ts - lag, "right")
+    rank = np.unique(values, return_inverse=True)[1].ravel().astype(np.int64)
+    sorted_rank, n, count = rank[order], len(ts), np.zeros(len(ts), np.int64)
+    for bit in range(n.bit_length()):
+        asks = np.flatnonzero(before >> bit & 1)
+        if len(asks):
+            keys = np.sort((np.arange(n) >> bit) * n + sorted_rank)
+            block = before[asks] >> (bit + 1) << 1
+            count[asks] += np.searchsorted(keys, block * n + rank[asks], "right") - (block << bit)
+    return np.where(before > 0, count / np.maximum(before, 1), 0.5)
+
+
+def ranks_by_digits(events: DataFrame, cfg: LabelingConfig = LabelingConfig()) -> DataFrame:
+    """The same for groups of any size.
+
+    Counting earlier events with no larger return is counting points below and left of others. Returns are numbered by size within their
+    group; the numbers below r are those that share r's leading digits and have a smaller next one, for each digit of r. So each event
+    becomes a row for each of its digits, and per leading digits a window in the order of time keeps how often each next digit has come.
     """
-    w = W.partitionBy("pattern_type", "timeframe").orderBy("timestamp")
-    for h, k in cfg.horizons.items():
-        events = events.withColumn(f"__p_{h}", F.collect_list(f"fwd_{h}").over(w.rangeBetween(W.unboundedPreceding, -k * HOUR)))
-    made = [F.expr(f"IF(size(__p_{h}) = 0, 0.5D, size(filter(__p_{h}, v -> v <= fwd_{h})) / size(__p_{h}))").alias(f"q_{h}") for h in cfg.horizons]
-    return events.select("*", *made).drop(*[f"__p_{h}" for h in cfg.horizons])
-
-
-def ranks_by_join(events: DataFrame, cfg: LabelingConfig = LabelingConfig()) -> DataFrame:
-    """The same by a self join on the group, counted before it leaves the join; linear memory per task."""
-    e = events.withColumn("__id", F.xxhash64(*events.columns))
-    p = events.select("pattern_type", "timeframe", F.col("timestamp").alias("__ts"), *[F.col(f"fwd_{h}").alias(f"__v_{h}") for h in cfg.horizons])
-    out = e.join(p, ["pattern_type", "timeframe"], "left").groupBy("__id", *events.columns)
-    counted = []
-    for h, k in cfg.horizons.items():
-        before = F.col("__ts") <= F.col("timestamp") - k * HOUR
-        counted += [F.count_if(before).alias(f"__n_{h}"), F.count_if(before & (F.col(f"__v_{h}") <= F.col(f"fwd_{h}"))).alias(f"__k_{h}")]
-    df = out.agg(*counted)
-    return df.select(*events.columns, *[F.when(F.col(f"__n_{h}") == 0, 0.5).otherwise(F.col(f"__k_{h}") / F.col(f"__n_{h}")).alias(f"q_{h}") for h in cfg.horizons])
+    group, hs = _GROUP, list(cfg.horizons)
+    lag = F.expr("CASE h " + " ".join(f"WHEN {i} THEN {k * HOUR}L" for i, k in enumerate(cfg.horizons.values())) + " END")
+    each = events.select(*group, "timestamp", *[f"fwd_{h}" for h in hs], F.posexplode(F.array(*[f"fwd_{h}" for h in hs])).alias("h", "v"))
+    at = W.partitionBy(*group, "h")
+    each = each.withColumn("r", F.dense_rank().over(at.orderBy("v")).cast("long"))
+    each = each.withColumn("digits", F.ceil(F.log(float(RADIX), F.max("r").over(at) + 2) + 1e-9).cast("int"))
+    place = f"CAST(pow({RADIX}, l) AS bigint)"
+    rows = each.withColumn("l", F.explode(F.expr("sequence(0, digits - 1)")))
+    points = rows.select(*group, "h", "l", F.expr(f"r DIV ({place} * {RADIX})").alias("node"), F.expr(f"CAST((r DIV {place}) % {RADIX} AS int)").alias("digit"), F.col("timestamp").alias("t"), F.lit(0).alias("asks"), *[F.lit(None).cast("double").alias(f"fwd_{h}") for h in hs], F.lit(None).cast("long").alias("timestamp"), F.lit(None).cast("boolean").alias("top"))
+    asked = rows.dropDuplicates([*group, "timestamp", *[f"fwd_{h}" for h in hs], "h", "l"]).withColumn("r", F.col("r") + 1)
+    asked = asked.select(*group, "h", "l", F.expr(f"r DIV ({place} * {RADIX})").alias("node"), F.expr(f"CAST((r DIV {place}) % {RADIX} AS int)").alias("digit"), (F.col("timestamp") - lag).alias("t"), F.lit(1).alias("asks"), *[f"fwd_{h}" for h in hs], "timestamp", (F.col("l") == F.col("digits") - 1).alias("top"))
+    w = W.partitionBy(*group, "h", "l", "node").orderBy("t", "asks").rowsBetween(W.unboundedPreceding, 0)
+    sums = [F.sum(F.when((F.col("asks") == 0) & (F.col("digit") == d), 1).otherwise(0)).over(w).alias(f"s{d}") for d in range(RADIX)]
+    counted = points.unionByName(asked.where("digit > 0 OR top")).select("*", *sums).where("asks = 1")
+    below = sum((F.when(F.col("digit") > d, F.col(f"s{d}")).otherwise(0) for d in range(RADIX)), F.lit(0))
+    every = F.when(F.col("top"), sum((F.col(f"s{d}") for d in range(RADIX)), F.lit(0))).otherwise(0)
+    keys = [*group, "timestamp", *[f"fwd_{h}" for h in hs]]
+    total = counted.select(*keys, "h", below.alias("k"), every.alias("n")).groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("h") == i, F.col(c)).otherwise(0)).alias(f"__{c}_{h}") for i, h in enumerate(hs) for c in ("k", "n")]
+    )
+    df = events.join(total, keys)
+    return df.select(*events.columns, *[F.when(F.col(f"__n_{h}") == 0, 0.5).otherwise(F.col(f"__k_{h}") / F.col(f"__n_{h}")).alias(f"q_{h}") for h in hs])
 
 
 def label(instances: DataFrame, label_series: DataFrame, cfg: LabelingConfig = LabelingConfig()) -> DataFrame:

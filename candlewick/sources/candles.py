@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candlewick.functions.scalars import file_symbol, tf_to_ms
+from candlewick.functions.scalars import file_symbol, tf_to_ms, tf_to_ms_column
 
 KEYS = ["exchange", "symbol", "timeframe", "timestamp"]
 COLUMNS = [*KEYS, "open", "high", "low", "close", "volume"]
@@ -66,8 +66,8 @@ def store(candles: DataFrame, path: str) -> None:
 
 
 def scan(spark: SparkSession, path: str, exchange: str, symbol: str, timeframe: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """One series; the keys prune partitions and the range reaches the scan."""
-    df = spark.read.parquet(path).where((F.col("exchange") == exchange) & (F.col("symbol_dir") == symbol.replace("/", "_")) & (F.col("timeframe") == timeframe))
+    """One series; the keys prune partitions and the range reaches the scan. Symbols that share a folder (A/B and A_B) are told apart."""
+    df = spark.read.parquet(path).where((F.col("exchange") == exchange) & (F.col("symbol_dir") == symbol.replace("/", "_")) & (F.col("timeframe") == timeframe) & (F.col("symbol") == symbol))
     df = df if start is None else df.where(F.col("timestamp") >= start)
     df = df if end is None else df.where(F.col("timestamp") <= end)
     return df.select(*COLUMNS).orderBy("timestamp")
@@ -90,9 +90,7 @@ def pick_exchange(candles: DataFrame, required: list[str], priority: list[str])
 
 def closed(candles: DataFrame, now_ms: int) -> DataFrame:
     """Newest closed candle of every series: that has ended by now, else the one before it."""
-    ms = F.when(F.col("timeframe") == "1d", tf_to_ms("1d"))
-    for tf in ("5m", "15m", "1h", "4h"):
-        ms = ms.when(F.col("timeframe") == tf, tf_to_ms(tf))
+    ms = tf_to_ms_column(F.col("timeframe"))
     newest = candles.groupBy("exchange", "symbol", "timeframe").agg(F.max("timestamp").alias("ts"))
     return newest.select("exchange", "symbol", "timeframe", F.when(F.col("ts") <= now_ms - ms, F.col("ts")).otherwise(F.col("ts") - ms).alias("closed_ts"))
 

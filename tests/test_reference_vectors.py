@@ -76,7 +76,7 @@ def test_time_correct_labels(spark):
     got = {r.timestamp: (r.label_score, r.label) for r in labeling.label(inst, series).collect()}
     assert got[5 * HOUR] == (pytest.approx(0.75, abs=1e-9), "Neutral") and got[0] == (pytest.approx(0.5), "Neutral") and got[39 * HOUR] == (0.5, "Neutral")
     has = labeling.next_at_or_after(inst, labeling.forward_returns(series), ["symbol"], ["fwd_1h", "fwd_4h", "fwd_24h"]).where("fwd_1h IS NOT NULL")
-    a, b = (sorted(tuple(r) for r in f(has).collect()) for f in (labeling.ranks, labeling.ranks_by_join))
+    a, b = (sorted(tuple(r) for r in f(has).collect()) for f in (labeling.ranks, labeling.ranks_by_digits))
     assert a == b
 
 
