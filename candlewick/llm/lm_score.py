@@ -273,8 +273,9 @@ def train(docs: DataFrame, model: Model, table: DataFrame, rounds: int = ROUNDS)
     ddl = "slot long, n long, params binary"
     shards = int(np.clip(model.total // SHARD_TOKENS, 1, SHARDS))
     batch = int(np.clip(model.total // shards // SHARD_STEPS, min(LEAST_BATCH, BATCH), BATCH))
-    # Equal (id, text) rows are interchangeable, so their order doesn't matter.
-    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("k")).repartition(shards, "k").sortWithinPartitions("k").select("text")
+    # Equal (id, text) rows are interchangeable, so their order doesn't matter. Parameters leave a task once, so there may be no more tasks than
+    # shards, whatever a session makes of the number of partitions.
+    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("k")).repartition(shards, "k").coalesce(shards).sortWithinPartitions("k").select("text")
     packed = lambda flat: flat[:n_params].astype(np.float16).tobytes() + flat[n_params:].astype(np.float32).tobytes()
 
     def mean(group: pa.Table) -> pa.Table:
