@@ -56,6 +56,36 @@ PATTERNS = [
 ]
 
 
+#: What a pattern reports of itself. BeltHold's depends on its direction.
+FEATURES = {
+    ("DragonflyDoji", "GravestoneDoji", "LongLeggedDoji", "Doji", "SpinningTop", "Marubozu", "HaramiCross"): {"body_pct": "bp"},
+    ("HangingMan", "Hammer"): {"lower_wick_pct": "lo"},
+    ("ShootingStar", "InvertedHammer"): {"upper_wick_pct": "up"},
+    ("BeltHold", "'bullish'"): {"lo_pct": "lo"},
+    ("BeltHold", "'bearish'"): {"up_pct": "up"},
+    ("BullishEngulfing", "BearishEngulfing"): {"prev_body_pct": "bp1", "next_body_pct": "bp"},
+    ("Harami",): {"harami_body_ratio": "body / (body1 + 1e-12D)"},
+    ("DarkCloudCover", "PiercingLine"): {"mid": "(o1 + c1) / 2D"},
+    ("InsideBar", "OutsideBar"): {"range_pct": "rng / (rng1 + 1e-12D)"},
+    ("TweezerTop",): {"height_tolerance": "abs(h - h1) / (h1 + 1e-12D)"},
+    ("TweezerBottom",): {"depth_tolerance": "abs(l - l1) / (l1 + 1e-12D)"},
+    ("Kicker",): {"body1_pct": "bp1", "body2": "body"},
+    ("MorningStar", "EveningStar"): {"mid": "(o0 + c0) / 2D"},
+    ("MorningDojiStar", "EveningDojiStar"): {"mid": "(o0 + c0) / 2D", "star_doji_body_pct": "bp1"},
+    ("ThreeWhiteSoldiers", "ThreeBlackCrows"): {},
+}
+
+
+def number_map(pairs: dict[str, str]) -> str:
+    """SQL of a map of names to numbers, given as expressions."""
+    return "CAST(map({}) AS map<string,double>)".format(", ".join(f"'{k}', CAST({v} AS double)" for k, v in pairs.items()))
+
+
+def _features(name: str, side: str) -> str:
+    found = next(v for k, v in FEATURES.items() if (name in k and not k[-1].startswith("'")) or k == (name, side))
+    return number_map(found)
+
+
 def shapes(candles: DataFrame) -> DataFrame:
     """The candles with the names of the predicates."""
     w = series_window()
@@ -70,8 +100,12 @@ def shapes(candles: DataFrame) -> DataFrame:
 
 
 def detect(candles: DataFrame) -> DataFrame:
-    """(exchange, symbol, timeframe, timestamp, pattern_type, direction, confidence) of every pattern at every candle."""
-    each = ", ".join(f"CASE WHEN idx >= {least} AND {p} THEN struct('{name}' AS pattern_type, {side} AS direction, {conf}D AS confidence) END" for name, side, conf, least, p in PATTERNS)
+    """(exchange, symbol, timeframe, timestamp, pattern_type, direction, confidence) of every pattern at every candle, with what it reports of
+    itself (features) and its geometry, as maps of numbers."""
+    each = ", ".join(
+        f"CASE WHEN idx >= {least} AND {p} THEN struct('{name}' AS pattern_type, {side} AS direction, {conf}D AS confidence, {_features(name, side)} AS features, {number_map({'confidence_breakout': f'{conf}D'})} AS geometry) END"
+        for name, side, conf, least, p in PATTERNS
+    )
     found = F.expr(f"filter(array({each}), x -> x IS NOT NULL)")
     return shapes(candles).select("exchange", "symbol", "timeframe", "timestamp", F.inline(found))
 
@@ -81,4 +115,5 @@ def best(instances: DataFrame) -> DataFrame:
     keys = ["exchange", "symbol", "timeframe", "timestamp", "pattern_type"]
     detector = F.col("detector") if "detector" in instances.columns else F.lit(0)
     first = F.struct(F.negative("confidence"), detector, "direction")
-    return instances.groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.min_by("direction", first).alias("direction"))
+    more = [c for c in ("features", "geometry") if c in instances.columns]
+    return instances.groupBy(*keys).agg(F.max("confidence").alias("confidence"), *[F.min_by(c, first).alias(c) for c in ("direction", *more)])

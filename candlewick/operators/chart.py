@@ -16,7 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candlewick.functions.scalars import curvature_mean, slope_mean
+from candlewick.operators.candlestick import number_map
 from candlewick.operators.indicators import ATR, true_range
+from candlewick.session import written
 from candlewick.sources.candles import series_window
 
 ROWS, LEAST, PIVOTS, DISTANCE = 5000, 200, 30, 10
@@ -94,40 +96,52 @@ def _curve(start: str, stop: str) -> str:
     return f"transform(array({y}), y -> struct({slope_mean('y')} AS slope_mean, {curvature_mean('y')} AS curvature_mean))[0]"
 
 
-_COLUMNS = [*KEYS, "timestamp", "pattern_type", "direction", "confidence", "neckline", "slope_mean", "curvature_mean"]
+#: features and geometry are maps of numbers, lists a map of lists of numbers; neckline and the curve's numbers are also in geometry.
+_COLUMNS = [*KEYS, "timestamp", "pattern_type", "direction", "confidence", "neckline", "slope_mean", "curvature_mean", "features", "lists", "geometry"]
+_NO_LISTS = "CAST(map() AS map<string,array<double>>)"
 
 
-def _emit(df: DataFrame, name: str, side: str, first: str, last: str, confidence: str, neck: str) -> DataFrame:
+def _lists(pairs: dict[str, str]) -> str:
+    return "CAST(map({}) AS map<string,array<double>>)".format(", ".join(f"'{k}', transform({v}, z -> CAST(z AS double))" for k, v in pairs.items()))
+
+
+def _emit(df: DataFrame, name: str, side: str, first: str, last: str, confidence: str, neck: str, features: dict[str, str], lists: dict[str, str], more: dict[str, str]) -> DataFrame:
     """Rows whose close after `last` breaks the neckline."""
     margin = "0.02D * atr"
     broken = f"c[{last} + 1] < neck - {margin}" if side == "top" else f"c[{last} + 1] > neck + {margin}"
     df = df.where(f"{last} + 1 < n").withColumn("neck", F.expr(neck)).where(broken).withColumn("cv", F.expr(_curve(first, f"least({last} + 10, n - 1)")))
     share = "least(greatest(0.02D * atr / (atr + 1e-12D), 0D), 1D)"
+    df = df.withColumn("confidence", F.expr(f"({confidence}) * {share}"))
+    geometry = {"neckline": "neck", "slope_mean": "cv.slope_mean", "curvature_mean": "cv.curvature_mean", "confidence_breakout": "confidence", **more}
     return df.select(
         *KEYS, F.expr(f"ts[{last} + 1]").alias("timestamp"), F.lit(name).alias("pattern_type"), F.lit("bearish" if side == "top" else "bullish").alias("direction"),
-        F.expr(f"({confidence}) * {share}").alias("confidence"), F.col("neck").alias("neckline"), F.col("cv.slope_mean").alias("slope_mean"), F.col("cv.curvature_mean").alias("curvature_mean"),
+        "confidence", F.col("neck").alias("neckline"), F.col("cv.slope_mean").alias("slope_mean"), F.col("cv.curvature_mean").alias("curvature_mean"),
+        F.expr(number_map(features)).alias("features"), F.expr(_lists(lists)).alias("lists"), F.expr(number_map(geometry)).alias("geometry"),
     )
 
 
 def swings(series: DataFrame) -> DataFrame:
     """Double and triple tops and bottoms, and head and shoulders either way."""
     clip = lambda x: f"least(greatest({x}, 0D), 1D)"
-    out = None
+    margin, out = {"depth_tolerance": "0.02D * atr"}, None
     for side, piv, names in (("top", "hi", ("DoubleTop", "TripleTop", "HeadAndShoulders")), ("bottom", "lo", ("DoubleBottom", "TripleBottom", "InverseHeadAndShoulders"))):
         one = series.withColumn("a", F.explode(piv))
         two = one.withColumn("b", F.explode(F.expr(f"filter({piv}, q -> q.i >= a.i + {DISTANCE})")))
         pair = two.withColumn("tol", F.expr("abs(a.p - b.p) / (abs(a.p) + 1e-12D)")).where("tol <= 0.03")
-        double = _emit(pair, names[0], side, "a.i", "b.i", clip("1 - tol / 0.05D"), _neck(side, "a.i", "b.i"))
+        top = side == "top"
+        ends = ("peak1_height", "peak2_height", "height_tolerance") if top else ("valley1_depth", "valley2_depth", "depth_tolerance")
+        double = _emit(pair, names[0], side, "a.i", "b.i", clip("1 - tol / 0.05D"), _neck(side, "a.i", "b.i"), dict(zip(ends, ("a.p", "b.p", "tol"), strict=True)), {}, margin)
         three = two.withColumn("d", F.explode(F.expr(f"filter({piv}, q -> q.i >= b.i + {DISTANCE})"))).withColumn("m", F.expr("(a.p + b.p + d.p) / 3"))
         three = three.withColumn("tol", F.expr("greatest(abs(a.p - m), abs(b.p - m), abs(d.p - m)) / (abs(m) + 1e-12D)")).where("tol <= 0.04")
         both = f"{'greatest' if side == 'top' else 'least'}({_neck(side, 'a.i', 'b.i')}, {_neck(side, 'b.i', 'd.i')})"
         spacing = "(1 - least(abs((b.i - a.i) - (d.i - b.i)) / (greatest(b.i - a.i, d.i - b.i) + 1e-12D), 1D))"
-        triple = _emit(three, names[1], side, "a.i", "d.i", f"{clip('1 - tol / 0.06D')} * 0.6D + {spacing} * 0.4D", both)
+        triple = _emit(three, names[1], side, "a.i", "d.i", f"{clip('1 - tol / 0.06D')} * 0.6D + {spacing} * 0.4D", both, {ends[2]: "tol"}, {"peak_heights" if top else "valley_depths": "array(a.p, b.p, d.p)", "peak_spacing": "array(b.i - a.i, d.i - b.i)"}, margin | {"symmetry_score": spacing})
         near = series.where(f"size(hi) > 0 AND size(lo) > 0 AND size({piv}) >= 3").withColumn("k", F.explode(F.expr(f"sequence(0, greatest(size({piv}) - 3, 0))")))
         near = near.select("*", F.expr(f"{piv}[k]").alias("a"), F.expr(f"{piv}[k + 1]").alias("b"), F.expr(f"{piv}[k + 2]").alias("d"))
         head = "b.p >= greatest(a.p, d.p) + 0.05D * atr" if side == "top" else "b.p <= least(a.p, d.p) - 0.05D * atr"
         near = near.where(head).withColumn("tol", F.expr("abs(a.p - d.p) / (abs((a.p + d.p) / 2) + 1e-12D)")).where("tol <= 0.04")
-        shoulders = _emit(near, names[2], side, "a.i", "d.i", f"{clip('1 - tol / 0.08D')} * 0.6D + (1 - least(tol / 0.08D, 1D)) * 0.4D", both)
+        shoulders = _emit(near, names[2], side, "a.i", "d.i", f"{clip('1 - tol / 0.08D')} * 0.6D + (1 - least(tol / 0.08D, 1D)) * 0.4D", both, {"head_height" if top else "head_depth": "b.p", "shoulder_tolerance": "tol"},
+                          {"shoulder_heights" if top else "shoulder_depths": "array(a.p, d.p)"}, {"symmetry_score": "1 - least(tol / 0.08D, 1D)"})
         for df in (double, triple, shoulders):
             out = df if out is None else out.unionByName(df)
     return out
@@ -177,10 +191,39 @@ _TAIL_RULES = [
 ]
 
 
-def _chosen(df: DataFrame, rules: list[tuple[str, ...]], extra: tuple[str, str]) -> DataFrame:
-    each = ", ".join(f"CASE WHEN {r[3]} THEN struct(ts[{r[4] if len(r) > 4 else 'n - 1'}] AS timestamp, '{r[0]}' AS pattern_type, '{r[1]}' AS direction, {r[2]}D AS confidence) END" for r in rules)
-    df = df.withColumn("cv", F.expr(_curve(*extra))).select(*KEYS, F.expr("cv.slope_mean").alias("slope_mean"), F.expr("cv.curvature_mean").alias("curvature_mean"), F.inline(F.expr(f"filter(array({each}), x -> x IS NOT NULL)")))
-    return df.withColumn("neckline", F.lit(None).cast("double")).select(*_COLUMNS)
+_SLOPES, _CURVE = {"slope_high": "sh", "slope_low": "sl"}, ("least(hi2.i, lo2.i)", "k")
+_FLAT, _IMPULSE = {"height_tolerance": "0D", "depth_tolerance": "0D"}, {"impulse_return": "impulse", "range_pct": "(h30 - l30) / (last + 1e-12D)"}
+_WYCKOFF = {"support": "l100", "resistance": "h100", "range_pct": "(h100 - l100) / (last + 1e-12D)"}
+#: Pattern -> what it reports of itself, the range of its curve (or, for flags, the slope that stands for it), more geometry.
+_REPORTS = {
+    ("AscendingTriangle", "DescendingTriangle"): (_SLOPES, _CURVE, _FLAT),
+    ("SymmetricalTriangle", "BroadeningFormation", "RisingWedge", "FallingWedge"): (_SLOPES, _CURVE, {}),
+    ("Channels",): ({"slope_hi": "sh", "slope_lo": "sl"}, ("least(hi2.i, lo2.i)", "n - 1"), {}),
+    ("BullFlag", "BearFlag"): (_IMPULSE, "drift", _FLAT),
+    ("BullPennant", "BearPennant"): (_IMPULSE | {"contraction": "squeeze"}, "0D", _FLAT),
+    ("RectangleRange",): ({"range_pct": "(h60 - l60) / (last + 1e-12D)", "upper": "h60", "lower": "l60"}, ("n - 60", "n - 1"), {}),
+    ("SwingFailureBullish",): ({"support": "l30"}, ("n - 30", "n - 1"), {}),
+    ("SwingFailureBearish",): ({"resistance": "h30"}, ("n - 30", "n - 1"), {}),
+    ("LiquiditySweepLow",): ({"support": "l25"}, ("n - 25", "n - 1"), {}),
+    ("LiquiditySweepHigh",): ({"resistance": "h25"}, ("n - 25", "n - 1"), {}),
+    ("WyckoffAccumulation", "WyckoffDistribution"): (_WYCKOFF, ("n - 100", "n - 1"), {}),
+    ("RoundedBottom", "RoundedTop"): ({"quad_coeff": "q120"}, ("n - 120", "n - 1"), {}),
+    ("CupAndHandle",): ({"quad_coeff": "q104", "rim": "array_max(cup)", "handle_low": "array_min(handle)"}, ("n - 160", "n - 1"), {}),
+}
+
+
+def _chosen(df: DataFrame, rules: list[tuple[str, ...]]) -> DataFrame:
+    """One row for each rule that holds; a pattern's curve is worked out only then."""
+    each = []
+    for name, side, confidence, holds, *at in rules:
+        features, curve, more = next(v for k, v in _REPORTS.items() if name in k)
+        cv = f"named_struct('slope_mean', CAST({curve} AS double), 'curvature_mean', 0D)" if isinstance(curve, str) else _curve(*curve)
+        geometry = number_map({"confidence_breakout": f"{confidence}D", "slope_mean": "cv.slope_mean", "curvature_mean": "cv.curvature_mean", **more})
+        made = f"""struct(ts[{at[0] if at else 'n - 1'}] AS timestamp, '{name}' AS pattern_type, '{side}' AS direction, {confidence}D AS confidence, cv.slope_mean AS slope_mean,
+            cv.curvature_mean AS curvature_mean, {number_map(features)} AS features, {geometry} AS geometry)"""
+        each.append(f"CASE WHEN {holds} THEN transform(array({cv}), cv -> {made})[0] END")
+    df = df.select(*KEYS, F.inline(F.expr(f"filter(array({', '.join(each)}), x -> x IS NOT NULL)")))
+    return df.withColumn("neckline", F.lit(None).cast("double")).withColumn("lists", F.expr(_NO_LISTS)).select(*_COLUMNS)
 
 
 def by_last_pivots(series: DataFrame) -> DataFrame:
@@ -190,7 +233,7 @@ def by_last_pivots(series: DataFrame) -> DataFrame:
         "*", F.expr("(hi1.p - hi2.p) / (hi1.i - hi2.i)").alias("sh"), F.expr("(lo1.p - lo2.p) / (lo1.i - lo2.i)").alias("sl"), F.expr("greatest(hi1.p, hi2.p)").alias("ph"), F.expr("least(lo1.p, lo2.p)").alias("pl"),
         F.expr("least(n - 1, greatest(hi1.i, lo1.i) + 1)").alias("k"), F.expr("0.01D * atr").alias("m"), F.expr("c[n - 1]").alias("last"),
     )
-    return _chosen(df, _PIVOT_RULES, ("least(hi2.i, lo2.i)", "k"))
+    return _chosen(df, _PIVOT_RULES)
 
 
 def by_last_candles(series: DataFrame) -> DataFrame:
@@ -208,7 +251,7 @@ def by_last_candles(series: DataFrame) -> DataFrame:
         F.expr(_quadratic("c120", 120)).alias("q120"), F.expr("array_position(c120, array_min(c120)) - 1").alias("low_at"), F.expr("array_position(c120, array_max(c120)) - 1").alias("high_at"),
         F.expr(_quadratic("cup", 104)).alias("q104"),
     )
-    return _chosen(df, _TAIL_RULES, ("n - 100", "n - 1"))
+    return _chosen(df, _TAIL_RULES)
 
 
 def retests(series: DataFrame) -> DataFrame:
@@ -219,10 +262,15 @@ def retests(series: DataFrame) -> DataFrame:
     up = df.where("c[i] > u + m").where(f"exists({after}, j -> l[j] <= u + m AND c[j] > u - m)").withColumn("direction", F.lit("bullish"))
     down = df.where("c[i] < d - m").where(f"exists({after}, j -> h[j] >= d - m AND c[j] < d + m)").withColumn("direction", F.lit("bearish"))
     both = up.unionByName(down).withColumn("cv", F.expr(_curve("n - 80", "n - 1")))
-    return both.select(*KEYS, F.expr("ts[i]").alias("timestamp"), F.lit("BreakoutRetest").alias("pattern_type"), "direction", F.lit(0.55).alias("confidence"), F.lit(None).cast("double").alias("neckline"), "cv.slope_mean", "cv.curvature_mean")
+    geometry = {"confidence_breakout": "0.55D", "slope_mean": "cv.slope_mean", "curvature_mean": "cv.curvature_mean"}
+    features = {"range_upper": "u", "range_lower": "d", "range_pct": "(u - d) / (c[n - 31] + 1e-12D)"}
+    return both.select(
+        *KEYS, F.expr("ts[i]").alias("timestamp"), F.lit("BreakoutRetest").alias("pattern_type"), "direction", F.lit(0.55).alias("confidence"), F.lit(None).cast("double").alias("neckline"), "cv.slope_mean", "cv.curvature_mean",
+        F.expr(number_map(features)).alias("features"), F.expr(_NO_LISTS).alias("lists"), F.expr(number_map(geometry)).alias("geometry"),
+    )
 
 
 def detect(candles: DataFrame) -> DataFrame:
-    """All chart patterns of all series with at least 200 candles."""
-    series = with_pivots(segments(candles))
+    """All chart patterns of all series with at least 200 candles. The pivots, one row a series, are written once and read by each family."""
+    series = written(with_pivots(segments(candles)), "chart-series")
     return swings(series).unionByName(by_last_pivots(series)).unionByName(by_last_candles(series)).unionByName(retests(series))

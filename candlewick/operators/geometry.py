@@ -10,7 +10,7 @@ from candlewick.sources.candles import series_window
 
 HALF, POINTS, SIGNATURE = 24, 32, 48
 #: The geometry numbers of an embedding, in order.
-GEOMETRY = ["height_tolerance", "depth_tolerance", "symmetry_score", "curvature_mean", "slope_mean", "confidence_breakout", "shape_dtw_to_u", "shape_dtw_to_invu"]
+GEOMETRY = ["confidence_breakout", "symmetry_score", "curvature_mean", "slope_mean", "shape_dtw_to_u", "shape_dtw_to_invu", "height_tolerance", "depth_tolerance"]
 
 
 def with_curve(candles: DataFrame) -> DataFrame:
@@ -33,12 +33,19 @@ def enriched(rows: DataFrame, seg: str = "seg") -> DataFrame:
     return df.select("*", *made).drop("__s", "__w", "__u", "__v")
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """The geometry map with the curve's numbers that enriched() added, which replace the detector's own."""
+    mine = ["curvature_mean", "slope_mean", "shape_dtw_to_u", "shape_dtw_to_invu"]
+    kept = F.map_filter("geometry", lambda k, _: ~k.isin(*mine))
+    return rows.withColumn("geometry", F.map_concat(kept, F.create_map(*[x for k in mine for x in (F.lit(k), F.col(k))])))
+
+
 def embedded(rows: DataFrame) -> DataFrame:
-    """Adds embedding: 24 hash places of the pattern, the geometry map's numbers, volatility, regime, ten detector numbers by key, ten
-    pairs of zeros; of length 1 unless all is 0. rows: pattern_type, geometry and features (maps), atr_pct, regime."""
+    """Adds embedding: 24 hash places of the pattern, the geometry map's numbers, volatility, regime (low 0, high 1, else a half), ten
+    detector numbers by key, ten pairs of zeros; of length 1 unless all is 0. rows: pattern_type, geometry and features (maps), atr_pct, regime."""
     hot = multi_hot("pattern_type")
     geometry = F.array(*[F.coalesce(F.col("geometry")[k], F.lit(0.0)) for k in GEOMETRY])
-    level = F.when(F.col("regime") == "low", 0.0).when(F.col("regime") == "mid", 0.5).otherwise(1.0)
+    level = F.when(F.col("regime") == "low", 0.0).when(F.col("regime") == "high", 1.0).otherwise(0.5)
     ten = F.expr("slice(concat(transform(array_sort(map_keys(features)), k -> features[k]), array_repeat(0D, 10)), 1, 10)")
     df = rows.withColumn("__e", F.concat(hot, geometry, F.array(F.coalesce("atr_pct", F.lit(0.0)), level), ten, F.array_repeat(F.lit(0.0), 20)))
     norm = F.expr("sqrt(aggregate(__e, 0D, (s, x) -> s + x * x))")

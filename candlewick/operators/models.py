@@ -11,15 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def scaled(rows: DataFrame, vector: str, fitted: DataFrame | None = None) -> DataFrame:
-    """Adds features: the vector standardised by population mean and deviation of the fitted rows (of the rows themselves without any)."""
-    base = rows if fitted is None else fitted
-    at = base.select(F.posexplode(vector).alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    one = at.agg(F.sort_array(F.collect_list(F.struct("k", "m", "s"))).alias("__z"))  # one row of the vector's length
+def scaler(rows: DataFrame, vector: str) -> DataFrame:
+    """(k, m, s): population mean and deviation of each of the vector's numbers; as many rows as it is long."""
+    return rows.select(F.posexplode(vector).alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+
+
+def with_scaler(rows: DataFrame, vector: str, fitted: DataFrame) -> DataFrame:
+    """Adds features: the vector standardised by what scaler() gave (numbers without any deviation are only centred)."""
+    one = fitted.agg(F.sort_array(F.collect_list(F.struct("k", "m", "s"))).alias("__z"))  # one row of the vector's length
     df = rows.crossJoin(F.broadcast(one))
     return df.withColumn("features", array_to_vector(F.expr(f"zip_with({vector}, __z, (x, z) -> (x - z.m) / IF(z.s > 0, z.s, 1D))"))).drop("__z")
 
 
+def scaled(rows: DataFrame, vector: str, fitted: DataFrame | None = None) -> DataFrame:
+    """Adds features, standardised by the fitted rows (by the rows themselves without any)."""
+    return with_scaler(rows, vector, scaler(rows if fitted is None else fitted, vector))
+
+
 def direction_model(rows: DataFrame, label: str = "y_dir", balanced: bool = False) -> PipelineModel:
     """Logistic regression on features; balanced: each class has the same weight."""
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from candlewick.operators.candlestick import PATTERNS
-
 ORACLES: dict[str, str] = {}
 
 
@@ -37,17 +35,63 @@ def _slope(source: str) -> str:
     return f"(SELECT *, CASE WHEN count(*) {w} < 2 THEN 0 ELSE coalesce(regr_slope(close, idx) {w}, 0) END AS slope FROM {_tr(source)})"
 
 
+def _is(name: str, way: str, conf: float, **numbers: str) -> str:
+    way = f"'{way}'" if way in ("bullish", "bearish", "neutral") else way
+    f = "MAP {" + ", ".join(f"'{k}': CAST({v} AS DOUBLE)" for k, v in numbers.items()) + "}" if numbers else "MAP([]::VARCHAR[], []::DOUBLE[])"
+    return f"{{'name': '{name}', 'way': {way}, 'conf': {conf}::DOUBLE, 'f': {f}}}"
+
+
+_WAY = "CASE WHEN k.c > k.o THEN 'bullish' WHEN k.c < k.o THEN 'bearish' ELSE 'neutral' END"
+#: By hand, from the patterns' definitions: k is the candle, p the one before, q the one before that; b body, r range.
+_ARMS = [
+    f"""CASE WHEN k.b / k.r > 0.1 THEN NULL WHEN lower >= 0.5 AND upper <= 0.2 THEN {_is("DragonflyDoji", "if(k.c >= k.o, 'bullish', 'bearish')", 0.6, body_pct="k.b / k.r")}
+        WHEN upper >= 0.5 AND lower <= 0.2 THEN {_is("GravestoneDoji", "if(k.c <= k.o, 'bearish', 'bullish')", 0.6, body_pct="k.b / k.r")}
+        WHEN least(lower, upper) >= 0.35 THEN {_is("LongLeggedDoji", "neutral", 0.55, body_pct="k.b / k.r")} ELSE {_is("Doji", "neutral", 0.5, body_pct="k.b / k.r")} END""",
+    f"""CASE WHEN lower < 0.6 OR k.b / k.r > 0.3 OR upper > 0.25 THEN NULL WHEN slope > 0 AND k.c - k.o <= 0.2 * k.r THEN {_is("HangingMan", "bearish", 0.55, lower_wick_pct="lower")} ELSE {_is("Hammer", "bullish", 0.55, lower_wick_pct="lower")} END""",
+    f"""CASE WHEN upper < 0.6 OR k.b / k.r > 0.3 OR lower > 0.25 THEN NULL WHEN slope < 0 AND k.o - k.c <= 0.2 * k.r THEN {_is("ShootingStar", "bearish", 0.55, upper_wick_pct="upper")}
+        ELSE {_is("InvertedHammer", "if(slope < 0, 'bearish', 'bullish')", 0.5, upper_wick_pct="upper")} END""",
+    f"CASE WHEN k.b / k.r <= 0.25 AND least(lower, upper) >= 0.3 THEN {_is('SpinningTop', 'neutral', 0.45, body_pct='k.b / k.r')} END",
+    f"CASE WHEN greatest(lower, upper) <= 0.03 THEN {_is('Marubozu', _WAY, 0.65, body_pct='k.b / k.r')} END",
+    f"CASE WHEN k.c > k.o AND lower <= 0.05 AND k.h - k.c <= 0.05 * k.r THEN {_is('BeltHold', 'bullish', 0.55, lo_pct='lower')} WHEN k.c < k.o AND upper <= 0.05 AND k.c - k.l <= 0.05 * k.r THEN {_is('BeltHold', 'bearish', 0.55, up_pct='upper')} END",
+]
+_TWO_BARS = [
+    f"CASE WHEN down1 AND rises AND k.o < p.c AND k.c > p.o THEN {_is('BullishEngulfing', 'bullish', 0.6, prev_body_pct='p.b / p.r', next_body_pct='k.b / k.r')} END",
+    f"CASE WHEN up1 AND falls AND k.o > p.c AND k.c < p.o THEN {_is('BearishEngulfing', 'bearish', 0.6, prev_body_pct='p.b / p.r', next_body_pct='k.b / k.r')} END",
+    f"CASE WHEN down1 AND rises AND k.b < p.b AND k.o > p.c AND k.c < p.o THEN {_is('Harami', 'bullish', 0.45, harami_body_ratio='k.b / (p.b + 1e-12)')} WHEN up1 AND falls AND k.b < p.b AND k.o < p.c AND k.c > p.o THEN {_is('Harami', 'bearish', 0.45, harami_body_ratio='k.b / (p.b + 1e-12)')} END",
+    f"CASE WHEN k.b / k.r > 0.1 THEN NULL WHEN down1 AND rises AND k.b < p.b AND k.o > p.c AND k.c < p.o THEN {_is('HaramiCross', 'bullish', 0.5, body_pct='k.b / k.r')} WHEN up1 AND falls AND k.b < p.b AND k.o < p.c AND k.c > p.o THEN {_is('HaramiCross', 'bearish', 0.5, body_pct='k.b / k.r')} END",
+    f"CASE WHEN up1 AND falls AND k.o >= p.c AND k.c <= (p.o + p.c) / 2 AND k.c > p.l THEN {_is('DarkCloudCover', 'bearish', 0.6, mid='(p.o + p.c) / 2')} END",
+    f"CASE WHEN down1 AND rises AND k.o <= p.c AND k.c >= (p.o + p.c) / 2 AND k.c < p.o THEN {_is('PiercingLine', 'bullish', 0.6, mid='(p.o + p.c) / 2')} END",
+    f"CASE WHEN k.h <= p.h AND k.l >= p.l THEN {_is('InsideBar', 'neutral', 0.4, range_pct='k.r / (p.r + 1e-12)')} END",
+    f"CASE WHEN k.h >= p.h AND k.l <= p.l THEN {_is('OutsideBar', _WAY, 0.4, range_pct='k.r / (p.r + 1e-12)')} END",
+    f"CASE WHEN up1 AND falls AND abs(k.h - p.h) / (p.h + 1e-12) <= 0.01 THEN {_is('TweezerTop', 'bearish', 0.55, height_tolerance='abs(k.h - p.h) / (p.h + 1e-12)')} END",
+    f"CASE WHEN down1 AND rises AND abs(k.l - p.l) / (p.l + 1e-12) <= 0.01 THEN {_is('TweezerBottom', 'bullish', 0.55, depth_tolerance='abs(k.l - p.l) / (p.l + 1e-12)')} END",
+    f"CASE WHEN p.b / p.r > 0.2 OR k.b < 1.2 * p.b THEN NULL WHEN down1 AND rises AND k.c > p.h THEN {_is('Kicker', 'bullish', 0.6, body1_pct='p.b / p.r', body2='k.b')} WHEN up1 AND falls AND k.c < p.l THEN {_is('Kicker', 'bearish', 0.6, body1_pct='p.b / p.r', body2='k.b')} END",
+]
+_THREE_BARS = [
+    f"CASE WHEN q.c < q.o AND p.b / p.r <= 0.35 AND k.c > (q.o + q.c) / 2 AND rises THEN {_is('MorningStar', 'bullish', 0.55, mid='(q.o + q.c) / 2')} WHEN q.c > q.o AND p.b / p.r <= 0.35 AND k.c < (q.o + q.c) / 2 AND falls THEN {_is('EveningStar', 'bearish', 0.55, mid='(q.o + q.c) / 2')} END",
+    f"CASE WHEN p.b / p.r > 0.1 THEN NULL WHEN q.c < q.o AND k.c > (q.o + q.c) / 2 AND rises THEN {_is('MorningDojiStar', 'bullish', 0.6, mid='(q.o + q.c) / 2', star_doji_body_pct='p.b / p.r')} WHEN q.c > q.o AND k.c < (q.o + q.c) / 2 AND falls THEN {_is('EveningDojiStar', 'bearish', 0.6, mid='(q.o + q.c) / 2', star_doji_body_pct='p.b / p.r')} END",
+    # Three in a row are looked for once a fourth candle is there.
+    f"""CASE WHEN idx = n - 1 OR least(q.b / (q.r + 1e-12), p.b / (p.r + 1e-12), k.b / (k.r + 1e-12)) <= 0.2 THEN NULL
+        WHEN q.o < q.c AND up1 AND rises AND q.c < p.c AND p.c < k.c AND p.o BETWEEN q.o AND q.c AND k.o BETWEEN p.o AND p.c THEN {_is("ThreeWhiteSoldiers", "bullish", 0.6)}
+        WHEN q.o > q.c AND down1 AND falls AND q.c > p.c AND p.c > k.c AND p.o BETWEEN q.c AND q.o AND k.o BETWEEN p.c AND p.o THEN {_is("ThreeBlackCrows", "bearish", 0.6)} END""",
+]
+
+
 def _patterns(source: str) -> str:
-    back = ", ".join(f"lag({x}, {k}) OVER ({_W}) AS {x}{name}" for k, name in ((1, 1), (2, 0)) for x in ("o", "h", "l", "c", "rng", "body", "bp"))
-    arms = " UNION ALL ".join(f"SELECT symbol, timeframe, timestamp, '{p}' AS pattern_type, {side} AS direction, CAST({conf} AS DOUBLE) AS confidence FROM sh WHERE idx >= {least} AND n >= 5 AND {cond}" for p, side, conf, least, cond in PATTERNS)
-    return f"""(WITH f AS (SELECT *, open AS o, high AS h, low AS l, close AS c, greatest(high - low, 1e-12) AS rng, abs(close - open) AS body FROM {_slope(source)}),
-        g AS (SELECT *, body / rng AS bp, (h - greatest(o, c)) / rng AS up, (least(o, c) - l) / rng AS lo FROM f), sh AS MATERIALIZED (SELECT *, {back} FROM g) {arms})"""
+    arms = ", ".join([*(x.replace("CASE WHEN", "CASE WHEN idx < 2 THEN NULL WHEN", 1) for x in (*_ARMS, *_THREE_BARS)), *(x.replace("CASE WHEN", "CASE WHEN idx < 1 THEN NULL WHEN", 1) for x in _TWO_BARS)])
+    return f"""(WITH f AS (SELECT symbol, timeframe, timestamp, idx, n, slope, {{'o': open, 'h': high, 'l': low, 'c': close, 'r': greatest(high - low, 1e-12), 'b': abs(close - open)}} AS k FROM {_slope(source)}),
+        g AS (SELECT *, lag(k) OVER ({_W}) AS p, lag(k, 2) OVER ({_W}) AS q, (k.h - greatest(k.o, k.c)) / k.r AS upper, (least(k.o, k.c) - k.l) / k.r AS lower, k.c > k.o AS rises, k.c < k.o AS falls FROM f),
+        m AS MATERIALIZED (SELECT *, p.c > p.o AS up1, p.c < p.o AS down1 FROM g WHERE n >= 5),
+        u AS (SELECT symbol, timeframe, timestamp, unnest(list_filter([{arms}], lambda z: z IS NOT NULL)) AS z FROM m)
+        SELECT symbol, timeframe, timestamp, z.name AS pattern_type, z.way AS direction, z.conf AS confidence, z.f AS features FROM u)"""
 
 
 def _best(source: str) -> str:
-    return f"(SELECT symbol, timeframe, timestamp, pattern_type, max(confidence) AS confidence, arg_min(direction, row(-confidence, direction)) AS direction FROM {_patterns(source)} GROUP BY ALL)"
+    return f"(SELECT symbol, timeframe, timestamp, pattern_type, max(confidence) AS confidence, arg_min(direction, row(-confidence, direction)) AS direction, arg_min(features, row(-confidence, direction)) AS features FROM {_patterns(source)} GROUP BY symbol, timeframe, timestamp, pattern_type)"
 
 
+_NAMES = """BearishEngulfing BeltHold BullishEngulfing DarkCloudCover Doji DragonflyDoji EveningDojiStar EveningStar GravestoneDoji Hammer HangingMan Harami HaramiCross InsideBar InvertedHammer Kicker
+    LongLeggedDoji Marubozu MorningDojiStar MorningStar OutsideBar PiercingLine ShootingStar SpinningTop ThreeBlackCrows ThreeWhiteSoldiers TweezerBottom TweezerTop"""
 _FORWARD = f"""(SELECT symbol, timestamp, CASE WHEN ok THEN c1 / close - 1 END AS fwd_1h, CASE WHEN ok THEN c4 / close - 1 END AS fwd_4h, CASE WHEN ok THEN c24 / close - 1 END AS fwd_24h
     FROM (SELECT *, c1 IS NOT NULL AND c4 IS NOT NULL AND c24 IS NOT NULL AND close <> 0 AS ok FROM (SELECT symbol, timestamp, close, lead(close, 1) OVER w AS c1, lead(close, 4) OVER w AS c4, lead(close, 24) OVER w AS c24
     FROM {H1} WINDOW w AS (PARTITION BY symbol ORDER BY timestamp))))"""
@@ -86,7 +130,7 @@ ORACLES |= {
     "timeframe_alignment": f"""SELECT p.symbol, p.timestamp, p.pattern_type, count(s.timestamp) AS matches, round(greatest(0, least(1, any_value(p.confidence) * (1 + 0.1 * count(s.timestamp)))), 6) AS boosted
         FROM {_best(H4)} p LEFT JOIN {_best(H1)} s ON s.symbol = p.symbol AND s.pattern_type = p.pattern_type AND abs(s.timestamp - p.timestamp) <= 7200000 GROUP BY p.symbol, p.timestamp, p.pattern_type""",
     "pattern_hash": "WITH n(pattern_type) AS (VALUES "
-    + ", ".join(f"('{p}')" for p in sorted({p[0] for p in PATTERNS}))
+    + ", ".join(f"('{p}')" for p in _NAMES.split())
     + "), h AS (SELECT pattern_type, "
     + ", ".join(f"CAST(list_reduce(list_prepend(0, [strpos('0123456789abcdef', substr(md5(pattern_type || '|{i}'), k, 1)) - 1 for k in range(1, 33)]), lambda a, x: (16 * a + x) % 24) AS INTEGER) AS h{i}" for i in range(6))
     + " FROM n) SELECT *, CAST(len(list_distinct([h0, h1, h2, h3, h4, h5])) AS INTEGER) AS n_hot FROM h",
@@ -119,7 +163,7 @@ _TAKEN = f"""(WITH RECURSIVE t AS MATERIALIZED (SELECT policy, row_number() OVER
         FROM {_TRADES} JOIN {_STARTS} USING (policy) WHERE timestamp >= eval_start),
     fold(policy, k, last, equity, taken, took) AS (SELECT policy, 0::BIGINT, -1::BIGINT, 10000.0::DOUBLE, 0, false FROM (SELECT DISTINCT policy FROM t)
         UNION ALL SELECT f.policy, t.k, CASE WHEN go THEN t.exit_ts ELSE f.last END, CASE WHEN go THEN f.equity * (1 + t.share) ELSE f.equity END, f.taken + CASE WHEN go THEN 1 ELSE 0 END, go
-        FROM fold f JOIN t ON t.policy = f.policy AND t.k = f.k + 1, LATERAL (SELECT t.timestamp >= f.last AND f.equity > 0 AND f.taken < 200 AS go))
+        FROM fold f JOIN t ON t.policy = f.policy AND t.k = f.k + 1, LATERAL (SELECT t.timestamp >= f.last AND f.equity > 0 AS go))
     SELECT f.policy, CAST(f.taken - 1 AS INTEGER) AS number, t.timestamp, t.exit_ts, t.pattern_type, f.equity, f.equity * t.share / (1 + t.share) AS net_pnl, t.share FROM fold f JOIN t USING (policy, k) WHERE f.took)"""
 _METRICS = f"""(WITH t AS MATERIALIZED (SELECT * FROM {_TAKEN}), st AS (SELECT DISTINCT policy FROM {_STARTS}),
     c AS (SELECT policy, 0 AS number, 10000.0 AS equity FROM st UNION ALL SELECT policy, number + 1, equity FROM t),
@@ -160,8 +204,8 @@ ORACLES |= {
     "regression_scores": f"SELECT count(*) AS n, round(avg(abs(fwd_4h - fwd_1h)), 4) AS mae, round(1 - sum((fwd_4h - fwd_1h) ** 2) / (var_pop(fwd_4h) * count(*)), 4) AS r2 FROM {LABELLED} WHERE fwd_4h IS NOT NULL",
     "standardised": f"SELECT symbol, timestamp, round((close - avg(close) OVER ()) / stddev_pop(close) OVER (), 4) AS close, round((volume - avg(volume) OVER ()) / stddev_pop(volume) OVER (), 4) AS volume FROM {H4}",
     "training_table": f"SELECT symbol, timestamp, pattern_type, CASE label WHEN 'Good' THEN 1 ELSE 0 END AS y_dir, round(fwd_4h, 6) AS y_return FROM {LABELLED} WHERE label <> 'Neutral' AND fwd_4h IS NOT NULL",
-    "scalar_functions": f"""SELECT timestamp, CAST(14400000 AS BIGINT) AS ms, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%dT%H:%M:%SZ') AS iso, 'BTC_USDT' AS file, 'BTC/USDT|4h|' || timestamp AS record_id,
-        CASE WHEN CAST(volume AS BIGINT) % 2 = 0 THEN volume / 2 ELSE 2 * floor((volume + 1) / 4) END AS half, 'BTC/USDT' AS from_json FROM {H4} WHERE symbol = 'click'""",
+    "scalar_functions": f"""SELECT symbol || '/USDT' AS symbol, timestamp, CAST(14400000 AS BIGINT) AS ms, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%dT%H:%M:%SZ') AS iso, symbol || '_USDT' AS file, symbol || '/USDT|4h|' || timestamp AS record_id,
+        CASE WHEN CAST(volume AS BIGINT) % 2 = 0 THEN volume / 2 ELSE 2 * floor((volume + 1) / 4) END AS half, symbol || '/USDT' AS from_json FROM {H4}""",
     "ohlcv_decode": f"SELECT timestamp, {_R(6, 'open', 'high', 'low', 'close', 'volume')} FROM {H4}",
 }
 
@@ -178,14 +222,17 @@ _CURVE = f"""(WITH s AS (SELECT symbol, timestamp, list(close) OVER ({_W} ROWS B
         {_DTW.format(u="u")} AS shape_dtw_to_u, {_DTW.format(u="v")} AS shape_dtw_to_invu FROM r)"""
 ORACLES["curve_geometry"] = f"SELECT symbol, timestamp, {_R(5, 'curvature_mean', 'slope_mean', 'shape_dtw_to_u', 'shape_dtw_to_invu')} FROM {_CURVE}"
 _CONTEXT = ORACLES["event_context"].partition("SELECT symbol, timestamp, round")[0] + "SELECT symbol, timestamp, atr_pct, vol_z, CASE WHEN atr_pct < 0.01 THEN 0.0 WHEN atr_pct < 0.03 THEN 0.5 ELSE 1.0 END AS level FROM p"
+#: The vector, place by place: hash places, the geometry numbers in their order, volatility, the detector's numbers by name, zeros.
 ORACLES["pattern_embedding"] = f"""WITH hash AS ({ORACLES["pattern_hash"]}),
-    j AS (SELECT b.symbol, b.timestamp, b.pattern_type, b.confidence, n_hot, curvature_mean, slope_mean, shape_dtw_to_u, shape_dtw_to_invu, atr_pct, level, vol_z
+    j AS (SELECT b.symbol, b.timestamp, b.pattern_type, list_concat([if(list_contains([h0, h1, h2, h3, h4, h5], i), 1, 0)::DOUBLE for i in range(0, 24)], [b.confidence, 0, curvature_mean, slope_mean, shape_dtw_to_u, shape_dtw_to_invu, 0, 0, atr_pct, level],
+            list_resize([z[2]::DOUBLE for z in list_sort([[x.key, x.value::VARCHAR] for x in map_entries(b.features)])], 10, 0::DOUBLE), list_resize([]::DOUBLE[], 20, 0::DOUBLE)) AS v
         FROM {_best(H4)} b JOIN {_CURVE} c USING (symbol, timestamp) JOIN ({_CONTEXT}) x USING (symbol, timestamp) JOIN hash USING (pattern_type)),
-    k AS (SELECT *, sqrt(n_hot + curvature_mean ** 2 + slope_mean ** 2 + confidence ** 2 + shape_dtw_to_u ** 2 + shape_dtw_to_invu ** 2 + atr_pct ** 2 + level ** 2 + vol_z ** 2) AS z FROM j)
-    SELECT symbol, timestamp, pattern_type, 64 AS dims, round(n_hot / z, 6) AS hash_part, round((curvature_mean + slope_mean + confidence + shape_dtw_to_u + shape_dtw_to_invu) / z, 6) AS geometry_part,
-        round((atr_pct + level) / z, 6) AS volatility_part, round(vol_z / z, 6) AS feature_part FROM k"""
+    e AS (SELECT symbol, timestamp, pattern_type, v, sqrt(list_dot_product(v, v)) AS size, unnest(range(1, 65)) AS i FROM j)
+    SELECT symbol, timestamp, pattern_type, CAST(i - 1 AS INTEGER) AS place, round(v[i] / size, 5) AS value FROM e"""
+ORACLES["candlestick_features"] = f"""SELECT symbol, timeframe, timestamp, pattern_type, direction, x.key AS feature, CASE WHEN x.value < 1e6 THEN round(x.value, 6) END AS value, round(log10(1 + x.value), 6) AS magnitude
+    FROM (SELECT *, unnest(map_entries(features)) AS x FROM (SELECT * FROM {_patterns(DAILY)} UNION ALL SELECT * FROM {_patterns(H4)}))"""
 
-ORACLES["environment_episode"] = f"""WITH RECURSIVE b AS MATERIALIZED (SELECT symbol, CAST(idx AS INTEGER) AS idx, high, low, close, atr, CASE idx % 7 WHEN 0 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS action FROM {_atr(H1)} WHERE idx BETWEEN 40 AND 159),
+ORACLES["environment_episode"] = f"""WITH RECURSIVE b AS MATERIALIZED (SELECT symbol, CAST(idx AS INTEGER) AS idx, high, low, close, atr, CASE idx % 7 WHEN 0 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS action FROM {_atr(H1)} WHERE idx >= 40),
     f(symbol, idx, cash, qty, sl, tp, equity, before) AS (SELECT DISTINCT symbol, 39, 10000.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 10000.0::DOUBLE, 10000.0::DOUBLE FROM b
     UNION ALL SELECT b.symbol, b.idx, t.cash, t.qty, t.sl, t.tp, t.cash + t.qty * b.close, f.equity FROM f JOIN b ON b.symbol = f.symbol AND b.idx = f.idx + 1,
         LATERAL (SELECT CASE WHEN f.qty > 0 THEN CASE WHEN b.low <= f.sl THEN f.sl WHEN b.high >= f.tp THEN f.tp END END AS hit) h,

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from candlewick.functions import scalars
 from candlewick.operators import backtest, candlestick, chart, datasets, geometry, indicators, labeling, models, simulate, vectors
+from candlewick.session import scratch_path
 from candlewick.sources import candles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Patterns that have a label and a signal in the queries: bullish ones long, bearish ones short.
-CFG = backtest.BacktestConfig(eval_fraction=0.5, horizon_steps=3, max_trades=200)
+CFG = backtest.BacktestConfig(eval_fraction=0.5, horizon_steps=3)
 
 
 def query(f: Query) -> Query:
@@ -62,9 +63,11 @@ def candle_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def candle_range_scan(spark: SparkSession, d: str) -> DataFrame:
-    """A series between two times."""
-    df = candles.from_events(spark, d, "1h").where(F.col("symbol").isin("click", "purchase") & F.col("timestamp").between(1704412800000, 1705017600000))
-    return _rounded(df.select("symbol", "timestamp", "close"))
+    """Two stored series between two times."""
+    path = scratch_path(spark, "candles")
+    candles.store(candles.from_events(spark, d, "1h"), path)
+    each = [candles.scan(spark, path, "local", symbol, "1h", 1704412800000, 1705017600000) for symbol in ("click", "purchase")]
+    return _rounded(each[0].unionByName(each[1]).select("symbol", "timestamp", "close"))
 
 
 @query
@@ -119,6 +122,14 @@ def candlestick_patterns(spark: SparkSession, d: str) -> DataFrame:
     return candlestick.detect(both).select("symbol", "timeframe", "timestamp", "pattern_type", "direction", "confidence")
 
 
+@query
+def candlestick_features(spark: SparkSession, d: str) -> DataFrame:
+    """What each pattern reports of itself. Shares of a range without extent are huge, so the magnitude is given too."""
+    both = candles.daily(spark, d).unionByName(_h4(spark, d))
+    each = candlestick.detect(both).select("symbol", "timeframe", "timestamp", "pattern_type", "direction", F.explode("features").alias("feature", "value"))
+    return _rounded(each.select("*", F.log10(1 + F.col("value")).alias("magnitude")).withColumn("value", F.when(F.col("value") < 1e6, F.col("value"))))
+
+
 @query
 def pattern_dedup(spark: SparkSession, d: str) -> DataFrame:
     """D1."""
@@ -168,10 +179,7 @@ def _embedded(spark: SparkSession, d: str) -> DataFrame:
     ctx = indicators.at_event(_h4(spark, d)).select("symbol", "timeframe", "timestamp", "atr_pct", "regime", "vol_z")
     curve = geometry.with_curve(_h4(spark, d)).select("symbol", "timeframe", "timestamp", "seg")
     df = _patterns(spark, d).join(ctx, ["symbol", "timeframe", "timestamp"]).join(curve, ["symbol", "timeframe", "timestamp"])
-    df = geometry.enriched(df)
-    keys = ["curvature_mean", "slope_mean", "shape_dtw_to_u", "shape_dtw_to_invu"]
-    geo = F.map_from_arrays(F.array(*[F.lit(k) for k in (*keys, "confidence_breakout")]), F.array(*keys, "confidence"))
-    return geometry.embedded(df.withColumn("geometry", geo).withColumn("features", F.create_map(F.lit("vol_z"), "vol_z")))
+    return geometry.embedded(geometry.merged(geometry.enriched(df)))
 
 
 @query
@@ -183,10 +191,8 @@ def curve_geometry(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pattern_embedding(spark: SparkSession, d: str) -> DataFrame:
-    """Its length, and its sums by part."""
-    df = _embedded(spark, d)
-    part = lambda a, n: F.expr(f"round(aggregate(slice(embedding, {a}, {n}), 0D, (s, x) -> s + x), 6)")
-    return df.select("symbol", "timestamp", "pattern_type", F.size("embedding").alias("dims"), part(1, 24).alias("hash_part"), part(25, 8).alias("geometry_part"), part(33, 2).alias("volatility_part"), part(35, 30).alias("feature_part"))
+    """The 64 numbers."""
+    return _rounded(_embedded(spark, d).select("symbol", "timestamp", "pattern_type", F.posexplode("embedding").alias("place", "value")), 5)
 
 
 def _store(spark: SparkSession, d: str) -> DataFrame:
@@ -370,17 +376,17 @@ def model_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def environment_episode(spark: SparkSession, d: str) -> DataFrame:
-    """A scripted episode of 120 hourly bars per symbol."""
-    bars = indicators.with_atr(candles.from_events(spark, d, "1h")).where("idx BETWEEN 40 AND 159").withColumn("action", (F.col("idx") % 7 == 0).cast("int") + 2 * (F.col("idx") % 7 == 4).cast("int"))
+    """A scripted episode over the hourly bars of every symbol, from the first one whose features are whole."""
+    bars = indicators.with_atr(candles.from_events(spark, d, "1h")).where("idx >= 40").withColumn("action", (F.col("idx") % 7 == 0).cast("int") + 2 * (F.col("idx") % 7 == 4).cast("int"))
     return _rounded(simulate.episode(bars.select("symbol", F.col("idx").cast("int").alias("idx"), "high", "low", "close", "atr", "action")), 4)
 
 
 @query
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     """M1-M6: durations, times, ids, JSON."""
-    df = _h4(spark, d).where("symbol = 'click'").withColumn("symbol", F.lit("BTC/USDT"))
+    df = _h4(spark, d).withColumn("symbol", F.concat("symbol", F.lit("/USDT")))
     return df.select(
-        "timestamp", scalars.tf_to_ms_column(F.col("timeframe")).alias("ms"), scalars.iso_utc(F.col("timestamp")).alias("iso"), scalars.file_symbol(F.col("symbol")).alias("file"),
+        "symbol", "timestamp", scalars.tf_to_ms_column(F.col("timeframe")).alias("ms"), scalars.iso_utc(F.col("timestamp")).alias("iso"), scalars.file_symbol(F.col("symbol")).alias("file"),
         scalars.record_id("symbol", "timeframe", "timestamp").alias("record_id"), F.bround(F.col("volume") / 2, 0).alias("half"), F.get_json_object(F.to_json(F.struct("timestamp", "symbol")), "$.symbol").alias("from_json"),
     )
 

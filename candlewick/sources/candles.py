@@ -50,13 +50,13 @@ def validated(candles: DataFrame, strict: bool = False) -> DataFrame:
     return df.orderBy("exchange", "symbol", "timeframe", "timestamp")
 
 
-def upserted(stored: DataFrame, new: DataFrame, sequence: str = "ingest_seq") -> DataFrame:
-    """Both tables' candles, the one with the highest sequence per key; of equal ones the new one."""
+def upserted(stored: DataFrame, new: DataFrame, sequence: str = "ingest_seq", keep: bool = False) -> DataFrame:
+    """Both tables' candles, the one with the highest sequence per key; of equal ones the new one. keep: with its sequence."""
     both = stored.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
     at = F.coalesce(F.col(sequence), F.lit(-1)) if sequence in both.columns else F.lit(-1)
     rank = F.struct(at.alias("q"), "__new", *COLUMNS[4:])
     kept = both.groupBy(*KEYS).agg(F.max(rank).alias("r"))
-    return kept.select(*KEYS, *[F.col(f"r.{c}").alias(c) for c in COLUMNS[4:]])
+    return kept.select(*KEYS, *[F.col(f"r.{c}").alias(c) for c in COLUMNS[4:]], *([F.col("r.q").cast("long").alias(sequence)] if keep else []))
 
 
 def store(candles: DataFrame, path: str) -> None:
