@@ -155,3 +155,26 @@ def compare(records: DataFrame, candles: DataFrame, policies: dict[str, Policy],
     taken = written(backtest.portfolio(backtest.trades(signals, candles, cfg), starts, cfg), "trades-taken")
     curve = backtest.equity_curve(taken, starts, cfg)
     return backtest.ranked(backtest.metrics(taken, curve, cfg)), taken, curve
+
+
+def promote(spark: SparkSession, rows: DataFrame, execution: DataFrame, folder: str, cycle: int, cfg: backtest.BacktestConfig = backtest.BacktestConfig(), max_events: int = 30) -> bool:
+    """Whether the model in folder/candidate replaces the one in folder/champion, by a comparison over the same events.
+
+    The decision and both models' metrics are written to folder/cycles/<number>/promotion (JSON); a promoted model is copied.
+    """
+    names = {"champion": f"{folder}/champion", "candidate": f"{folder}/candidate"}
+    fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    conf = spark._jsc.hadoopConfiguration()
+    there = fs(names["champion"]).getFileSystem(conf).exists(fs(f"{names['champion']}/meta"))
+    policies = {k: model_policy(load(spark, p), cfg) for k, p in names.items() if k != "champion" or there}
+    found = written(compare(rows, execution, policies, cfg, max_events)[0], "promotion-metrics")
+    side = lambda k: found.where(F.col("policy") == k).withColumn("policy", F.lit("model"))
+    wins = bool(backtest.promoted(side("champion"), side("candidate")).first()["promote"])
+    result = {"cycle": cycle, "promote": wins, **{k: found.where(F.col("policy") == k).drop("policy", "place").first() for k in names}}
+    result = {k: v.asDict() if hasattr(v, "asDict") else v for k, v in result.items()}
+    spark.range(1).select(F.lit(json.dumps(result)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/cycles/{cycle}/promotion")
+    if wins:
+        path = fs(names["champion"])
+        path.getFileSystem(conf).delete(path, True)
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs(names["candidate"]).getFileSystem(conf), fs(names["candidate"]), path.getFileSystem(conf), path, False, conf)
+    return wins

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candlewick.functions.scalars import file_symbol, tf_to_ms, tf_to_ms_column
+from candlewick.session import written
 
 KEYS = ["exchange", "symbol", "timeframe", "timestamp"]
 COLUMNS = [*KEYS, "open", "high", "low", "close", "volume"]
@@ -65,6 +66,26 @@ def store(candles: DataFrame, path: str) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy("exchange", "symbol_dir", "timeframe").parquet(path)
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """All stored candles; None if there are none yet."""
+    try:
+        return spark.read.parquet(path).select(*COLUMNS)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def merge(spark: SparkSession, path: str, new: DataFrame) -> None:
+    """Upserts new candles into the stored ones. Only series that get candles are rewritten, from a table written beside them first."""
+    fresh, old = written(new, "candles-new"), stored(spark, path)
+    if old is not None:
+        old = old.join(fresh.select(*KEYS[:3]).distinct(), KEYS[:3], "left_semi")
+        fresh = written(upserted(old, fresh), "candles-merged")
+    if fresh.limit(1).count():
+        store(fresh, path)
+
+
 def scan(spark: SparkSession, path: str, exchange: str, symbol: str, timeframe: str, start: int | None = None, end: int | None = None) -> DataFrame:
     """One series; the keys prune partitions and the range reaches the scan. Symbols that share a folder (A/B and A_B) are told apart."""
     df = spark.read.parquet(path).where((F.col("exchange") == exchange) & (F.col("symbol_dir") == symbol.replace("/", "_")) & (F.col("timeframe") == timeframe) & (F.col("symbol") == symbol))

@@ -3,13 +3,14 @@
 spark.read.format("paged_candles").options(fetch="module:function", exchanges="first,fallback", symbols="A/U,B/U", timeframes="1h,4h", since="0")
 
 fetch(exchange, symbol, timeframe, since_ms) returns rows [timestamp, open, high, low, close, volume] from that time on, in the order of
-time. Each series is a partition, so a lost executor costs one series. Pages are asked for until one brings nothing newer; a call that
+time. since_by (JSON, "symbol|timeframe" -> ms) gives a series a start of its own, such as its latest stored candle. Each series is a partition, so a lost executor costs one series. Pages are asked for until one brings nothing newer; a call that
 fails is tried again after doubling pauses, then the next exchange takes over from where the series stands.
 """
 
 from __future__ import annotations
 
 import importlib
+import json
 import time
 from collections.abc import Iterator
 
@@ -35,7 +36,8 @@ class PagedReader(DataSourceReader):
         module, _, name = self.options["fetch"].partition(":")
         fetch = getattr(importlib.import_module(module), name)
         tries, pause = int(self.options.get("tries", "4")), float(self.options.get("pause", "0.5"))
-        since, failed = int(self.options.get("since", "0")), None
+        own = json.loads(self.options.get("since_by", "{}"))
+        since, failed = int(own.get(f"{symbol}|{timeframe}", self.options.get("since", "0"))), None
         for exchange in self.options["exchanges"].split(","):
             attempt = 0
             while attempt < tries:

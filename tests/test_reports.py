@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,3 +45,25 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["backtest", "--signals", str(tmp_path / "s"), "--candles", str(tmp_path / "c"), "--timeframe", "1h", "--out", str(tmp_path / "r")])
     cli.main(["backtest-rank", "--reports", str(tmp_path / "r")])
     assert "p-click" in capsys.readouterr().out
+
+
+def test_continual_learning(spark, tmp_path, capsys, monkeypatch):
+    """Download, update, rebuild, train, compare and promote, from a service of random walks."""
+    here = Path(__file__).parent
+    spark.sparkContext.addPyFile(str(here / "paged_service.py"))
+    monkeypatch.syspath_prepend(str(here))
+    c, out = str(tmp_path / "c"), str(tmp_path / "m")
+    service = ["--fetch", "paged_service:walk", "--exchanges", "x", "--symbols", "A/U", "--timeframes", "4h,1h", "--candles", c]
+    cli.main(["download-data", *service])
+    n = spark.read.parquet(c).count()
+    assert n == 1500 and sorted(r.timeframe for r in spark.read.parquet(c).select("timeframe").distinct().collect()) == ["1h", "4h"]
+    cli.main(["update-data", *service])
+    assert spark.read.parquet(c).count() == n
+    cli.main(["continual-learning", *service, "--patterns", str(tmp_path / "p"), "--models", out, "--detection", "4h", "--poll", "0", "--max-cycles", "2"])
+    assert capsys.readouterr().out.strip().endswith("2")
+    first = json.loads(spark.read.text(f"{out}/cycles/0/promotion").first()[0])
+    assert first["promote"] and first["champion"] is None and first["candidate"]["trade_count"] >= 0
+    assert (tmp_path / "m/champion/meta").exists() and not (tmp_path / "m/cycles/1").exists()
+    cli.main(["train-sequence", "--records", str(tmp_path / "p"), "--out", str(tmp_path / "s"), "--length", "3"])
+    cli.main(["compare", "--records", str(tmp_path / "p"), "--candles", c, "--out", str(tmp_path / "r"), "--model", out + "/champion", "--sequence", str(tmp_path / "s"), "--timeframe", "1h", "--max-events", "20"])
+    assert "pattern-similarity" in capsys.readouterr().out
