@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from candlewick.session import written
+
 DAY = 86_400_000
 
 
@@ -29,9 +31,15 @@ def sequences(rows: DataFrame, length: int, stride: int = 1, vector: str = "embe
     return df.where((F.col("__n") >= length) & ((F.col("__n") - length) % stride == 0)).drop("__n", vector).withColumnRenamed("timestamp", "ts_end")
 
 
+def recent_windows(windows: DataFrame, most: int) -> DataFrame:
+    """The `most` newest windows (by ts_end, then series)."""
+    return windows.orderBy(F.desc("ts_end"), "symbol", "timeframe", "pattern_type").limit(most)
+
+
 def time_split(rows: DataFrame, ts: str = "timestamp", share: float = 0.8, embargo: int = DAY) -> DataFrame:
-    """Adds split: val from the row at `share` on, train up to a day before its time, null between."""
-    n = F.count(F.lit(1))
+    """Adds split: val from the row at `share` on, train up to a day before its time, null between. The rows are written once, as the places
+    of that row's day, of its time, and the split itself are each worked out from them."""
+    rows, n = written(rows, "time-split"), F.count(F.lit(1))
     counted = rows.agg(n.alias("n")).select(F.least(F.greatest(F.floor(F.col("n") * share), F.lit(1)), F.col("n") - 1).alias("k"))
     before = lambda key: F.coalesce(F.sum("c").over(W.orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # The day of the row first, from one count per day, then the time within that day: no window ever sees more than that.

@@ -61,20 +61,25 @@ _GROUP = ["pattern_type", "timeframe"]
 
 
 def ranks(events: DataFrame, cfg: LabelingConfig = LabelingConfig(), small: int = SMALL_GROUP) -> DataFrame:
-    """Adds q_<horizon>. events: pattern_type, timeframe, timestamp and fwd_<horizon>, none of them null. Both ways are exact and n log n."""
+    """Adds q_<horizon>. events: pattern_type, timeframe, timestamp and fwd_<horizon>, which are null all together or not at all; events without
+    returns have no rank and don't count for others. Both ways are exact and n log n."""
     sized = events.withColumn("__size", F.count(F.lit(1)).over(W.partitionBy(*_GROUP)))
     few, many = (sized.where(c).drop("__size") for c in (F.col("__size") <= small, F.col("__size") > small))
     names = [f"fwd_{h}" for h in cfg.horizons]
     lags = [k * HOUR for k in cfg.horizons.values()]
 
     def run(group: pa.Table) -> pa.Table:
-        ts = group.column("timestamp").to_numpy()
+        has = np.flatnonzero(group.column(names[0]).is_valid().to_numpy())
+        ts = group.column("timestamp").to_numpy()[has]
         for name, lag in zip(names, lags, strict=True):
-            group = group.append_column("q" + name.removeprefix("fwd"), pa.array(ranked_before(ts, group.column(name).to_numpy(), lag)))
+            q, lacks = np.zeros(group.num_rows), np.ones(group.num_rows, bool)
+            q[has], lacks[has] = ranked_before(ts, group.column(name).to_numpy(zero_copy_only=False)[has], lag), False
+            group = group.append_column("q" + name.removeprefix("fwd"), pa.array(q, mask=lacks))
         return group
 
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields] + [f"q_{h} double" for h in cfg.horizons])
-    return few.groupBy(*_GROUP).applyInArrow(run, ddl).unionByName(ranks_by_digits(many, cfg))
+    lack = many.where(F.col(names[0]).isNull()).select("*", *[F.lit(None).cast("double").alias(f"q_{h}") for h in cfg.horizons])
+    return few.groupBy(*_GROUP).applyInArrow(run, ddl).unionByName(ranks_by_digits(many.where(F.col(names[0]).isNotNull()), cfg)).unionByName(lack)
 
 
 def ranked_before(ts: np.ndarray, values: np.ndarray, lag: int) -> np.ndarray:
@@ -134,12 +139,9 @@ def label(instances: DataFrame, label_series: DataFrame, cfg: LabelingConfig = L
     """
     names = [f"fwd_{h}" for h in cfg.horizons]
     got = next_at_or_after(instances, forward_returns(label_series, cfg), ["symbol"], names)
-    has = got.where(F.col(names[0]).isNotNull())
-    ranked = ranks(has, cfg)
-    score = sum((F.col(f"q_{h}") * cfg.weights[h] for h in cfg.horizons), F.lit(0.0))
-    named = ranked.withColumn("label_score", score).withColumn("label", F.when(F.col("label_score") >= cfg.good, "Good").when(F.col("label_score") <= cfg.bad, "Bad").otherwise("Neutral"))
-    rest = got.where(F.col(names[0]).isNull())
-    return named.select(*got.columns, "label_score", "label").unionByName(rest.select("*", F.lit(0.5).alias("label_score"), F.lit("Neutral").alias("label")))
+    score = F.coalesce(sum((F.col(f"q_{h}") * cfg.weights[h] for h in cfg.horizons), F.lit(0.0)), F.lit(0.5))
+    named = F.when(F.col(names[0]).isNull(), "Neutral").when(F.col("label_score") >= cfg.good, "Good").when(F.col("label_score") <= cfg.bad, "Bad").otherwise("Neutral")
+    return ranks(got, cfg).withColumn("label_score", score).withColumn("label", named).select(*got.columns, "label_score", "label")
 
 
 def aligned(instances: DataFrame, primary: str, secondary: str, secondary_ms: int) -> DataFrame:

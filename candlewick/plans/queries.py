@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from candlewick.functions import scalars
 from candlewick.operators import backtest, candlestick, chart, datasets, geometry, indicators, labeling, models, simulate, vectors
-from candlewick.session import scratch_path
+from candlewick.session import scratch_path, written
 from candlewick.sources import candles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,8 +272,10 @@ def evaluation_start(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _taken(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    starts = backtest.evaluation_start(_signals(spark, d), CFG.eval_fraction)
-    return backtest.portfolio(_possible(spark, d), starts, CFG), starts
+    """Signals and trades are written once: starts, trades, curves and metrics read them."""
+    signals = written(_signals(spark, d), "signals")
+    starts = backtest.evaluation_start(signals, CFG.eval_fraction)
+    return written(backtest.portfolio(backtest.trades(signals, candles.from_events(spark, d, "1h"), CFG), starts, CFG), "taken"), starts
 
 
 @query
@@ -302,7 +304,7 @@ def rank_policies(spark: SparkSession, d: str) -> DataFrame:
 def promotion_gate(spark: SparkSession, d: str) -> DataFrame:
     """Each policy challenges itself with less risk."""
     taken, starts = _taken(spark, d)
-    found = backtest.metrics(taken, backtest.equity_curve(taken, starts, CFG), CFG)
+    found = written(backtest.metrics(taken, backtest.equity_curve(taken, starts, CFG), CFG), "metrics")
     weaker = found.withColumn("sharpe", F.col("sharpe") + F.when(F.col("policy") == "p-click", -1.0).otherwise(1.0))
     return backtest.promoted(found.where("policy <> 'p-view'"), weaker)
 
