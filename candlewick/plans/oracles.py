@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from candlewick.plans.planted import planted
+
 ORACLES: dict[str, str] = {}
 
 
@@ -265,6 +267,17 @@ PIVOTS = f"""(WITH t AS (SELECT * FROM {_tr(DAILY)}), a AS (SELECT symbol, avg(t
 ORACLES["chart_pivots"] = f"SELECT symbol, side, CAST(idx AS INTEGER) AS idx, round(price, 6) AS price FROM {PIVOTS}"
 
 
+_D2 = "lead(close) OVER w2 - 2 * close + lag(close) OVER w2 AS d2"
+_W2 = f"WINDOW w2 AS ({_W})"
+
+
+def _curve_of(symbol: str, first: str, stop: str) -> str:
+    """Mean step, and mean second difference, of the closes of a range over the first of them."""
+    at = lambda i: f"(SELECT r.close FROM t r WHERE r.symbol = {symbol} AND r.idx = {i})"
+    bent = f"(SELECT avg(abs(r.d2)) FROM t r WHERE r.symbol = {symbol} AND r.idx > {first} AND r.idx < {stop})"
+    return f"CASE WHEN {stop} - {first} < 2 THEN 0 ELSE ({at(stop)} / {at(first)} - 1) / ({stop} - {first}) END AS slope_mean, CASE WHEN {stop} - {first} < 2 THEN 0 ELSE {bent} / {at(first)} END AS curvature_mean"
+
+
 def _swings(side: str) -> str:
     top = side == "hi"
     other, best, raw, line, cmp, off = ("lo", "max", "min", "low", "<", "-") if top else ("hi", "min", "max", "high", ">", "+")
@@ -272,35 +285,38 @@ def _swings(side: str) -> str:
     neck = lambda a, b: f"coalesce((SELECT {best}(o.price) FROM pv o WHERE o.symbol = x.symbol AND o.side = '{other}' AND o.idx > {a} AND o.idx < {b}), (SELECT {raw}(r.{line}) FROM t r WHERE r.symbol = x.symbol AND r.idx BETWEEN {a} AND {b}))"
     clip = lambda v: f"least(greatest({v}, 0), 1)"
     head = "b.price >= greatest(a.price, d.price) + 0.05 * m.atr" if top else "b.price <= least(a.price, d.price) - 0.05 * m.atr"
-    return f"""SELECT y.symbol, q.timestamp, y.pattern_type, '{way}' AS direction, y.conf * least(greatest(0.02 * y.atr / (y.atr + 1e-12), 0), 1) AS confidence, y.neck AS neckline FROM (
-        SELECT x.symbol, '{names[0]}' AS pattern_type, x.bi AS last, {clip("1 - x.tol / 0.05")} AS conf, {neck("x.ai", "x.bi")} AS neck, x.atr
+    return f"""SELECT y.symbol, q.timestamp, y.pattern_type, '{way}' AS direction, y.conf * least(greatest(0.02 * y.atr / (y.atr + 1e-12), 0), 1) AS confidence, y.neck AS neckline, {_curve_of("y.symbol", "y.first", "least(y.last + 10, q.n - 1)")} FROM (
+        SELECT x.symbol, '{names[0]}' AS pattern_type, x.ai AS first, x.bi AS last, {clip("1 - x.tol / 0.05")} AS conf, {neck("x.ai", "x.bi")} AS neck, x.atr
             FROM (SELECT a.symbol, a.idx AS ai, b.idx AS bi, abs(a.price - b.price) / (abs(a.price) + 1e-12) AS tol, m.atr FROM pv a JOIN pv b ON a.symbol = b.symbol AND a.side = '{side}' AND b.side = '{side}' AND b.idx - a.idx >= 10 JOIN m ON m.symbol = a.symbol) x WHERE x.tol <= 0.03
-        UNION ALL SELECT x.symbol, '{names[1]}', x.di, {clip("1 - x.tol / 0.06")} * 0.6 + (1 - least(abs((x.bi - x.ai) - (x.di - x.bi)) / (greatest(x.bi - x.ai, x.di - x.bi) + 1e-12), 1)) * 0.4, {most}({neck("x.ai", "x.bi")}, {neck("x.bi", "x.di")}), x.atr
+        UNION ALL SELECT x.symbol, '{names[1]}', x.ai, x.di, {clip("1 - x.tol / 0.06")} * 0.6 + (1 - least(abs((x.bi - x.ai) - (x.di - x.bi)) / (greatest(x.bi - x.ai, x.di - x.bi) + 1e-12), 1)) * 0.4, {most}({neck("x.ai", "x.bi")}, {neck("x.bi", "x.di")}), x.atr
             FROM (SELECT a.symbol, a.idx AS ai, b.idx AS bi, d.idx AS di, (a.price + b.price + d.price) / 3 AS mean, greatest(abs(a.price - mean), abs(b.price - mean), abs(d.price - mean)) / (abs(mean) + 1e-12) AS tol, m.atr
                 FROM pv a JOIN pv b ON a.symbol = b.symbol AND a.side = '{side}' AND b.side = '{side}' AND b.idx - a.idx >= 10 JOIN pv d ON d.symbol = b.symbol AND d.side = '{side}' AND d.idx - b.idx >= 10 JOIN m ON m.symbol = a.symbol) x WHERE x.tol <= 0.04
-        UNION ALL SELECT x.symbol, '{names[2]}', x.di, {clip("1 - x.tol / 0.08")} * 0.6 + (1 - least(x.tol / 0.08, 1)) * 0.4, {most}({neck("x.ai", "x.bi")}, {neck("x.bi", "x.di")}), x.atr
+        UNION ALL SELECT x.symbol, '{names[2]}', x.ai, x.di, {clip("1 - x.tol / 0.08")} * 0.6 + (1 - least(x.tol / 0.08, 1)) * 0.4, {most}({neck("x.ai", "x.bi")}, {neck("x.bi", "x.di")}), x.atr
             FROM (SELECT a.symbol, a.idx AS ai, b.idx AS bi, d.idx AS di, abs(a.price - d.price) / (abs((a.price + d.price) / 2) + 1e-12) AS tol, m.atr
                 FROM nb a JOIN nb b ON a.symbol = b.symbol AND a.side = '{side}' AND b.side = '{side}' AND b.k = a.k + 1 JOIN nb d ON d.symbol = a.symbol AND d.side = '{side}' AND d.k = a.k + 2 JOIN m ON m.symbol = a.symbol WHERE {head}) x WHERE x.tol <= 0.04
         ) y JOIN t q ON q.symbol = y.symbol AND q.idx = y.last + 1 WHERE q.close {cmp} y.neck {off} 0.02 * y.atr"""
 
 
-_CHART = f"""WITH pv AS MATERIALIZED (SELECT * FROM {PIVOTS}), t AS MATERIALIZED (SELECT * FROM {_tr(DAILY)}), m AS (SELECT symbol, avg(tr) AS atr FROM t WHERE idx >= n - 14 GROUP BY symbol),
+_CHART = f"""WITH pv AS MATERIALIZED (SELECT * FROM {PIVOTS}), t AS MATERIALIZED (SELECT *, {_D2} FROM {_tr(DAILY)} {_W2}), m AS (SELECT symbol, avg(tr) AS atr FROM t WHERE idx >= n - 14 GROUP BY symbol),
     nb AS (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY idx) AS k FROM pv)"""
-ORACLES["chart_swings"] = f"{_CHART} SELECT symbol, timestamp, pattern_type, direction, {_R(6, 'confidence', 'neckline')} FROM ({_swings('hi')} UNION ALL {_swings('lo')})"
+ORACLES["chart_swings"] = f"{_CHART} SELECT symbol, timestamp, pattern_type, direction, {_R(6, 'confidence', 'neckline')}, {_R(8, 'slope_mean', 'curvature_mean')} FROM ({_swings('hi')} UNION ALL {_swings('lo')})"
 _TWO = lambda side, j: f"(SELECT symbol, idx, price FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) AS j FROM pv WHERE side = '{side}') WHERE j = {j})"
 ORACLES["chart_last_pivots"] = f"""{_CHART},
-    z AS (SELECT m.symbol, m.atr * 0.01 AS g, (h1.price - h2.price) / (h1.idx - h2.idx) AS sh, (l1.price - l2.price) / (l1.idx - l2.idx) AS sl, greatest(h1.price, h2.price) AS ph, least(l1.price, l2.price) AS pl, greatest(h1.idx, l1.idx) + 1 AS k
+    z AS (SELECT m.symbol, m.atr * 0.01 AS g, (h1.price - h2.price) / (h1.idx - h2.idx) AS sh, (l1.price - l2.price) / (l1.idx - l2.idx) AS sl, greatest(h1.price, h2.price) AS ph, least(l1.price, l2.price) AS pl, greatest(h1.idx, l1.idx) + 1 AS k, least(h2.idx, l2.idx) AS i0
         FROM m JOIN {_TWO('hi', 1)} h1 USING (symbol) JOIN {_TWO('hi', 2)} h2 USING (symbol) JOIN {_TWO('lo', 1)} l1 USING (symbol) JOIN {_TWO('lo', 2)} l2 USING (symbol)),
     w AS (SELECT z.*, q.timestamp, q.close, e.timestamp AS end_ts, e.close AS end_close FROM z JOIN t q ON q.symbol = z.symbol AND q.idx = least(z.k, q.n - 1) JOIN t e ON e.symbol = z.symbol AND e.idx = e.n - 1),
-    u AS (SELECT *, close > ph + g AS up, close < pl - g AS down FROM w)
-    SELECT symbol, timestamp, 'AscendingTriangle' AS pattern_type, 'bullish' AS direction, 0.7::DOUBLE AS confidence FROM u WHERE abs(sh) < 0.0005 AND sl > 0 AND up
-    UNION ALL SELECT symbol, timestamp, 'DescendingTriangle', 'bearish', 0.7 FROM u WHERE sh < 0 AND abs(sl) < 0.0005 AND down
-    UNION ALL SELECT symbol, timestamp, 'SymmetricalTriangle', CASE WHEN up THEN 'bullish' ELSE 'bearish' END, 0.6 FROM u WHERE sh < 0 AND sl > 0 AND (up OR down)
-    UNION ALL SELECT symbol, timestamp, 'BroadeningFormation', CASE WHEN up THEN 'bullish' ELSE 'bearish' END, 0.5 FROM u WHERE sh > 0 AND sl < 0 AND (up OR down)
-    UNION ALL SELECT symbol, timestamp, 'RisingWedge', 'bearish', 0.6 FROM u WHERE sh > 0 AND sh < sl AND down
-    UNION ALL SELECT symbol, timestamp, 'FallingWedge', 'bullish', 0.6 FROM u WHERE sh < 0 AND sl < sh AND up
-    UNION ALL SELECT symbol, end_ts, 'Channels', 'bullish', 0.45 FROM u WHERE abs(sh - sl) <= 0.0008 AND end_close > ph + g
-    UNION ALL SELECT symbol, end_ts, 'Channels', 'bearish', 0.45 FROM u WHERE abs(sh - sl) <= 0.0008 AND end_close < pl - g"""
+    u AS (SELECT *, close > ph + g AS up, close < pl - g AS down FROM w),
+    v AS (SELECT u.*, {_curve_of("u.symbol", "u.i0", "u.k1")} FROM (SELECT u.*, least(u.k, (SELECT max(r.n) - 1 FROM t r WHERE r.symbol = u.symbol)) AS k1 FROM u) u),
+    e AS (SELECT u.*, {_curve_of("u.symbol", "u.i0", "u.k2")} FROM (SELECT u.*, (SELECT max(r.n) - 1 FROM t r WHERE r.symbol = u.symbol) AS k2 FROM u) u),
+    every AS (SELECT symbol, timestamp, 'AscendingTriangle' AS pattern_type, 'bullish' AS direction, 0.7::DOUBLE AS confidence, slope_mean, curvature_mean FROM v WHERE abs(sh) < 0.0005 AND sl > 0 AND up
+    UNION ALL SELECT symbol, timestamp, 'DescendingTriangle', 'bearish', 0.7, slope_mean, curvature_mean FROM v WHERE sh < 0 AND abs(sl) < 0.0005 AND down
+    UNION ALL SELECT symbol, timestamp, 'SymmetricalTriangle', CASE WHEN up THEN 'bullish' ELSE 'bearish' END, 0.6, slope_mean, curvature_mean FROM v WHERE sh < 0 AND sl > 0 AND (up OR down)
+    UNION ALL SELECT symbol, timestamp, 'BroadeningFormation', CASE WHEN up THEN 'bullish' ELSE 'bearish' END, 0.5, slope_mean, curvature_mean FROM v WHERE sh > 0 AND sl < 0 AND (up OR down)
+    UNION ALL SELECT symbol, timestamp, 'RisingWedge', 'bearish', 0.6, slope_mean, curvature_mean FROM v WHERE sh > 0 AND sh < sl AND down
+    UNION ALL SELECT symbol, timestamp, 'FallingWedge', 'bullish', 0.6, slope_mean, curvature_mean FROM v WHERE sh < 0 AND sl < sh AND up
+    UNION ALL SELECT symbol, end_ts, 'Channels', 'bullish', 0.45, slope_mean, curvature_mean FROM e WHERE abs(sh - sl) <= 0.0008 AND end_close > ph + g
+    UNION ALL SELECT symbol, end_ts, 'Channels', 'bearish', 0.45, slope_mean, curvature_mean FROM e WHERE abs(sh - sl) <= 0.0008 AND end_close < pl - g)
+    SELECT symbol, timestamp, pattern_type, direction, confidence, {_R(8, 'slope_mean', 'curvature_mean')} FROM every"""
 
 
 def _fit(n: int, low: int, high: int) -> str:
@@ -310,23 +326,37 @@ def _fit(n: int, low: int, high: int) -> str:
     return f"sum(close * {q}) FILTER (WHERE back BETWEEN {low} AND {high}) / sum({q} ** 2) FILTER (WHERE back BETWEEN {low} AND {high}) * {(n - 1) ** 2}"
 
 
-_BACK = f"(SELECT *, n - 1 - idx AS back FROM (SELECT * FROM {_tr(DAILY)} UNION ALL SELECT * FROM {_tr(H1)}) WHERE n BETWEEN 200 AND 5000)"
+_BACK = f"(SELECT *, n - 1 - idx AS back, {_D2} FROM (SELECT * FROM {_tr(DAILY)} UNION ALL SELECT * FROM {_tr(H1)}) WHERE n BETWEEN 200 AND 5000 {_W2})"
+_CURVES = ", ".join(f"any_value(close) FILTER (WHERE back = {k - 1}) AS f{k}, avg(abs(d2)) FILTER (WHERE back BETWEEN 1 AND {k - 2}) AS b{k}" for k in (25, 30, 60, 100, 120, 160))
+_LAST = lambda k: f"(last / f{k} - 1) / {k - 1} AS slope_mean, b{k} / f{k} AS curvature_mean"
 _EXT = ", ".join(f"max(high) FILTER (WHERE back < {k}) AS h{k}, min(low) FILTER (WHERE back < {k}) AS l{k}" for k in (25, 30, 60, 100))
 ORACLES["chart_last_candles"] = f"""WITH z AS (SELECT symbol, max(timestamp) AS timestamp, avg(tr) FILTER (WHERE back < 14) * 0.01 AS m, arg_min(open, back) AS open, arg_min(high, back) AS high, arg_min(low, back) AS low, arg_min(close, back) AS last, {_EXT},
         arg_min(close, back) / any_value(close) FILTER (WHERE back = 79) - 1 AS impulse, regr_slope(close, idx) FILTER (WHERE back < 30) AS drift, stddev_samp(close) FILTER (WHERE back < 30) / (stddev_samp(close) FILTER (WHERE back BETWEEN 30 AND 59) + 1e-12) AS squeeze,
         {_fit(120, 0, 119)} AS q120, {_fit(104, 56, 159)} AS q104, 119 - arg_min(back, row(close, -back)) FILTER (WHERE back < 120) AS low_at, 119 - arg_max(back, row(close, back)) FILTER (WHERE back < 120) AS high_at,
-        min(close) FILTER (WHERE back < 56) AS handle_low, min(close) FILTER (WHERE back BETWEEN 56 AND 159) AS cup_low, max(close) FILTER (WHERE back BETWEEN 56 AND 159) AS rim FROM {_BACK} GROUP BY symbol, timeframe)
-    SELECT symbol, timestamp, 'BullFlag' AS pattern_type, 'bullish' AS direction, 0.55::DOUBLE AS confidence FROM z WHERE impulse > 0.03 AND (h30 - l30) / last < 0.02 AND drift < 0 AND last > h30 + m
-    UNION ALL SELECT symbol, timestamp, 'BearFlag', 'bearish', 0.55 FROM z WHERE impulse < -0.03 AND (h30 - l30) / last < 0.02 AND drift > 0 AND last < l30 - m
-    UNION ALL SELECT symbol, timestamp, 'RectangleRange', 'bullish', 0.5 FROM z WHERE (h60 - l60) / last <= 0.04 AND last > h60 + m
-    UNION ALL SELECT symbol, timestamp, 'SwingFailureBullish', 'bullish', 0.6 FROM z WHERE low < l30 - m AND last > l30 + m AND last > open
-    UNION ALL SELECT symbol, timestamp, 'LiquiditySweepLow', 'bullish', 0.55 FROM z WHERE low < l25 - m AND last > l25
-    UNION ALL SELECT symbol, timestamp, 'RoundedBottom', 'bullish', 0.35 FROM z WHERE q120 > 0 AND low_at > 30 AND low_at < 90
-    UNION ALL SELECT symbol, timestamp, 'RoundedTop', 'bearish', 0.35 FROM z WHERE q120 < 0 AND high_at > 30 AND high_at < 90
-    UNION ALL SELECT symbol, timestamp, 'CupAndHandle', 'bullish', 0.4 FROM z WHERE q104 > 0 AND handle_low >= cup_low - 3 * m AND last > rim + m"""
+        min(close) FILTER (WHERE back < 56) AS handle_low, min(close) FILTER (WHERE back BETWEEN 56 AND 159) AS cup_low, max(close) FILTER (WHERE back BETWEEN 56 AND 159) AS rim, {_CURVES} FROM {_BACK} GROUP BY symbol, timeframe)
+    , s AS (SELECT *, (h30 - l30) / last < 0.02 AS tight, (h60 - l60) / last <= 0.04 AS flat FROM z),
+    every AS (SELECT symbol, timestamp, 'BullFlag' AS pattern_type, 'bullish' AS direction, 0.55::DOUBLE AS confidence, drift AS slope_mean, 0::DOUBLE AS curvature_mean FROM s WHERE impulse > 0.03 AND tight AND drift < 0 AND last > h30 + m
+    UNION ALL SELECT symbol, timestamp, 'BearFlag', 'bearish', 0.55, drift, 0 FROM s WHERE impulse < -0.03 AND tight AND drift > 0 AND last < l30 - m
+    UNION ALL SELECT symbol, timestamp, 'BullPennant', 'bullish', 0.5, 0, 0 FROM s WHERE impulse > 0.03 AND tight AND squeeze < 0.8 AND last > h30 + m
+    UNION ALL SELECT symbol, timestamp, 'BearPennant', 'bearish', 0.5, 0, 0 FROM s WHERE impulse < -0.03 AND tight AND squeeze < 0.8 AND last < l30 - m
+    UNION ALL SELECT symbol, timestamp, 'RectangleRange', 'bullish', 0.5, {_LAST(60)} FROM s WHERE flat AND last > h60 + m
+    UNION ALL SELECT symbol, timestamp, 'RectangleRange', 'bearish', 0.5, {_LAST(60)} FROM s WHERE flat AND last < l60 - m
+    UNION ALL SELECT symbol, timestamp, 'SwingFailureBullish', 'bullish', 0.6, {_LAST(30)} FROM s WHERE low < l30 - m AND last > l30 + m AND last > open
+    UNION ALL SELECT symbol, timestamp, 'SwingFailureBearish', 'bearish', 0.6, {_LAST(30)} FROM s WHERE high > h30 + m AND last < h30 - m AND last < open
+    UNION ALL SELECT symbol, timestamp, 'LiquiditySweepLow', 'bullish', 0.55, {_LAST(25)} FROM s WHERE low < l25 - m AND last > l25
+    UNION ALL SELECT symbol, timestamp, 'LiquiditySweepHigh', 'bearish', 0.55, {_LAST(25)} FROM s WHERE high > h25 + m AND last < h25
+    UNION ALL SELECT symbol, timestamp, 'RoundedBottom', 'bullish', 0.35, {_LAST(120)} FROM s WHERE q120 > 0 AND low_at > 30 AND low_at < 90
+    UNION ALL SELECT symbol, timestamp, 'RoundedTop', 'bearish', 0.35, {_LAST(120)} FROM s WHERE q120 < 0 AND high_at > 30 AND high_at < 90
+    UNION ALL SELECT symbol, timestamp, 'CupAndHandle', 'bullish', 0.4, {_LAST(160)} FROM s WHERE q104 > 0 AND handle_low >= cup_low - 3 * m AND last > rim + m)
+    SELECT symbol, timestamp, pattern_type, direction, confidence, {_R(8, 'slope_mean', 'curvature_mean')} FROM every"""
 _CALM = f"(SELECT symbol, timeframe, timestamp, {', '.join(f'{c} / 2000 + 100 + timestamp % 2592000000 / 720000000 AS {c}' for c in ('open', 'high', 'low', 'close'))}, volume FROM {H1})"
-ORACLES["chart_retests"] = f"""WITH b AS MATERIALIZED (SELECT *, n - 1 - idx AS back FROM {_tr(_CALM)} WHERE n >= 200),
-    z AS (SELECT symbol, avg(tr) FILTER (WHERE back < 14) * 0.01 AS m, max(high) FILTER (WHERE back BETWEEN 30 AND 79) AS u, min(low) FILTER (WHERE back BETWEEN 30 AND 79) AS d, any_value(close) FILTER (WHERE back = 30) AS c0 FROM b GROUP BY symbol)
-    SELECT b.symbol, b.timestamp, 'BreakoutRetest' AS pattern_type, CASE WHEN b.close > u + m THEN 'bullish' ELSE 'bearish' END AS direction, 0.55::DOUBLE AS confidence FROM b JOIN z USING (symbol)
+ORACLES["chart_retests"] = f"""WITH b AS MATERIALIZED (SELECT *, n - 1 - idx AS back, {_D2} FROM {_tr(_CALM)} WHERE n >= 200 {_W2}),
+    z AS (SELECT symbol, avg(tr) FILTER (WHERE back < 14) * 0.01 AS m, max(high) FILTER (WHERE back BETWEEN 30 AND 79) AS u, min(low) FILTER (WHERE back BETWEEN 30 AND 79) AS d, any_value(close) FILTER (WHERE back = 30) AS c0,
+        any_value(close) FILTER (WHERE back = 0) / any_value(close) FILTER (WHERE back = 79) AS grown, avg(abs(d2)) FILTER (WHERE back BETWEEN 1 AND 78) / any_value(close) FILTER (WHERE back = 79) AS bent FROM b GROUP BY symbol)
+    SELECT b.symbol, b.timestamp, 'BreakoutRetest' AS pattern_type, CASE WHEN b.close > u + m THEN 'bullish' ELSE 'bearish' END AS direction, 0.55::DOUBLE AS confidence, round((grown - 1) / 79, 8) AS slope_mean, round(bent, 8) AS curvature_mean FROM b JOIN z USING (symbol)
     WHERE back BETWEEN 1 AND 29 AND (u - d) / (c0 + 1e-12) <= 0.06 AND (b.close > u + m AND EXISTS (SELECT 1 FROM b r WHERE r.symbol = b.symbol AND r.idx BETWEEN b.idx + 1 AND b.idx + 10 AND r.low <= u + m AND r.close > u - m)
         OR b.close < d - m AND EXISTS (SELECT 1 FROM b r WHERE r.symbol = b.symbol AND r.idx BETWEEN b.idx + 1 AND b.idx + 10 AND r.high >= d - m AND r.close < d + m))"""
+
+_PLANTED = lambda curves: f"({planted('(SELECT range AS i FROM range(260))', curves)})"
+ORACLES["chart_planted_pivots"] = ORACLES["chart_last_pivots"].replace(DAILY, _PLANTED(False))
+ORACLES["chart_planted_candles"] = ORACLES["chart_last_candles"].replace(DAILY, _PLANTED(True)).replace(f"UNION ALL SELECT * FROM {_tr(H1)}", "")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from candlewick.functions import scalars
 from candlewick.operators import backtest, candlestick, chart, datasets, geometry, indicators, labeling, models, simulate, vectors
+from candlewick.plans.planted import planted
 from candlewick.session import scratch_path, written
 from candlewick.sources import candles
 
@@ -400,6 +401,14 @@ def ohlcv_decode(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(candles.validated(candles.decoded(raw, "payload", "local", "ALL", "4h"), strict=True).select("timestamp", "open", "high", "low", "close", "volume"))
 
 
+#: H2: the numbers of a chart pattern's curve.
+_CURVE = ("slope_mean", "curvature_mean")
+
+
+def _curved(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 8) for c in _CURVE})
+
+
 def _chart_series(spark: SparkSession, d: str) -> DataFrame:
     return chart.with_pivots(chart.segments(candles.daily(spark, d)))
 
@@ -407,24 +416,42 @@ def _chart_series(spark: SparkSession, d: str) -> DataFrame:
 @query
 def chart_swings(spark: SparkSession, d: str) -> DataFrame:
     """H3-H8, J6-J8 on daily series."""
-    return _rounded(chart.swings(_chart_series(spark, d)).select("symbol", "timestamp", "pattern_type", "direction", "confidence", "neckline"))
+    return _curved(chart.swings(_chart_series(spark, d)).select("symbol", "timestamp", "pattern_type", "direction", F.round("confidence", 6).alias("confidence"), F.round("neckline", 6).alias("neckline"), *_CURVE))
 
 
 @query
 def chart_last_pivots(spark: SparkSession, d: str) -> DataFrame:
     """H9-H14, H18."""
-    return chart.by_last_pivots(_chart_series(spark, d)).select("symbol", "timestamp", "pattern_type", "direction", "confidence")
+    return _curved(chart.by_last_pivots(_chart_series(spark, d)).select("symbol", "timestamp", "pattern_type", "direction", "confidence", *_CURVE))
 
 
 @query
 def chart_last_candles(spark: SparkSession, d: str) -> DataFrame:
     """H15-H17, H20-H24, A7, on daily and hourly series."""
     both = candles.daily(spark, d).unionByName(candles.from_events(spark, d, "1h"))
-    return chart.by_last_candles(chart.segments(both)).select("symbol", "timestamp", "pattern_type", "direction", "confidence")
+    return _curved(chart.by_last_candles(chart.segments(both)).select("symbol", "timestamp", "pattern_type", "direction", "confidence", *_CURVE))
+
+
+def _planted(spark: SparkSession, curves: bool) -> DataFrame:
+    """Daily series that make the families fire which real ones rarely do."""
+    made = spark.sql(planted("(SELECT id AS i FROM range(260))", curves))
+    return made.select(F.lit("local").alias("exchange"), "symbol", "timeframe", F.col("timestamp").cast("long").alias("timestamp"), "open", "high", "low", "close", "volume")
+
+
+@query
+def chart_planted_pivots(spark: SparkSession, d: str) -> DataFrame:
+    """H9-H14, H18 on planted series."""
+    return _curved(chart.by_last_pivots(chart.with_pivots(chart.segments(_planted(spark, False)))).select("symbol", "timestamp", "pattern_type", "direction", "confidence", *_CURVE))
+
+
+@query
+def chart_planted_candles(spark: SparkSession, d: str) -> DataFrame:
+    """H15-H17, H23, H24 on planted series."""
+    return _curved(chart.by_last_candles(chart.segments(_planted(spark, True))).select("symbol", "timestamp", "pattern_type", "direction", "confidence", *_CURVE))
 
 
 @query
 def chart_retests(spark: SparkSession, d: str) -> DataFrame:
     """H19, with prices drawn together so that ranges are narrow, and a rise so that they are broken."""
     calm = candles.from_events(spark, d, "1h").select("exchange", "symbol", "timeframe", "timestamp", *[(F.col(c) / 2000 + 100 + F.col("timestamp") % 2592000000 / 720000000).alias(c) for c in ("open", "high", "low", "close")], "volume")
-    return chart.retests(chart.segments(calm)).select("symbol", "timestamp", "pattern_type", "direction", "confidence")
+    return _curved(chart.retests(chart.segments(calm)).select("symbol", "timestamp", "pattern_type", "direction", "confidence", *_CURVE))
