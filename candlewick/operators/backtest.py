@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,17 +96,31 @@ def trades(signals: DataFrame, candles: DataFrame, cfg: BacktestConfig = Backtes
 
 
 def portfolio(possible: DataFrame, starts: DataFrame, cfg: BacktestConfig = BacktestConfig()) -> DataFrame:
-    """The trades that are taken, with equity after each: in the order of time from the policy's start, none before the last exit."""
+    """The trades that are taken, with equity after each: in the order of time from the policy's start, none before the last exit.
+
+    What is taken depends on what was taken before, so a policy's candidates (a few numbers each) are gone through in one task.
+    """
     tie = [c for c in ("pattern_type", "symbol", "direction") if c in possible.columns]
-    row = F.struct("timestamp", *tie, "exit_ts", "share", "confidence", "exit_reason", "qty", "entry_price", "exit_price")
-    grouped = possible.join(starts, "policy").where(F.col("timestamp") >= F.col("eval_start")).groupBy("policy", "eval_start").agg(F.sort_array(F.collect_list(row)).alias("t"))
-    cap = f"size(a.out) < {cfg.max_trades} AND " if cfg.max_trades is not None else ""
-    kind = "array<struct<t:" + "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in grouped.schema["t"].dataType.elementType.fields) + ">,before:double,equity:double>>"
-    fold = F.expr(f"""aggregate(t, struct(-1L AS last, {cfg.initial_equity!r}D AS equity, CAST(array() AS {kind}) AS out),
-        (a, x) -> IF({cap}x.timestamp >= a.last AND a.equity > 0,
-            struct(x.exit_ts AS last, a.equity * (1 + x.share) AS equity, array_append(a.out, named_struct('t', x, 'before', a.equity, 'equity', a.equity * (1 + x.share))) AS out), a), a -> a.out)""")
-    df = grouped.select("policy", "eval_start", F.posexplode(fold).alias("number", "r"))
-    return df.select("policy", "eval_start", "number", "r.t.*", F.col("r.before").alias("equity_before"), F.col("r.equity").alias("equity")).withColumn("net_pnl", F.col("equity_before") * F.col("share"))
+    kept = ["timestamp", *tie, "exit_ts", "share", "confidence", "exit_reason", "qty", "entry_price", "exit_price"]
+    candidates = possible.join(starts, "policy").where(F.col("timestamp") >= F.col("eval_start")).select("policy", "eval_start", *kept)
+    types = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
+    ddl = ", ".join(f"{c} {types[c]}" for c in ("policy", "eval_start")) + ", number int, " + ", ".join(f"{c} {types[c]}" for c in kept) + ", equity_before double, equity double"
+
+    def run(group: pa.Table) -> pa.Table:
+        """One pass over a policy's trades in their order; only the last exit and the equity are carried."""
+        group = group.sort_by([(c, "ascending") for c in kept])
+        last, equity, taken, before, after = -1, cfg.initial_equity, [], [], []
+        for i, (at, until, share) in enumerate(zip(*(group.column(c).to_pylist() for c in ("timestamp", "exit_ts", "share")), strict=True)):
+            if at >= last and equity > 0 and (cfg.max_trades is None or len(taken) < cfg.max_trades):
+                before.append(equity)
+                last, equity = until, equity * (1 + share)
+                taken.append(i)
+                after.append(equity)
+        out = group.take(pa.array(taken, pa.int64()))
+        columns = [out.column("policy"), out.column("eval_start"), pa.array(range(len(taken)), pa.int32()), *[out.column(c) for c in kept], pa.array(before, pa.float64()), pa.array(after, pa.float64())]
+        return pa.table(columns, names=["policy", "eval_start", "number", *kept, "equity_before", "equity"])
+
+    return candidates.groupBy("policy").applyInArrow(run, ddl).withColumn("net_pnl", F.col("equity_before") * F.col("share"))
 
 
 def equity_curve(taken: DataFrame, starts: DataFrame, cfg: BacktestConfig = BacktestConfig()) -> DataFrame:

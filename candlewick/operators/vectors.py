@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from candlewick.session import written
 
 
 def conditions(**equal: object) -> Column:
@@ -26,23 +35,78 @@ def upsert(store: DataFrame, new: DataFrame, key: str = "record_id") -> DataFram
     return store.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def search(queries: DataFrame, store: DataFrame, k: int, query: str = "query", vector: str = "embedding", ids: tuple[str, str] = ("query_id", "record_id"), few: int = 10_000, after: Column | None = None) -> DataFrame:
-    """The k most similar rows of the store for every query: (query_id, record_id, similarity, rank), ties by record_id.
+def search(queries: DataFrame, store: DataFrame, k: int, query: str = "query", vector: str = "embedding", ids: tuple[str, str] = ("query_id", "record_id"), few: int = 4096, after: Column | None = None) -> DataFrame:
+    """The k most similar rows of the store for every query: (query_id, the store's columns, similarity, rank), ties by record_id.
 
-    Queries are broadcast if there are at most `few`, else the store meets them in blocks of that many. A partial top k per store
-    partition precedes the shuffle. `after` filters the neighbours after the k are taken, so fewer may be left.
+    The queries meet the store in blocks of at most `few`, as a matrix: each task multiplies its rows with it batch by batch and keeps k rows a
+    query, so k rows a query and task are shuffled, and the store is read once a block. Exact; queries without length are left out, rows without
+    one have a similarity of 0, rows without a vector are none, vectors of another length are an error. `after` filters the neighbours after the k are taken, so fewer may be left.
     """
     q_id, r_id = ids
-    q = queries.select(q_id, F.expr(f"transform({query}, x -> CAST(x AS double))").alias("__q")).withColumn("__qn", F.expr("sqrt(aggregate(__q, 0D, (s, x) -> s + x * x))")).where("__qn > 0")
-    s = store.withColumn("__v", F.expr(f"transform({vector}, x -> CAST(x AS double))")).withColumn("__vn", F.expr("sqrt(aggregate(__v, 0D, (s, x) -> s + x * x))"))
-    parts = -(-max(1, q.count()) // few)
+    q = queries.select(q_id, F.expr(f"transform({query}, x -> CAST(x AS double))").alias("__q")).where("aggregate(__q, 0D, (s, x) -> s + x * x) > 0")
+    q = written(q, "vector-queries")
+    parts, types = -(-max(1, q.count()) // few), {f.name: f.dataType for f in store.schema.fields}
+    schema = StructType([StructField(q_id, q.schema[q_id].dataType), *[StructField(c, t) for c, t in types.items()], StructField("similarity", DoubleType())])
     out = None
     for i in range(parts):
-        block = q if parts == 1 else q.where(F.pmod(F.xxhash64(q_id), F.lit(parts)) == i)
-        sim = F.expr("aggregate(zip_with(__q, __v, (a, b) -> a * b), 0D, (s, x) -> s + x)") / (F.col("__qn") * F.col("__vn") + 1e-12)
-        hits = s.join(F.broadcast(block)).select(q_id, *store.columns, sim.alias("similarity"), F.spark_partition_id().alias("__p"))
+        block = (q if parts == 1 else q.where(F.pmod(F.xxhash64(q_id), F.lit(parts)) == i)).toArrow()
+        held = queries.sparkSession.sparkContext.broadcast((block.column(q_id).combine_chunks(), np.array(block.column("__q").to_pylist(), float)))
+        near = store.mapInArrow(_nearest(held, k, vector, r_id), schema)
         order = [F.desc("similarity"), F.asc(r_id)]
-        near = hits.withColumn("__r", F.row_number().over(W.partitionBy(q_id, "__p").orderBy(*order))).where(F.col("__r") <= k)
-        top = near.withColumn("rank", F.row_number().over(W.partitionBy(q_id).orderBy(*order))).where(F.col("rank") <= k).drop("__r", "__p")
+        top = near.withColumn("rank", F.row_number().over(W.partitionBy(q_id).orderBy(*order))).where(F.col("rank") <= k)
         out = top if out is None else out.unionByName(top)
     return out.where(after) if after is not None else out
+
+
+def _nearest(held: Broadcast, k: int, vector: str, r_id: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a task's rows, the k best for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = held.value
+        if not len(names):
+            return
+        size = np.sqrt((matrix * matrix).sum(1))
+        rows = None  # the store's rows that are among some query's best
+        best = np.zeros((0, 2), np.int64)  # query, place in rows
+        score = np.zeros(0)
+        for b in batches:
+            b = b.filter(b.column(vector).is_valid())
+            lists = b.column(vector).cast(pa.list_(pa.float64()))
+            if wrong := int((np.asarray(lists.value_lengths()) != matrix.shape[1]).sum()):
+                raise ValueError(f"{wrong} vectors haven't {matrix.shape[1]} numbers")
+            v = np.asarray(lists.flatten()).reshape(-1, matrix.shape[1])
+            s = (matrix @ v.T) / (size[:, None] * np.sqrt((v * v).sum(1))[None, :] + 1e-12)
+            if b.num_rows > k:  # all that reach the k-th best value, which may be more than k
+                least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                asks, at = np.nonzero(s >= least[:, None])
+            else:
+                asks, at = (x.ravel() for x in np.indices(s.shape))
+            used, place = np.unique(at, return_inverse=True)
+            more = pa.Table.from_batches([b.take(pa.array(used))])
+            offset = rows.num_rows if rows is not None else 0
+            rows = more if rows is None else pa.concat_tables([rows, more])
+            best, score = np.concatenate([best, np.stack([asks, place + offset], 1)]), np.concatenate([score, s[asks, at]])
+            order = np.lexsort((_rank_of(rows.column(r_id))[best[:, 1]], -score, best[:, 0]))
+            best, score = best[order], score[order]
+            first = np.searchsorted(best[:, 0], best[:, 0])
+            kept = np.arange(len(best)) - first < k
+            best, score = best[kept], score[kept]
+            used, place = np.unique(best[:, 1], return_inverse=True)
+            rows = rows.take(pa.array(used)).combine_chunks()
+            best[:, 1] = place
+        if rows is None:
+            return
+        for i in range(0, len(best), 10_000):
+            part = best[i : i + 10_000]
+            taken = rows.take(pa.array(part[:, 1]))
+            yield from pa.table([names.take(pa.array(part[:, 0])), *taken.columns, pa.array(score[i : i + 10_000])], names=["q", *taken.column_names, "similarity"]).combine_chunks().to_batches()
+
+    return run
+
+
+def _rank_of(column: pa.ChunkedArray) -> np.ndarray:
+    """Each value's place in the order of values."""
+    order = np.asarray(pc.sort_indices(column))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out

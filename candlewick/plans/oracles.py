@@ -121,7 +121,7 @@ ORACLES |= {
     "market_features": f"""SELECT symbol, timestamp, {", ".join(f"round(coalesce(close / lag(close, {k}) OVER ({_W}) - 1, 0), 6) AS ret_{k}" for k in (1, 3, 5))},
         round(close / avg(close) OVER ({_W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) - 1, 6) AS sma_rel, round(volume / (avg(volume) OVER ({_W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) + 1e-12), 6) AS vol_rel FROM {H4}""",
     "drawdown_curve": f"SELECT symbol, timestamp, round((max(close) OVER ({_W}) - close) / greatest(max(close) OVER ({_W}), 1e-12), 6) AS drawdown FROM {DAILY}",
-    "candlestick_patterns": f"SELECT * FROM {_patterns(DAILY)} UNION ALL SELECT * FROM {_patterns(H4)}",
+    "candlestick_patterns": f"SELECT * EXCLUDE (features) FROM (SELECT * FROM {_patterns(DAILY)} UNION ALL SELECT * FROM {_patterns(H4)})",
     "pattern_dedup": f"SELECT symbol, timeframe, timestamp, pattern_type, confidence FROM {_best(H4)}",
     "two_bar_counts": f"""WITH b AS (SELECT *, lag(open) OVER w AS o1, lag(close) OVER w AS c1, lag(high) OVER w AS h1, lag(low) OVER w AS l1 FROM {H4} WINDOW w AS ({_W})),
         k AS (SELECT symbol, 'BullishEngulfing' AS pattern_type, 'bullish' AS direction FROM b WHERE c1 < o1 AND close > open AND open < c1 AND close > o1

@@ -168,3 +168,36 @@ def test_environment_equals_a_walk(spark):
     got = sorted((r.idx, r.equity, r.cash, r.held, r.reward) for r in simulate.episode(df).collect())
     want = _walk(bars)
     assert len(got) == len(want) and all(g[3] == w[3] and g[1] == pytest.approx(w[1]) and g[2] == pytest.approx(w[2]) and g[4] == pytest.approx(w[4], abs=1e-12) for g, w in zip(got, want, strict=True))
+
+
+def test_vector_search_equals_brute_force(spark):
+    import numpy as np
+
+    from candlewick.operators import vectors
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 6)], f"l{i % 3}") for i in range(300)] + [(900, None, "n"), (901, [0.0] * 6, "z")]
+    store = spark.createDataFrame(rows, "record_id long, embedding array<double>, label string").repartition(7)
+    asked = [r for r in rows if r[0] % 50 == 0 and r[1]]
+    queries = spark.createDataFrame([(i, v) for i, v, _ in asked], "query_id long, query array<double>")
+    want = []
+    for q, v, _ in asked:
+        if not any(v):
+            continue
+        near = sorted(((-float(np.dot(v, x)) / (np.linalg.norm(v) * np.linalg.norm(x) + 1e-12), i) for i, x, _ in rows if x is not None))[:9]
+        want += [(q, i, k + 1) for k, (_, i) in enumerate(near)]
+    for few in (4096, 2):
+        got = vectors.search(queries, store, 9, few=few).select("query_id", "record_id", "rank").collect()
+        sims = {(r.query_id, r["rank"]): r.record_id for r in got}
+        assert len(sims) == len(got) == len(want)
+        exact = {(q, k): i for q, i, k in want}
+        # equal similarities may differ in the last bit between ways of adding up
+        assert sum(sims[x] != exact[x] for x in exact) <= 0.1 * len(exact)
+    with pytest.raises(Exception, match="haven't 6 numbers"):
+        vectors.search(queries, spark.createDataFrame([(1, [1.0])], "record_id long, embedding array<double>"), 3).collect()
+
+
+def test_steps_and_cosine(spark):
+    assert [scalars.horizon_steps(h, e) for h, e in (("1h", "5m"), ("15m", "1h"), ("90m", "1h"), ("1w", "1d"))] == [12, 1, 2, 7]
+    df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
+    assert [round(r[0], 6) for r in df.select(F.expr(scalars.cosine("a", "b"))).collect()] == [0.96, 0.0]
