@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.functions.scalars import curvature_mean, dtw, multi_hot, resampled, slope_mean
@@ -13,6 +13,11 @@ HALF, POINTS, SIGNATURE = 24, 32, 48
 GEOMETRY = ["confidence_breakout", "symmetry_score", "curvature_mean", "slope_mean", "shape_dtw_to_u", "shape_dtw_to_invu", "height_tolerance", "depth_tolerance"]
 
 
+def worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a generator, so that later expressions read them instead of working them out anew at every mention."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def with_curve(candles: DataFrame) -> DataFrame:
     """Adds seg: the closes from 24 rows before to 24 rows after."""
     w = series_window().rowsBetween(-HALF, HALF)
@@ -29,15 +34,16 @@ def enriched(rows: DataFrame, seg: str = "seg") -> DataFrame:
     df = rows.withColumn("__s", F.expr(sig)).withColumn("__s", F.expr(of("__s"))).withColumn("__w", F.expr(of(seg)))
     df = df.withColumn("__s", F.expr(resampled("__s", POINTS))).withColumn("__w", F.expr(resampled("__w", POINTS)))
     df = df.withColumn("__u", F.expr(f"transform(sequence(0, {POINTS - 1}), i -> pow(i / {POINTS - 1}D - 0.5D, 2) / (0.25D + 1e-12D))")).withColumn("__v", F.expr("transform(__u, x -> 1D / (x + 1e-12D))"))
-    made = [F.expr(curvature_mean("__s")).alias("curvature_mean"), F.expr(slope_mean("__s")).alias("slope_mean"), F.expr(dtw("__w", "__u")).alias("shape_dtw_to_u"), F.expr(dtw("__w", "__v")).alias("shape_dtw_to_invu")]
-    return df.select("*", *made).drop("__s", "__w", "__u", "__v")
+    made = {"curvature_mean": curvature_mean("__s"), "slope_mean": slope_mean("__s"), "shape_dtw_to_u": dtw("__w", "__u"), "shape_dtw_to_invu": dtw("__w", "__v")}
+    return worked_out(df, **{k: F.expr(e) for k, e in made.items()}).drop("__s", "__w", "__u", "__v")
 
 
 def merged(rows: DataFrame) -> DataFrame:
     """The geometry map with the curve's numbers that enriched() added, which replace the detector's own."""
     mine = ["curvature_mean", "slope_mean", "shape_dtw_to_u", "shape_dtw_to_invu"]
     kept = F.map_filter("geometry", lambda k, _: ~k.isin(*mine))
-    return rows.withColumn("geometry", F.map_concat(kept, F.create_map(*[x for k in mine for x in (F.lit(k), F.col(k))])))
+    whole = F.map_concat(kept, F.create_map(*[x for k in mine for x in (F.lit(k), F.col(k))]))
+    return worked_out(rows, __g=whole).drop("geometry").withColumnRenamed("__g", "geometry")
 
 
 def embedded(rows: DataFrame) -> DataFrame:
@@ -47,6 +53,6 @@ def embedded(rows: DataFrame) -> DataFrame:
     geometry = F.array(*[F.coalesce(F.col("geometry")[k], F.lit(0.0)) for k in GEOMETRY])
     level = F.when(F.col("regime") == "low", 0.0).when(F.col("regime") == "high", 1.0).otherwise(0.5)
     ten = F.expr("slice(concat(transform(array_sort(map_keys(features)), k -> features[k]), array_repeat(0D, 10)), 1, 10)")
-    df = rows.withColumn("__e", F.concat(hot, geometry, F.array(F.coalesce("atr_pct", F.lit(0.0)), level), ten, F.array_repeat(F.lit(0.0), 20)))
-    norm = F.expr("sqrt(aggregate(__e, 0D, (s, x) -> s + x * x))")
-    return df.withColumn("__n", norm).withColumn("embedding", F.expr("transform(__e, x -> IF(__n > 0, x / __n, x))")).drop("__e", "__n")
+    df = worked_out(rows, __e=F.concat(hot, geometry, F.array(F.coalesce("atr_pct", F.lit(0.0)), level), ten, F.array_repeat(F.lit(0.0), 20)))
+    df = worked_out(df, __n=F.expr("sqrt(aggregate(__e, 0D, (s, x) -> s + x * x))"))
+    return worked_out(df, embedding=F.expr("transform(__e, x -> IF(__n > 0, x / __n, x))")).drop("__e", "__n")
