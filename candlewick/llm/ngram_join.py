@@ -208,7 +208,8 @@ def _possible(candidates: DataFrame, table: DataFrame) -> DataFrame:
     """The candidate pairs that may link by how many shingles of either set fall into each of a few hundred bins."""
     small = F.broadcast if candidates.limit(500_001).count() <= 500_000 else (lambda df: df)
     nodes = candidates.select(F.col("a").alias("sig")).union(candidates.select("b")).distinct()
-    bins = table.where("bins IS NOT NULL").select("sig", "bins").join(small(nodes), "sig", "left_semi").dropDuplicates(["sig"])
+    # Written, so that the join by hub is one of plain exchanges, which AQE splits where very many nodes share a hub.
+    bins = written(table.where("bins IS NOT NULL").select("sig", "bins").join(small(nodes), "sig", "left_semi").dropDuplicates(["sig"]), "join-bins")
     df = small(candidates).join(bins.select(F.col("sig").alias("a"), F.col("bins").alias("x")), "a").join(bins.select(F.col("sig").alias("b"), F.col("bins").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
