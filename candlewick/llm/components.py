@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.session import written
+from candlewick.session import discard, written
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -35,10 +35,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         least = table(_least(both), "cc-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = table(large, "cc-large")
+        discard(least, edges)
         least = table(_least(large), "cc-least")
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = table(small, "cc-edges")
+        discard(large, least)
         state = tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first())
         n = state[0]
         if state == before:

@@ -4,9 +4,10 @@ It is the blocked product of the sparse document by shingle matrix with itself,
 matter. Two sets that link share one of the first floor(n / 4) + 1 shingles of each, in any order common to all (prefix bound). The
 order used puts shingles of many documents last, so that passages many documents share hardly ever stand in a prefix:
 
-1. count the prefixes' shingles in hash order; those of `hot` or more documents go last from now on (the order may be any: it decides
-   about the work, not about the result);
-2. count again in that order and note, in a bit map of fixed size, which shingles two documents may share; others link nothing;
+1. count the first half of each set's shingles in hash order; those of `hot` or more documents go last from now on (the order may be any:
+   it decides about the work, not about the result). Half, as prefixes without hot shingles reach beyond the first quarter;
+2. count the prefixes in that order and note, in a bit map that grows with their number up to 2^30 bits, which shingles two documents
+   share; others link nothing;
 3. write the sets' digests and the shared part of their prefixes. Equal sets are one node from here on;
 4. star: every node is a candidate of one hub per shingle, the node with the fewest rare shingles. Candidates whose sizes allow it are
    verified by the product of their incidence rows, in blocks; the links give preliminary components;
@@ -27,6 +28,7 @@ columns are not read (keep_one() keeps them).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,9 @@ from candlewick.llm.words import Hasher, lean_arrow, shingle_sets, slices, texts
 from candlewick.session import discard, release, written
 
 WORDS = 5
-#: The shared-shingle map has 2^26 bits, the list of hot shingles at most so many entries: what is broadcast doesn't grow with the input.
-MAP_WORDS = 1 << 20
+#: The shared-shingle map has 2^26 to 2^30 bits, 16 for each shared shingle while that is enough, and the list of hot shingles at most so
+#: many entries: what is broadcast has a bound. A fuller map only lets more shingles through that no other document has.
+MAP_WORDS, MOST_WORDS = 1 << 20, 1 << 24
 HOT_ENTRIES = 1_000_000
 BINS = 256
 LONG = 400
@@ -85,7 +88,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 SEEN = 200_000
 
 
-def _prefix_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+def _prefix_rows(docs: DataFrame, hot: np.ndarray, size: Callable[[int], int] = prefix_size) -> DataFrame:
     """The prefix shingles of every document, as rows; of documents with equal sets in a task, those of one."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
     schema = pa.schema([("s", pa.int64())])
@@ -99,24 +102,34 @@ def _prefix_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(sig)
-                    out.append(order(x)[0][: prefix_size(len(x))])
+                    out.append(order(x)[0][: size(len(x))])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], schema=schema)
 
     return docs.select("text").mapInArrow(run, "s long")
 
 
 def _hot(docs: DataFrame, least: int) -> np.ndarray:
-    counts = _prefix_rows(docs, np.zeros(0, np.uint64)).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    half = _prefix_rows(docs, np.zeros(0, np.uint64), lambda n: n // 2 + 1)
+    counts = written(half.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "join-hot")
     got = counts.orderBy(F.desc("n"), "s").limit(HOT_ENTRIES).select("s").toArrow()
+    discard(counts)
     return got.column("s").to_numpy().view(np.uint64)
 
 
+def map_words(shared: int) -> int:
+    """Words of 64 bits of the map for so many shared shingles; a power of two."""
+    return min(MOST_WORDS, max(MAP_WORDS, 1 << (max(shared, 1) * 16 // 64).bit_length()))
+
+
 def _shared(docs: DataFrame, hot: np.ndarray) -> np.ndarray:
     """Bit map of the prefix shingles that occur in two documents or more."""
-    twice = _prefix_rows(docs, hot).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bits = twice.groupBy(F.expr(f"CAST(shiftrightunsigned(s, 6) & {MAP_WORDS - 1} AS int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(s & 63 AS int)))").alias("bits"))
+    twice = written(_prefix_rows(docs, hot).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s"), "join-twice")
+    words = map_words(twice.count())
+    bits = twice.groupBy(F.expr(f"CAST(shiftrightunsigned(s, 6) & {words - 1} AS int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(s & 63 AS int)))").alias("bits"))
+    bits = written(bits, "join-map")
     got = bits.toArrow()
-    out = np.zeros(MAP_WORDS, np.uint64)
+    discard(twice, bits)
+    out = np.zeros(words, np.uint64)
     out[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return out
 
@@ -140,7 +153,7 @@ def _written_sets(docs: DataFrame, hot: np.ndarray, shared: np.ndarray) -> DataF
                     seen.add(s)
                     ordered, few = order(x)
                     p = ordered[: prefix_size(len(x))]
-                    keep = np.flatnonzero((bits[((p >> np.uint64(6)) & np.uint64(MAP_WORDS - 1)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1))
+                    keep = np.flatnonzero((bits[((p >> np.uint64(6)) & np.uint64(len(bits) - 1)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1))
                     found = p[keep].view(np.int64) if len(keep) else None
                 pre.append(found)
                 bins.append(None if found is None else np.bincount((x & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32).tobytes())
@@ -154,13 +167,12 @@ def _written_sets(docs: DataFrame, hot: np.ndarray, shared: np.ndarray) -> DataF
     return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig long, n long, rare long, pre array<long>, at array<long>, bins binary"), "join-sets")
 
 
-def _needed_sets(docs: DataFrame, firsts: DataFrame, nodes: DataFrame, few: int = 1_000_000) -> DataFrame:
-    """(sig, shingles) of the nodes: one document of each (firsts: sig, doc_id) is read again."""
+def _needed_sets(docs: DataFrame, firsts: DataFrame, nodes: DataFrame, few: int = 1_000_000) -> list[DataFrame]:
+    """(sig, shingles) of the nodes, in one or more tables: one document of each (firsts: sig, doc_id) is read again.
+
+    Documents are read once for each `few` nodes, so that the nodes can be broadcast: no text is ever shuffled.
+    """
     reps = written(firsts.select("sig", "doc_id").join(nodes, "sig", "left_semi"), "join-reps")
-    small = F.broadcast if reps.limit(few + 1).count() <= few else (lambda df: df)
-    texts_ = docs.join(small(reps.select("doc_id").distinct()), "doc_id", "left_semi")
-    if reps.where("doc_id IS NULL").limit(1).count():
-        texts_ = texts_.union(docs.where("doc_id IS NULL"))
     schema = pa.schema([("sig", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +180,25 @@ def _needed_sets(docs: DataFrame, firsts: DataFrame, nodes: DataFrame, few: int
             sets = {signature(x): x for x in sets}
             yield pa.RecordBatch.from_arrays([pa.array(np.array([*sets], np.uint64).view(np.int64)), pa.array([x.view(np.int64) for x in sets.values()], pa.list_(pa.int64()))], schema=schema)
 
-    made = texts_.select("text").mapInArrow(run, "sig long, shingles array<long>")
-    made = written(made.join(small(reps.select("sig")), "sig", "left_semi"), "join-shingles")
-    again = made.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # where a doc_id is that of several rows
-    return written(made.dropDuplicates(["sig"]), "join-shingles") if again.limit(1).count() else made
+    out, parts = [], max(1, -(-reps.count() // few))
+    for part in range(parts):
+        mine = reps.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == part)
+        texts_ = docs.join(F.broadcast(mine.select("doc_id").distinct()), "doc_id", "left_semi")
+        if mine.where("doc_id IS NULL").limit(1).count():
+            texts_ = texts_.union(docs.where("doc_id IS NULL"))
+        made = texts_.select("text").mapInArrow(run, "sig long, shingles array<long>")
+        made = written(made.join(F.broadcast(mine.select("sig")), "sig", "left_semi"), "join-shingles")
+        again = made.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # where a doc_id is that of several rows
+        if again.limit(1).count():
+            whole, made = made, written(made.dropDuplicates(["sig"]), "join-shingles")
+            discard(whole)
+        out.append(made)
+    discard(reps)
+    return out
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, frames)
 
 
 def _overlaps(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -185,10 +212,13 @@ def _overlaps(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return np.bincount(row[1:][twice], minlength=len(pairs))
 
 
+#: Pairs whose sets are brought together at once, and the most such rounds: a pair carries a whole set through a shuffle.
+ROUND_PAIRS, ROUNDS = 100_000, 8
+
+
 def _links(candidates: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the candidate pairs (a, b) that link."""
-    candidates = F.broadcast(candidates) if candidates.limit(500_001).count() <= 500_000 else candidates
-    df = candidates.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
+    """Those of the candidate pairs (a, b) that link, in rounds by b, so that the disk holds the shuffled sets of one round only."""
+    n = candidates.count()
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def rows(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
@@ -201,7 +231,15 @@ def _links(candidates: DataFrame, sets: DataFrame) -> DataFrame:
             both, total = _overlaps(list(zip(x, y, strict=True))), np.array([len(i) + len(j) for i, j in zip(x, y, strict=True)])
             yield b.select(["a", "b"]).filter(pa.array(7 * both >= 3 * total)).cast(schema)
 
-    return written(df.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "join-links")
+    out, rounds = [], min(ROUNDS, max(1, -(-n // ROUND_PAIRS)))
+    turn_of = lambda column: F.pmod(F.xxhash64(column), F.lit(rounds))
+    most = candidates.groupBy(turn_of("b")).count().agg(F.max("count")).first()[0] if rounds > 1 else n
+    small = F.broadcast if most <= 500_000 else (lambda df: df)
+    first, second = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
+    for turn in range(rounds):
+        df = small(candidates.where(turn_of("b") == turn)).join(first, "a").join(second.where(turn_of("b") == turn), "b")
+        out.append(written(df.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "join-links"))
+    return _all(out)
 
 
 def _possible(candidates: DataFrame, table: DataFrame) -> DataFrame:
@@ -217,7 +255,9 @@ def _possible(candidates: DataFrame, table: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.int32).reshape(-1, BINS) for c in ("x", "y"))
             yield b.select(["a", "b"]).filter(pa.array(7 * np.minimum(x, y).sum(1) >= 3 * (x.sum(1) + y.sum(1))))
 
-    return written(df.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "join-possible")
+    left = written(df.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "join-possible")
+    discard(bins)
+    return left
 
 
 _SIZES = "4 * least(n, n2) >= 3 * greatest(n, n2)"
@@ -233,13 +273,18 @@ def _star(postings: DataFrame) -> DataFrame:
     hubs = written(hubs.select("s", F.col("hub.sig").alias("b"), F.col("hub.n").alias("n2"), F.col("hub.at").alias("at2")), "join-hubs")
     pairs = postings.join(hubs, "s").where(F.col("sig") != F.col("b")).where(_SIZES)
     counted = pairs.groupBy(F.col("sig").alias("a"), "b", "n", "n2").agg(F.count(F.lit(1)).alias("c"), F.max("at").alias("i"), F.max("at2").alias("j"))
-    return written(counted.where(_REACH).select("a", "b"), "join-star")
+    star = written(counted.where(_REACH).select("a", "b"), "join-star")
+    discard(hubs)
+    return star
 
 
 def _open(rooted: DataFrame) -> DataFrame:
     """The postings of shingles whose nodes lie in different components, with the number of these nodes."""
     mixed = rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("df")).where("low < high").select("s", "df")
-    return written(rooted.drop("df").join(written(mixed, "join-mixed"), "s"), "join-open")
+    mixed = written(mixed, "join-mixed")
+    left = written(rooted.drop("df").join(mixed, "s"), "join-open")
+    discard(mixed)
+    return left
 
 
 def _pairs(mine: DataFrame) -> DataFrame:
@@ -291,38 +336,56 @@ def _block_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(sig[moved], pa.int64()), "b": pa.array(sig[label[moved]], pa.int64())})
 
 
+#: Sets' shingles sent to block products at once: so many times those of the families' sets, or so many shingles if that is more.
+SENT, SENT_LEAST = 2, 20_000_000
+
+
 def _blocks(many: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     """Links among nodes of shingles that many share, by products of blocks of about `size` sets, or LONG shingles for each of them, at most.
 
     Nodes that such shingles connect are a family; each two blocks of a family meet in one task. Only links leave it, at most one a node.
+    A set is sent once for each block of its family, which grows with the square of the family: it is done in rounds, so that the disk
+    holds no more at once than a small multiple of the sets.
     """
-    least = many.groupBy("s").agg(F.min("sig").alias("m"))
-    families = components(many.join(written(least, "join-least"), "s").select(F.col("sig").alias("a"), F.col("m").alias("b")).distinct())
+    least = written(many.groupBy("s").agg(F.min("sig").alias("m")), "join-least")
+    families = components(many.join(least, "s").select(F.col("sig").alias("a"), F.col("m").alias("b")).distinct())
     nodes = many.select("sig", "root", "n").distinct().join(families.select(F.col("node").alias("sig"), F.col("root").alias("family")), "sig")
     nodes = written(nodes, "join-family")
     # By number of sets and by their shingles, so that a block of long sets stays as small.
     whole = F.greatest(F.count(F.lit(1)) / size, F.sum("n") / (size * LONG))
-    blocks = written(nodes.groupBy("family").agg(F.ceil(whole).cast("int").alias("blocks")), "join-blocks")
+    blocks = written(nodes.groupBy("family").agg(F.ceil(whole).cast("int").alias("blocks"), F.sum("n").alias("held")), "join-blocks")
+    held, sent = blocks.agg(F.sum("held"), F.sum(F.col("held") * F.col("blocks"))).first()
+    rounds = -(-int(sent) // max(SENT * int(held), SENT_LEAST))
     placed = nodes.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    placed = placed.join(sets, "sig").select("sig", "root", "family", "block", "shingles", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    keyed = placed.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return written(keyed.groupBy("family", "i", "j").applyInArrow(_block_links, "a long, b long"), "join-block-links")
-
-
-def _rest(postings: DataFrame, done: DataFrame, wanted: Callable[[DataFrame], DataFrame], linked: Callable[[DataFrame], DataFrame], large: int = 48, block: int = 512) -> DataFrame:
+    placed = placed.join(sets, "sig").select("sig", "root", "family", "block", "blocks", "shingles")
+    placed = written(placed, "join-placed") if rounds > 1 else placed
+    out = []
+    for turn in range(rounds):
+        paired = placed.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+        keyed = paired.select("sig", "root", "family", "block", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        keyed = keyed.where(F.pmod(F.xxhash64("family", "i", "j"), F.lit(rounds)) == turn)
+        out.append(written(keyed.groupBy("family", "i", "j").applyInArrow(_block_links, "a long, b long"), "join-block-links"))
+    discard(least, nodes, blocks, *[placed] * (rounds > 1))
+    return _all(out)
+
+
+def _rest(postings: DataFrame, done: DataFrame, wanted: Callable[[DataFrame], list[DataFrame]], linked: Callable[[DataFrame], DataFrame], large: int = 48, block: int = 512) -> DataFrame:
     """Links between nodes with a common prefix shingle that aren't connected yet.
 
-    postings have a root; wanted(nodes) gives the nodes' sets, linked(pairs) those that link. Where at most `large` nodes share a shingle,
+    postings (written, and discarded here) have a root; wanted(nodes) gives the nodes' sets, linked(pairs) those that link. Where at most `large` nodes share a shingle,
     their pairs are counted and bounded; the others' would be many, and never leave their tasks.
     """
     mine = _open(postings)
+    discard(postings)
     many = mine.where(F.col("df") > large)
     counted = _pairs(mine.where(F.col("df") <= large)).groupBy("a", "b", "n", "n2").agg(F.count(F.lit(1)).alias("c"), F.max("at").alias("i"), F.max("at2").alias("j"))
     known = done.union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = linked(written(counted.where(_REACH).select("a", "b").join(known, ["a", "b"], "left_anti"), "join-rest"))
     if many.limit(1).count():
         sets = wanted(many.select("sig").distinct())
-        links = links.union(_blocks(many, sets, block))
+        links = links.union(_blocks(many, _all(sets), block))
+        discard(*sets)
+    discard(mine)
     return links
 
 
@@ -334,18 +397,22 @@ def classes(docs: DataFrame, hot: int = 24) -> DataFrame:
     release(docs.sparkSession)
     shared = _shared(docs, late)
     release(docs.sparkSession)
-    table = _written_sets(docs, late, shared)
-    postings = table.where("pre IS NOT NULL").select("sig", "n", "rare", F.inline(F.arrays_zip("pre", "at"))).withColumnRenamed("pre", "s")
+    whole = _written_sets(docs, late, shared)
+    # Of the table of all columns, which is by far the largest, only what later steps read is kept.
+    table = written(whole.select("doc_id", "n", "sig"), "join-rows")
+    bins = written(whole.where("bins IS NOT NULL").select("sig", "bins"), "join-all-bins")
+    postings = whole.where("pre IS NOT NULL").select("sig", "n", "rare", F.inline(F.arrays_zip("pre", "at"))).withColumnRenamed("pre", "s")
     # Equal sets come once per task that has them.
     postings = written(postings.groupBy("s", "sig").agg(F.max("n").alias("n"), F.max("rare").alias("rare"), F.max("at").alias("at")), "join-postings")
+    discard(whole)
     # The documents of one set are combined before they are shuffled: they may be very many.
     firsts = written(table.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "join-firsts")
 
     def linked(candidates: DataFrame) -> DataFrame:
-        left = _possible(candidates, table)
+        left = _possible(candidates, bins)
         sets = _needed_sets(docs, firsts, left.select(F.col("a").alias("sig")).union(left.select("b")).distinct())
-        found = _links(left, sets)
-        discard(sets)
+        found = _links(left, _all(sets))
+        discard(left, *sets)
         return found
 
     star = _star(postings)
@@ -353,7 +420,10 @@ def classes(docs: DataFrame, hot: int = 24) -> DataFrame:
     release(docs.sparkSession)
     roots = components(links)
     rooted = postings.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    links = links.union(_rest(written(rooted, "join-rooted"), star, lambda nodes: _needed_sets(docs, firsts, nodes), linked))
+    rooted = written(rooted, "join-rooted")
+    discard(postings)
+    links = links.union(_rest(rooted, star, lambda nodes: _needed_sets(docs, firsts, nodes), linked))
+    discard(bins)
     release(docs.sparkSession)
     roots = components(links)
     own = firsts.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))

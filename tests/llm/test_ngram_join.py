@@ -100,3 +100,58 @@ def test_unsettled_components_are_an_error(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
     with pytest.raises(RuntimeError):
         components.components(links, rounds=2)
+
+
+def _families(members=60):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 3000)}"
+    rows = []
+    for size, edits in ((200, 40), (90, 20)):
+        base = [word() for _ in range(size)]
+        for _ in range(members):
+            x = list(base)
+            for i in rng.sample(range(10, size), rng.randint(0, edits)):
+                x[i] = word()
+            rows.append((len(rows), " ".join(x)))
+    return rows
+
+
+def test_rounds_change_nothing(spark, monkeypatch):
+    """Many rounds of pairs, blocks and nodes, which bound what lies on the disk, give what one round gives."""
+    rows = [*_families(), (None, "all alone here with null and words"), (None, "all alone here with null and words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(ngram_join._rest, "__defaults__", (3, 8))
+    monkeypatch.setattr(ngram_join._needed_sets, "__defaults__", (25,))
+    for name, value in (("ROUND_PAIRS", 10), ("ROUNDS", 3), ("SENT_LEAST", 10_000)):
+        monkeypatch.setattr(ngram_join, name, value)
+    labels, kept = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, label: labels.append(label) or kept(df, label))
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = sorted((tuple(r) for r in ngram_join.classes(df, 200).select("doc_id", "n_shingles", "component_id").collect()), key=key)
+    assert got == sorted(brute(rows), key=key)
+    assert labels.count("join-links") >= 3 and labels.count("join-block-links") > 1 and labels.count("join-shingles") > 3
+
+
+def test_steps_leave_little_on_disk(spark):
+    """What a step has read is removed once it has ended: its shuffle files and the tables that no later step reads."""
+    from pathlib import Path
+
+    from candlewick.session import shared_dir, written
+
+    blocks = lambda: sum(f.stat().st_size for f in Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*.data"))
+    spark.range(0, 300_000, 1, 4).count()
+    before = blocks()
+    written(spark.range(0, 300_000, 1, 4).selectExpr("uuid() as u").groupBy("u").count(), "test-cleaned")
+    assert blocks() - before < 1_000_000
+    top = Path(shared_dir(spark).removeprefix("file:"))
+    label = lambda: {p.name for p in top.iterdir()}
+    there = label()
+    ngram_join.classes(spark.createDataFrame(_families(), "doc_id long, text string").repartition(4), 24).count()
+    left = {n.removeprefix("candlewick-").rpartition("-")[0] for n in label() - there}
+    assert not left & {"join-sets", "join-postings", "join-rooted", "join-open", "join-mixed", "join-hubs", "join-bins", "join-all-bins", "join-shingles", "cc-large", "cc-least"}
+
+
+def test_map_grows_with_shared_shingles(spark):
+    """At some 20 million shared shingles (6 GB of documents) a map of 2^26 bits was a quarter full."""
+    assert ngram_join.map_words(0) == ngram_join.map_words(1_700_000) == 1 << 20
+    assert 16 * 20_000_000 <= 64 * ngram_join.map_words(20_000_000) <= 1 << 30 >= 64 * ngram_join.map_words(10**10)
