@@ -435,15 +435,18 @@ def classes(docs: DataFrame, hot: int = 24) -> DataFrame:
     return full.union(table.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "sig"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, few: int = 1_000_000) -> DataFrame:
     """docs without those that belong to a component with a smaller doc_id; all columns stay.
 
-    A doc_id goes only if all rows that carry it do; rows that repeat the least doc_id of a component all stay.
+    A doc_id goes only if all rows that carry it do; rows that repeat the least doc_id of a component all stay. Ids that go are broadcast,
+    at most about `few` at once: docs, with their texts, are never shuffled.
     """
     found = classes(docs)
     loses = F.coalesce(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("component_id").isNotNull(), F.lit(False))
     gone = found.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_and(loses).alias("loses")).where("loses").select("__id")
     gone = written(gone, "join-gone")
-    gone = F.broadcast(gone) if gone.limit(1_000_001).count() <= 1_000_000 else gone
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
-
+    parts = max(1, -(-gone.count() // few))
+    for part in range(parts):
+        ids = F.broadcast(gone.where(F.pmod(F.xxhash64("__id"), F.lit(parts)) == part))
+        docs = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_anti")
+    return docs

@@ -155,3 +155,14 @@ def test_map_grows_with_shared_shingles(spark):
     """At some 20 million shared shingles (6 GB of documents) a map of 2^26 bits was a quarter full."""
     assert ngram_join.map_words(0) == ngram_join.map_words(1_700_000) == 1 << 20
     assert 16 * 20_000_000 <= 64 * ngram_join.map_words(20_000_000) <= 1 << 30 >= 64 * ngram_join.map_words(10**10)
+
+
+def test_keep_one_never_shuffles_texts(spark, monkeypatch):
+    """Ids that go are broadcast in parts where they are many."""
+    df = spark.createDataFrame([(i, f"one of {i // 4} families of equal texts") for i in range(80)] + [(None, "alone here")], "doc_id long, text string")
+    found = [(i, 1, i - i % 4) for i in range(80)] + [(None, 1, None)]
+    monkeypatch.setattr(ngram_join, "classes", lambda docs: spark.createDataFrame(found, "doc_id long, n_shingles long, component_id long"))
+    left = ngram_join.keep_one(df, few=7)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftAnti") > 3 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert sorted((r.doc_id for r in left.collect()), key=lambda d: (d is None, d)) == [*range(0, 80, 4), None]
