@@ -1,4 +1,4 @@
-"""The ten operators' queries, each over its whole tables with production parameters, and their SQL where SQL can express them."""
+"""The operators' queries, each over its whole tables with production parameters, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import chat_format, decontamination, lm_score, ngram_join, packing, quality_rules, secrets, toxicity, url_rules, warc
+from candlewick.llm import chat_format, decontamination, lm_score, ngram_join, packing, quality_rules, secrets, token_files, toxicity, url_rules, warc
+from candlewick.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +76,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("pair_id", "n_prompt", "n_chosen", "n_rejected", *digests, *spans)
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's ids written to token files and read back; a null or empty text has the end id alone."""
+    path = scratch_path(spark, "tokens")
+    token_files.write(_table(spark, sf_dir, "documents"), path)
+    return token_files.digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op8_url_filters": op8_url_filters,
@@ -86,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_score": op10_lm_score,
+    "op13_token_files": op13_token_files,
 }
 
 #: Words of a text for decontamination: A-Z lower-cased, runs of digits, letters and all that isn't ASCII.
