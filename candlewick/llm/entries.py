@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import chat_format, decontamination, lm_score, ngram_join, packing, quality_rules, secrets, token_files, toxicity, url_rules, warc
+from candlewick.llm import chat_format, decontamination, lm_score, merkle, ngram_join, packing, quality_rules, secrets, token_files, toxicity, url_rules, warc
 from candlewick.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("pair_id", "n_prompt", "n_chosen", "n_rejected", *digests, *spans)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and audit of every row of documents; rows whose id's checksum 7 divides are found with one character too many."""
+    docs = _table(spark, sf_dir, "documents")
+    damaged = F.coalesce(F.crc32(docs["doc_id"].cast("string")) % 7 == 0, F.lit(False))
+    rows = merkle.of_documents(docs, damaged=damaged, found={"n_chars": F.try_add(docs["n_chars"], F.lit(1))}).audit()
+    return rows.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document's ids written to token files and read back; a null or empty text has the end id alone."""
     path = scratch_path(spark, "tokens")
@@ -94,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_score": op10_lm_score,
+    "op12_merkle": op12_merkle,
     "op13_token_files": op13_token_files,
 }
 
@@ -164,4 +173,35 @@ ORACLES: dict[str, str] = {
                coalesce(arg_max(verdict, length(r_host || r_path)), 'allow') AS verdict
         FROM numbered LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
         GROUP BY n, page_id, host, path""",
+    "op12_merkle": r"""
+        WITH RECURSIVE d AS (
+          SELECT *, sha256(CASE WHEN doc_id IS NULL THEN '-' ELSE octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE octet_length(encode(CAST(source AS VARCHAR))) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE octet_length(encode(CAST(lang AS VARCHAR))) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars END || CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(CAST(text AS VARCHAR))) || ':' || text END) AS leaf,
+                 row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+          FROM (SELECT doc_id, source, lang, n_chars, text, row_number() OVER () AS rid FROM documents)),
+        t(lang, level, pos, h, n) AS (
+          SELECT lang, 0, pos, leaf, count(*) OVER (PARTITION BY lang) FROM d
+          UNION ALL
+          SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+        sub AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos FROM t WHERE n = 1),
+        u(level, pos, h, n) AS (
+          SELECT 0, pos, subroot, count(*) OVER () FROM sub
+          UNION ALL
+          SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY level, pos // 2, n),
+        steps AS (
+          SELECT rid, t.level, 0 AS upper, d.pos // CAST(pow(2, t.level) AS BIGINT) AS own, t.n, d.lang FROM d JOIN (SELECT DISTINCT lang, level, n FROM t WHERE n > 1) t ON t.lang IS NOT DISTINCT FROM d.lang
+          UNION ALL
+          SELECT rid, u.level, 1, sub.pos // CAST(pow(2, u.level) AS BIGINT), u.n, d.lang FROM d JOIN sub ON sub.lang IS NOT DISTINCT FROM d.lang, (SELECT DISTINCT level, n FROM u WHERE n > 1) u),
+        path AS (
+          SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY upper, s.level) AS step, s.own % 2 AS place, coalesce(t.h, u.h, '') AS h
+          FROM steps s LEFT JOIN t ON s.upper = 0 AND t.lang IS NOT DISTINCT FROM s.lang AND t.level = s.level AND t.pos = xor(s.own, 1)
+                       LEFT JOIN u ON s.upper = 1 AND u.level = s.level AND u.pos = xor(s.own, 1)),
+        proof AS (SELECT rid, string_agg(h, '' ORDER BY step) AS h FROM path GROUP BY rid),
+        seen AS (SELECT rid, sha256(CASE WHEN doc_id IS NULL THEN '-' ELSE octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE octet_length(encode(CAST(source AS VARCHAR))) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE octet_length(encode(CAST(lang AS VARCHAR))) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars END || CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(CAST(text AS VARCHAR))) || ':' || text END) AS h FROM (SELECT * REPLACE (CASE WHEN crc % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars) FROM (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc FROM d))),
+        fold(rid, step, h) AS (
+          SELECT rid, 1, h FROM seen
+          UNION ALL
+          SELECT f.rid, f.step + 1, sha256(CASE WHEN place = 1 THEN p.h || f.h ELSE f.h || p.h END) FROM fold f JOIN path p ON p.rid = f.rid AND p.step = f.step),
+        done AS (SELECT rid, arg_max(h, step) AS folded_root FROM fold GROUP BY rid)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof.h, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM d JOIN sub ON sub.lang IS NOT DISTINCT FROM d.lang JOIN done USING (rid) LEFT JOIN proof USING (rid), (SELECT h AS root FROM u WHERE n = 1)""",
 }
