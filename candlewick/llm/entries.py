@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import chat_format, decontamination, lm_score, merkle, ngram_join, packing, quality_rules, secrets, token_files, toxicity, url_rules, warc
+from candlewick.llm import chat_format, decontamination, lexical, lm_score, merkle, ngram_join, packing, quality_rules, secrets, token_files, toxicity, url_rules, warc
 from candlewick.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("pair_id", "n_prompt", "n_chosen", "n_rejected", *digests, *spans)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's 50 best documents; null texts are never found."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots, proof and audit of every row of documents; rows whose id's checksum 7 divides are found with one character too many."""
     docs = _table(spark, sf_dir, "documents")
@@ -102,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_score": op10_lm_score,
+    "op11_lexical_search": op11_lexical_search,
     "op12_merkle": op12_merkle,
     "op13_token_files": op13_token_files,
 }
@@ -173,6 +179,17 @@ ORACLES: dict[str, str] = {
                coalesce(arg_max(verdict, length(r_host || r_path)), 'allow') AS verdict
         FROM numbered LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
         GROUP BY n, page_id, host, path""",
+    "op11_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, """ + _SQL_WORDS + r""" AS ws FROM documents),
+        c AS (SELECT CAST(count(*) FILTER (len(ws) > 0) AS BIGINT) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS length FROM d),
+        occurrence AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ws) AS term FROM d) GROUP BY rid, term),
+        weight AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM occurrence GROUP BY term), c),
+        item AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(ws) AS term FROM (SELECT item_id, """ + _SQL_WORDS + r""" AS ws FROM benchmark))),
+        scored AS (
+          SELECT item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(ws) * n_docs) // length)))) AS BIGINT) AS score
+          FROM item JOIN occurrence USING (term) JOIN weight USING (term) JOIN d USING (rid), c GROUP BY item_id, rid, doc_id)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 50""",
     "op12_merkle": r"""
         WITH RECURSIVE d AS (
           SELECT *, sha256(CASE WHEN doc_id IS NULL THEN '-' ELSE octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE octet_length(encode(CAST(source AS VARCHAR))) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE octet_length(encode(CAST(lang AS VARCHAR))) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars END || CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(CAST(text AS VARCHAR))) || ':' || text END) AS leaf,

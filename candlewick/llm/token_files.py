@@ -39,9 +39,10 @@ _ARROW = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("begin", pa.i
 #: Unicode's white space, and letters that are ASCII or Latin, as contents of a character class.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u02af"
-#: A word with at most one space before it, if ASCII that is no letter or the end follows; else white space and what it leads to.
-_CHUNK = re.compile(f" ?[{_LETTER}]+(?=[\\t-@\\[-`{{-~]|\\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_SPACED = re.compile(f" [{_LETTER}]+")
+#: A word with at most one space before it, if ASCII that is no letter or the end follows; a single other white space before a word; else
+#: white space and what it leads to.
+_CHUNK = re.compile(f" ?[{_LETTER}]+(?=[\\t-@\\[-`{{-~]|\\Z)|[\\t-\\r](?=[{_LETTER}])|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_WORD = re.compile(f" ?[{_LETTER}]+")
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -54,20 +55,22 @@ class Encoder:
     of its chunks, one after the other. Chunks are compared as strings. Where the file describes any other kind of vocabulary, and for
     texts with a special token in them, whole texts are encoded.
 
-    `bound` limits memory alone: so many chunks of at most 64 characters are remembered, then all are forgotten.
+    `bound` limits memory alone: so many chunks of at most 64 characters are remembered, in two generations. When the younger one has
+    half of them, it takes the place of the older one; chunks that occur again come back from there.
     """
 
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.bound, self.known = Tokenizer.from_file(path), bound, {}
+        self.tokenizer, self.bound, self.young, self.old = Tokenizer.from_file(path), bound, {}, {}
         kind = json.loads(self.tokenizer.to_str())
         cut = kind.get("pre_tokenizer") or {}
         self.special = [x["content"] for x in kind["added_tokens"]]
         self.chunked = kind["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
         self.chunked &= kind["model"]["type"] == "BPE" and not kind["model"].get("dropout") and kind["truncation"] is None and kind["padding"] is None
-        self.opens = np.array([str(self.tokenizer.id_to_token(i)).startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
+        vocabulary = [str(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())]
+        self.spaced, self.line = np.array([t.startswith("Ġ") for t in vocabulary]), np.array([t == "Ċ" for t in vocabulary])
 
     def _alone(self, strings: list[str], part: int = 512) -> Iterator[bytes]:
         for i in range(0, len(strings), part):
@@ -75,41 +78,46 @@ class Encoder:
                 yield np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks. Words after a space are encoded together: an id whose token begins with the space begins a word."""
-        spaced, rest, found = [], [], {}
+        """Ids of new chunks. Words are encoded together: an id whose token begins with a space begins a word that has one before it, and
+        the id of a line's end separates the others."""
+        words: tuple[list[str], list[str]] = [], []
+        rest, found = [], {}
         for c in chunks:
-            (spaced if _SPACED.fullmatch(c) else rest).append(c)
-        for i in range(0, len(spaced), 1024):
-            some = spaced[i : i + 1024]
-            (raw,) = self._alone(["".join(some)])
-            at = (np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")]) * 4).tolist()
-            if len(at) == len(some):
-                found.update({c: raw[x:y] for c, x, y in zip(some, at, [*at[1:], len(raw)], strict=True)})
-            else:  # the vocabulary cuts a space from its word
-                rest += some
+            (words[c[0] == " "] if _WORD.fullmatch(c) else rest).append(c)
+        for before, every in zip(("\n", ""), words, strict=True):
+            for i in range(0, len(every), 1024):
+                some = every[i : i + 1024]
+                (raw,) = self._alone([before + before.join(some)])
+                at = (np.flatnonzero((self.line if before else self.spaced)[np.frombuffer(raw, "<u4")]) * 4).tolist()
+                if len(at) == len(some):
+                    skip = 4 * len(before)
+                    found.update({c: raw[x + skip : y] for c, x, y in zip(some, at, [*at[1:], len(raw)], strict=True)})
+                else:  # the vocabulary cuts words or lines in some other way
+                    rest += some
         found.update(zip(rest, self._alone(rest), strict=True))
         return found
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        cut: list[list[str] | None] = []
-        for t in texts:
-            cut.append(_CHUNK.findall(t or "") if self.chunked and not (t and any(s in t for s in self.special)) else None)
-        new = list({c for x in cut if x for c in x if c not in self.known})
-        if len(self.known) + len(new) > self.bound:
-            self.known = {}
-            new = list({c for x in cut if x for c in x})
-        learnt = self._learn(new)
-        get = self.known
-        long = {c: v for c, v in learnt.items() if len(c) > 64}
-        get.update((c, v) for c, v in learnt.items() if len(c) <= 64)
+        cut = [_CHUNK.findall(t or "") if self.chunked and not (t and any(s in t for s in self.special)) else None for t in texts]
+        young, old = self.young, self.old
+        new, long = [], {}
+        for c in {c for x in cut if x for c in x if c not in young}:
+            if c in old:
+                young[c] = old.pop(c)
+            else:
+                new.append(c)
+        for c, ids in self._learn(new).items():
+            (young if len(c) <= 64 else long)[c] = ids
         whole = self._alone([t for t, x in zip(texts, cut, strict=True) if x is None and t is not None])
         out = []
         for t, x in zip(texts, cut, strict=True):
             if x is None:
                 out.append(b"" if t is None else next(whole))
             else:
-                out.append(b"".join([long[c] if c in long else get[c] for c in x] if long else [get[c] for c in x]))
+                out.append(b"".join([young[c] if c in young else long[c] for c in x] if long else [young[c] for c in x]))
+        if len(young) > self.bound // 2:
+            self.young, self.old = {}, young
         return out
 
 

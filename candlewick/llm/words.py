@@ -40,9 +40,13 @@ def shingle_set(h: np.ndarray, k: int = 5) -> np.ndarray:
 
 
 class Hasher:
-    """64-bit hashes of words: the word's bytes as a polynomial in a fixed odd number, its length, and a finaliser."""
+    """64-bit hashes of words: the word's bytes as a polynomial in a fixed odd number, its length, and a finaliser.
 
-    def __init__(self) -> None:
+    value: of each byte, 0 where it separates words, else what it counts for.
+    """
+
+    def __init__(self, value: np.ndarray = _VALUE) -> None:
+        self.value = value
         self.powers = np.cumprod(np.full(256, 0xB5297A4D3F84D5B5, np.uint64))
 
     def __call__(self, raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +57,7 @@ class Hasher:
         """The same; and the texts in one piece, with each word's start and stop in it."""
         joined = b" " + b" ".join(r or b"" for r in raws) + b" "
         buf = np.frombuffer(joined, np.uint8)
-        value = _VALUE[buf]
+        value = self.value[buf]
         word = value != 0
         edges = np.flatnonzero(word[1:] != word[:-1]) + 1
         starts, stops = edges[0::2], edges[1::2]
