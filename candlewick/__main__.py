@@ -30,9 +30,9 @@ def _parser() -> argparse.ArgumentParser:
     service = {"fetch": ..., "exchanges": ..., "symbols": ..., "timeframes": "1d,4h,1h,15m,5m", "candles": ...}
     command("download-data", "download all candles of a service's series", **service, since=0)
     command("update-data", "download what is newer than the stored candles", **service)
-    command("build-pattern-db", "detect, label, embed and store patterns of stored candles", candles=..., out=..., timeframes="1d,4h", labels="1h")
+    command("build-pattern-db", "detect, label, embed and store patterns of stored candles", candles=..., out=..., timeframes="1d,4h", labels="1h", exchanges="", symbols="")
     command("train", "train direction and return models on pattern records", records=..., out=..., horizon="1h", max_rows=50_000)
-    command("train-sequence", "the same on windows of records", records=..., out=..., horizon="1h", max_rows=25_000, length=12, stride=1)
+    command("train-sequence", "the same on windows of records", records=..., out=..., horizon="1h", max_rows=25_000, length=12, stride=1, max_windows=0)
     execution = {"candles": ..., "out": ..., "timeframe": "5m", "eval_fraction": 0.7}
     command("backtest", "backtest stored signals and write reports", signals=..., **execution | {"eval_fraction": 0.95})
     command("compare", "backtest the policies of trained models over the same events", records=..., model="", sequence="", **execution, symbol="", decision="4h", horizon="1h", max_events=500, top_k=50)
@@ -55,37 +55,52 @@ def _update(spark: SparkSession, a: argparse.Namespace) -> int | None:
     return candles.stored(spark, a.candles).agg(F.max("timestamp")).first()[0]
 
 
+def _symbols(rows: DataFrame, wanted: str) -> list[str]:
+    """The symbols to go through one by one: those wanted, else all that rows have."""
+    return [wanted] if wanted else sorted(r.symbol for r in rows.select("symbol").distinct().collect())
+
+
 def _compare(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = spark.read.parquet(a.records).where(F.col("timeframe") == a.decision)
-    rows = rows.where(F.col("symbol") == a.symbol) if a.symbol else rows
+    """A portfolio, a ranking and a report folder for each symbol."""
+    every = spark.read.parquet(a.records).where(F.col("timeframe") == a.decision)
     cfg = backtest.BacktestConfig(eval_fraction=a.eval_fraction, horizon_steps=horizon_steps(a.horizon, a.timeframe))
-    store = rows.withColumn("record_id", F.xxhash64("symbol", "timeframe", "timestamp", "pattern_type"))
+    store = every.withColumn("record_id", F.xxhash64("symbol", "timeframe", "timestamp", "pattern_type"))
     policies = {"pattern-similarity": training.similarity_policy(store, a.top_k, cfg)}
     if a.model:
         policies["model"] = training.model_policy(training.load(spark, a.model), cfg)
     if a.sequence:
         policies["sequence"] = training.sequence_policy(training.load(spark, a.sequence), cfg)
     execution = spark.read.parquet(a.candles).where(F.col("timeframe") == a.timeframe)
-    ranked, taken, curve = training.compare(rows, execution, policies, cfg, a.max_events)
-    reports.write(taken, curve, cfg, a.out)
-    ranked.select("place", "policy", *backtest.METRICS).orderBy("place").show(100, False)
+    names = _symbols(every, a.symbol)
+    for name in names:
+        ranked, taken, curve = training.compare(every.where(F.col("symbol") == name), execution.where(F.col("symbol") == name), policies, cfg, a.max_events)
+        reports.write(taken, curve, cfg, a.out if len(names) == 1 else f"{a.out}/{name.replace('/', '_')}")
+        ranked.select(F.lit(name).alias("symbol"), "place", "policy", *backtest.METRICS).orderBy("place").show(100, False)
 
 
 def _continual(spark: SparkSession, a: argparse.Namespace) -> int:
-    """A cycle does nothing unless the stored candles got newer."""
-    seen = {"newest": None}
+    """A cycle does nothing unless the stored candles got newer since the last one, of this run or an earlier one. Each symbol has models and
+    decisions of its own; one without enough rows is passed over."""
+    noted, exchanges = f"{a.models}/newest", a.exchanges.split(",")
 
     def cycle(number: int) -> None:
         newest = _update(spark, a)
-        if newest == seen["newest"]:
+        if newest is None or newest <= live.newest_seen(spark, noted):
             return
-        seen["newest"] = newest
         wanted = reports.trigger_timeframes(a.timeframes.split(","), a.detection.split(",") if a.detection else None)
         stored = candles.stored(spark, a.candles)
-        records.build(stored, wanted, a.labels).write.mode("overwrite").parquet(a.patterns)
+        records.build(stored, wanted, a.labels, exchanges=exchanges).write.mode("overwrite").parquet(a.patterns)
         rows = spark.read.parquet(a.patterns)
-        training.train(rows, f"{a.models}/candidate")
-        training.promote(spark, rows.where(F.col("timeframe") == wanted[-1]), stored.where(F.col("timeframe") == a.labels), a.models, number)
+        for name in reports.symbols(a.symbols.split(",")):
+            mine, folder = rows.where(F.col("symbol") == name), f"{a.models}/{name.replace('/', '_')}"
+            try:
+                training.train_kinds(mine, folder)
+            except ValueError as e:
+                print(f"{name} is passed over: {e}")
+                continue
+            execution = candles.of_one_exchange(stored.where(F.col("symbol") == name), [a.labels], exchanges).where(F.col("timeframe") == a.labels)
+            training.promote(spark, mine.where(F.col("timeframe") == wanted[-1]), execution, folder, number)
+        live.note_newest(spark, noted, newest)
 
     return live.poll(cycle, a.max_cycles or None, a.poll, lambda n, e: print(f"cycle {n} failed: {e}"))
 
@@ -99,9 +114,10 @@ def main(argv: list[str] | None = None) -> None:
         print(_update(spark, a))
     elif a.command == "build-pattern-db":
         stored = spark.read.parquet(a.candles).select(*candles.COLUMNS)
-        records.build(stored, a.timeframes.split(","), a.labels).write.mode("overwrite").parquet(a.out)
+        stored = stored.where(F.col("symbol").isin(reports.symbols(a.symbols.split(",")))) if a.symbols else stored
+        records.build(stored, a.timeframes.split(","), a.labels, exchanges=a.exchanges.split(",") if a.exchanges else None).write.mode("overwrite").parquet(a.out)
     elif a.command in ("train", "train-sequence"):
-        print(json.dumps(training.train(spark.read.parquet(a.records), a.out, a.horizon, a.max_rows, *((a.length, a.stride) if a.command != "train" else ()))))
+        print(json.dumps(training.train(spark.read.parquet(a.records), a.out, a.horizon, a.max_rows, *((a.length, a.stride, a.max_windows or None) if a.command != "train" else ()))))
     elif a.command == "backtest":
         signals, cfg = spark.read.parquet(a.signals), backtest.BacktestConfig(eval_fraction=a.eval_fraction)
         starts = backtest.evaluation_start(signals, cfg.eval_fraction)

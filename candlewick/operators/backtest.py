@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candlewick.operators.indicators import regime, with_atr
-from candlewick.operators.labeling import next_at_or_after
+from candlewick.operators.labeling import next_at_or_after, series_key
 
 METRICS = ["net_return", "max_drawdown", "sharpe", "sortino", "calmar", "win_rate", "avg_win", "avg_loss", "expectancy", "profit_factor", "trade_count"]
 
@@ -66,11 +66,13 @@ def evaluation_start(events: DataFrame, fraction: float) -> DataFrame:
 def trades(signals: DataFrame, candles: DataFrame, cfg: BacktestConfig = BacktestConfig()) -> DataFrame:
     """Every signal's trade as if it were taken, per unit of equity: share (net result), prices, fees, reason and times.
 
-    signals: policy, symbol, timestamp, direction, confidence; candles: the execution series.
+    signals: policy, symbol, timestamp, direction, confidence; candles: the execution series, one per symbol, or per exchange and symbol where
+    signals have the column exchange.
     """
-    bars = with_atr(candles).select("symbol", "timestamp", "idx", "n", "open", "high", "low", "close", "atr")
+    series = series_key(signals, candles)
+    bars = with_atr(candles).select(*series, "timestamp", "idx", "n", "open", "high", "low", "close", "atr")
     wanted = signals.where((F.col("direction") != 0) & (F.col("confidence") >= cfg.min_confidence))
-    df = next_at_or_after(wanted, bars, ["symbol"], ["idx", "n", "open", "close", "atr"]).where("idx IS NOT NULL AND idx < n - 2 AND atr > 0 AND NOT isnan(atr)")
+    df = next_at_or_after(wanted, bars, series, ["idx", "n", "open", "close", "atr"]).where("idx IS NOT NULL AND idx < n - 2 AND atr > 0 AND NOT isnan(atr)")
     up, side = F.col("direction") == 1, F.col("direction").cast("double")
     df = df.withColumn("atr_pct", F.when(F.col("close") != 0, F.col("atr") / F.col("close")).otherwise(0.0)).withColumn("regime", regime(F.col("atr_pct")))
     pick = lambda low, high: F.when(F.col("regime") == "low", low).when(F.col("regime") == "high", high).otherwise(1.0)
@@ -81,9 +83,9 @@ def trades(signals: DataFrame, candles: DataFrame, cfg: BacktestConfig = Backtes
     df = df.withColumn("qty", F.least(F.lit(min(cfg.risk, cfg.max_risk)) / F.col("sl_dist"), by_cash)).where("qty > 0")
     df = df.withColumn("exit_idx", F.least(F.col("n") - 1, F.col("idx") + cfg.horizon_steps)).withColumn("entry_price", F.col("open"))
     # The bars of the holding time: few per trade, so trades are spread over them and meet the series by its place.
-    key = ["policy", "symbol", "timestamp", "direction", "confidence"] + [c for c in ("pattern_type",) if c in signals.columns]
+    key = ["policy", *series, "timestamp", "direction", "confidence"] + [c for c in ("pattern_type",) if c in signals.columns]
     held = df.select("*", F.explode(F.sequence("idx", "exit_idx")).alias("bar")).drop("open", "close", "n")
-    held = held.join(bars.select("symbol", F.col("idx").alias("bar"), F.col("timestamp").alias("bar_ts"), "high", "low", "close"), ["symbol", "bar"])
+    held = held.join(bars.select(*series, F.col("idx").alias("bar"), F.col("timestamp").alias("bar_ts"), "high", "low", "close"), [*series, "bar"])
     stop = F.when(up, F.col("low") <= F.col("sl_raw")).otherwise(F.col("high") >= F.col("sl_raw"))
     take = F.when(up, F.col("high") >= F.col("tp_raw")).otherwise(F.col("low") <= F.col("tp_raw"))
     event = F.when(stop, F.struct(F.lit("stop_loss").alias("reason"), F.col("sl_raw").alias("price"))).when(take, F.struct(F.lit("take_profit").alias("reason"), F.col("tp_raw").alias("price")))

@@ -44,15 +44,21 @@ def next_at_or_after(events: DataFrame, series: DataFrame, key: list[str], paylo
     return df.where("__e = 1").select(*events.columns, *[F.col(f"__f.{c}").alias(c) for c in payload])
 
 
+def series_key(*frames: DataFrame) -> list[str]:
+    """What tells series of a timeframe apart: exchange, where all frames have it, and symbol."""
+    return [*(["exchange"] if all("exchange" in f.columns for f in frames) else []), "symbol"]
+
+
 def forward_returns(series: DataFrame, cfg: LabelingConfig = LabelingConfig()) -> DataFrame:
-    """The label series with fwd_<horizon>, all null where one is missing or the close is 0."""
-    w = W.partitionBy("symbol").orderBy("timestamp")
+    """The label series with fwd_<horizon>, all null where one is missing or the close is 0. A series is a symbol's on an exchange."""
+    key = series_key(series)
+    w = W.partitionBy(*key).orderBy("timestamp")
     made = [F.when(F.col("close") != 0, F.lead("close", k).over(w) / F.col("close") - 1).alias(f"fwd_{h}") for h, k in cfg.horizons.items()]
-    df = series.select("symbol", "timestamp", "close", *made)
+    df = series.select(*key, "timestamp", "close", *made)
     whole = F.lit(True)
     for h in cfg.horizons:
         whole = whole & F.col(f"fwd_{h}").isNotNull()
-    return df.select("symbol", "timestamp", *[F.when(whole, F.col(f"fwd_{h}")).alias(f"fwd_{h}") for h in cfg.horizons])
+    return df.select(*key, "timestamp", *[F.when(whole, F.col(f"fwd_{h}")).alias(f"fwd_{h}") for h in cfg.horizons])
 
 
 #: Groups of at most so many events are ranked by a kernel each, larger ones by digits in this base, spread over tasks.
@@ -60,10 +66,11 @@ SMALL_GROUP, RADIX = 250_000, 8
 _GROUP = ["pattern_type", "timeframe"]
 
 
-def ranks(events: DataFrame, cfg: LabelingConfig = LabelingConfig(), small: int = SMALL_GROUP) -> DataFrame:
-    """Adds q_<horizon>. events: pattern_type, timeframe, timestamp and fwd_<horizon>, which are null all together or not at all; events without
-    returns have no rank and don't count for others. Both ways are exact and n log n."""
-    sized = events.withColumn("__size", F.count(F.lit(1)).over(W.partitionBy(*_GROUP)))
+def ranks(events: DataFrame, cfg: LabelingConfig = LabelingConfig(), small: int = SMALL_GROUP, group: list[str] | None = None) -> DataFrame:
+    """Adds q_<horizon>, within groups of pattern_type and timeframe by default. events: the group, timestamp and fwd_<horizon>, which are null
+    all together or not at all; events without returns have no rank and don't count for others. Both ways are exact and n log n."""
+    by = group or _GROUP
+    sized = events.withColumn("__size", F.count(F.lit(1)).over(W.partitionBy(*by)))
     few, many = (sized.where(c).drop("__size") for c in (F.col("__size") <= small, F.col("__size") > small))
     names = [f"fwd_{h}" for h in cfg.horizons]
     lags = [k * HOUR for k in cfg.horizons.values()]
@@ -79,7 +86,7 @@ def ranks(events: DataFrame, cfg: LabelingConfig = LabelingConfig(), small: int
 
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields] + [f"q_{h} double" for h in cfg.horizons])
     lack = many.where(F.col(names[0]).isNull()).select("*", *[F.lit(None).cast("double").alias(f"q_{h}") for h in cfg.horizons])
-    return few.groupBy(*_GROUP).applyInArrow(run, ddl).unionByName(ranks_by_digits(many.where(F.col(names[0]).isNotNull()), cfg)).unionByName(lack)
+    return few.groupBy(*by).applyInArrow(run, ddl).unionByName(ranks_by_digits(many.where(F.col(names[0]).isNotNull()), cfg, by)).unionByName(lack)
 
 
 def ranked_before(ts: np.ndarray, values: np.ndarray, lag: int) -> np.ndarray:
@@ -101,14 +108,14 @@ def ranked_before(ts: np.ndarray, values: np.ndarray, lag: int) -> np.ndarray:
     return np.where(before > 0, count / np.maximum(before, 1), 0.5)
 
 
-def ranks_by_digits(events: DataFrame, cfg: LabelingConfig = LabelingConfig()) -> DataFrame:
+def ranks_by_digits(events: DataFrame, cfg: LabelingConfig = LabelingConfig(), by: list[str] | None = None) -> DataFrame:
     """The same for groups of any size.
 
     Counting earlier events with no larger return is counting points below and left of others. Returns are numbered by size within their
     group; the numbers below r are those that share r's leading digits and have a smaller next one, for each digit of r. So each event
     becomes a row for each of its digits, and per leading digits a window in the order of time keeps how often each next digit has come.
     """
-    group, hs = _GROUP, list(cfg.horizons)
+    group, hs = by or _GROUP, list(cfg.horizons)
     lag = F.expr("CASE h " + " ".join(f"WHEN {i} THEN {k * HOUR}L" for i, k in enumerate(cfg.horizons.values())) + " END")
     each = events.select(*group, "timestamp", *[f"fwd_{h}" for h in hs], F.posexplode(F.array(*[f"fwd_{h}" for h in hs])).alias("h", "v"))
     at = W.partitionBy(*group, "h")
@@ -132,16 +139,16 @@ def ranks_by_digits(events: DataFrame, cfg: LabelingConfig = LabelingConfig()) -
     return df.select(*events.columns, *[F.when(F.col(f"__n_{h}") == 0, 0.5).otherwise(F.col(f"__k_{h}") / F.col(f"__n_{h}")).alias(f"q_{h}") for h in hs])
 
 
-def label(instances: DataFrame, label_series: DataFrame, cfg: LabelingConfig = LabelingConfig()) -> DataFrame:
-    """Instances (symbol, timeframe, timestamp, pattern_type, ...) with returns, label_score and label.
+def label(instances: DataFrame, label_series: DataFrame, cfg: LabelingConfig = LabelingConfig(), group: list[str] | None = None) -> DataFrame:
+    """Instances (symbol, timeframe, timestamp, pattern_type, ...) with returns, label_score and label; their ranks are taken within `group`.
 
-    What has no returns is Neutral with a score of 0.5.
+    Where both tables have the column exchange, an instance looks at its exchange's candles only. What has no returns is Neutral with a score of 0.5.
     """
     names = [f"fwd_{h}" for h in cfg.horizons]
-    got = next_at_or_after(instances, forward_returns(label_series, cfg), ["symbol"], names)
+    got = next_at_or_after(instances, forward_returns(label_series, cfg), series_key(instances, label_series), names)
     score = F.coalesce(sum((F.col(f"q_{h}") * cfg.weights[h] for h in cfg.horizons), F.lit(0.0)), F.lit(0.5))
     named = F.when(F.col(names[0]).isNull(), "Neutral").when(F.col("label_score") >= cfg.good, "Good").when(F.col("label_score") <= cfg.bad, "Bad").otherwise("Neutral")
-    return ranks(got, cfg).withColumn("label_score", score).withColumn("label", named).select(*got.columns, "label_score", "label")
+    return ranks(got, cfg, group=group).withColumn("label_score", score).withColumn("label", named).select(*got.columns, "label_score", "label")
 
 
 def aligned(instances: DataFrame, primary: str, secondary: str, secondary_ms: int) -> DataFrame:
@@ -149,9 +156,9 @@ def aligned(instances: DataFrame, primary: str, secondary: str, secondary_ms: in
 
     A band join by buckets of the band's width: each instance looks into its own bucket and both neighbours.
     """
-    band = 2 * secondary_ms
+    band, key = 2 * secondary_ms, [*series_key(instances), "pattern_type"]
     p = instances.where(F.col("timeframe") == primary).select("*", F.explode(F.expr(f"array(-1L, 0L, 1L)")).alias("__d")).withColumn("__b", F.floor(F.col("timestamp") / band) + F.col("__d"))
-    s = instances.where(F.col("timeframe") == secondary).select("symbol", "pattern_type", F.col("timestamp").alias("__ts"), F.floor(F.col("timestamp") / band).alias("__b"))
+    s = instances.where(F.col("timeframe") == secondary).select(*key, F.col("timestamp").alias("__ts"), F.floor(F.col("timestamp") / band).alias("__b"))
     near = F.col("__ts").isNotNull() & (F.abs(F.col("__ts") - F.col("timestamp")) <= band)
-    counted = p.join(s, ["symbol", "pattern_type", "__b"], "left").groupBy(*instances.columns).agg(F.count_if(near).alias("matches"))
+    counted = p.join(s, [*key, "__b"], "left").groupBy(*instances.columns).agg(F.count_if(near).alias("matches"))
     return counted.withColumn("boosted", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence") * (1 + 0.1 * F.col("matches")))))

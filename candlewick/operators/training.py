@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from candlewick.operators import backtest, datasets, models, vectors
 from candlewick.session import written
+from candlewick.sources.candles import of_one_exchange
 
 LEAST_ROWS, LEAST_SIDE = 10, 5
 
@@ -53,15 +54,18 @@ class Trained:
         return df.drop("features")
 
 
-def train(records: DataFrame, path: str, horizon: str = "1h", cap: int | None = None, length: int = 1, stride: int = 1) -> dict[str, object]:
+def train(records: DataFrame, path: str, horizon: str = "1h", cap: int | None = None, length: int = 1, stride: int = 1, max_windows: int | None = None) -> dict[str, object]:
     """Fits both models on the older rows, scores them on the newest fifth, and writes them below `path`; the scores.
 
-    length > 1: on windows of so many records of a series, whose last one gives the target (at most 25,000 rows; else 50,000).
+    length > 1: on windows of so many records of a series, whose last one gives the target (at most 25,000 rows; else 50,000), the newest
+    `max_windows` of them if that is given. Classes weigh the same there; otherwise each row does.
     """
     sequence = length > 1
     rows = rows_of(records, horizon, cap if cap is not None else (25_000 if sequence else 50_000), all_or_none=not sequence)
     if sequence:
-        rows = datasets.sequences(rows, length, stride).withColumn("embedding", F.flatten("window")).withColumnRenamed("ts_end", "timestamp").drop("window")
+        windows = datasets.sequences(rows, length, stride)
+        windows = windows if max_windows is None else datasets.recent_windows(windows, max_windows)
+        rows = windows.withColumn("embedding", F.flatten("window")).withColumnRenamed("ts_end", "timestamp").drop("window")
     split = written(datasets.time_split(rows), "training-split")
     sides = {r.split: r.n for r in split.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     if sum(sides.values()) < LEAST_ROWS or min(sides.get("train", 0), sides.get("val", 0)) < LEAST_SIDE:
@@ -70,7 +74,7 @@ def train(records: DataFrame, path: str, horizon: str = "1h", cap: int | None =
     scaler = written(models.scaler(fit, "embedding"), "training-scaler")
     features = models.with_scaler(fit, "embedding", scaler)
     target = fit.where("y_return IS NOT NULL").limit(1).count() > 0
-    trained = Trained(models.direction_model(features, balanced=not sequence), models.return_model(features) if target else None, scaler, {})
+    trained = Trained(models.direction_model(features, balanced=sequence), models.return_model(features) if target else None, scaler, {})
     scored = written(trained.scored(val), "training-scores")
     by = datasets.classification_scores(scored.select(F.col("y_dir").alias("y"), "p")).first()
     scores: dict[str, object] = {"val_accuracy": by["accuracy"]} | ({"val_roc_auc": by["auc"]} if by["auc"] is not None else {})
@@ -120,61 +124,79 @@ def sequence_policy(trained: Trained, cfg: backtest.BacktestConfig = backtest.Ba
         df = df.withColumn("direction", backtest.direction(F.col("p_long"), cfg))
         return df.select("event_id", "p_long", "direction", F.when(F.col("direction") != 0, F.greatest("p_long", 1 - F.col("p_long"))).otherwise(0.0).alias("confidence"))
 
+    run.context = int(trained.meta["length"]) - 1
     return run
 
 
 def similarity_policy(store: DataFrame, k: int = 50, cfg: backtest.BacktestConfig = backtest.BacktestConfig()) -> Policy:
-    """Labels of the nearest records (store: record_id, symbol, timeframe, timestamp, label, embedding) that are older than the event."""
+    """Labels of the nearest records (store: record_id, symbol, timeframe, timestamp, label, embedding) of the event's symbol and timeframe; those
+    that aren't older than the event don't count, but take a place among the k."""
 
     def run(events: DataFrame) -> DataFrame:
-        asked = events.select("event_id", F.col("embedding").alias("query"))
-        near = vectors.search(asked, store, k, ids=("event_id", "record_id")).join(events.select("event_id", F.col("timestamp").alias("event_ts")), "event_id")
+        asked = events.select("event_id", "symbol", "timeframe", F.col("embedding").alias("query"))
+        near = vectors.search_by_key(asked, store, ["symbol", "timeframe"], k, ids=("event_id", "record_id")).join(events.select("event_id", F.col("timestamp").alias("event_ts")), "event_id")
         return backtest.neighbour_signals(near, events.select("event_id"), cfg).select("event_id", "p_long", "direction", "confidence")
 
     return run
 
 
 def compare(records: DataFrame, candles: DataFrame, policies: dict[str, Policy], cfg: backtest.BacktestConfig = backtest.BacktestConfig(), max_events: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every policy over the same events: (ranked metrics, trades taken, equity curve). records: one series' records; candles: the execution series.
+    """Every policy over one series' records: (ranked metrics, trades taken, equity curve). candles: the execution series.
 
-    Events from the quantile of time `cfg.eval_fraction` on are traded, the first `max_events` of them in the order of time; policies see the
-    events before as well, as sequences need them.
+    Events from the quantile of time `cfg.eval_fraction` on are traded, the first `max_events` of them in the order of time, which is also the
+    most trades that a policy takes. A policy with an attribute `context` (sequences of that many earlier events) sees the events before the first
+    traded one as well, and all that follow: what limits it is the number of trades.
     """
     order = ["timestamp", "pattern_type", "symbol", "timeframe"]
     events = written(records.select("symbol", "timeframe", "timestamp", "pattern_type", "embedding").withColumn("event_id", F.xxhash64(*order)), "events")
     start = events.agg(F.expr(f"CAST(percentile(timestamp, {cfg.eval_fraction}D) AS bigint)").alias("s")).first()["s"]
-    traded = events.where(F.col("timestamp") >= F.lit(start))
-    traded = traded.orderBy(*order).limit(max_events) if max_events is not None else traded
-    traded = written(traded.select("event_id", "symbol", "timestamp", "pattern_type"), "traded-events")
+    later = events.where(F.col("timestamp") >= F.lit(start))
+    traded = written(later.orderBy(*order).limit(max_events), "traded-events") if max_events is not None else later
+    first = traded.agg(F.min("timestamp")).first()[0]
     signals = None
     for name, policy in policies.items():
-        mine = policy(events).join(traded, "event_id").withColumn("policy", F.lit(name))
-        signals = mine if signals is None else signals.unionByName(mine)
+        context = getattr(policy, "context", 0)
+        mine = traded
+        if context:
+            earlier = events.where(F.col("timestamp") < F.lit(first)).orderBy(*[F.desc(c) for c in order]).limit(context)
+            mine = later.where(F.col("timestamp") >= F.lit(first)).unionByName(earlier)
+        found = policy(mine).join(later.select("event_id", "symbol", "timestamp", "pattern_type"), "event_id").withColumn("policy", F.lit(name))
+        signals = found if signals is None else signals.unionByName(found)
     signals = written(signals, "signals")
+    cfg = cfg if max_events is None else replace(cfg, max_trades=max_events)
     starts = candles.sparkSession.createDataFrame([(n, start) for n in policies], "policy string, eval_start long")
-    taken = written(backtest.portfolio(backtest.trades(signals, candles, cfg), starts, cfg), "trades-taken")
+    taken = written(backtest.portfolio(backtest.trades(signals, of_one_exchange(candles, []), cfg), starts, cfg), "trades-taken")
     curve = backtest.equity_curve(taken, starts, cfg)
     return backtest.ranked(backtest.metrics(taken, curve, cfg)), taken, curve
 
 
-def promote(spark: SparkSession, rows: DataFrame, execution: DataFrame, folder: str, cycle: int, cfg: backtest.BacktestConfig = backtest.BacktestConfig(), max_events: int = 30) -> bool:
-    """Whether the model in folder/candidate replaces the one in folder/champion, by a comparison over the same events.
+#: What a cycle trains, and the length of the windows of each kind.
+KINDS = {"model": 1, "sequence": 12}
 
-    The decision and both models' metrics are written to folder/cycles/<number>/promotion (JSON); a promoted model is copied.
+
+def train_kinds(rows: DataFrame, folder: str, kinds: dict[str, int] = KINDS, horizon: str = "1h") -> dict[str, dict[str, object]]:
+    """Trains each kind of model as folder/candidate/<kind>; the scores."""
+    return {k: train(rows, f"{folder}/candidate/{k}", horizon, length=n) for k, n in kinds.items()}
+
+
+def promote(spark: SparkSession, rows: DataFrame, execution: DataFrame, folder: str, cycle: int, cfg: backtest.BacktestConfig = backtest.BacktestConfig(), max_events: int = 30, kinds: dict[str, int] = KINDS) -> dict[str, bool]:
+    """Which of the models in folder/candidate/<kind> replace those in folder/champion/<kind>: each by a comparison over the same events of a series.
+
+    Decisions and all models' metrics are written to folder/cycles/<number>/promotion (JSON); a promoted model is copied.
     """
-    names = {"champion": f"{folder}/champion", "candidate": f"{folder}/candidate"}
     fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
     conf = spark._jsc.hadoopConfiguration()
-    there = fs(names["champion"]).getFileSystem(conf).exists(fs(f"{names['champion']}/meta"))
-    policies = {k: model_policy(load(spark, p), cfg) for k, p in names.items() if k != "champion" or there}
+    there = lambda p: fs(p).getFileSystem(conf).exists(fs(p))
+    made = {f"{side} {k}": f"{folder}/{side}/{k}" for k in kinds for side in ("champion", "candidate") if side == "candidate" or there(f"{folder}/champion/{k}/meta")}
+    policies = {n: (sequence_policy if kinds[n.split()[1]] > 1 else model_policy)(load(spark, p), cfg) for n, p in made.items()}
     found = written(compare(rows, execution, policies, cfg, max_events)[0], "promotion-metrics")
-    side = lambda k: found.where(F.col("policy") == k).withColumn("policy", F.lit("model"))
-    wins = bool(backtest.promoted(side("champion"), side("candidate")).first()["promote"])
-    result = {"cycle": cycle, "promote": wins, **{k: found.where(F.col("policy") == k).drop("policy", "place").first() for k in names}}
-    result = {k: v.asDict() if hasattr(v, "asDict") else v for k, v in result.items()}
+    side = lambda s: found.where(F.col("policy").startswith(s)).withColumn("policy", F.split("policy", " ")[1])
+    wins = {r.policy: bool(r.promote) for r in backtest.promoted(side("champion"), side("candidate")).collect()}
+    result = {"cycle": cycle, "promote": wins, **{r.policy: r.asDict() for r in found.drop("place").collect()}}
     spark.range(1).select(F.lit(json.dumps(result)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/cycles/{cycle}/promotion")
-    if wins:
-        path = fs(names["champion"])
+    for k in (k for k, w in wins.items() if w):
+        source, path = fs(f"{folder}/candidate/{k}"), fs(f"{folder}/champion/{k}")
         path.getFileSystem(conf).delete(path, True)
-        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs(names["candidate"]).getFileSystem(conf), fs(names["candidate"]), path.getFileSystem(conf), path, False, conf)
+        path.getFileSystem(conf).mkdirs(path.getParent())
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, path.getFileSystem(conf), path, False, conf)
     return wins

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from candlewick.session import written
 
@@ -104,6 +104,71 @@ def _nearest(held: Broadcast, k: int, vector: str, r_id: str) -> Callable[[Itera
     return run
 
 
+def _block_best(matrix: np.ndarray, vectors: np.ndarray, ranks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of matrix its k most similar vectors, equal ones by rank: (row, place, similarity)."""
+    size = np.sqrt((matrix * matrix).sum(1))
+    s = (matrix @ vectors.T) / (size[:, None] * np.sqrt((vectors * vectors).sum(1))[None, :] + 1e-12)
+    if s.shape[1] > k:
+        asks, at = np.nonzero(s >= -np.partition(-s, k - 1, axis=1)[:, k - 1][:, None])
+    else:
+        asks, at = (x.ravel() for x in np.indices(s.shape))
+    order = np.lexsort((ranks[at], -s[asks, at], asks))
+    asks, at = asks[order], at[order]
+    kept = np.arange(len(asks)) - np.searchsorted(asks, asks) < k
+    return asks[kept], at[kept], s[asks[kept], at[kept]]
+
+
+def matrix_of(column: pa.ChunkedArray, length: int) -> np.ndarray:
+    """A list column without nulls as rows of so many numbers; another length is an error."""
+    lists = column.cast(pa.list_(pa.float64())).combine_chunks()
+    if wrong := int((np.asarray(lists.value_lengths()) != length).sum()):
+        raise ValueError(f"{wrong} vectors haven't {length} numbers")
+    return np.asarray(lists.flatten()).reshape(-1, length)
+
+
+#: Queries and rows of a tile at most, on average.
+TILE = 2048
+
+
+def search_by_key(queries: DataFrame, store: DataFrame, keys: list[str], k: int, query: str = "query", vector: str = "embedding", ids: tuple[str, str] = ("query_id", "record_id"), tile: int = TILE) -> DataFrame:
+    """The k most similar rows for every query among the store's rows with its keys (nulls are equal): (query_id, the store's columns,
+    similarity, rank), ties by record_id.
+
+    A key's queries and rows are cut into tiles of about `tile` by their ids, as many as it has of them, so a large key is spread; each tile
+    of queries meets each tile of rows as a matrix product, and what the tiles give is merged in two steps. Nothing is broadcast. A query that
+    has several rows (with different keys) gets the k best of all. Queries without length are left out, rows without a vector are none.
+    """
+    q_id, r_id = ids
+    key = F.to_json(F.struct(*keys)).alias("__k")
+    q = queries.select(key, q_id, F.expr(f"transform({query}, x -> CAST(x AS double))").alias("__q")).where("aggregate(__q, 0D, (s, x) -> s + x * x) > 0")
+    q = written(q, "keyed-queries")
+    rows = store.where(F.col(vector).isNotNull()).select("*", key)
+    parts = lambda df, name: df.groupBy("__k").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
+    counts = written(parts(q, "__qs").join(parts(rows, "__rs"), "__k"), "keyed-counts")
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(counts, "__k").select("__k", place(q_id, "__qs").alias("__i"), spread("__rs").alias("__j"), q_id, "__q")
+    rows = rows.join(counts, "__k").select("*", place(r_id, "__rs").alias("__j"), spread("__qs").alias("__i"))
+    fields = [StructField("__j", IntegerType()), StructField(q_id, q.schema[q_id].dataType), *[StructField(f.name, f.dataType) for f in store.schema.fields], StructField("similarity", DoubleType())]
+
+    columns, names = store.columns, [f.name for f in fields]
+
+    def run(asked: pa.Table, found: pa.Table) -> pa.Table:
+        if asked.num_rows and found.num_rows:
+            matrix = matrix_of(asked.column("__q"), len(asked.column("__q")[0]))
+            rows, at, score = _block_best(matrix, matrix_of(found.column(vector), matrix.shape[1]), _rank_of(found.column(r_id)), k)
+        else:
+            rows, at, score = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        mine, theirs = asked.take(pa.array(rows)), found.take(pa.array(at))
+        return pa.table([mine.column("__j"), mine.column(q_id), *[theirs.column(c) for c in columns], pa.array(score)], names=names)
+
+    near = q.groupBy("__k", "__i", "__j").cogroup(rows.groupBy("__k", "__i", "__j")).applyInArrow(run, StructType(fields))
+    order = [F.desc("similarity"), F.asc(r_id)]
+    for step in (W.partitionBy(q_id, F.col("__j") % 64), W.partitionBy(q_id)):
+        near = near.withColumn("rank", F.row_number().over(step.orderBy(*order))).where(F.col("rank") <= k)
+    return near.drop("__j")
+
+
 def _rank_of(column: pa.ChunkedArray) -> np.ndarray:
     """Each value's place in the order of values."""
     order = np.asarray(pc.sort_indices(column))

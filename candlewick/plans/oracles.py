@@ -146,6 +146,32 @@ ORACLES |= {
     "vector_upsert": "SELECT CASE WHEN vec_id % 3 = 0 THEN 99 ELSE label END AS label, count(*) AS n FROM embeddings GROUP BY 1",
 }
 
+_SIM = "list_dot_product(q.e, s.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(s.e, s.e)) + 1e-12)"
+_ALL_TOP = f"""WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), j AS (SELECT q.vec_id AS query_id, s.vec_id AS record_id, {_SIM} AS sim FROM s q, s WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, record_id) AS INTEGER) AS rank FROM j) SELECT query_id, record_id, rank, round(sim, 5) AS similarity FROM r WHERE rank <= 10"""
+_OWN_SERIES = f"""s AS (SELECT vec_id, embedding::DOUBLE[] AS e, 's' || vec_id % 3 AS symbol, CASE WHEN vec_id % 4 = 0 THEN '4h' ELSE '1h' END AS timeframe, CASE WHEN label < 4 THEN 'Good' WHEN label < 8 THEN 'Bad' ELSE 'Neutral' END AS label FROM embeddings),
+    j AS (SELECT q.vec_id AS query_id, q.symbol, q.timeframe, s.vec_id AS record_id, s.label, {_SIM} AS sim FROM s q JOIN s USING (symbol, timeframe)),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, record_id) AS INTEGER) AS rank FROM j)"""
+_TWO_EXCHANGES = f"""(WITH b AS (SELECT * FROM {H1} UNION ALL SELECT * FROM {H4}) SELECT 'first' AS exchange, * FROM b WHERE timeframe = '4h' OR symbol NOT IN ('click', 'view')
+    UNION ALL SELECT 'second', * REPLACE (open * 3 + timestamp % 7 AS open, high * 3 + timestamp % 7 AS high, low * 3 + timestamp % 7 AS low, close * 3 + timestamp % 7 AS close) FROM b)"""
+_LATER = lambda k: f"lead(close, {k}) OVER (PARTITION BY exchange, symbol ORDER BY timestamp)"
+
+ORACLES |= {
+    "vector_store_round_trip": """SELECT record_id, label, CAST(i - 1 AS INTEGER) AS place, e[i]::DOUBLE AS value FROM (SELECT vec_id AS record_id, CASE WHEN vec_id % 3 = 0 THEN 99 ELSE label END AS label,
+        CASE WHEN vec_id % 3 = 0 THEN list_reverse(embedding) ELSE embedding END AS e, unnest(range(1, 65)) AS i FROM embeddings WHERE (vec_id % 2 = 0 OR vec_id % 3 = 0) AND vec_id % 10 <> 4)""",
+    "vector_index_topk": _ALL_TOP,
+    "neighbours_by_series": f"WITH {_OWN_SERIES} SELECT query_id, symbol, timeframe, record_id, rank, round(sim, 5) AS similarity FROM r WHERE rank <= 10",
+    "similarity_policy": f"""WITH {_OWN_SERIES},
+        w AS (SELECT query_id, sum(greatest(sim, 0)) AS a, sum(CASE WHEN label = 'Good' THEN greatest(sim, 0) ELSE 0 END) AS g, sum(CASE WHEN label = 'Bad' THEN greatest(sim, 0) ELSE 0 END) AS b FROM r WHERE rank <= 20 AND record_id < query_id GROUP BY query_id),
+        p AS (SELECT vec_id AS event_id, coalesce(a, 0) > 0 AS has, CASE WHEN coalesce(a, 0) > 0 THEN g / (g + b + 1e-12) ELSE 0.5 END AS p_long FROM s LEFT JOIN w ON query_id = vec_id),
+        z AS (SELECT *, CASE WHEN greatest(p_long, 1 - p_long) < 0.55 THEN 0 WHEN p_long >= 0.55 THEN 1 WHEN 1 - p_long >= 0.55 THEN -1 ELSE 0 END AS direction FROM p)
+        SELECT event_id, round(p_long, 4) AS p_long, direction, round(CASE WHEN direction <> 0 THEN greatest(p_long, 1 - p_long) WHEN has THEN 2 * abs(p_long - 0.5) ELSE 0 END, 4) AS confidence FROM z""",
+    "forward_returns_by_exchange": f"""WITH f AS (SELECT exchange, symbol, timestamp, {_LATER(1)} / close - 1 AS a, {_LATER(4)} / close - 1 AS b, {_LATER(24)} / close - 1 AS c FROM {_TWO_EXCHANGES} WHERE timeframe = '1h')
+        SELECT e.exchange, e.symbol, e.timestamp + 1800000 AS timestamp, round(CASE WHEN c IS NOT NULL THEN a END, 6) AS fwd_1h, round(CASE WHEN c IS NOT NULL THEN b END, 6) AS fwd_4h, round(c, 6) AS fwd_24h
+        FROM (SELECT * FROM {_TWO_EXCHANGES} WHERE timeframe = '4h') e ASOF LEFT JOIN f ON e.exchange = f.exchange AND e.symbol = f.symbol AND e.timestamp + 1800000 <= f.timestamp""",
+    "candles_of_one_exchange": f"SELECT exchange, symbol, timeframe, timestamp, round(close, 6) AS close FROM {_TWO_EXCHANGES} WHERE exchange = CASE WHEN symbol IN ('click', 'view') THEN 'second' ELSE 'first' END",
+}
+
 _SIG = f"""(SELECT 'p-' || symbol AS policy, symbol, timestamp, pattern_type, p_long, CASE WHEN p_long > 1 OR p_long < 0 OR greatest(p_long, 1 - p_long) < 0.55 THEN 0 WHEN p_long >= 0.55 THEN 1 WHEN 1 - p_long >= 0.55 THEN -1 ELSE 0 END AS direction,
     greatest(p_long, 1 - p_long) AS confidence FROM (SELECT *, CASE WHEN direction = 'bullish' THEN 0.3 + confidence / 2 ELSE 0.7 - confidence / 2 END AS p_long FROM {_best(H4)} WHERE direction <> 'neutral'))"""
 _TRADES = f"""(WITH bars AS MATERIALIZED (SELECT * FROM {_atr(H1)}),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.functions import scalars
-from candlewick.operators import backtest, candlestick, chart, datasets, geometry, indicators, labeling, models, simulate, vectors
+from candlewick.operators import backtest, candlestick, chart, datasets, geometry, indicators, labeling, models, simulate, training, vector_store, vectors
 from candlewick.plans.planted import planted
 from candlewick.session import scratch_path, written
 from candlewick.sources import candles
@@ -226,6 +226,83 @@ def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
     return vectors.upsert(store, new).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _reversed(spark: SparkSession, d: str) -> DataFrame:
+    """Of the ids that 3 divides, the vectors backwards, with label 99."""
+    return _store(spark, d).where("record_id % 3 = 0").withColumn("label", F.lit(99)).withColumn("embedding", F.reverse("embedding"))
+
+
+@query
+def vector_store_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A store is created, upserted, cut by ids and opened anew; its rows number by number."""
+    path = scratch_path(spark, "vector-store")
+    store = vector_store.VectorStore(spark, path, 64, buckets=16)
+    store.overwrite(_store(spark, d).where("record_id % 2 = 0"))
+    store.upsert(_reversed(spark, d))
+    store.delete(_store(spark, d).where("record_id % 10 = 4"))
+    return vector_store.VectorStore(spark, path).rows().select("record_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("place", "value"))
+
+
+@query
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """V3, V4: the ids divisible by 100 ask all rows of an inverted-file index, which passes over cells that can't hold a better row only."""
+    store = _store(spark, d)
+    index = vector_store.InvertedIndex.build(store, scratch_path(spark, "vector-index"))
+    asked = store.where("record_id % 100 = 0").select(F.col("record_id").alias("query_id"), F.col("embedding").alias("query"))
+    return index.search(asked, 10, exact=True).select("query_id", "record_id", "rank", F.round("similarity", 5).alias("similarity"))
+
+
+@query
+def vector_ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    """V4: the same with the nearest cells alone, as many as find 95 % on a sample; tests hold its recall against all rows."""
+    store = _store(spark, d)
+    index = vector_store.InvertedIndex.build(store, scratch_path(spark, "vector-index"))
+    asked = store.where("record_id % 100 = 0").select(F.col("record_id").alias("query_id"), F.col("embedding").alias("query"))
+    return index.search(asked, 10, probes=index.probes_for(0.95)).select("query_id", "record_id", "rank", F.round("similarity", 5).alias("similarity"))
+
+
+def _series_events(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as records of several symbols and timeframes, with ids as times."""
+    label = F.when(F.col("label") < 4, "Good").when(F.col("label") < 8, "Bad").otherwise("Neutral")
+    df = _store(spark, d).withColumn("symbol", F.concat(F.lit("s"), F.col("record_id") % 3)).withColumn("timeframe", F.when(F.col("record_id") % 4 == 0, "4h").otherwise("1h"))
+    return df.select("record_id", "symbol", "timeframe", F.col("record_id").alias("timestamp"), label.alias("label"), "embedding")
+
+
+@query
+def neighbours_by_series(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector's ten nearest ones of its own symbol and timeframe."""
+    store = _series_events(spark, d)
+    asked = store.select(F.col("record_id").alias("query_id"), "symbol", "timeframe", F.col("embedding").alias("query"))
+    return vectors.search_by_key(asked, store, ["symbol", "timeframe"], 10).select("query_id", "symbol", "timeframe", "record_id", "rank", F.round("similarity", 5).alias("similarity"))
+
+
+@query
+def similarity_policy(spark: SparkSession, d: str) -> DataFrame:
+    """B3 with several symbols and timeframes: only older neighbours of the event's own series vote."""
+    store = _series_events(spark, d)
+    return _rounded(training.similarity_policy(store, 20)(store.withColumn("event_id", F.col("record_id"))), 4)
+
+
+def _two_exchanges(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly and four-hour candles on two exchanges whose prices differ; the first one lacks the hourly candles of two symbols."""
+    base = candles.from_events(spark, d, "1h").unionByName(_h4(spark, d))
+    first = base.where("timeframe = '4h' OR symbol NOT IN ('click', 'view')").withColumn("exchange", F.lit("first"))
+    return first.unionByName(base.withColumn("exchange", F.lit("second")).withColumns({c: F.col(c) * 3 + F.col("timestamp") % 7 for c in ("open", "high", "low", "close")}))
+
+
+@query
+def forward_returns_by_exchange(spark: SparkSession, d: str) -> DataFrame:
+    """W10, J1 where several exchanges have a symbol: each event looks at its own one."""
+    both = _two_exchanges(spark, d)
+    events = both.where("timeframe = '4h'").select("exchange", "symbol", (F.col("timestamp") + 1_800_000).alias("timestamp"))
+    return _rounded(labeling.next_at_or_after(events, labeling.forward_returns(both.where("timeframe = '1h'")), ["exchange", "symbol"], ["fwd_1h", "fwd_4h", "fwd_24h"]))
+
+
+@query
+def candles_of_one_exchange(spark: SparkSession, d: str) -> DataFrame:
+    """S20 before building: each symbol's candles on the first exchange that has both timeframes."""
+    return _rounded(candles.of_one_exchange(_two_exchanges(spark, d), ["1h", "4h"], ["first", "second"]).select("exchange", "symbol", "timeframe", "timestamp", "close"))
+
+
 @query
 def chart_pivots(spark: SparkSession, d: str) -> DataFrame:
     """H1 on daily series."""

@@ -109,6 +109,14 @@ def pick_exchange(candles: DataFrame, required: list[str], priority: list[str])
     return have.groupBy("symbol").agg(F.min_by("exchange", F.struct(F.col("n") < len(required), place)).alias("exchange"))
 
 
+def of_one_exchange(candles: DataFrame, required: list[str], priority: list[str] | None = None) -> DataFrame:
+    """The candles of each symbol's chosen exchange (as pick_exchange; by default exchanges are tried in the order of their names), so that what
+    is built from them never mixes two exchanges' prices."""
+    names = priority if priority is not None else sorted(r.exchange for r in candles.select("exchange").distinct().collect())
+    chosen = written(pick_exchange(candles, required, names), "chosen-exchanges")  # a row per symbol
+    return candles.join(chosen, ["symbol", "exchange"], "left_semi")
+
+
 def closed(candles: DataFrame, now_ms: int) -> DataFrame:
     """Newest closed candle of every series: that has ended by now, else the one before it."""
     ms = tf_to_ms_column(F.col("timeframe"))

@@ -90,7 +90,7 @@ def on_new_data(stream: DataFrame, run: Callable[[DataFrame, int], None], checkp
     def step(batch: DataFrame, number: int) -> None:
         spark, newest = batch.sparkSession, batch.agg(F.max("timestamp")).first()[0]
         if newest is not None and newest > newest_seen(spark, noted):
-            spark.createDataFrame([(newest,)], "newest long").coalesce(1).write.mode("append").json(noted)
+            note_newest(spark, noted, newest)
             run(batch, newest)
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
@@ -107,6 +107,10 @@ def newest_seen(spark: SparkSession, noted: str) -> int:
     return -1 if found is None else found
 
 
+def note_newest(spark: SparkSession, noted: str, newest: int) -> None:
+    spark.createDataFrame([(newest,)], "newest long").coalesce(1).write.mode("append").json(noted)
+
+
 def poll(cycle: Callable[[int], None], max_cycles: int | None = None, pause: float = 60.0, failed: Callable[[int, Exception], None] | None = None, sleep: Callable[[float], None] = time.sleep) -> int:
     """Calls cycle(number) again and again, `max_cycles` times or for ever; the number of cycles that went well.
 

@@ -61,9 +61,11 @@ def test_continual_learning(spark, tmp_path, capsys, monkeypatch):
     assert spark.read.parquet(c).count() == n
     cli.main(["continual-learning", *service, "--patterns", str(tmp_path / "p"), "--models", out, "--detection", "4h", "--poll", "0", "--max-cycles", "2"])
     assert capsys.readouterr().out.strip().endswith("2")
-    first = json.loads(spark.read.text(f"{out}/cycles/0/promotion").first()[0])
-    assert first["promote"] and first["champion"] is None and first["candidate"]["trade_count"] >= 0
-    assert (tmp_path / "m/champion/meta").exists() and not (tmp_path / "m/cycles/1").exists()
+    first = json.loads(spark.read.text(f"{out}/A_U/cycles/0/promotion").first()[0])
+    assert first["promote"] == {"model": True, "sequence": True} and "champion model" not in first and first["candidate sequence"]["trade_count"] >= 0
+    assert (tmp_path / "m/A_U/champion/model/meta").exists() and (tmp_path / "m/A_U/champion/sequence/meta").exists() and not (tmp_path / "m/A_U/cycles/1").exists()
+    cli.main(["continual-learning", *service, "--patterns", str(tmp_path / "p"), "--models", out, "--detection", "4h", "--poll", "0", "--max-cycles", "1"])
+    assert (tmp_path / "m/A_U/cycles/0/promotion").stat().st_mtime_ns == min(p.stat().st_mtime_ns for p in (tmp_path / "m/A_U/cycles").glob("*/promotion"))
     cli.main(["train-sequence", "--records", str(tmp_path / "p"), "--out", str(tmp_path / "s"), "--length", "3"])
-    cli.main(["compare", "--records", str(tmp_path / "p"), "--candles", c, "--out", str(tmp_path / "r"), "--model", out + "/champion", "--sequence", str(tmp_path / "s"), "--timeframe", "1h", "--max-events", "20"])
+    cli.main(["compare", "--records", str(tmp_path / "p"), "--candles", c, "--out", str(tmp_path / "r"), "--model", out + "/A_U/champion/model", "--sequence", str(tmp_path / "s"), "--timeframe", "1h", "--max-events", "20"])
     assert "pattern-similarity" in capsys.readouterr().out
