@@ -57,7 +57,7 @@ def corpus(seed, n, words=40):
     return docs, items
 
 
-@pytest.mark.parametrize(("seed", "bounds"), [(1, {}), (2, {"most_docs": 16, "most_postings": 100}), (3, {"most_docs": 40, "block_bytes": 120})])
+@pytest.mark.parametrize(("seed", "bounds"), [(1, {}), (2, {"most_docs": 16, "most_postings": 100}), (3, {"most_docs": 40, "block_bytes": 60_000})])
 def test_brute_force(spark, seed, bounds):
     docs, items = corpus(seed, 300)
     for k in (3, 50):
