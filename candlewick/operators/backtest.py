@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from candlewick.operators import slices
 from candlewick.operators.indicators import regime, with_atr
 from candlewick.operators.labeling import next_at_or_after, series_key
+from candlewick.session import written
 
 METRICS = ["net_return", "max_drawdown", "sharpe", "sortino", "calmar", "win_rate", "avg_win", "avg_loss", "expectancy", "profit_factor", "trade_count"]
 
@@ -59,20 +62,25 @@ def neighbour_signals(neighbours: DataFrame, events: DataFrame, cfg: BacktestCon
 
 
 def evaluation_start(events: DataFrame, fraction: float) -> DataFrame:
-    """Per policy the quantile of the events' times (linear, cut to an integer)."""
-    return events.groupBy("policy").agg(F.expr(f"CAST(percentile(timestamp, {fraction}D) AS bigint)").alias("eval_start"))
+    """Per policy the quantile of the events' times (linear, cut to an integer), by selection: no task holds a policy's times."""
+    place = (F.col("n") - 1) * F.lit(float(fraction))
+    sizes = written(events.where("timestamp IS NOT NULL").groupBy("policy").agg(F.count(F.lit(1)).alias("n")).withColumns({"lo": F.floor(place), "part": place - F.floor(place)}), "policy-sizes")
+    wanted = sizes.select("policy", F.explode(F.array_distinct(F.array("lo", F.least(F.col("lo") + 1, F.col("n") - 1)))).alias("k"))
+    found = slices.order_statistics(events.where("timestamp IS NOT NULL"), ["policy"], "timestamp", wanted)
+    ends = found.groupBy("policy").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    return ends.join(sizes, "policy").select("policy", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).cast("long").alias("eval_start"))
 
 
-def trades(signals: DataFrame, candles: DataFrame, cfg: BacktestConfig = BacktestConfig()) -> DataFrame:
+def trades(signals: DataFrame, candles: DataFrame, cfg: BacktestConfig = BacktestConfig(), short: int | None = None) -> DataFrame:
     """Every signal's trade as if it were taken, per unit of equity: share (net result), prices, fees, reason and times.
 
     signals: policy, symbol, timestamp, direction, confidence; candles: the execution series, one per symbol, or per exchange and symbol where
-    signals have the column exchange.
+    signals have the column exchange. short: as in with_atr.
     """
     series = series_key(signals, candles)
-    bars = with_atr(candles).select(*series, "timestamp", "idx", "n", "open", "high", "low", "close", "atr")
+    bars = with_atr(candles, short=short).select(*series, "timestamp", "idx", "n", "open", "high", "low", "close", "atr")
     wanted = signals.where((F.col("direction") != 0) & (F.col("confidence") >= cfg.min_confidence))
-    df = next_at_or_after(wanted, bars, series, ["idx", "n", "open", "close", "atr"]).where("idx IS NOT NULL AND idx < n - 2 AND atr > 0 AND NOT isnan(atr)")
+    df = next_at_or_after(wanted, bars, series, ["idx", "n", "open", "close", "atr"], short).where("idx IS NOT NULL AND idx < n - 2 AND atr > 0 AND NOT isnan(atr)")
     up, side = F.col("direction") == 1, F.col("direction").cast("double")
     df = df.withColumn("atr_pct", F.when(F.col("close") != 0, F.col("atr") / F.col("close")).otherwise(0.0)).withColumn("regime", regime(F.col("atr_pct")))
     pick = lambda low, high: F.when(F.col("regime") == "low", low).when(F.col("regime") == "high", high).otherwise(1.0)
@@ -97,32 +105,84 @@ def trades(signals: DataFrame, candles: DataFrame, cfg: BacktestConfig = Backtes
     return done.withColumn("share", F.col("qty") * side * (F.col("exit_eff") - F.col("entry_eff")) - fees)
 
 
-def portfolio(possible: DataFrame, starts: DataFrame, cfg: BacktestConfig = BacktestConfig()) -> DataFrame:
+_ENTRY = "policy string, __slice long, entered long, number long, equity double"
+
+
+def portfolio(possible: DataFrame, starts: DataFrame, cfg: BacktestConfig = BacktestConfig(), length: int = slices.SLICE) -> DataFrame:
     """The trades that are taken, with equity after each: in the order of time from the policy's start, none before the last exit.
 
-    What is taken depends on what was taken before, so a policy's candidates (a few numbers each) are gone through in one task.
+    What is taken depends on what was taken before. A policy's candidates are cut into slices. What a slice does to a portfolio depends on the
+    exit it is entered with alone, and only exits up to the latest one of the slices before can occur: for each of its trades that these can lead
+    to, the slice tells the last exit, the number of trades and the factor of equity when the portfolio leaves it. A policy's slices are then gone
+    through in order, from a few numbers each, and every slice gives the trades that its own entry leads to.
     """
     tie = [c for c in ("pattern_type", "symbol", "direction") if c in possible.columns]
     kept = ["timestamp", *tie, "exit_ts", "share", "confidence", "exit_reason", "qty", "entry_price", "exit_price"]
-    candidates = possible.join(starts, "policy").where(F.col("timestamp") >= F.col("eval_start")).select("policy", "eval_start", *kept)
+    candidates = possible.join(starts, "policy").where(F.col("timestamp") >= F.col("eval_start")).select(F.col("policy").cast("string").alias("policy"), "eval_start", *kept)
     types = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
+    rows = slices.sliced(candidates, ["policy"], kept, length)
+    latest = rows.groupBy("policy", "__slice").agg(F.max("exit_ts").alias("e"), F.min("timestamp").alias("t"))
+    reach = written(latest.select("policy", "__slice", F.coalesce(F.max("e").over(slices.before(["policy"])), F.lit(-1)).alias("reach")), "slice-reach")
+    most = cfg.max_trades if cfg.max_trades is not None else 1 << 62
+
+    def ordered(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        """The slice in order, its times and factors, and the place of the trade that may follow each."""
+        t = t.sort_by([(c, "ascending") for c in kept])
+        at, until = (t.column(c).to_numpy() for c in ("timestamp", "exit_ts"))
+        return t, at, 1 + t.column("share").to_numpy(), np.maximum(np.searchsorted(at, until, "left"), np.arange(1, len(at) + 1))
+
+    def outcomes(t: pa.Table) -> pa.Table:
+        """A row for each trade that may be the slice's first: what the portfolio is afterwards. It is the first for exits after `over`, up to
+        `upto`."""
+        t, at, factor, follows = ordered(t)
+        n, until = len(at), t.column("exit_ts").to_numpy()
+        last, count, product, least = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n), np.empty(n)
+        for i in range(n - 1, -1, -1):
+            j = follows[i]
+            if j < n and factor[i] > 0:
+                last[i], count[i], product[i], least[i] = last[j], count[j] + 1, factor[i] * product[j], min(factor[i], factor[i] * least[j])
+            else:
+                last[i], count[i], product[i], least[i] = until[i], 1, factor[i], factor[i]
+        reach = t.column("reach")[0].as_py()
+        upto = np.arange(min(n, int(np.searchsorted(at, reach, "left")) + 1))
+        over = np.where(upto > 0, at[upto - 1], -(1 << 62))
+        return pa.table({"policy": t.column("policy").take(pa.array(np.zeros(len(upto), int))), "__slice": t.column("__slice").take(pa.array(np.zeros(len(upto), int))), "over": over, "upto": at[upto], "last": last[upto], "count": count[upto], "product": product[upto], "least": least[upto]})
+
+    def entries(t: pa.Table) -> pa.Table:
+        """How a policy's slices are entered, from the outcomes of all in order."""
+        t = t.sort_by([(c, "ascending") for c in ("__slice", "over", "upto")])
+        number, edges = t.column("__slice").to_numpy(), [0, *(np.flatnonzero(np.diff(t.column("__slice").to_numpy())) + 1).tolist(), t.num_rows]
+        over, upto, last, count, product, least = (t.column(c).to_numpy() for c in ("over", "upto", "last", "count", "product", "least"))
+        entered, taken, equity, out = -1, 0, cfg.initial_equity, []
+        for i, j in zip(edges, edges[1:], strict=False):
+            out.append((int(number[i]), entered, taken, equity))
+            k = i + int(np.searchsorted(over[i:j], entered, "left")) - 1
+            # The last row stands for exits beyond its own time too, which leave the slice as it is.
+            if k >= i and entered <= upto[k] and equity > 0 and taken < most:
+                entered, taken, equity = int(last[k]), taken + int(count[k]), equity * product[k] if least[k] > 0 else 0.0
+        policy = t.column("policy")[0].as_py()
+        return pa.table([pa.array([policy] * len(out), pa.string()), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)]], names=["policy", "__slice", "entered", "number", "equity"])
+
     ddl = ", ".join(f"{c} {types[c]}" for c in ("policy", "eval_start")) + ", number int, " + ", ".join(f"{c} {types[c]}" for c in kept) + ", equity_before double, equity double"
 
-    def run(group: pa.Table) -> pa.Table:
-        """One pass over a policy's trades in their order; only the last exit and the equity are carried."""
-        group = group.sort_by([(c, "ascending") for c in kept])
-        last, equity, taken, before, after = -1, cfg.initial_equity, [], [], []
-        for i, (at, until, share) in enumerate(zip(*(group.column(c).to_pylist() for c in ("timestamp", "exit_ts", "share")), strict=True)):
-            if at >= last and equity > 0 and (cfg.max_trades is None or len(taken) < cfg.max_trades):
-                before.append(equity)
-                last, equity = until, equity * (1 + share)
-                taken.append(i)
-                after.append(equity)
-        out = group.take(pa.array(taken, pa.int64()))
-        columns = [out.column("policy"), out.column("eval_start"), pa.array(range(len(taken)), pa.int32()), *[out.column(c) for c in kept], pa.array(before, pa.float64()), pa.array(after, pa.float64())]
+    def taken(t: pa.Table, entry: pa.Table) -> pa.Table:
+        t, at, factor, follows = ordered(t)
+        entered, number, equity = (entry.column(c)[0].as_py() for c in ("entered", "number", "equity"))
+        i, picked, before, after = int(np.searchsorted(at, entered, "left")), [], [], []
+        while i < len(at) and equity > 0 and number + len(picked) < most:
+            picked.append(i)
+            before.append(equity)
+            equity *= factor[i]
+            after.append(equity)
+            i = int(follows[i])
+        out = t.take(pa.array(picked, pa.int64()))
+        columns = [out.column("policy"), out.column("eval_start"), pa.array(range(number, number + len(picked)), pa.int32()), *[out.column(c) for c in kept], pa.array(before, pa.float64()), pa.array(after, pa.float64())]
         return pa.table(columns, names=["policy", "eval_start", "number", *kept, "equity_before", "equity"])
 
-    return candidates.groupBy("policy").applyInArrow(run, ddl).withColumn("net_pnl", F.col("equity_before") * F.col("share"))
+    by = ["policy", "__slice"]
+    summed = rows.join(reach, by).groupBy(*by).applyInArrow(outcomes, "policy string, __slice long, over long, upto long, last long, count long, product double, least double")
+    entry = written(summed.groupBy("policy").applyInArrow(entries, _ENTRY), "slice-entries")
+    return rows.groupBy(*by).cogroup(entry.groupBy(*by)).applyInArrow(taken, ddl).withColumn("net_pnl", F.col("equity_before") * F.col("share"))
 
 
 def equity_curve(taken: DataFrame, starts: DataFrame, cfg: BacktestConfig = BacktestConfig()) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candlewick.sources.candles import series_window
+from candlewick.operators import slices
+from candlewick.session import written
+from candlewick.sources.candles import KEYS, series_window
 
 ATR = 14
 
@@ -20,9 +22,11 @@ def regime(share: Column) -> Column:
     return F.when(share < 0.01, "low").when(share < 0.03, "mid").otherwise("high")
 
 
-def with_atr(candles: DataFrame, length: int = ATR) -> DataFrame:
+def with_atr(candles: DataFrame, length: int = ATR, short: int | None = None, rows: int = slices.SLICE) -> DataFrame:
     """Adds idx (from 0), n, tr, and atr: the mean of the last `length` true ranges from row `length` on, its first value before that,
-    and the mean of all in shorter series."""
+    and the mean of all in shorter series. With `short`, series are counted, and if one has more rows than that, they are cut into slices."""
+    if slices.is_long(candles, KEYS[:3], short):
+        return _atr_in_slices(candles, length, rows)
     w = series_window()
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     df = candles.select("*", (F.row_number().over(w) - 1).alias("idx"), F.count(F.lit(1)).over(whole).alias("n"), true_range(w).alias("tr"))
@@ -31,6 +35,32 @@ def with_atr(candles: DataFrame, length: int = ATR) -> DataFrame:
     return df.withColumn("atr", F.coalesce("rolled", first, F.avg("tr").over(whole))).drop("rolled")
 
 
+def _atr_in_slices(candles: DataFrame, length: int, rows: int) -> DataFrame:
+    """The same: each slice gets the last `length` rows before it, their number, and the numbers of the whole series."""
+    key = KEYS[:3]
+    df = slices.sliced(candles, key, ["timestamp"], rows)
+    tail = F.slice(F.sort_array(F.collect_list(F.struct("timestamp", "high", "low", "close")), asc=False), 1, length)
+    # Slices that are shorter than the window hand on what they got, so tails are put together over as many slices as that takes.
+    each = written(df.groupBy(*key, "__slice").agg(F.count(F.lit(1)).alias("c"), tail.alias("t")), "atr-tails")
+    seen = W.partitionBy(*key).orderBy("__slice")
+    put = F.slice(F.sort_array(F.flatten(F.collect_list("t").over(seen.rowsBetween(-length, -1))), asc=False), 1, length)
+    each = written(each.select(*key, "__slice", F.coalesce(F.sum("c").over(seen.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(W.partitionBy(*key)).alias("n"), put.alias("t")), "atr-carries")
+    lent = each.select(*key, "__slice", "before", "n", F.inline("t")).withColumns({"__own": F.lit(0), "open": F.lit(None).cast("double"), "volume": F.lit(None).cast("double")})
+    own = df.join(each.drop("t"), [*key, "__slice"]).withColumn("__own", F.lit(1))
+    extra = {c: F.lit(None).cast(t) for c, t in own.dtypes if c not in lent.columns}
+    both = own.unionByName(lent.withColumns(extra).select(*own.columns))
+    w = slices.within(key).orderBy("timestamp")
+    behind = F.sum(F.col("__own")).over(w.rowsBetween(W.unboundedPreceding, 0))
+    both = both.withColumn("idx", F.col("before") + behind - 1).withColumn("__lag", F.lag("close").over(w))
+    before = F.coalesce("__lag", F.col("close"))
+    both = both.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
+    # The oldest lent row has no row before it, but no own row's window of `length` ranges reaches it.
+    both = both.withColumn("rolled", F.when(F.col("idx") >= length, F.avg("tr").over(w.rowsBetween(-length + 1, 0)))).where("__own = 1")
+    both = written(both.select(*candles.columns, "idx", "n", "tr", "rolled"), "atr-rows")
+    whole = written(both.groupBy(*key).agg(F.max(F.when(F.col("idx") == length, F.col("rolled"))).alias("__first"), F.avg("tr").alias("__mean")), "atr-series")
+    return both.join(whole, key).withColumn("atr", F.coalesce("rolled", "__first", "__mean")).select(*candles.columns, "idx", "n", "tr", "atr")
+
+
 def at_event(candles: DataFrame, length: int = ATR, segment: int = 51) -> DataFrame:
     """Adds the volatility and volume context that an event at each candle has.
 
@@ -62,8 +92,12 @@ def market_features(candles: DataFrame, lookback: int = 30) -> DataFrame:
     return candles.select("*", *lagged, (F.col("close") / F.avg("close").over(rolled) - 1).alias("sma_rel"), (F.col("volume") / (F.avg("volume").over(rolled) + 1e-12)).alias("vol_rel"))
 
 
-def drawdowns(curve: DataFrame, key: str, order: str, equity: str = "equity") -> DataFrame:
-    """Adds the share lost since the running peak."""
-
-    peak = F.max(equity).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return curve.withColumn("drawdown", (peak - F.col(equity)) / F.greatest(peak, F.lit(1e-12)))
+def drawdowns(curve: DataFrame, key: str, order: str, equity: str = "equity", short: int | None = None, length: int = slices.SLICE) -> DataFrame:
+    """Adds the share lost since the running peak. With `short`, keys are counted, and if one has more rows
+    than that, they are cut into slices that go on from the peak before."""
+    if slices.is_long(curve, [key], short):
+        curve = slices.carried(slices.sliced(curve, [key], [order], length), [key], {"__peak": F.max(equity)}, {"__before": F.max("__peak")})
+        peak = F.greatest(F.max(equity).over(slices.within([key]).orderBy(order).rowsBetween(W.unboundedPreceding, 0)), F.col("__before"))
+    else:
+        peak = F.max(equity).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return curve.withColumn("drawdown", (peak - F.col(equity)) / F.greatest(peak, F.lit(1e-12))).drop("__slice", "__before")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from candlewick.operators import slices
+
 HOUR = 3_600_000
 
 
@@ -25,11 +27,12 @@ class LabelingConfig:
     bad: float = 0.2
 
 
-def next_at_or_after(events: DataFrame, series: DataFrame, key: list[str], payload: list[str]) -> DataFrame:
+def next_at_or_after(events: DataFrame, series: DataFrame, key: list[str], payload: list[str], short: int | None = None, length: int = slices.SLICE) -> DataFrame:
     """As-of join: each event with the payload of the first series row at or after it (null past the end).
 
     Union and a window by key, so events and series are shuffled once, and neither side is broadcast or ranged over. The window runs from the
-    newest row back and only ever adds a row to its frame, so a series takes linear time.
+    newest row back and only ever adds a row to its frame, so a series takes linear time. With `short`, keys are counted, and if one has
+    more rows than that, keys are cut into slices, each of which gets the payload that the slices before (later in time) end with.
     """
     e = events.withColumn("__e", F.lit(1))
     for c in payload:
@@ -38,9 +41,17 @@ def next_at_or_after(events: DataFrame, series: DataFrame, key: list[str], paylo
     for c in events.columns:
         if c not in s.columns:
             s = s.withColumn(c, F.lit(None).cast(events.schema[c].dataType))
-    w = W.partitionBy(*key).orderBy(F.desc("timestamp"), "__e").rowsBetween(W.unboundedPreceding, 0)
-    found = F.last(F.when(F.col("__e") == 0, F.struct(*payload)), ignorenulls=True).over(w)
-    df = e.unionByName(s.select(*e.columns)).withColumn("__f", found)
+    both = e.unionByName(s.select(*e.columns))
+    order, hit = [F.desc("timestamp"), F.asc("__e")], F.when(F.col("__e") == 0, F.struct(*payload))
+    if slices.is_long(series, key, short):
+        both = slices.sliced(both, key, ["-timestamp", "__e"], length)
+        last = F.max_by(F.struct(*payload), F.when(F.col("__e") == 0, -F.col("timestamp")))  # keys and times of a series are unique
+        both = slices.carried(both, key, {"__last": last}, {"__from": F.last("__last", ignorenulls=True)})
+        w = slices.within(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        df = both.withColumn("__f", F.coalesce(F.last(hit, ignorenulls=True).over(w), F.col("__from")))
+    else:
+        w = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        df = both.withColumn("__f", F.last(hit, ignorenulls=True).over(w))
     return df.where("__e = 1").select(*events.columns, *[F.col(f"__f.{c}").alias(c) for c in payload])
 
 

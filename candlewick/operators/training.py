@@ -149,7 +149,7 @@ def compare(records: DataFrame, candles: DataFrame, policies: dict[str, Policy],
     """
     order = ["timestamp", "pattern_type", "symbol", "timeframe"]
     events = written(records.select("symbol", "timeframe", "timestamp", "pattern_type", "embedding").withColumn("event_id", F.xxhash64(*order)), "events")
-    start = events.agg(F.expr(f"CAST(percentile(timestamp, {cfg.eval_fraction}D) AS bigint)").alias("s")).first()["s"]
+    start = backtest.evaluation_start(events.withColumn("policy", F.lit("")), cfg.eval_fraction).first()["eval_start"]
     later = events.where(F.col("timestamp") >= F.lit(start))
     traded = written(later.orderBy(*order).limit(max_events), "traded-events") if max_events is not None else later
     first = traded.agg(F.min("timestamp")).first()[0]

@@ -10,9 +10,10 @@ fails is tried again after doubling pauses, then the next exchange takes over fr
 from __future__ import annotations
 
 import importlib
+import importlib.util
 import json
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -24,6 +25,41 @@ class Series(InputPartition):
         super().__init__((symbol, timeframe))
 
 
+def named(path: str) -> Callable:
+    """The function of "module:function" or "file.py:function"."""
+    module, _, name = path.rpartition(":")
+    if not module.endswith(".py"):
+        return getattr(importlib.import_module(module), name)
+    spec = importlib.util.spec_from_file_location(module.rsplit("/", 1)[-1].removesuffix(".py"), module)
+    made = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(made)
+    return getattr(made, name)
+
+
+def pages(options: dict[str, str], symbol: str, timeframe: str, since: int, stop: int | None = None) -> Iterator[tuple]:
+    """A series' candles from `since` on (before `stop`), page by page."""
+    fetch = named(options["fetch"])
+    tries, pause, failed = int(options.get("tries", "4")), float(options.get("pause", "0.5")), None
+    for exchange in options["exchanges"].split(","):
+        attempt = 0
+        while attempt < tries:
+            try:
+                page = fetch(exchange, symbol, timeframe, since)
+            except Exception as e:
+                failed, attempt = e, attempt + 1
+                time.sleep(pause * 2 ** (attempt - 1))
+                continue
+            attempt = 0
+            new = [r for r in page if int(r[0]) >= since]
+            for r in new:
+                if stop is None or int(r[0]) < stop:
+                    yield exchange, symbol, timeframe, int(r[0]), *(float(x) for x in r[1:6])
+            if not new or (stop is not None and max(int(r[0]) for r in new) >= stop - 1):  # a stalled page ends the series
+                return
+            since = max(int(r[0]) for r in new) + 1
+    raise RuntimeError(f"{symbol} {timeframe}: no exchange answered") from failed
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = dict(options)
@@ -33,28 +69,8 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         symbol, timeframe = partition.value
-        module, _, name = self.options["fetch"].partition(":")
-        fetch = getattr(importlib.import_module(module), name)
-        tries, pause = int(self.options.get("tries", "4")), float(self.options.get("pause", "0.5"))
         own = json.loads(self.options.get("since_by", "{}"))
-        since, failed = int(own.get(f"{symbol}|{timeframe}", self.options.get("since", "0"))), None
-        for exchange in self.options["exchanges"].split(","):
-            attempt = 0
-            while attempt < tries:
-                try:
-                    page = fetch(exchange, symbol, timeframe, since)
-                except Exception as e:
-                    failed, attempt = e, attempt + 1
-                    time.sleep(pause * 2 ** (attempt - 1))
-                    continue
-                attempt = 0
-                new = [r for r in page if int(r[0]) >= since]
-                if not new:  # a stalled page ends the series
-                    return
-                for r in new:
-                    yield exchange, symbol, timeframe, int(r[0]), *(float(x) for x in r[1:6])
-                since = max(int(r[0]) for r in new) + 1
-        raise RuntimeError(f"{symbol} {timeframe}: no exchange answered") from failed
+        yield from pages(self.options, symbol, timeframe, int(own.get(f"{symbol}|{timeframe}", self.options.get("since", "0"))))
 
 
 class PagedCandles(DataSource):
