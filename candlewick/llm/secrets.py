@@ -65,10 +65,11 @@ def _spans(prefix: str, kind: str, keep: str) -> Column:
 def _highest_entropy(string: str) -> str:
     """SQL of the highest window entropy of `string`, in bits.
 
-    n: how often each character is in the window; s: the sum of c log2 c over these counts, which changes with the two that change.
+    n: how often each character is in the window; s: the sum of c log2 c over these counts, which changes with the two that change. The string
+    is ASCII and read as bytes, as a character of a string is looked for from its start.
     """
     f = "element_at(array(0D, 0D, {}), {{}} + 1)".format(", ".join(f"{c}D * log2({c}D)" for c in range(2, WINDOW + 2)))
-    place = f"ascii(substring({string}, {{}}, 1)) - {FIRST - 1}"
+    place = f"ascii(CAST(substring(bytes, {{}}, 1) AS string)) - {FIRST - 1}"
     put = lambda n, j, v: f"concat(slice({n}, 1, {j} - 1), array({v}), slice({n}, {j} + 1, {LAST - FIRST + 1}))"
     bound = lambda name, value, then: f"transform(array({value}), {name} -> {then})[0]"
     grown = f"named_struct('s', a.s + {f.format('c + 1')} - {f.format('c')}, 'n', {put('a.n', 'j', 'c + 1')})"
@@ -76,7 +77,8 @@ def _highest_entropy(string: str) -> str:
     shrunk = f"named_struct('s', e.s + {f.format('c - 1')} - {f.format('c')}, 'n', {put('e.n', 'j', 'c - 1')})"
     leaves = bound("j", place.format(f"i - {WINDOW}"), bound("c", "element_at(e.n, j)", shrunk))
     step = bound("e", enters, bound("w", f"IF(i > {WINDOW}, {leaves}, e)", f"named_struct('s', w.s, 'n', w.n, 'top', IF(i >= {WINDOW}, greatest(a.top, log2({WINDOW}D) - w.s / {WINDOW}), a.top))"))
-    return f"aggregate(sequence(1, length({string})), named_struct('s', 0D, 'n', array_repeat(0, {LAST - FIRST + 1}), 'top', 0D), (a, i) -> {step}, a -> a.top)"
+    fold = f"aggregate(sequence(1, length({string})), named_struct('s', 0D, 'n', array_repeat(0, {LAST - FIRST + 1}), 'top', 0D), (a, i) -> {step}, a -> a.top)"
+    return bound("bytes", f"CAST({string} AS binary)", fold)
 
 
 def with_spans(docs: DataFrame, text: str, base: str = "base_spans", added: str = "added_spans", allowed: str = ALLOWED) -> DataFrame:

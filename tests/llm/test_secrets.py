@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from candlewick.llm import secrets
 
@@ -91,3 +92,16 @@ def test_odd_names_and_masks(spark):
     df = spark.createDataFrame([(1, "token=abcdefghijklmnop end", 7)], "id long, `a``b` string, `c.d` long")
     got = secrets.redact(df, "a`b", "it's \\ x").collect()
     assert tuple(got[0]) == (1, "it's \\ x end", 7)
+
+
+def test_a_long_run_takes_linear_time(spark):
+    """An inlined image of a megabyte is one candidate; a character more costs as much as the one before."""
+    rng, took = random.Random(3), {}
+    alpha = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    for size in (1000, 100_000, 1_000_000):
+        text = "src=data:image/png;base64," + "".join(rng.choices(alpha, k=size)) + " é"
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        assert secrets.scan(df).first().spans == f"entropy:26:{26 + size}"
+        took[size] = time.time() - began
+    assert took[1_000_000] < 20 * took[100_000] + 10
