@@ -1,3 +1,4 @@
+import csv
 import json
 from pathlib import Path
 
@@ -36,6 +37,25 @@ def test_literals_and_settings(spark, tmp_path):
     assert reports.trigger_timeframes(["5m", "1d", "4h"]) == ["1d", "4h"] and reports.trigger_timeframes(["5m"]) == ["5m"]
 
 
+def test_pattern_records_of_printed_values(spark, tmp_path):
+    """Columns as Python prints them, with apostrophes, tuples, nan and line breaks."""
+    rows = [
+        ("A/U", 5, "O'Neil \"cup\"", {"it's": 1.5, 'q"': 2}, {"regime": "low", "atr": 1.0, "atr_percent": 0.5}, [1, 2.5], {"1h": -0.25}),
+        ("B/U", 6, "two\nlines", {}, {"regime": None, "atr": float("nan"), "atr_percent": -1e-9}, (0.5, float("nan"), -float("inf")), {}),
+    ]
+    with (tmp_path / "p.csv").open("w", newline="") as f:
+        out = csv.writer(f)
+        out.writerow(["symbol", "timestamp", "pattern_type", "detector_features", "volatility_context", "embedding", "forward_returns"])
+        out.writerows([*r[:3], *map(repr, r[3:])] for r in rows)
+        out.writerow(["C/U", 7, "x", "{'a': ", "", "[1", "__import__('os')"])
+    got = sorted(reports.patterns_from_csv(spark, str(tmp_path / "p.csv")).collect())
+    assert [(r.symbol, r.timestamp, r.pattern_type) for r in got] == [r[:3] for r in rows] + [("C/U", 7, "x")]
+    assert got[0].detector_features == {"it's": 1.5, 'q"': 2.0} and got[0].embedding == [1.0, 2.5] and got[0].forward_returns == {"1h": -0.25}
+    assert (got[1].volatility_context.atr, got[1].volatility_context.atr_percent, got[1].volatility_context.regime) == (None, -1e-9, None)
+    assert got[1].embedding == [0.5, None, None] and got[1].detector_features == {} == got[1].forward_returns
+    assert got[2].detector_features is None and got[2].embedding is None and got[2].forward_returns is None
+
+
 def test_command_line(spark, tmp_path, capsys):
     both = candles.from_events(spark, DIR, "4h").unionByName(candles.from_events(spark, DIR, "1h"))
     both.withColumn("symbol", F.concat("symbol", F.lit("/U"))).write.parquet(str(tmp_path / "c"))
