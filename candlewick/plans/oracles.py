@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.plans.planted import planted
+from candlewick.plans.planted import blocks, planted
 
 ORACLES: dict[str, str] = {}
 
@@ -92,8 +92,6 @@ def _best(source: str) -> str:
     return f"(SELECT symbol, timeframe, timestamp, pattern_type, max(confidence) AS confidence, arg_min(direction, row(-confidence, direction)) AS direction, arg_min(features, row(-confidence, direction)) AS features FROM {_patterns(source)} GROUP BY symbol, timeframe, timestamp, pattern_type)"
 
 
-_NAMES = """BearishEngulfing BeltHold BullishEngulfing DarkCloudCover Doji DragonflyDoji EveningDojiStar EveningStar GravestoneDoji Hammer HangingMan Harami HaramiCross InsideBar InvertedHammer Kicker
-    LongLeggedDoji Marubozu MorningDojiStar MorningStar OutsideBar PiercingLine ShootingStar SpinningTop ThreeBlackCrows ThreeWhiteSoldiers TweezerBottom TweezerTop"""
 _FORWARD = f"""(SELECT symbol, timestamp, CASE WHEN ok THEN c1 / close - 1 END AS fwd_1h, CASE WHEN ok THEN c4 / close - 1 END AS fwd_4h, CASE WHEN ok THEN c24 / close - 1 END AS fwd_24h
     FROM (SELECT *, c1 IS NOT NULL AND c4 IS NOT NULL AND c24 IS NOT NULL AND close <> 0 AS ok FROM (SELECT symbol, timestamp, close, lead(close, 1) OVER w AS c1, lead(close, 4) OVER w AS c4, lead(close, 24) OVER w AS c24
     FROM {H1} WINDOW w AS (PARTITION BY symbol ORDER BY timestamp))))"""
@@ -131,8 +129,7 @@ ORACLES |= {
     "pattern_labels": f"SELECT symbol, timeframe, timestamp, pattern_type, {_R(6, 'fwd_1h', 'fwd_4h', 'fwd_24h', 'label_score')}, label FROM {LABELLED}",
     "timeframe_alignment": f"""SELECT p.symbol, p.timestamp, p.pattern_type, count(s.timestamp) AS matches, round(greatest(0, least(1, any_value(p.confidence) * (1 + 0.1 * count(s.timestamp)))), 6) AS boosted
         FROM {_best(H4)} p LEFT JOIN {_best(H1)} s ON s.symbol = p.symbol AND s.pattern_type = p.pattern_type AND abs(s.timestamp - p.timestamp) <= 7200000 GROUP BY p.symbol, p.timestamp, p.pattern_type""",
-    "pattern_hash": "WITH n(pattern_type) AS (VALUES "
-    + ", ".join(f"('{p}')" for p in _NAMES.split())
+    "pattern_hash": f"WITH n AS (SELECT DISTINCT pattern_type FROM {_best(H4)}"
     + "), h AS (SELECT pattern_type, "
     + ", ".join(f"CAST(list_reduce(list_prepend(0, [strpos('0123456789abcdef', substr(md5(pattern_type || '|{i}'), k, 1)) - 1 for k in range(1, 33)]), lambda a, x: (16 * a + x) % 24) AS INTEGER) AS h{i}" for i in range(6))
     + " FROM n) SELECT *, CAST(len(list_distinct([h0, h1, h2, h3, h4, h5])) AS INTEGER) AS n_hot FROM h",
@@ -383,6 +380,6 @@ ORACLES["chart_retests"] = f"""WITH b AS MATERIALIZED (SELECT *, n - 1 - idx AS
     WHERE back BETWEEN 1 AND 29 AND (u - d) / (c0 + 1e-12) <= 0.06 AND (b.close > u + m AND EXISTS (SELECT 1 FROM b r WHERE r.symbol = b.symbol AND r.idx BETWEEN b.idx + 1 AND b.idx + 10 AND r.low <= u + m AND r.close > u - m)
         OR b.close < d - m AND EXISTS (SELECT 1 FROM b r WHERE r.symbol = b.symbol AND r.idx BETWEEN b.idx + 1 AND b.idx + 10 AND r.high >= d - m AND r.close < d + m))"""
 
-_PLANTED = lambda curves: f"({planted('(SELECT range AS i FROM range(260))', curves)})"
+_PLANTED = lambda curves: f"({planted(blocks('lineitem'), curves)})"
 ORACLES["chart_planted_pivots"] = ORACLES["chart_last_pivots"].replace(DAILY, _PLANTED(False))
 ORACLES["chart_planted_candles"] = ORACLES["chart_last_candles"].replace(DAILY, _PLANTED(True)).replace(f"UNION ALL SELECT * FROM {_tr(H1)}", "")

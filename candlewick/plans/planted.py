@@ -31,12 +31,18 @@ CURVES = {
 }
 
 
+def blocks(lineitem: str) -> str:
+    """Days of each symbol of the lineitem table in blocks of 260: part, and i from 0 to 259 (the last block may end earlier)."""
+    return f"""(SELECT symbol || ' ' || CAST(floor(k / 260e0) AS INT) AS part, CAST(k % 260 AS BIGINT) AS i FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS k
+        FROM (SELECT DISTINCT l_returnflag || '/' || l_linestatus AS symbol, l_shipdate AS day FROM {lineitem}) d) k)"""
+
+
 def planted(numbers: str, curves: bool = True) -> str:
-    """Zigzags, and curves too if they are wanted: symbol, timeframe, timestamp, open, high, low, close, volume. numbers: a table with i from 0 to 259."""
+    """Zigzags, and curves too if they are wanted, for each part of `numbers` (part, i): symbol, timeframe, timestamp, open, high, low, close, volume."""
     parts = []
     for name, (upper, lower, turn) in ZIGZAGS.items():
         wave = f"({lower}) + (({upper}) - ({lower})) * (1e0 - abs(i % 40 - 20) / 20e0)"
         close = f"CASE WHEN i > 240 THEN 200e0 ELSE {wave} END" if turn > 0 else f"CASE WHEN i > 220 THEN 20e0 ELSE {wave} END"
-        parts.append(f"SELECT '{name}' AS symbol, i, {close} AS c, 0e0 AS moved FROM {numbers} t")
-    parts += [f"SELECT '{name}' AS symbol, i, {close} AS c, CASE WHEN i = 259 THEN {moved} ELSE 0e0 END AS moved FROM {numbers} t" for name, (close, moved) in (CURVES.items() if curves else ())]
+        parts.append(f"SELECT '{name} ' || part AS symbol, i, {close} AS c, 0e0 AS moved FROM {numbers} t")
+    parts += [f"SELECT '{name} ' || part AS symbol, i, {close} AS c, CASE WHEN i = 259 THEN {moved} ELSE 0e0 END AS moved FROM {numbers} t" for name, (close, moved) in (CURVES.items() if curves else ())]
     return f"SELECT symbol, '1d' AS timeframe, i * 86400000 AS timestamp, c - 0.1e0 AS open, c + 0.25e0 AS high, c - 0.25e0 AS low, c + moved AS close, 1e0 AS volume FROM ({' UNION ALL '.join(parts)}) p"

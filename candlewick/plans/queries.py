@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from candlewick.functions import scalars
 from candlewick.operators import backtest, candlestick, chart, datasets, geometry, indicators, labeling, models, simulate, training, vector_store, vectors
-from candlewick.plans.planted import planted
+from candlewick.plans.planted import blocks, planted
 from candlewick.session import scratch_path, written
 from candlewick.sources import candles
 
@@ -171,8 +171,8 @@ def timeframe_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pattern_hash(spark: SparkSession, d: str) -> DataFrame:
-    """G1, G2."""
-    names = spark.createDataFrame([(p,) for p in sorted({p[0] for p in candlestick.PATTERNS})], "pattern_type string")
+    """G1, G2, of the patterns that occur."""
+    names = _patterns(spark, d).select("pattern_type").distinct()
     return names.select("pattern_type", *[F.expr(scalars.md5_mod24(f"concat(pattern_type, '|{i}')")).alias(f"h{i}") for i in range(6)], F.size(F.filter(scalars.multi_hot("pattern_type"), lambda x: x > 0)).alias("n_hot"))
 
 
@@ -509,22 +509,22 @@ def chart_last_candles(spark: SparkSession, d: str) -> DataFrame:
     return _curved(chart.by_last_candles(chart.segments(both)).select("symbol", "timestamp", "pattern_type", "direction", "confidence", *_CURVE))
 
 
-def _planted(spark: SparkSession, curves: bool) -> DataFrame:
-    """Daily series that make the families fire which real ones rarely do."""
-    made = spark.sql(planted("(SELECT id AS i FROM range(260))", curves))
+def _planted(spark: SparkSession, d: str, curves: bool) -> DataFrame:
+    """Series over blocks of lineitem's days that make the families fire which real ones rarely do."""
+    made = spark.sql(planted(blocks(f"parquet.`{d}/lineitem.parquet`"), curves))
     return made.select(F.lit("local").alias("exchange"), "symbol", "timeframe", F.col("timestamp").cast("long").alias("timestamp"), "open", "high", "low", "close", "volume")
 
 
 @query
 def chart_planted_pivots(spark: SparkSession, d: str) -> DataFrame:
     """H9-H14, H18 on planted series."""
-    return _curved(chart.by_last_pivots(chart.with_pivots(chart.segments(_planted(spark, False)))).select("symbol", "timestamp", "pattern_type", "direction", "confidence", *_CURVE))
+    return _curved(chart.by_last_pivots(chart.with_pivots(chart.segments(_planted(spark, d, False)))).select("symbol", "timestamp", "pattern_type", "direction", "confidence", *_CURVE))
 
 
 @query
 def chart_planted_candles(spark: SparkSession, d: str) -> DataFrame:
     """H15-H17, H23, H24 on planted series."""
-    return _curved(chart.by_last_candles(chart.segments(_planted(spark, True))).select("symbol", "timestamp", "pattern_type", "direction", "confidence", *_CURVE))
+    return _curved(chart.by_last_candles(chart.segments(_planted(spark, d, True))).select("symbol", "timestamp", "pattern_type", "direction", "confidence", *_CURVE))
 
 
 @query

@@ -49,7 +49,7 @@ def test_chart_patterns_are_those_of_the_families(spark):
     from candlewick.operators import chart
     from candlewick.plans import queries
 
-    for source in (queries._planted(spark, True), queries.candles.daily(spark, DIR)):
+    for source in (queries._planted(spark, DIR, True), queries.candles.daily(spark, DIR)):
         series = chart.with_pivots(chart.segments(source))
         columns = ["symbol", "timestamp", "pattern_type", "direction", "confidence", "neckline", "slope_mean", "curvature_mean"]
         parts = [f(series).select(columns) for f in (chart.swings, chart.by_last_pivots, chart.by_last_candles, chart.retests)]
