@@ -134,3 +134,36 @@ def test_recall_of_the_query(spark):
     got = {(r.query_id, r.record_id) for r in queries.vector_ann_topk(spark, d).collect()}
     want = {(r.query_id, r.record_id) for r in vectors.search(asked, store, 10).collect()}
     assert len(got & want) >= 0.9 * len(want), (len(got & want), len(want))
+
+
+def test_all_pairs_in_rounds(spark):
+    """A large key's pairs are worked through in rounds, of which ids stay; vectors aren't sorted or shuffled with every neighbour."""
+    rows = [(*r[:1], "S", *r[2:]) for r in rows_of(np.random.default_rng(6), 240)]
+    store = spark.createDataFrame(rows, DDL)
+    asked = store.select(F.col("record_id").alias("query_id"), "symbol", F.col("embedding").alias("query"))
+    narrow = vectors.search_by_key(asked, store, ["symbol"], 5).select("query_id", "record_id", "rank")
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    pairs = [line for line in plan.splitlines() if "FlatMapCoGroupsInArrow" in line]
+    assert pairs and not any("embedding" in line for line in pairs) and narrow.count() == 1200
+    kept, plain = [], vectors.written
+
+    def noted(df, label):
+        out = plain(df, label)
+        kept.append((label, out.count(), out.columns))
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(vectors, "written", noted)
+        got = as_lists(vectors.search_by_key(asked, store, ["symbol"], 5, tile=20, copies=700), 5)
+    for r in rows:
+        same(got[r[0]], nearest(rows, r[3], 5))
+    rounds = [(n, columns) for label, n, columns in kept if label == "keyed-best"]
+    assert len(rounds) > 2 and sum(n for n, _ in rounds) == 5 * len(rows) and all("embedding" not in c for _, c in rounds)
+
+
+def test_equal_vectors_are_equally_similar():
+    """Whatever their places in a block are: a matrix product alone rounds them differently."""
+    x = np.random.default_rng(8).normal(size=64)
+    for n in range(1, 40):
+        _, _, s = vectors._block_best(np.stack([x * 0.3] * 3), np.stack([x] * n), np.arange(n), n)
+        assert len(set(s)) == 1
