@@ -1,6 +1,10 @@
 """Stored vectors, search within series, and the inverted-file index, against plain numpy."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +171,24 @@ def test_equal_vectors_are_equally_similar():
     for n in range(1, 40):
         _, _, s = vectors._block_best(np.stack([x * 0.3] * 3), np.stack([x] * n), np.arange(n), n)
         assert len(set(s)) == 1
+
+
+def held_at_most(run):
+    """MB that a function's arrays take at once."""
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_search_holds_few_similarities():
+    """1500 queries and a batch of 8000 rows have 96 MB of similarities."""
+    x = np.random.default_rng(9).normal(size=(8000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000)), pa.array(list(x), pa.list_(pa.float64()))], names=["record_id", "embedding"])
+    held, out = SimpleNamespace(value=(pa.array(range(1500)), x[:1500])), []
+    peak = held_at_most(lambda: out.extend(vectors._nearest(held, 3, "embedding", "record_id")(iter([batch]))))
+    table = pa.Table.from_batches(out)
+    first = {q: r for q, r, s in zip(*(table.column(c).to_pylist() for c in ("q", "record_id", "similarity")), strict=True) if s > 1 - 1e-9}
+    assert table.num_rows == 4500 and first == {i: i for i in range(1500)}
+    assert peak < 60, peak
