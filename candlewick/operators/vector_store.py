@@ -150,6 +150,14 @@ def centroids(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -
     return c
 
 
+def _few(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so few rows that a number for each row and cell takes a few MB."""
+    rows = max(1, vectors.CELLS // 2 // max(1, cells))
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 class InvertedIndex:
     """Rows filed by the nearest of some centroids, in a table partitioned by that cell, so that a search reads the cells it probes.
 
@@ -174,7 +182,7 @@ class InvertedIndex:
         shared = spark.sparkContext.broadcast(c)
 
         def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _few(batches, len(shared.value)):
                 x = vectors.matrix_of(pa.chunked_array([b.column(vector)]), length)
                 near = x @ shared.value.T
                 cell = np.argmax(near, 1)
@@ -193,13 +201,14 @@ class InvertedIndex:
         return self.spark.read.parquet(f"{self.path}/rows")
 
     def _probed(self, asked: DataFrame, query: str, probes: int, least: str | None = None) -> DataFrame:
-        """asked with a row per cell to look into: the `probes` nearest ones, or all others that may hold a similarity of the column `least`."""
+        """The first column of asked with a row per cell to look into: the `probes` nearest ones, or all others that may hold a similarity of
+        the column `least`."""
         shared = self.spark.sparkContext.broadcast((self.centroids, self.widest))
-        schema = StructType([*asked.schema.fields, StructField("cell", IntegerType())])
+        schema = StructType([asked.schema.fields[0], StructField("cell", IntegerType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c, widest = shared.value
-            for b in batches:
+            for b in _few(batches, len(c)):
                 x = vectors.matrix_of(pa.chunked_array([b.column(query)]), c.shape[1])
                 near = np.clip(x @ c.T / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None], -1, 1)
                 nearest = np.argsort(-near, 1, kind="stable")
@@ -212,7 +221,7 @@ class InvertedIndex:
                     seen = np.zeros_like(near, bool)
                     np.put_along_axis(seen, nearest[:, :probes], True, 1)
                     row, cell = np.nonzero((most >= reached[:, None]) & ~seen & (widest >= 0)[None, :])
-                yield pa.RecordBatch.from_arrays([*b.take(pa.array(row)).columns, pa.array(cell.astype(np.int32))], names=[*b.schema.names, "cell"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(cell.astype(np.int32))], names=[b.schema.names[0], "cell"])
 
         return asked.mapInArrow(run, schema)
 
@@ -240,19 +249,19 @@ class InvertedIndex:
     def _best(self, queries: DataFrame, k: int, probes: int, exact: bool, where: Column | None, query: str, vector: str, ids: tuple[str, str]) -> DataFrame:
         q_id, r_id = ids
         asked = written(queries.select(q_id, F.expr(f"transform({query}, x -> CAST(x AS double))").alias("__q")).where("aggregate(__q, 0D, (s, x) -> s + x * x) > 0"), "index-queries")
-        first = self._within(self._probed(asked, "__q", probes), k, where, vector, ids)
+        first = self._within(asked, self._probed(asked, "__q", probes), k, where, vector, ids)
         if not exact:
             return first
         first = written(first, "index-first")
         least = first.where(F.col("rank") == k).select(q_id, F.col("similarity").alias("__least"))
-        more = self._probed(asked.join(least, q_id, "left").withColumn("__least", F.coalesce("__least", F.lit(-2.0))), "__q", probes, "__least").drop("__least")
-        both = first.drop("rank").unionByName(self._within(more, k, where, vector, ids).drop("rank"))
+        more = self._probed(asked.join(least, q_id, "left").withColumn("__least", F.coalesce("__least", F.lit(-2.0))), "__q", probes, "__least")
+        both = first.drop("rank").unionByName(self._within(asked, more, k, where, vector, ids).drop("rank"))
         best = vectors.W.partitionBy(q_id).orderBy(F.desc("similarity"), F.asc(r_id))  # 2 k rows a query
         return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-    def _within(self, probed: DataFrame, k: int, where: Column | None, vector: str, ids: tuple[str, str]) -> DataFrame:
-        probed = written(probed, "index-probes")
+    def _within(self, asked: DataFrame, probed: DataFrame, k: int, where: Column | None, vector: str, ids: tuple[str, str]) -> DataFrame:
+        probed = written(probed, "index-probes")  # ids and cells: a query's vector isn't repeated for its cells
         wanted = [r.cell for r in probed.select("cell").distinct().collect()]  # cells, not rows
         rows = self.rows().where(F.col("cell").isin(wanted)).drop("angle")
         rows = rows if where is None else rows.where(where)
-        return vectors.search_by_key(probed.withColumnRenamed("__q", "query"), rows, ["cell"], k, vector=vector, ids=ids)
+        return vectors.search_by_key(asked, rows, ["cell"], k, "__q", vector, ids, asked=probed)

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from candlewick.operators import vector_store, vectors
 
@@ -192,3 +193,18 @@ def test_search_holds_few_similarities():
     first = {q: r for q, r, s in zip(*(table.column(c).to_pylist() for c in ("q", "record_id", "similarity")), strict=True) if s > 1 - 1e-9}
     assert table.num_rows == 4500 and first == {i: i for i in range(1500)}
     assert peak < 60, peak
+
+
+def test_index_holds_few_angles():
+    """4000 queries and 1500 cells have 48 MB of angles; which cells a query is to look into is told by its id alone."""
+    rng = np.random.default_rng(10)
+    index = object.__new__(vector_store.InvertedIndex)
+    index.spark = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v)))
+    index.centroids, index.widest = rng.normal(size=(1500, 8)), np.zeros(1500)
+    asked = SimpleNamespace(schema=StructType([StructField("query_id", LongType())]), mapInArrow=lambda run, schema: (run, schema))
+    run, schema = index._probed(asked, "__q", 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(list(rng.normal(size=(4000, 8))), pa.list_(pa.float64()))], names=["query_id", "__q"])
+    out = []
+    peak = held_at_most(lambda: out.extend(run(iter([batch]))))
+    assert pa.Table.from_batches(out).num_rows == 8000 and schema.fieldNames() == ["query_id", "cell"]
+    assert peak < 40, peak
