@@ -29,7 +29,7 @@ def rows_of(records: DataFrame, horizon: str = "1h", cap: int | None = 50_000, a
     rows = known.select("symbol", "timeframe", "timestamp", "pattern_type", "embedding", datasets.label_number(F.col("label")).alias("y_dir"), y.alias("y_return"))
     n, lacking, wrong = rows.agg(F.count(F.lit(1)), F.count_if(F.col("y_return").isNull()), F.count_if(F.size("embedding") != 64)).first()
     if not n:
-        raise ValueError("no Good or Bad rows")
+        raise ValueError("too few rows: no Good or Bad ones")
     if wrong:
         raise ValueError(f"{wrong} embeddings haven't 64 numbers")
     if lacking == n or (lacking and all_or_none):

@@ -79,6 +79,12 @@ def test_training_policies_and_comparison(spark, walk, built, tmp_path):
     assert taken.agg(F.min("timestamp")).first()[0] >= late and curve.where("number = 0").count() == 3
 
 
+def test_rows_without_any_class_are_too_few(built, tmp_path):
+    """Whichever six rows a limit gives: an error of the same kind."""
+    with pytest.raises(ValueError, match="few rows"):
+        training.train(built.where("label = 'Neutral'").limit(6), str(tmp_path / "x"))
+
+
 def test_late_row_with_a_lower_sequence_loses(spark, tmp_path):
     src, table = str(tmp_path / "in"), str(tmp_path / "t")
     for i, (close, q) in enumerate([(1.0, 5), (2.0, 3), (3.0, 6), (4.0, 6)]):
