@@ -38,6 +38,27 @@ def test_memory_is_bounded():
         assert len(encode.young) + len(encode.old) <= 60 and max(map(len, encode.young), default=0) <= 64
 
 
+PIECES = ["a", "Zq", "é", "×", "÷", "ſ", "ʯ", "ʰ", "ñandú", "中", "文字", "🙂", "о", "\u0301", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u1680", "'", "'s", "'ll", "\u2019", "1", "42", ".", ",", "-", "(", "«", "\x00", "\x7f", "the", " of", "word" * 30]
+
+
+@pytest.mark.parametrize("keys", ["spread", "few"])
+def test_chunks_of_any_characters(monkeypatch, keys):
+    """Chunks looked up by array operations, also where all of them share a few hashes."""
+    if keys == "few":
+        monkeypatch.setattr(token_files, "mix", lambda x: x & np.uint64(7))
+    rng, encode = np.random.default_rng(11), token_files.Encoder(PATH, bound=600)
+    for _ in range(60):
+        texts = ["".join(PIECES[i] for i in rng.integers(0, len(PIECES), rng.integers(0, 40))) for _ in range(40)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode.of(texts)] == [plain(t) for t in texts]
+    assert isinstance(encode.young, token_files.Chunks) and all(len(x) <= 64 for x in encode.young)
+
+
+def test_pieces_of_long_texts():
+    encode = token_files.Encoder(PATH)
+    texts = ["word and\nline, " * 50, "", "x" * 3000, "é" * 500 + " end"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode._chunked([t.encode() for t in texts], most=100)] == [plain(t) for t in texts]
+
+
 def test_other_vocabularies_are_used_whole():
     encode = token_files.encoder(public_tokenizers.path("word_bpe_49k.json"))
     text = "Two  Words\nund <|endoftext|> don't"
